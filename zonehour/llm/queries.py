@@ -22,6 +22,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from zonehour.llm.simhash import simhash_components
+
+    return simhash_components(_docs(spark, sf_dir))
+
+
 def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from zonehour.llm.mixing import mix_sources
 
@@ -31,6 +37,7 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
+    "op5_simhash": op5_simhash,
     "op10_fair_mix": op10_fair_mix,
 }
 
