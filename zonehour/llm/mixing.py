@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from zonehour.llm.common import staged, word_count
 
 #: Rows that a hash-prefix bucket has on average at most, over all sources.
-BUCKET_ROWS = 4_000
+BUCKET_ROWS = 1_000
 #: Cells of one histogram, and rows of the cell that is looked at row by row.
 CELLS, CELL_ROWS = 1024, 4_096
 

@@ -14,6 +14,15 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from zonehour.llm.language_id import identify, learn
+
+    docs = _docs(spark, sf_dir).select("doc_id", "text", "lang")
+    model = learn(docs, fold("doc_id", 3) != 1)
+    held = fold("doc_id", 3) == 1
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,6 +37,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_docs(spark, sf_dir))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from zonehour.llm.quality import learn, score_quality
+
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = learn(docs, labels, fold("doc_id", 5) != 0)
+    return score_quality(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from zonehour.llm.mixing import mix_sources
 
@@ -36,8 +54,10 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
     "op5_simhash": op5_simhash,
+    "op9_quality": op9_quality,
     "op10_fair_mix": op10_fair_mix,
 }
 
