@@ -37,6 +37,19 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_docs(spark, sf_dir))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from zonehour.llm.media import media_column
+
+    return media_column(_docs(spark, sf_dir))
+
+
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from zonehour.llm.substring import remove_repeats
+
+    x = remove_repeats(_docs(spark, sf_dir))
+    return x.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from zonehour.llm.quality import learn, score_quality
 
@@ -57,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
     "op5_simhash": op5_simhash,
+    "op6_media": op6_media,
+    "op7_substring": op7_substring,
     "op9_quality": op9_quality,
     "op10_fair_mix": op10_fair_mix,
 }
