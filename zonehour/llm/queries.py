@@ -14,6 +14,14 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from zonehour.llm.lm_scoring import score_held_out
+
+    held = fold("doc_id", 7) == 2
+    x = score_held_out(_docs(spark, sf_dir), ~held)
+    return x.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from zonehour.llm.language_id import identify, learn
 
@@ -67,6 +75,7 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
     "op5_simhash": op5_simhash,
