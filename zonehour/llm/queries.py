@@ -58,6 +58,12 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from zonehour.llm.decontaminate import find_overlaps
+
+    return find_overlaps(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from zonehour.llm.quality import learn, score_quality
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_media": op6_media,
     "op7_substring": op7_substring,
+    "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_fair_mix": op10_fair_mix,
 }
