@@ -16,7 +16,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zonehour.llm.common import blocks
@@ -130,10 +129,10 @@ def learn(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col:
     if not langs:
         return None
     each = max(1, sample_rows // len(langs))
-    first = x.select("lang", "h").withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= each)
-    most = {r.lang: r.h for r in first.groupBy("lang").agg(F.max("h").alias("h")).collect()}
-    limit = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(v)) for k, v in most.items()))
-    sample = x.where(F.col("h") <= F.element_at(limit, F.col("lang")))
+    # A share of the hash's range that holds some more than `each` rows of a language; train() keeps the first of them.
+    rate = {r.lang: min(1.0, (1.2 * each + 20) / r["count"]) for r in langs}
+    limit = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(int(v * (1 << 30)))) for k, v in rate.items()))
+    sample = x.where(F.pmod(F.col("h"), F.lit(1 << 30)) <= F.element_at(limit, F.col("lang"))).withColumn("h", F.pmod(F.col("h"), F.lit(1 << 30)))
 
     def train(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["lang", "h", "text"]).groupby("lang", sort=True).head(each)

@@ -39,6 +39,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from zonehour.llm.pii import pseudonymise
+
+    return pseudonymise(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from zonehour.llm.simhash import simhash_components
 
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
+    "op4_surrogates": op4_surrogates,
     "op5_simhash": op5_simhash,
     "op6_media": op6_media,
     "op7_substring": op7_substring,

@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from zonehour.llm.common import staged, text_bytes
 from zonehour.llm.components import components
@@ -124,21 +125,21 @@ def _links(x: np.ndarray, y: np.ndarray | None, radius: int) -> tuple[np.ndarray
 
 
 def _compare(radius: int):
-    """Over rows (key, side, fp, rep) sorted by key and population count, the links of each key's tiles."""
+    """Over rows (key, side, fp) sorted by key and population count, the links of each key's tiles."""
 
-    def pieces(fp: np.ndarray, rep: np.ndarray, side: np.ndarray):
-        if side[0] == side[-1] == 0 and not side.any():
+    def pieces(fp: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not side.any():
             r, c = _links(fp, None, radius)
-            return rep[r], rep[c]
+            return fp[r], fp[c]
         x, y = side == 1, side == 2
         r, c = _links(fp[x], fp[y], radius) if x.any() and y.any() else (np.zeros(0, np.int64),) * 2
-        both = np.concatenate([rep[x], rep[y]])
+        both = np.concatenate([fp[x], fp[y]])
         return both[r], both[c]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
         for b in batches:
-            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
             if rest is not None:
                 cols = [np.concatenate([p, q]) for p, q in zip(rest, cols, strict=True)]
             last = np.searchsorted(cols[0], cols[0][-1]) if len(cols[0]) else 0
@@ -148,7 +149,7 @@ def _compare(radius: int):
             yield from done(rest)
 
     def done(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, side, fp, rep = cols
+        key, side, fp = cols
         if not len(key):
             return
         fp = fp.view(np.uint64)
@@ -165,24 +166,24 @@ def _compare(radius: int):
                 break
             hit = at[np.bitwise_count(fp[at] ^ fp[at + k]) <= radius]
             if len(hit):
-                out.append((rep[hit], rep[hit + k]))
+                out.append((fp[hit], fp[hit + k]))
         for g in np.flatnonzero(~small):
             s = slice(first[g], end[g])
-            out.append(pieces(fp[s], rep[s], side[s]))
+            out.append(pieces(fp[s], side[s]))
         if out:
             a, b = (np.concatenate([o[k] for o in out]) for k in (0, 1))
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     return run
 
 
-def near_links(reps: DataFrame, radius: int = 3) -> DataFrame:
-    """reps(fp, rep), distinct in both -> (a, b): links between reps whose components are those of all pairs within the radius."""
+def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
+    """fps(fp), distinct -> (a, b): links between fingerprints whose components are those of all pairs within the radius."""
     fields = radius + 1
     width = 64 // fields
     parts = [F.struct(F.lit(k).alias("field"), F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << (width if k < fields - 1 else 64 - k * width)) - 1)).alias("value")) for k in range(fields)]
-    rows = reps.select("fp", "rep", F.explode(F.array(*parts)).alias("p")).select("fp", "rep", "p.field", "p.value")
+    rows = fps.select("fp", F.explode(F.array(*parts)).alias("p")).select("fp", "p.field", "p.value")
     # A group of more than GROUP fingerprints is cut into tiles by a hash; each pair of its tiles is a key of its own.
     sizes = rows.groupBy("field", "value").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
     sizes = staged(sizes.select("field", "value", F.ceil(F.col("n") / GROUP).cast("int").alias("tiles")), "simhash-hot")
@@ -192,9 +193,23 @@ def near_links(reps: DataFrame, radius: int = 3) -> DataFrame:
     alone = F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side")))
     rows = rows.withColumn("t", F.explode(F.when(F.col("tiles").isNull(), alone).otherwise(with_all)))
     key = F.xxhash64("field", "value", "t.i", "t.j")
-    dealt = rows.select(key.alias("key"), F.col("t.side").alias("side"), "fp", "rep").repartition("key").sortWithinPartitions("key", F.bit_count("fp"))
-    kind = reps.schema["rep"].dataType.simpleString()
-    return dealt.mapInArrow(_compare(radius), f"a {kind}, b {kind}")
+    dealt = rows.select(key.alias("key"), F.col("t.side").alias("side"), "fp").repartition("key").sortWithinPartitions("key", F.bit_count("fp"))
+    return dealt.mapInArrow(_compare(radius), "a long, b long")
+
+
+def groups(fps: DataFrame, radius: int = 3) -> DataFrame:
+    """fps(id, fp) -> (fp, component_id, first): the smallest id of each fingerprint's component, and whether this fingerprint has it.
+
+    A component without any id has a null component_id; its smallest fingerprint is first.
+    """
+    reps = staged(fps.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-reps")
+    labels = components(near_links(reps.select("fp"), radius)).withColumnRenamed("node", "fp")
+    linked = reps.join(labels, "fp")
+    best = linked.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "fp")).alias("best"))
+    linked = linked.join(best, "component").select("fp", F.col("best.rep").alias("component_id"), (F.col("best.fp") == F.col("fp")).alias("first"))
+    linked = linked.withColumn("linked", F.lit(True))
+    alone = F.col("linked").isNull()
+    return reps.join(linked, "fp", "left").select("fp", F.when(alone, F.col("rep")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
@@ -202,14 +217,27 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     component_id: the smallest id that links reach, itself included. Texts
     without words (null, empty, blank) have fingerprint 0 and link like any
-    other. Rows of equal ids are separate rows with a result each; ids must be
-    integers, and a row without an id has a fingerprint and its component's
-    smallest id, if any row there has one. Other columns are ignored.
+    other. Rows of equal ids have a result each; a row without an id belongs to
+    its component like any other, whose smallest id is null only if none there
+    has one. Other columns are ignored.
     """
     fps = staged(fingerprints(docs, id_col, text_col, words), "simhash-fp")
-    # Nodes are fingerprints, named by their smallest id; where no row has an id, there is nothing to reach.
-    reps = fps.groupBy("fp").agg(F.min("id").alias("rep")).where("rep is not null")
-    reps = staged(reps, "simhash-reps")
-    labels = components(near_links(reps, radius))
-    named = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = fps.join(groups(fps, radius), "fp", "left")
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
+    """docs with one row of each component: that of the smallest id, one of them if its row is repeated."""
+    place, schema = docs.columns.index(text_col), docs.schema
+    names = [*docs.columns, "__fp"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.fromiter((fingerprint(t, words) for t in text_bytes(b.column(place))), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names)
+
+    with_fp = docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField("__fp", T.LongType())]))
+    fps = staged(fingerprints(docs, id_col, text_col, words), "simhash-fp")
+    first = groups(fps, radius).where("first").select(F.col("fp").alias("__first"), F.col("component_id").alias("__component"))
+    kept = with_fp.join(first, (F.col("__fp") == F.col("__first")) & F.col(id_col).eqNullSafe(F.col("__component")))
+    return kept.dropDuplicates(["__fp"]).select(*docs.columns)
