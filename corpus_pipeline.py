@@ -25,11 +25,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of near copies.
 
-    Shingles have five words here, as in other near-duplicate stages.
+    Near copies share 80 % of their five-word shingles or more.
     """
     from zonehour.llm.simhash import one_of_each
 
-    return one_of_each(docs, words=5)
+    return one_of_each(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

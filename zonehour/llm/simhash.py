@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonehour.llm.common import staged, text_bytes
+from zonehour.llm.common import mix64, staged, text_bytes
 from zonehour.llm.components import components
 
 #: Rows of a tile at most; a group of more fingerprints becomes several tiles.
 TILE = 1024
+#: Rows of a group up to which its pairs are simply all compared and linked.
+FEW = 16
 #: Fingerprints of a group at most, beyond which its tiles are dealt out as tasks of their own.
 GROUP = 4096
 
@@ -100,48 +102,90 @@ def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(cols)
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, of which each row has one or more 64-bit words; broadcasts over the rows."""
+    total = np.bitwise_count(x[..., 0] ^ y[..., 0]).astype(np.uint16)
+    for k in range(1, x.shape[-1]):
+        total += np.bitwise_count(x[..., k] ^ y[..., k])
+    return total
+
+
+def _leaders(x: np.ndarray, radius: int, most: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Compares all rows with a few of them: the leader that each row links to first, or -1, and those links."""
+    lead = np.full(len(x), -1)
+    a, b = [], []
+    for _ in range(most):
+        free = np.flatnonzero(lead < 0)
+        if len(free) < 2:
+            break
+        near = free[_apart(x[free], x[free[:1]]) <= radius]
+        lead[near] = free[0]
+        a.append(np.full(len(near) - 1, free[0])), b.append(near[1:])
+    return lead, np.concatenate(a) if a else np.zeros(0, np.int64), np.concatenate(b) if b else np.zeros(0, np.int64)
+
+
 def _links(x: np.ndarray, y: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between fingerprints x and y, or within x; each sorted by population count."""
-    px = np.bitwise_count(x).astype(np.int64)
-    z, pz = (x, px) if y is None else (y, np.bitwise_count(y).astype(np.int64))
-    found: list[np.ndarray] = []
-    n = len(x) + (0 if y is None else len(y))
+    """A spanning forest of the links between fingerprints x and y, or within x.
+
+    Tiles hold rows of like population counts, and rows known to be linked to
+    the same leader; pairs of tiles that one leader holds together, or whose
+    population counts are beyond the radius of one another, are skipped.
+    """
+    count = lambda v: np.bitwise_count(v).sum(axis=1, dtype=np.int64)
+    if y is None:
+        lead, a, b = _leaders(x, radius)
+        order = np.lexsort((count(x), lead))
+        x, lead = x[order], lead[order]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        found = [np.stack([back[a], back[b]])]
+        z, zlead, shift = x, lead, 0
+        names = order
+    else:
+        ox, oy = np.argsort(count(x), kind="stable"), np.argsort(count(y), kind="stable")
+        names = np.concatenate([ox, len(x) + oy])
+        x, z, shift = x[ox], y[oy], len(x)
+        lead, zlead, found = np.full(len(x), -1), np.full(len(z), -2), []
+    px, pz = count(x), count(z)
+    n = shift + len(z)
     for i in range(0, len(x), TILE):
+        p, held = px[i : i + TILE], lead[i : i + TILE]
         for j in range(i if y is None else 0, len(z), TILE):
-            p, q = px[i : i + TILE], pz[j : j + TILE]
-            if p[0] - q[-1] > radius or q[0] - p[-1] > radius:
+            q, other = pz[j : j + TILE], zlead[j : j + TILE]
+            if p.min() - q.max() > radius or q.min() - p.max() > radius:
                 continue
-            near = np.bitwise_count(x[i : i + TILE, None] ^ z[None, j : j + TILE]) <= radius
+            if held[0] >= 0 and held[0] == held[-1] == other[0] == other[-1]:
+                continue
+            near = _apart(x[i : i + TILE, None], z[None, j : j + TILE]) <= radius
             if y is None and i == j:
                 near = np.triu(near, 1)
             if near.any():
                 r, c = _spanning(near)
-                found.append(np.stack([r + i, c + j + (0 if y is None else len(x))]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    r, c = np.concatenate(found, axis=1)
+                found.append(np.stack([r + i, c + j + shift]))
+    r, c = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
     k = _forest(r, c, n)
-    return r[k], c[k]
+    return names[r[k]], names[c[k]]
 
 
 def _compare(radius: int):
-    """Over rows (key, side, fp) sorted by key and population count, the links of each key's tiles."""
+    """Over rows (key, side, node, fp) sorted by key, the links (a, b) of each key's tiles. fp: whole 64-bit words."""
 
-    def pieces(fp: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pieces(fp: np.ndarray, node: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not side.any():
             r, c = _links(fp, None, radius)
-            return fp[r], fp[c]
+            return node[r], node[c]
         x, y = side == 1, side == 2
         r, c = _links(fp[x], fp[y], radius) if x.any() and y.any() else (np.zeros(0, np.int64),) * 2
-        both = np.concatenate([fp[x], fp[y]])
+        both = np.concatenate([node[x], node[y]])
         return both[r], both[c]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
         for b in batches:
             cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-            if rest is not None:
-                cols = [np.concatenate([p, q]) for p, q in zip(rest, cols, strict=True)]
+            cols.append(np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(b.num_rows, -1))
+            if rest is not None and len(rest[0]):
+                cols = [np.concatenate([p, q]) for p, q in zip(rest, cols, strict=True)] if len(cols[0]) else rest
             last = np.searchsorted(cols[0], cols[0][-1]) if len(cols[0]) else 0
             rest = [c[last:] for c in cols]
             yield from done([c[:last] for c in cols])
@@ -149,61 +193,132 @@ def _compare(radius: int):
             yield from done(rest)
 
     def done(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, side, fp = cols
+        key, side, node, fp = cols
         if not len(key):
             return
-        fp = fp.view(np.uint64)
         cut = np.flatnonzero(np.diff(key)) + 1
         first, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        small = end - first <= 64
+        small = end - first <= FEW
         # Small groups together: each row against the one k places on, as long as that is of its group.
         end_of = np.repeat(np.where(small, end, first), end - first)
         at = np.arange(len(key))
-        for k in range(1, 64):
+        for k in range(1, FEW):
             at = at[at + k < end_of[at]]
             if not len(at):
                 break
-            hit = at[np.bitwise_count(fp[at] ^ fp[at + k]) <= radius]
+            hit = at[_apart(fp[at], fp[at + k]) <= radius]
             if len(hit):
-                out.append((fp[hit], fp[hit + k]))
+                out.append((node[hit], node[hit + k]))
         for g in np.flatnonzero(~small):
             s = slice(first[g], end[g])
-            out.append(pieces(fp[s], side[s]))
+            out.append(pieces(fp[s], node[s], side[s]))
         if out:
             a, b = (np.concatenate([o[k] for o in out]) for k in (0, 1))
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
-def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """fps(fp), distinct -> (a, b): links between fingerprints whose components are those of all pairs within the radius."""
-    fields = radius + 1
-    width = 64 // fields
-    parts = [F.struct(F.lit(k).alias("field"), F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << (width if k < fields - 1 else 64 - k * width)) - 1)).alias("value")) for k in range(fields)]
-    rows = fps.select("fp", F.explode(F.array(*parts)).alias("p")).select("fp", "p.field", "p.value")
-    # A group of more than GROUP fingerprints is cut into tiles by a hash; each pair of its tiles is a key of its own.
-    sizes = rows.groupBy("field", "value").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
-    sizes = staged(sizes.select("field", "value", F.ceil(F.col("n") / GROUP).cast("int").alias("tiles")), "simhash-hot")
-    rows = rows.join(sizes, ["field", "value"], "left") if sizes.take(1) else rows.withColumn("tiles", F.lit(None).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+def _dealt(rows: DataFrame, radius: int) -> DataFrame:
+    """rows(key, node, fp) -> (a, b): the links within each key's rows, as a forest or, in small groups, all.
+
+    A key of more than GROUP rows is cut into tiles by a hash; each pair of its
+    tiles is a key of its own.
+    """
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
+    sizes = staged(sizes.select("key", F.ceil(F.col("n") / GROUP).cast("int").alias("tiles")), "simhash-hot")
+    rows = rows.join(sizes, "key", "left") if sizes.take(1) else rows.withColumn("tiles", F.lit(None).cast("int"))
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     with_all = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(own, t).alias("i"), F.greatest(own, t).alias("j"), F.when(t == own, 0).when(own < t, 1).otherwise(2).alias("side")))
     alone = F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side")))
     rows = rows.withColumn("t", F.explode(F.when(F.col("tiles").isNull(), alone).otherwise(with_all)))
-    key = F.xxhash64("field", "value", "t.i", "t.j")
-    dealt = rows.select(key.alias("key"), F.col("t.side").alias("side"), "fp").repartition("key").sortWithinPartitions("key", F.bit_count("fp"))
+    key = F.xxhash64("key", "t.i", "t.j")
+    dealt = rows.select(key.alias("key"), F.col("t.side").alias("side"), "node", "fp").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(_compare(radius), "a long, b long")
 
 
-def groups(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """fps(id, fp) -> (fp, component_id, first): the smallest id of each fingerprint's component, and whether this fingerprint has it.
+def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
+    """fps(fp), distinct -> (a, b): links between fingerprints whose components are those of all pairs within the radius."""
+    fields = radius + 1
+    width = 64 // fields
+    parts = [F.xxhash64(F.lit(k), F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << (width if k < fields - 1 else 64 - k * width)) - 1))) for k in range(fields)]
+    # The bytes of a signed number, smallest first, as the comparison reads them.
+    raw = F.reverse(F.array(*[F.substring(F.unhex(F.lpad(F.hex("fp"), 16, "0")), k, 1) for k in range(1, 9)]))
+    return _dealt(fps.select(F.col("fp").alias("node"), F.concat(*[raw[k] for k in range(8)]).alias("fp"), F.explode(F.array(*parts)).alias("key")), radius)
+
+
+# --- documents of at least some similarity -----------------------------------
+
+#: 64-bit words of a wide fingerprint, and the radius in it that a Jaccard similarity of 0.8 of the shingles stays within.
+WIDE, WIDE_RADIUS = 4, 44
+#: Pieces of a document that are compared, and shingles of a piece at least, on average.
+PIECES, PIECE = 16, 4
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    return mix64(h + np.uint64((k * 0x9E3779B97F4A7C15) & (2**64 - 1)))
 
-    A component without any id has a null component_id; its smallest fingerprint is first.
+
+def wide_fingerprint(text: bytes, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """A text's SimHash of WIDE words over its distinct shingles, and the keys of its pieces.
+
+    Shingles are dealt to pieces by their hash; a piece's key stands for all
+    shingles in it. Of two texts with a similarity of 0.8 each piece is the same
+    with a probability of some 0.26, so that all of PIECES differ in under 1 % of
+    such pairs. The number of pieces goes by a size class; texts near the next
+    class have keys of both.
+    """
+    w = text.lower().split()
+    if not w:
+        return np.zeros(WIDE, np.uint64), np.zeros(1, np.uint64)
+    grams = [b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False))
+    digest = xxhash.xxh64_intdigest
+    h = np.unique(np.fromiter((digest(g, 42) for g in grams), np.uint64, max(1, len(w) - words + 1)))
+    fp = np.empty(WIDE, np.uint64)
+    for k in range(WIDE):
+        votes = np.zeros(64, np.int64)
+        for a in range(0, len(h), 1 << 16):
+            part = _mixed(h[a : a + (1 << 16)], k)
+            votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        fp[k] = np.packbits(2 * votes > len(h), bitorder="little").view(np.uint64)[0]
+    n, level = len(h), int(len(h)).bit_length() - 1
+    keys = []
+    for v in (level - 1, level, level + 1):
+        if v < 0 or v == level - 1 and n > 1.25 * 2**level or v == level + 1 and n < 0.8 * 2**v:
+            continue
+        of = _mixed(h, 99) % np.uint64(max(1, 2**v // PIECE))
+        used = of < PIECES
+        sums = np.zeros(PIECES, np.uint64)
+        np.add.at(sums, of[used].astype(np.int64), mix64(h[used]))
+        at = np.flatnonzero(np.bincount(of[used].astype(np.int64), minlength=PIECES))
+        keys.append(mix64(sums[at] + np.uint64(v * PIECES + 1) + at.astype(np.uint64)))
+    return fp, np.concatenate(keys)
+
+
+def _with_wide(docs: DataFrame, columns: list[str], text_col: str, words: int) -> DataFrame:
+    """The columns of docs with node (a name of the wide fingerprint), wide and pieces."""
+    x = docs.select(*columns, F.col(text_col).alias("__text"))
+    schema = T.StructType([*x.schema.fields[:-1], T.StructField("__node", T.LongType()), T.StructField("__wide", T.BinaryType()), T.StructField("__pieces", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [wide_fingerprint(t, words) for t in text_bytes(b.column(len(columns)))]
+            wide = [g[0].tobytes() for g in got]
+            node = pa.array([xxhash.xxh64_intdigest(x) - (1 << 63) for x in wide], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], node, pa.array(wide, pa.binary()), pa.array([g[1].view(np.int64) for g in got], pa.list_(pa.int64()))], schema.names)
+
+    return x.mapInArrow(run, schema)
+
+
+def groups(fps: DataFrame, links: DataFrame) -> DataFrame:
+    """fps(id, fp), links between fps -> (fp, component_id, first): the smallest id of each component, and whether this fp has it.
+
+    A component without any id has a null component_id; its smallest fp is first.
     """
     reps = staged(fps.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-reps")
-    labels = components(near_links(reps.select("fp"), radius)).withColumnRenamed("node", "fp")
+    labels = components(links).withColumnRenamed("node", "fp")
     linked = reps.join(labels, "fp")
     best = linked.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "fp")).alias("best"))
     linked = linked.join(best, "component").select("fp", F.col("best.rep").alias("component_id"), (F.col("best.fp") == F.col("fp")).alias("first"))
@@ -222,22 +337,21 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     has one. Other columns are ignored.
     """
     fps = staged(fingerprints(docs, id_col, text_col, words), "simhash-fp")
-    out = fps.join(groups(fps, radius), "fp", "left")
+    out = fps.join(groups(fps, near_links(fps.select("fp").distinct(), radius)), "fp", "left")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
-    """docs with one row of each component: that of the smallest id, one of them if its row is repeated."""
-    place, schema = docs.columns.index(text_col), docs.schema
-    names = [*docs.columns, "__fp"]
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """docs with one row of each group of texts of a similarity of 0.8 or more, judged by wide fingerprints.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.fromiter((fingerprint(t, words) for t in text_bytes(b.column(place))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names)
-
-    with_fp = docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField("__fp", T.LongType())]))
-    fps = staged(fingerprints(docs, id_col, text_col, words), "simhash-fp")
-    first = groups(fps, radius).where("first").select(F.col("fp").alias("__first"), F.col("component_id").alias("__component"))
-    kept = with_fp.join(first, (F.col("__fp") == F.col("__first")) & F.col(id_col).eqNullSafe(F.col("__component")))
-    return kept.dropDuplicates(["__fp"]).select(*docs.columns)
+    The row of the smallest id stays, once if it is repeated; a group without
+    any id keeps one of its rows. Texts without words are a group.
+    """
+    fps = staged(_with_wide(docs, [id_col], text_col, words).withColumnsRenamed({id_col: "id", "__node": "fp"}), "simhash-wide")
+    rows = fps.dropDuplicates(["fp"]).select(F.col("fp").alias("node"), F.col("__wide").alias("fp"), F.explode("__pieces").alias("key"))
+    first = groups(fps.select("id", "fp"), _dealt(rows, WIDE_RADIUS)).where("first").select(F.col("fp").alias("__first"), F.col("component_id").alias("__component"))
+    # The group's row is known by its fingerprint and id; copies of either are one row.
+    kept = fps.select(F.col("id").alias("__id"), F.col("fp").alias("__fp")).distinct().join(first, (F.col("__fp") == F.col("__first")) & F.col("__id").eqNullSafe(F.col("__component")))
+    again = _with_wide(docs, docs.columns, text_col, words).drop("__wide", "__pieces")
+    kept = again.join(kept.select("__id", "__fp"), (F.col("__node") == F.col("__fp")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates(["__node"]).select(*docs.columns)
