@@ -105,23 +105,14 @@ def repeats(docs: DataFrame, window: int = 50, gram: int = 10, id_col: str = "do
                 doc, word, path, group = _suffixes(raw[i:j], window, gram)
                 if not len(doc):
                     continue
-                if len(common):
-                    hot = common[np.minimum(np.searchsorted(common, group), len(common) - 1)] == group
-                    if hot.any():
-                        group = np.where(hot, mix64(group + mix64(path) % np.uint64(PARTS)), group)
-                        order = np.lexsort((word, group, doc))
-                        doc, word, path, group = doc[order], word[order], path[order], group[order]
+                # A run that this task has seen in a smaller document is known to go; the others are for the group to say.
                 first = _runs(doc, group)
                 a, z = first[:-1], first[1:] - 1
                 n = z - a + 1
-                # A run that this task has seen in a smaller document is known to go; the others are for the group to say.
                 content = mix64(mix64(path[a]) + path[z] * np.uint64(3) + n.astype(np.uint64))
-                step = word[z] - word[a] + 1 == n
                 run_id = ids[i:j][doc[a]]
                 known = np.zeros(len(a), bool)
-                for k, (c, d, s) in enumerate(zip(content.tolist(), run_id.tolist(), step.tolist(), strict=True)):
-                    if not s:
-                        continue
+                for k, (c, d) in enumerate(zip(content.tolist(), run_id.tolist(), strict=True)):
                     least = seen.get(c)
                     if least is not None and least < d:
                         known[k] = True
@@ -129,14 +120,29 @@ def repeats(docs: DataFrame, window: int = 50, gram: int = 10, id_col: str = "do
                         seen[c] = d
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                keep = np.repeat(~known, n)
-                sizes = np.where(known, 0, n)
-                at = np.concatenate([[0], np.cumsum(sizes)])
-                key = np.where(known, mix64(content + run_id.astype(np.uint64)), group[a])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(run_id), pa.array(t[i:j][doc[a]]), pa.array(word[a].astype(np.int32)), pa.array(n.astype(np.int32)), _binary(path[keep], at), _binary((word - np.repeat(word[a], n)).astype(np.int32)[keep & ~np.repeat(step, n)], np.concatenate([[0], np.cumsum(np.where(step, 0, sizes))]))],
-                    ["key", "id", "t", "start", "n", "paths", "offs"],
-                )
+                asked = np.repeat(~known, n)
+                yield rows(ids[i:j], t[i:j], doc[~asked], word[~asked], path[~asked], None)
+                doc, word, path, group = doc[asked], word[asked], path[asked], group[asked]
+                if len(common) and len(doc):
+                    hot = common[np.minimum(np.searchsorted(common, group), len(common) - 1)] == group
+                    if hot.any():
+                        group = np.where(hot, mix64(group + mix64(path) % np.uint64(PARTS)), group)
+                        order = np.lexsort((word, group, doc))
+                        doc, word, path, group = doc[order], word[order], path[order], group[order]
+                yield rows(ids[i:j], t[i:j], doc, word, path, group)
+
+    def rows(ids: np.ndarray, t: np.ndarray, doc: np.ndarray, word: np.ndarray, path: np.ndarray, group: np.ndarray | None) -> pa.RecordBatch:
+        """Runs as rows. Without groups, all neighbours are one run, which is known to go and carries no paths."""
+        first = _runs(doc, word - np.arange(len(word)) if group is None else group)
+        a, n = first[:-1], np.diff(first)
+        if group is None:
+            key, none = mix64(path[a] + doc[a].astype(np.uint64)), np.zeros(len(first), np.int64)
+            paths, offs = _binary(path[:0], none), _binary(path[:0], none)
+        else:
+            gaps = word[first[1:] - 1] - word[a] + 1 != n
+            key, paths = group[a], _binary(path, first)
+            offs = _binary((word - np.repeat(word[a], n)).astype(np.int32)[np.repeat(gaps, n)], np.concatenate([[0], np.cumsum(np.where(gaps, n, 0))]))
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc[a]]), pa.array(t[doc[a]]), pa.array(word[a].astype(np.int32)), pa.array(n.astype(np.int32)), paths, offs], ["key", "id", "t", "start", "n", "paths", "offs"])
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
