@@ -35,8 +35,9 @@ def features(texts: list[str]) -> np.ndarray:
     out = np.zeros((len(raw), BUCKETS), np.float32)
     for a, b in blocks([len(x) for x in raw]):
         part = raw[a:b]
-        buf = np.frombuffer(b" ".join(part) + b"   ", np.uint8).astype(np.uint32)
-        row = np.repeat(np.arange(b - a, dtype=np.int64), [len(x) + 1 for x in part])
+        # With blanks around each text, no n-gram reaches from one into the next.
+        buf = np.frombuffer(b"".join(b" " + x + b"  " for x in part) + b"  ", np.uint8).astype(np.uint32)
+        row = np.repeat(np.arange(b - a, dtype=np.int64), [len(x) + 3 for x in part])
         n = len(row)
         blank = buf == 32
         gram = np.zeros(n, np.uint32)

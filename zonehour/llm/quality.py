@@ -28,28 +28,29 @@ GRAMS = (3, 5)
 SAMPLE_ROWS = 6_000
 
 
-def _buckets(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per kind of feature: the bucket of each, and the place in it where each document begins (one more at the end)."""
+def _buckets(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per kind of feature: the bucket of each, and where each document's begin and end in it. None reaches into the next document."""
     words = Words(texts)
     top = np.uint64(48)
-    yield (words.hash >> top).astype(np.int64), words.first
+    yield (words.hash >> top).astype(np.int64), words.first[:-1], words.first[1:]
     pair = mix64(words.hash[:-1] * np.uint64(3) + words.hash[1:]) if len(words.hash) else words.hash
     pair[words.hash[:-1] == words.hash[1:]] = 0  # any word twice running is one feature
     inside = np.ones(len(pair), bool)
     inside[[x - 1 for x in words.first[1:-1] if 0 < x <= len(pair)]] = False
     place = np.concatenate([[0], np.cumsum(inside)])
-    yield (pair >> top).astype(np.int64)[inside], place[np.minimum(words.first, len(pair))]
+    place = place[np.minimum(words.first, len(pair))]
+    yield (pair >> top).astype(np.int64)[inside], place[:-1], place[1:]
     buf = np.frombuffer(words.raw, np.uint8).astype(np.uint32)
-    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    size = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(size + 1) - size - 1
     for n in GRAMS:
         if len(buf) < n:
-            yield np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
             continue
         h = np.zeros(len(buf) - n + 1, np.uint32)
         for k in range(n):
             h = h * np.uint32(0x01000193) + buf[k : len(buf) - n + 1 + k]
         h = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(16)
-        yield h.astype(np.int64) + BUCKETS, np.minimum(begin, len(h))
+        yield h.astype(np.int64) + BUCKETS, begin * (size >= n), (begin + size - n + 1) * (size >= n)
 
 
 @dataclass
@@ -61,10 +62,10 @@ class Model:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         total, n = np.zeros(len(texts)), np.zeros(len(texts))
-        for bucket, first in _buckets(texts):
+        for bucket, a, b in _buckets(texts):
             run = np.concatenate([[0.0], np.cumsum(self.weight[bucket], dtype=np.float64)])
-            total += run[first[1:]] - run[first[:-1]]
-            n += np.diff(first)
+            total += run[b] - run[a]
+            n += b - a
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + self.prior, -40, 40)))
 
 
@@ -82,7 +83,7 @@ def fit(texts: list[bytes], labels: np.ndarray, dim: int = 16, epochs: int = 6,
     for a, b in blocks([len(t) for t in texts]):
         kinds = list(_buckets(texts[a:b]))
         for d in range(b - a):
-            ids, n = np.unique(np.concatenate([x[f[d] : f[d + 1]] for x, f in kinds]), return_counts=True)
+            ids, n = np.unique(np.concatenate([x[lo[d] : hi[d]] for x, lo, hi in kinds]), return_counts=True)
             docs.append((ids, (n / max(n.sum(), 1)).astype(np.float32)))
     steps, k = epochs * len(docs), 0
     for _ in range(epochs):

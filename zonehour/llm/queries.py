@@ -99,4 +99,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fair_mix": op10_fair_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # A window goes if the same words start in a document of a smaller id; its words go with it.
+    "op7_substring": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS least FROM win) WHERE doc_id > least), range(50) r(j)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    # Sources in the order of cap / weight are full while their cap is within what is left for their weight.
+    "op10_fair_mix": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(concat_ws(':', 'mix', CAST(doc_id AS STRING))) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+w AS (SELECT source, source_size, CAST(k % 3 + 1 AS DOUBLE) AS w, source_size * 3 AS cap FROM s),
+l AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+  / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM w),
+t AS (SELECT source, source_size, CASE WHEN cap / w <= level THEN CAST(cap AS DOUBLE) ELSE w * (SELECT min_by(level, cap / w) FROM l WHERE cap / w > level) END AS target FROM l),
+c AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id ROWS UNBOUNDED PRECEDING) AS cum FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT doc_id, size, source, CAST(source_size * k + cum AS DOUBLE) / target AS finish FROM c, range(3) r(k) WHERE size > 0),
+m AS (SELECT doc_id, sum(size) AS taken FROM (SELECT doc_id, size, sum(size) OVER (ORDER BY finish, source NULLS LAST, doc_id ROWS UNBOUNDED PRECEDING) AS total FROM p) WHERE total <= (SELECT sum(size) FROM d) GROUP BY doc_id)
+SELECT c.doc_id, c.size, c.source_size, c.target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM c LEFT JOIN m USING (doc_id)""",
+}
