@@ -21,17 +21,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonehour.llm.common import blocks, mix64, new_path, text_bytes, tidy
+from zonehour.llm.common import blocks, mix64, new_path, staged, text_bytes, tidy
 
 #: Samples a row; payloads are padded with spaces to a positive multiple of this.
 WIDTH = 192
 #: Bytes of a chunk: at least, on average beyond that, and at most.
-LEAST, MEAN, MOST = 1024, 2048, 16384
+LEAST, MEAN, MOST = 2048, 4096, 32768
 #: Digests that a task remembers, so as not to send their chunks again.
 REMEMBERED = 100_000
 
 _GEAR = (mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x51ED270B)) >> np.uint64(32)).astype(np.uint32)
-_MASK = np.uint32(MEAN - 1) << np.uint32(21)
+_MASK = np.uint32(MEAN - 1) << np.uint32(32 - (MEAN - 1).bit_length())
 
 
 def pad(raw: bytes) -> bytes:
@@ -112,12 +112,12 @@ def chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def recipes(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(media_id, seq, digest): the ordered chunks of each distinct text; media_id is its payload's digest."""
+    """(media_id, seq, n, digest): the ordered n chunks of each distinct text; media_id is its payload's digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in batches:
-            ids, seq, digests = [], [], []
+            ids, seq, count, digests = [], [], [], []
             for p, m, ends in _chunked(b.column(0)):
                 if p in seen:
                     continue
@@ -125,10 +125,10 @@ def recipes(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     seen.clear()
                 seen.add(p)
                 for k, (at, end) in enumerate(zip([0, *ends], ends, strict=False)):
-                    ids.append(p), seq.append(k), digests.append(hashlib.sha256(m[at:end]).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(seq, pa.int32()), pa.array(digests, pa.binary())], ["media_id", "seq", "digest"])
+                    ids.append(p), seq.append(k), count.append(len(ends)), digests.append(hashlib.sha256(m[at:end]).digest())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(seq, pa.int32()), pa.array(count, pa.int32()), pa.array(digests, pa.binary())], ["media_id", "seq", "n", "digest"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "media_id binary, seq int, digest binary").distinct()
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "media_id binary, seq int, n int, digest binary").distinct()
 
 
 def write_store(spark: SparkSession, found: DataFrame) -> DataFrame:
@@ -142,8 +142,9 @@ def write_store(spark: SparkSession, found: DataFrame) -> DataFrame:
 
 
 def read_media(store: DataFrame, lists: DataFrame) -> DataFrame:
-    """(media_id, media): every item put together from its chunks, all digests checked."""
-    pieces = lists.join(store, "digest").select("media_id", "seq", "digest", "data").repartition("media_id").sortWithinPartitions("media_id", "seq")
+    """(media_id, media): every item put together from its chunks, all digests checked. Items of one chunk need not be moved."""
+    found = [lists.where(c).join(store, "digest").select("media_id", "seq", "digest", "data") for c in ("n = 1", "n > 1")]
+    pieces = [found[0], found[1].repartition("media_id").sortWithinPartitions("media_id", "seq")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
@@ -177,7 +178,8 @@ def read_media(store: DataFrame, lists: DataFrame) -> DataFrame:
         if now is not None:
             yield batch([item()])
 
-    return pieces.mapInArrow(run, "media_id binary, media binary")
+    one, more = (p.mapInArrow(run, "media_id binary, media binary") for p in pieces)
+    return one.union(more)
 
 
 def _features(samples: bytes) -> str:
@@ -215,7 +217,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     store = write_store(spark, chunks(docs, text_col))
-    measured = media_features(read_media(store, recipes(docs, text_col)))
+    measured = media_features(read_media(store, staged(recipes(docs, text_col), "media-lists")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     n = F.octet_length(text)
     spaces = F.when(n == 0, WIDTH).otherwise(F.pmod(-n, F.lit(WIDTH))).cast("int")
