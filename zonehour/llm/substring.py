@@ -4,10 +4,9 @@ The suffixes are those of every document at every word, cut at depth `window`:
 only tree nodes that deep matter. A suffix belongs to the group of the smallest
 `gram`-word hash within its prefix of `window` words. Suffixes next to one
 another mostly have the same, so a group's suffixes travel as runs. Groups that
-a sample shows to be common get a longer key, a few bits of the suffix's own
-path, which splits them further without parting equal suffixes. Per group, the
-leaves below each depth-`window` node are the places of one repeated passage;
-of these all but those of its smallest document go.
+a sample shows to be common get a longer key, the smallest gram by a second
+hash, which splits them by what surrounds the common words. Per group, the leaves below each depth-`window` node are the places of one repeated passage; of these
+all but those of its smallest document go.
 
 An edge label is not kept as words but as a 64-bit hash of the path: with the
 words, the suffixes would take some 40 times the input.
@@ -26,8 +25,6 @@ from zonehour.llm.common import Words, blocks, gram_hash, mix64, staged, text_by
 
 #: Documents of the sample that finds common groups, and the share of it that makes a group common.
 SAMPLE_DOCS, COMMON = 5_000, 0.01
-#: Parts of a common group.
-PARTS = 64
 #: Runs that a task remembers, and rows that a group's comparison takes at once at least.
 REMEMBERED, ROWS = 200_000, 50_000
 
@@ -41,17 +38,19 @@ def _smallest(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - k)], x[width - k :]) if width > k else x
 
 
-def _suffixes(texts: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every suffix that deep: its document, word, path hash and group."""
+def _suffixes(texts: list[bytes], window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of every suffix that deep: its document, word, path hash, group and second key."""
     words = Words(texts)
     if len(words.hash) < window:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, *[none.astype(np.uint64)] * 3
     n = np.maximum(np.diff(words.first) - window + 1, 0)
     doc = np.repeat(np.arange(len(texts)), n)
     word = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
     at = words.first[doc] + word
-    return doc, word, gram_hash(words.hash, window)[at], _smallest(gram_hash(words.hash, gram), window - gram + 1)[at]
+    grams = gram_hash(words.hash, gram)
+    first, second = (_smallest(g, window - gram + 1)[at] for g in (grams, mix64(grams)))
+    return doc, word, gram_hash(words.hash, window)[at], first, second
 
 
 def _runs(doc: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -79,7 +78,7 @@ def common_groups(texts: DataFrame, window: int, gram: int) -> np.ndarray:
         for b in batches:
             raw = text_bytes(b.column(2))
             for i, j in blocks([len(t) for t in raw]):
-                doc, _, _, group = _suffixes(raw[i:j], window, gram)
+                doc, _, _, group, _ = _suffixes(raw[i:j], window, gram)
                 pairs = np.unique(np.stack([doc.astype(np.uint64), group], axis=1), axis=0)[:, 1] if len(doc) else group
                 yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64))], ["g"])
 
@@ -102,7 +101,7 @@ def repeats(docs: DataFrame, window: int = 50, gram: int = 10, id_col: str = "do
             ids, t = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             raw = text_bytes(b.column(2))
             for i, j in blocks([len(x) for x in raw]):
-                doc, word, path, group = _suffixes(raw[i:j], window, gram)
+                doc, word, path, group, second = _suffixes(raw[i:j], window, gram)
                 if not len(doc):
                     continue
                 # A run that this task has seen in a smaller document is known to go; the others are for the group to say.
@@ -122,27 +121,23 @@ def repeats(docs: DataFrame, window: int = 50, gram: int = 10, id_col: str = "do
                     seen.clear()
                 asked = np.repeat(~known, n)
                 yield rows(ids[i:j], t[i:j], doc[~asked], word[~asked], path[~asked], None)
-                doc, word, path, group = doc[asked], word[asked], path[asked], group[asked]
-                if len(common) and len(doc):
+                doc, word, path, group, second = (x[asked] for x in (doc, word, path, group, second))
+                if len(common):
                     hot = common[np.minimum(np.searchsorted(common, group), len(common) - 1)] == group
-                    if hot.any():
-                        group = np.where(hot, mix64(group + mix64(path) % np.uint64(PARTS)), group)
-                        order = np.lexsort((word, group, doc))
-                        doc, word, path, group = doc[order], word[order], path[order], group[order]
+                    group = np.where(hot, mix64(group + second), group)
                 yield rows(ids[i:j], t[i:j], doc, word, path, group)
 
     def rows(ids: np.ndarray, t: np.ndarray, doc: np.ndarray, word: np.ndarray, path: np.ndarray, group: np.ndarray | None) -> pa.RecordBatch:
         """Runs as rows. Without groups, all neighbours are one run, which is known to go and carries no paths."""
-        first = _runs(doc, word - np.arange(len(word)) if group is None else group)
+        # Words that don't follow one another are of different runs in any case.
+        turn = (word - np.arange(len(word))).astype(np.uint64)
+        first = _runs(doc, turn if group is None else mix64(turn + group))
         a, n = first[:-1], np.diff(first)
         if group is None:
-            key, none = mix64(path[a] + doc[a].astype(np.uint64)), np.zeros(len(first), np.int64)
-            paths, offs = _binary(path[:0], none), _binary(path[:0], none)
+            key, paths = mix64(path[a] + doc[a].astype(np.uint64)), _binary(path[:0], np.zeros(len(first), np.int64))
         else:
-            gaps = word[first[1:] - 1] - word[a] + 1 != n
             key, paths = group[a], _binary(path, first)
-            offs = _binary((word - np.repeat(word[a], n)).astype(np.int32)[np.repeat(gaps, n)], np.concatenate([[0], np.cumsum(np.where(gaps, n, 0))]))
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc[a]]), pa.array(t[doc[a]]), pa.array(word[a].astype(np.int32)), pa.array(n.astype(np.int32)), paths, offs], ["key", "id", "t", "start", "n", "paths", "offs"])
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc[a]]), pa.array(t[doc[a]]), pa.array(word[a].astype(np.int32)), pa.array(n.astype(np.int32)), paths], ["key", "id", "t", "start", "n", "paths"])
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
@@ -166,13 +161,10 @@ def repeats(docs: DataFrame, window: int = 50, gram: int = 10, id_col: str = "do
         """The leaves, of each deep node with several documents, that are not in its smallest one."""
         _, ids, t, start, n = (part.column(k).to_numpy() for k in range(5))
         paths = part.column(5).to_pylist()
-        offs = part.column(6).to_pylist()
         asked = np.array([len(p) > 0 for p in paths], bool)
         row = np.repeat(np.flatnonzero(asked), n[asked])
         path = np.frombuffer(b"".join(paths), np.uint64)
         word = start[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n[asked]) - n[asked], n[asked]))
-        for k in [k for k, o in enumerate(offs) if o]:
-            word[np.searchsorted(row, k) : np.searchsorted(row, k, "right")] = start[k] + np.frombuffer(offs[k], np.int32)
         order = np.lexsort((ids[row], path))
         same = np.concatenate([[False], path[order][1:] == path[order][:-1]]) if len(order) else np.zeros(0, bool)
         top = np.flatnonzero(~same)
@@ -186,7 +178,7 @@ def repeats(docs: DataFrame, window: int = 50, gram: int = 10, id_col: str = "do
         src = np.concatenate([known, r[a]])
         return pa.RecordBatch.from_arrays([pa.array(ids[src]), pa.array(t[src]), pa.array(np.concatenate([start[known], w[a]]).astype(np.int32)), pa.array(np.concatenate([n[known], size]).astype(np.int32))], ["id", "t", "start", "n"])
 
-    runs = texts.mapInArrow(suffixes, "key long, id long, t long, start int, n int, paths binary, offs binary")
+    runs = texts.mapInArrow(suffixes, "key long, id long, t long, start int, n int, paths binary")
     return runs.repartition("key").sortWithinPartitions("key").mapInArrow(nodes, "id long, t long, start int, n int")
 
 
