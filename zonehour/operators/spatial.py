@@ -57,30 +57,41 @@ def points_within(points: DataFrame, edges: DataFrame, cell: float = 1.0, keys:
     return odd.groupBy(*keys).agg(F.min("zone_id").alias("zone_id"))
 
 
-def nearest_zone(points: DataFrame, edges: DataFrame, keys: Sequence[str] = ("px", "py"), max_distance: float | None = None, cell: float | None = None) -> DataFrame:
-    """(keys, zone_id, distance): the polygon whose border is nearest; the smallest id on a tie.
-
-    Without a limit every point meets every edge of the zones: meant for the few
-    distinct points that no polygon holds, over a zone set of a city. With
-    max_distance points meet only the edges of the grid cells around them.
-    """
-    p = points.select(*keys).distinct()
-    if max_distance is not None:
-        cell = cell or max(max_distance, 1e-9)
-        around = F.explode(F.expr("array(-1, 0, 1)"))
-        p = p.withColumns({"gx": F.floor(F.col(keys[0]) / cell), "gy": F.floor(F.col(keys[1]) / cell)})
-        e = edges.withColumn("cx", F.explode(F.sequence(F.floor(F.least("x1", "x2") / cell), F.floor(F.greatest("x1", "x2") / cell)))).withColumn("cy", F.explode(F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))))
-        e = e.withColumn("dx", around).withColumn("dy", around).withColumns({"gx": F.col("cx") + F.col("dx"), "gy": F.col("cy") + F.col("dy")})
-        pairs = p.join(e, ["gx", "gy"])
-    else:
-        pairs = p.crossJoin(edges)
+def _nearest_within(points: DataFrame, edges: DataFrame, keys: Sequence[str], reach: float) -> DataFrame:
+    """(keys, zone_id, distance): the nearest border within reach; points meet the edges of the grid cells around them only."""
     x, y = F.col(keys[0]), F.col(keys[1])
+    p = points.withColumns({"gx": F.floor(x / reach), "gy": F.floor(y / reach)})
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / reach) - 1, F.floor(F.greatest(a, b) / reach) + 1))
+    pairs = p.join(edges.withColumn("gx", span("x1", "x2")).withColumn("gy", span("y1", "y2")), ["gx", "gy"])
     ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(((x - F.col("x1")) * ex + (y - F.col("y1")) * ey) / F.nullif(ex * ex + ey * ey, F.lit(0.0)), F.lit(0.0))))
     d = F.sqrt(F.pow(x - F.col("x1") - t * ex, 2) + F.pow(y - F.col("y1") - t * ey, 2))
-    best = pairs.select(*keys, "zone_id", d.alias("distance")).groupBy(*keys).agg(F.min(F.struct("distance", "zone_id")).alias("b"))
-    best = best.select(*keys, F.col("b.zone_id").alias("zone_id"), F.col("b.distance").alias("distance"))
-    return best if max_distance is None else best.where(F.col("distance") <= max_distance)
+    best = pairs.select(*keys, "zone_id", d.alias("distance")).where(F.col("distance") <= reach).groupBy(*keys).agg(F.min(F.struct("distance", "zone_id")).alias("b"))
+    return best.select(*keys, F.col("b.zone_id").alias("zone_id"), F.col("b.distance").alias("distance"))
+
+
+def nearest_zone(points: DataFrame, edges: DataFrame, keys: Sequence[str] = ("px", "py"), max_distance: float | None = None, reach: float | None = None) -> DataFrame:
+    """(keys, zone_id, distance): the polygon whose border is nearest; the smallest id on a tie.
+
+    No point meets every edge: the search begins within `reach` and doubles it
+    for the points that have found nothing yet, up to max_distance if there is
+    one. Each round looks at the points left, which soon are few.
+    """
+    rest = points.select(*keys).where(F.col(keys[0]).isNotNull() & F.col(keys[1]).isNotNull()).distinct()
+    if max_distance is not None:
+        return _nearest_within(rest, edges, keys, max_distance)
+    e = edges.agg(F.max("x1").alias("a"), F.min("x1").alias("b"), F.max("y1").alias("c"), F.min("y1").alias("d")).first()
+    if e.a is None:
+        return rest.select(*keys, F.lit(None).cast(edges.schema["zone_id"].dataType).alias("zone_id"), F.lit(None).cast("double").alias("distance")).limit(0)
+    reach = reach or max(e.a - e.b, e.c - e.d, 1e-9) / 16
+    found = None
+    while True:
+        part = _nearest_within(rest, edges, keys, reach)
+        found = part if found is None else found.unionByName(part)
+        rest = rest.join(part, list(keys), "left_anti")
+        if not rest.take(1):
+            return found
+        reach *= 2
 
 
 def zone_of_points(points: DataFrame, edges: DataFrame, cell: float = 1.0, keys: Sequence[str] = ("px", "py"), nearest: bool = True, max_distance: float | None = None) -> DataFrame:

@@ -66,8 +66,11 @@ def copresence(od: DataFrame) -> DataFrame:
 def presence_by_mode(od: DataFrame) -> DataFrame:
     """Share of all cells that each mode is present in."""
     sets = _present(od).groupBy("pu", "do", "dow", "hour").agg(F.collect_set("mode").alias("modes"))
-    by = sets.select(F.explode("modes").alias("mode")).groupBy("mode").agg(F.count("*").alias("cells_present"))
-    return by.crossJoin(sets.agg(F.count("*").alias("total_cells"))).withColumn("presence_pct", 100.0 * F.col("cells_present") / F.col("total_cells"))
+    # Every cell also counts once for all modes together.
+    marks = F.concat(F.transform("modes", lambda m: F.struct(m.alias("mode"), F.lit(False).alias("every"))), F.array(F.struct(F.lit(None).cast("string").alias("mode"), F.lit(True).alias("every"))))
+    by = sets.select(F.explode(marks).alias("k")).groupBy("k.mode", "k.every").agg(F.count("*").alias("cells_present"))
+    by = by.withColumn("total_cells", F.max(F.when(F.col("every"), F.col("cells_present"))).over(W.partitionBy())).where(~F.col("every"))
+    return by.select("mode", "cells_present", "total_cells", (100.0 * F.col("cells_present") / F.col("total_cells")).alias("presence_pct"))
 
 
 def lorenz_curve(od: DataFrame, ascending: bool = True) -> DataFrame:

@@ -398,7 +398,7 @@ def _(v):
 @query("jon14_missing_files", "SELECT m AS month FROM (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS m FROM orders) WHERE m NOT IN (SELECT strftime(o_orderdate, '%Y-%m') FROM orders WHERE o_totalprice > (SELECT 0.99 * max(o_totalprice) FROM orders))", views=False)
 def _(v):
     o = v.table("orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
-    present = o.crossJoin(o.agg(F.max("o_totalprice").alias("top"))).where("o_totalprice > 0.99 * top").select("month").distinct()
+    present = o.where(F.col("o_totalprice") > 0.99 * o.agg(F.max("o_totalprice")).first()[0]).select("month").distinct()
     return tb.missing_of(o.select("month").distinct(), present, ["month"])
 
 
@@ -554,8 +554,8 @@ def _(v):
 
 @query("mth_interpolate", f"SELECT {B('count(value)')} AS n FROM events", views=False)
 def _(v):
-    g = v.events.agg(F.percentile("value", F.array(*[F.lit(k / 20) for k in range(1, 20)])).alias("g"))
-    x = v.events.select("value").crossJoin(g).select(an.interpolate(F.col("g"), F.col("value")).alias("p"))
+    g = v.events.agg(F.percentile("value", F.array(*[F.lit(k / 20) for k in range(1, 20)]))).first()[0]
+    x = v.events.select(an.interpolate(F.array(*map(F.lit, g)), F.col("value")).alias("p"))
     return x.agg(F.count_if(F.col("p").between(0, 1)).alias("n"))
 
 
