@@ -7,6 +7,8 @@ with a hair's help, by the same arithmetic on both sides.
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +26,7 @@ from zonehour.operators import tables as tb
 from zonehour.plans import analytics as an
 from zonehour.plans import pipelines as pp
 from zonehour.sources import files
-from zonehour.streaming.ingest import hourly_counts
+from zonehour.streaming.ingest import hourly_counts, ingest_available
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -818,3 +820,105 @@ def _(v):
 @query("jsn_props", f"SELECT {B('json_extract(props, ' + chr(39) + '$.k' + chr(39) + ')')} AS k, {B('count(*)')} AS n FROM events GROUP BY 1", views=False)
 def _(v):
     return v.events.select(F.from_json("props", "k int").k.alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+
+
+# --- the remaining single steps -------------------------------------------------
+
+
+@query("prj2_first_alias", f"SELECT {B('c_custkey')} AS station_id, c_name AS name FROM customer", views=False)
+def _(v):
+    return tb.select_existing(v.table("customer"), ["station_id", "name"], {"station_id": ("start_station_id", "c_custkey", "c_nationkey"), "name": ("Name", "c_name")})
+
+
+@query("prj3_missing_columns", f"SELECT {B('s_suppkey')} AS s_suppkey, CAST(NULL AS BIGINT) AS cbd_congestion_fee FROM supplier", views=False)
+def _(v):
+    return tb.conform(v.table("supplier"), T.StructType().add("s_suppkey", T.LongType()).add("cbd_congestion_fee", T.LongType()))
+
+
+@query("prj8_provenance", f"SELECT 'orders.parquet' AS source_file, 'orders' AS dataset, {B('count(*)')} AS n FROM orders", views=False)
+def _(v):
+    x = v.table("orders").select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), F.lit(-1)).alias("part"), F.lit("orders").alias("dataset"))
+    return x.groupBy(F.when(F.col("part").startswith("part-"), "orders.parquet").otherwise(F.col("part")).alias("source_file"), "dataset").agg(F.count("*").alias("n"))
+
+
+@query("prj16_roles", f"SELECT {B('pu')} AS zone, {B('count(*)')} AS n, {R('sum(n)')} AS total FROM od WHERE mode = 'uber' GROUP BY pu")
+def _(v):
+    cells = v.keyed.groupBy(F.col("dataset").alias("provider"), F.col("PULocationID").alias("o_zone"), F.col("DOLocationID").alias("d_zone"), "date", "hour").agg(F.count("trip_distance").alias("rides"))
+    x = pn.unify_modes([pn.ModeSource("uber", cells, "o_zone", "d_zone", "rides", keep=F.col("provider") == "uber")])
+    return x.groupBy(F.col("pu").alias("zone")).agg(F.count("*").alias("n"), F.sum("n").alias("total"))
+
+
+@query("flt4_year_window", f"SELECT {B('count(*)')} AS n FROM orders WHERE year(o_orderdate) BETWEEN 1997 AND 1999", views=False)
+def _(v):
+    at = F.col("o_orderdate")
+    return v.table("orders").where((at >= F.lit("1997-01-01").cast("timestamp_ntz")) & (at < F.lit("2000-01-01").cast("timestamp_ntz"))).agg(F.count("*").alias("n"))
+
+
+@query("flt8_category", f"SELECT {B('event_id')} AS event_id FROM events WHERE event_type = 'purchase'", views=False)
+def _(v):
+    return v.events.where(F.col("event_type") == "purchase").select("event_id")
+
+
+@query("flt10_positive_measure", f"SELECT {B('count(*)')} AS n, {R('sum(avg_ridership)')} AS total FROM od_raw WHERE avg_ridership > 0")
+def _(v):
+    return v.od_raw.where("avg_ridership > 0").agg(F.count("*").alias("n"), F.sum("avg_ridership").alias("total"))
+
+
+@query("flt11_places", f"SELECT {B('event_id')} AS event_id FROM events WHERE user_id <> 0 AND value <> 0", views=False)
+def _(v):
+    x, y = F.col("user_id"), F.col("value")
+    return tb.quality_filter(v.events, [tb.Rule("x", x.isNotNull() & (x != 0)), tb.Rule("y", y.isNotNull() & (y != 0))]).select("event_id")
+
+
+@query("flt12_no_sentinel_zone", _FLOWS + f"SELECT {B('count(*)')} AS n FROM flows WHERE dest <> -1")
+def _(v):
+    return fl.estimate_flows(v.entries, v.weights).where("dest <> -1").agg(F.count("*").alias("n"))
+
+
+@query("set2_concatenated_files", f"SELECT {B('count(*)')} AS n, {R('sum(value)')} AS total FROM (SELECT value FROM events UNION ALL SELECT value FROM events)", views=False)
+def _(v):
+    p = f"{v.dir}/events.parquet"
+    return v.spark.read.parquet(p, p).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query("jon10_attributes", _TRACTS + f"SELECT {B('zone_id')} AS zone_id, {B('count(*)')} AS n_edges, {R('max(workers)')} AS workers FROM edges LEFT JOIN tracts ON zone_id = a_id GROUP BY zone_id")
+def _(v):
+    x = v.edges.join(_census(v).select(F.col("a_id").alias("zone_id"), "workers"), "zone_id", "left")
+    return x.groupBy("zone_id").agg(F.count("*").alias("n_edges"), F.max("workers").alias("workers"))
+
+
+@query("agg17_quantile_grid", f"SELECT dataset, {_Q('duration_min', (0.05, 0.25, 0.5, 0.75, 0.95))} FROM keyed GROUP BY dataset")
+def _(v):
+    return an.box_stats(v.keyed, "duration_min")
+
+
+@query("agg18_threshold_shares", f", c AS (SELECT mode, pu, do, sum(n) AS tot FROM od GROUP BY mode, pu, do) SELECT mode, {GE} FROM c GROUP BY mode")
+def _(v):
+    return v.od.groupBy("mode", "pu", "do").agg(F.sum("n").alias("tot")).groupBy("mode").agg(*an.threshold_shares())
+
+
+@query("agg21_zone_counts", _ENDS + f"SELECT {B('zone')} AS zone, {R('sum(n)')} AS total FROM ends WHERE direction = 'destination' AND mode IN ('green', 'via') AND year(date) BETWEEN 1998 AND 1999 GROUP BY zone")
+def _(v):
+    return an.zone_explorer(v.od, "destination", ["green", "via"], (1998, 1), (1999, 4)).select("zone", "total")
+
+
+@query("win2_top_per_group", f", t AS (SELECT mode, pu, sum(n) AS total FROM od GROUP BY mode, pu) SELECT mode, {B('pu')} AS pu, {R('total')} AS total, {B('row_number() OVER (PARTITION BY mode ORDER BY total DESC, pu)')} AS rank FROM t QUALIFY rank <= 3")
+def _(v):
+    return tb.top_n(v.od.groupBy("mode", "pu").agg(F.sum("n").alias("total")), ["mode"], [F.desc("total"), F.col("pu")], 3)
+
+
+@query("pip5_flow_totals", _FLOWS + f"SELECT date, {R('sum(flow)')} AS flow, {B('count(*)')} AS n FROM flows GROUP BY date")
+def _(v):
+    return fl.estimate_flows(v.entries, v.weights).groupBy("date").agg(F.sum("flow").alias("flow"), F.count("*").alias("n"))
+
+
+@query("str1_ingested_events", f"SELECT event_type, {B('count(*)')} AS n FROM events WHERE value > 100 GROUP BY event_type", views=False)
+def _(v):
+    """The events ingested as a stream of files into the shared folder, then read back."""
+    base = v.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="zonehour-")
+    at = f"{base.rstrip('/')}/zonehour/ingest-{uuid.uuid4().hex}"
+    schema = v.table("events").schema
+    single = "events.parquet"
+    source, glob = (f"{v.dir}/{single}", None) if files.is_folder(v.spark, f"{v.dir}/{single}") else (v.dir, single)
+    ingest_available(v.spark, source, f"{at}/out", schema, f"{at}/state", lambda d: d.where("value > 100"), glob=glob).awaitTermination()
+    return v.spark.read.schema(schema).parquet(f"{at}/out").groupBy("event_type").agg(F.count("*").alias("n"))

@@ -135,6 +135,11 @@ def is_obsolete(spark: SparkSession, path: str, column: str) -> bool:
     return column not in spark.read.parquet(path).columns
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
 def inventory(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """(path, exists, n_rows, n_files, n_bytes) of outputs; counts come from the files' footers."""
     out = None

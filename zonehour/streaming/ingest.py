@@ -10,11 +10,13 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
-def ingest_available(spark: SparkSession, in_dir: str, out_dir: str, schema: T.StructType, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None, by: Sequence[str] = (), files_per_batch: int | None = None) -> StreamingQuery:
+def ingest_available(spark: SparkSession, in_dir: str, out_dir: str, schema: T.StructType, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None, by: Sequence[str] = (), files_per_batch: int | None = None, glob: str | None = None) -> StreamingQuery:
     """Processes the files that are new since the last call, each exactly once, and stops."""
     r = spark.readStream.schema(schema)
     if files_per_batch:
         r = r.option("maxFilesPerTrigger", files_per_batch)
+    if glob:
+        r = r.option("pathGlobFilter", glob)
     df = r.parquet(in_dir)
     df = transform(df) if transform else df
     w = df.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out_dir).outputMode("append").trigger(availableNow=True)
