@@ -54,17 +54,19 @@ ALPHABETS = {
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = "(?:" + "|".join(t.replace(".", r"\.") for x in TITLES.values() for t in x) + ")"
 PATTERNS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,80}@(?:[\p{L}\p{N}][\p{L}\p{N}-]{0,62}\.){1,8}\p{L}{2,24}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,80}+@(?:[\p{L}\p{N}][\p{L}\p{N}-]{0,62}\.){1,8}\p{L}{2,24}",
     "ipv4": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
     "card": r"(?<![\d+])(?:\d[ -]?){12,18}\d(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[.-])\d{3,4}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
-    "secret": r"(?<=(?i:token|secret|password|passwd|pwd|apikey|api_key|api-key|access_key)[ ]{0,2}[=:][ ]{0,2}[\"']?)[\p{L}\p{N}+/_-]{8,200}|(?<![\p{L}\p{N}])AKIA[A-Z0-9]{16}(?![\p{L}\p{N}])",
-    "person": rf"(?<![\p{{L}}\p{{N}}]){_TITLE} \p{{Lu}}[\p{{L}}'’-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'’-]{{1,40}}){{0,2}}",
+    "secret": r"(?<=[=:\"']|[=:] |[=:]  )(?<=(?i:token|secret|password|passwd|pwd|apikey|api_key|api-key|access_key)[ ]{0,2}[=:][ ]{0,2}[\"']?)[\p{L}\p{N}+/_-]{8,200}|(?<![\p{L}\p{N}])AKIA[A-Z0-9]{16}(?![\p{L}\p{N}])",
+    "person": rf"(?=[MHFSDPГΚ])(?<![\p{{L}}\p{{N}}]){_TITLE} \p{{Lu}}[\p{{L}}'’-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'’-]{{1,40}}){{0,2}}",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# What begins with a digit, a plus or a bracket is looked for only there.
+_NUMBERS = "|".join(f"(?:{PATTERNS[k]})" for k in ("ipv4", "card", "ssn", "phone"))
+PATTERN = f"{PATTERNS['email']}|(?=[0-9+(])(?:{_NUMBERS})|(?:{PATTERNS['secret']})|{PATTERNS['person']}"
 #: What every entity has somewhere; texts without it need no search.
-CUE = rf"[0-9@]|[=:]|{_TITLE} "
+CUE = rf"[0-9@=:]|(?=[MHFSDPГΚ]){_TITLE} "
 
 ATTEMPTS = 64
 
@@ -213,7 +215,9 @@ def pseudonymise(docs: DataFrame, key: str = "zonehour", text_col: str = "text")
     maps = found.join(written, "value").groupBy("td").agg(F.map_from_entries(F.collect_list(F.struct("value", "new"))).alias("news")).withColumnRenamed("td", "__td")
     maps = maps.withColumnRenamed("news", "__news")
     many = docs.where(cued).withColumn("__d", digest).join(maps, F.col("__d") == F.col("__td"), "left")
-    hits = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    # Searched once: a column of its own is not worked out again where it is used.
+    many = many.withColumn("__hits", F.when(F.col("__news").isNotNull(), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
+    hits = F.col("__hits")
     new = F.transform(hits, lambda e: F.coalesce(F.try_element_at(F.col("__news"), e), e))
     whole = F.array_join(F.zip_with(F.split(text, PATTERN, -1), new, lambda g, e: F.concat(g, F.coalesce(e, F.lit("")))), "")
     count = F.size(F.filter(hits, lambda e: F.try_element_at(F.col("__news"), e).isNotNull()))
