@@ -11,14 +11,14 @@ from zonehour.llm.common import dropped, staged
 def _large_star(e: DataFrame) -> DataFrame:
     """Every larger neighbour of u is linked to the smallest of u and its neighbours."""
     both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    m = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    m = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "links-min")
     return both.where("b > a").join(m, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Every smaller neighbour of u, and u, is linked to the smallest neighbour."""
     down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    m = down.groupBy("u").agg(F.min("v").alias("m"))
+    m = staged(down.groupBy("u").agg(F.min("v").alias("m")), "links-min")
     linked = down.join(m, "u")
     return linked.select(F.col("m").alias("a"), F.col("v").alias("b")).union(m.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct()
 
@@ -28,8 +28,10 @@ def components(links: DataFrame) -> DataFrame:
 
     Nodes without a link are not in the result. Every round is a table in the
     shared folder, so that a lost executor costs that round at most. The rounds
-    grow with the logarithm of the longest path, not with a component's size:
-    the joins are on node ids, whose hot ones the engine may split.
+    grow with the logarithm of the longest path, not with a component's size. A
+    node that many link to is hot in a join: the smallest neighbours are tables
+    of their own, so that both sides of a join are plain exchanges, whose hot
+    partitions adaptive execution splits.
     """
     edges = staged(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
     sign = None

@@ -337,7 +337,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     has one. Other columns are ignored.
     """
     fps = staged(fingerprints(docs, id_col, text_col, words), "simhash-fp")
-    out = fps.join(groups(fps, near_links(fps.select("fp").distinct(), radius)), "fp", "left")
+    # A table, so that the join's exchanges are plain and a hot fingerprint's rows can be split.
+    of = staged(groups(fps, near_links(fps.select("fp").distinct(), radius)), "simhash-groups")
+    out = fps.join(of, "fp", "left")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -352,6 +354,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = groups(fps.select("id", "fp"), _dealt(rows, WIDE_RADIUS)).where("first").select(F.col("fp").alias("__first"), F.col("component_id").alias("__component"))
     # The group's row is known by its fingerprint and id; copies of either are one row.
     kept = fps.select(F.col("id").alias("__id"), F.col("fp").alias("__fp")).distinct().join(first, (F.col("__fp") == F.col("__first")) & F.col("__id").eqNullSafe(F.col("__component")))
+    kept = staged(kept, "simhash-kept")
     again = _with_wide(docs, docs.columns, text_col, words).drop("__wide", "__pieces")
     kept = again.join(kept.select("__id", "__fp"), (F.col("__node") == F.col("__fp")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
     return kept.dropDuplicates(["__node"]).select(*docs.columns)
