@@ -90,16 +90,17 @@ def mix_sources(docs: DataFrame, size: Column | None = None, id_col: str = "doc_
     depth = max(1, math.ceil(math.log(max(docs.count(), 1) / BUCKET_ROWS + 1, 16)))
     h = F.md5(F.concat_ws(":", F.lit(key), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     base = docs.select(
-        F.struct(*kept).alias("doc"), F.col(source_col).alias("source"), F.col(id_col).alias("id"),
+        F.struct(*kept).alias("doc"), F.col(source_col).alias("source"), F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("skey"), F.col(id_col).alias("id"),
         F.coalesce(size if size is not None else word_count(F.col(text_col)), F.lit(0)).cast("long").alias("size"), h.alias("h"), h.substr(1, depth).alias("bucket"),
     )
-    sums = staged(base.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-sums")
+    sums = staged(base.groupBy("source", "skey", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-sums")
     rates = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, max_passes)
     before = F.coalesce(F.sum("bucket_size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.select("source", "bucket", before.alias("before")).alias("o").join(rates.alias("r"), F.col("o.source").eqNullSafe(F.col("r.source"))).select("o.source", "o.bucket", "before", "source_size", "target")
-    offsets = staged(offsets, "mix-offsets").withColumnsRenamed({"source": "o_source", "bucket": "o_bucket"})
-    run = W.partitionBy("source", "bucket").orderBy("h", "id", "size").rowsBetween(W.unboundedPreceding, 0)
-    placed = base.withColumn("cum", F.sum("size").over(run)).join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket")))
+    offsets = sums.select("source", "skey", "bucket", before.alias("before")).alias("o").join(rates.alias("r"), F.col("o.source").eqNullSafe(F.col("r.source"))).select("skey", "bucket", "before", "source_size", "target")
+    # As many rows as buckets: merged on the partitioning that the running sums need anyway, not broadcast.
+    offsets = staged(offsets, "mix-offsets").hint("merge")
+    run = W.partitionBy("skey", "bucket").orderBy("h", "id", "size").rowsBetween(W.unboundedPreceding, 0)
+    placed = base.withColumn("cum", F.sum("size").over(run)).join(offsets, ["skey", "bucket"])
 
     def finish(k: int) -> Column:
         return (F.col("source_size") * k + F.col("before") + F.col("cum")).cast("double") / F.col("target")
