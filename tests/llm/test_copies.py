@@ -115,6 +115,33 @@ def test_recall_of_wide_fingerprints():
     assert near > 80 and shared / near > 0.95
 
 
+def jaccard(a, b):
+    s = [{tuple(x.split()[i : i + 5]) for i in range(max(1, len(x.split()) - 4))} for x in (a, b)]
+    return len(s[0] & s[1]) / len(s[0] | s[1])
+
+
+def test_one_of_each_goes_by_similarity(spark, monkeypatch):
+    """Pairs of less than 0.8 similarity both stay, those of more don't; also where a group is cut into tiles."""
+    rng = random.Random(12)
+    rows, gone, below = [], set(), 0
+    for k in range(120):
+        w = prose(rng, 200, 10_000).split()
+        v = list(w)
+        for c in range(3 + k % 7):
+            v[(c + 1) * 19] = "zz"
+        a, b = " ".join(w), " ".join(v)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        gone |= {2 * k + 1} if jaccard(a, b) >= 0.8 else set()
+        below += 0.6 < jaccard(a, b) < 0.8
+    hot = prose(rng, 200, 10_000).split()
+    rows += [(1000 + k, " ".join([*hot[:k], "yy", *hot[k + 1 :]])) for k in range(40)]
+    gone |= set(range(1001, 1040))
+    assert below > 40
+    monkeypatch.setattr(simhash, "SETS", 8)
+    got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d for d, _ in rows} - gone
+
+
 def test_media_round_trip(spark):
     rng = random.Random(3)
     rows = [(r[0], r[1]) for r in edge_rows()] + [(50, "é" * 96), (51, "x" * 192), (52, "x" * 193), (53, prose(rng, 9000)), (54, "ins " + prose(random.Random(3), 9000))]

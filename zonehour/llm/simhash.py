@@ -251,18 +251,35 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
 
 # --- documents of at least some similarity -----------------------------------
 
-#: 64-bit words of a wide fingerprint, and the radius in it that a Jaccard similarity of 0.8 of the shingles stays within.
-WIDE, WIDE_RADIUS = 4, 44
+#: 64-bit words of a wide fingerprint, and the radius in it within which pairs are candidates: nearly all of a Jaccard similarity of 0.8 of the shingles.
+WIDE, WIDE_RADIUS = 4, 72
 #: Pieces of a document that are compared, and shingles of a piece at least, on average.
 PIECES, PIECE = 16, 4
+#: Texts whose shingle sets a task compares at once are up to two tiles of so many.
+SETS = 256
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return mix64(h + np.uint64((k * 0x9E3779B97F4A7C15) & (2**64 - 1)))
 
 
+def shingles(text: bytes, words: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, sorted; none without words."""
+    w = text.lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    grams = [b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(g, 42) for g in grams), np.uint64, max(1, len(w) - words + 1)))
+
+
 def wide_fingerprint(text: bytes, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """A text's SimHash of WIDE words over its distinct shingles, and the keys of its pieces.
+    """A text's SimHash of WIDE words over its distinct shingles, and the keys of its pieces."""
+    return _wide(shingles(text, words))
+
+
+def _wide(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """SimHash and keys of a set of shingles.
 
     Shingles are dealt to pieces by their hash; a piece's key stands for all
     shingles in it. Of two texts with a similarity of 0.8 each piece is the same
@@ -270,12 +287,8 @@ def wide_fingerprint(text: bytes, words: int = 5) -> tuple[np.ndarray, np.ndarra
     such pairs. The number of pieces goes by a size class; texts near the next
     class have keys of both.
     """
-    w = text.lower().split()
-    if not w:
+    if not len(h):
         return np.zeros(WIDE, np.uint64), np.zeros(1, np.uint64)
-    grams = [b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False))
-    digest = xxhash.xxh64_intdigest
-    h = np.unique(np.fromiter((digest(g, 42) for g in grams), np.uint64, max(1, len(w) - words + 1)))
     fp = np.empty(WIDE, np.uint64)
     for k in range(WIDE):
         votes = np.zeros(64, np.int64)
@@ -297,19 +310,79 @@ def wide_fingerprint(text: bytes, words: int = 5) -> tuple[np.ndarray, np.ndarra
     return fp, np.concatenate(keys)
 
 
-def _with_wide(docs: DataFrame, columns: list[str], text_col: str, words: int) -> DataFrame:
-    """The columns of docs with node (a name of the wide fingerprint), wide and pieces."""
-    x = docs.select(*columns, F.col(text_col).alias("__text"))
-    schema = T.StructType([*x.schema.fields[:-1], T.StructField("__node", T.LongType()), T.StructField("__wide", T.BinaryType()), T.StructField("__pieces", T.ArrayType(T.LongType()))])
+def _with_wide(texts: DataFrame, words: int) -> DataFrame:
+    """texts(id, t, text) -> (id, t, fp, wide, pieces): fp is the name of the text's set of shingles."""
+    schema = T.StructType([*texts.schema.fields[:2], T.StructField("fp", T.LongType()), T.StructField("wide", T.BinaryType()), T.StructField("pieces", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [wide_fingerprint(t, words) for t in text_bytes(b.column(len(columns)))]
-            wide = [g[0].tobytes() for g in got]
-            node = pa.array([xxhash.xxh64_intdigest(x) - (1 << 63) for x in wide], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], node, pa.array(wide, pa.binary()), pa.array([g[1].view(np.int64) for g in got], pa.list_(pa.int64()))], schema.names)
+            names, wide, pieces = [], [], []
+            for text in text_bytes(b.column(2)):
+                h = shingles(text, words)
+                fp, keys = _wide(h)
+                names.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63)), wide.append(fp.tobytes()), pieces.append(keys.view(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(names, pa.int64()), pa.array(wide, pa.binary()), pa.array(pieces, pa.list_(pa.int64()))], schema.names)
+
+    return texts.mapInArrow(run, schema)
+
+
+def _alike(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets with a Jaccard similarity of 0.8 or more, by breadth-first search."""
+    size = np.array([len(s) for s in sets])
+    ids = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(size)[:-1])
+    mark, free, found = np.zeros(int(size.sum()), bool), np.ones(len(sets), bool), []
+    for seed in range(len(sets)):
+        todo = [seed] if free[seed] else []
+        free[seed] = False
+        while todo:
+            k = todo.pop()
+            c = np.flatnonzero(free & (5 * size >= 4 * size[k]) & (4 * size <= 5 * size[k]))
+            mark[ids[k]] = True
+            both = np.array([np.count_nonzero(mark[ids[j]]) for j in c.tolist()], np.int64)
+            mark[ids[k]] = False
+            near = c[9 * both >= 4 * (size[k] + size[c])].tolist()
+            free[near] = False
+            todo += near
+            found += [(k, j) for j in near]
+    return found
+
+
+def similar_links(candidates: DataFrame, texts: DataFrame, words: int = 5) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of 0.8 similarity and more within each component of candidates.
+
+    candidates(node, t, component), of one row per node; texts(t, text). A
+    component of more than SETS texts is cut into tiles by a hash; each pair of
+    its tiles is a key of its own.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([shingles(t, words).tobytes() for t in text_bytes(b.column(3))], pa.binary())], ["component", "node", "tiles", "set"])
 
-    return x.mapInArrow(run, schema)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, nodes, sets = None, [], []
+        for b in batches:
+            found = []
+            for key, node, raw in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if key != last and nodes:
+                    found += [(nodes[i], nodes[j]) for i, j in _alike(sets)]
+                    nodes, sets = [], []
+                last = key
+                nodes.append(node), sets.append(np.frombuffer(raw, np.uint64))
+            yield links(found)
+        if nodes:
+            yield links([(nodes[i], nodes[j]) for i, j in _alike(sets)])
+
+    def links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / SETS).cast("int").alias("tiles"))
+    rows = texts.join(candidates.join(sizes, "component"), "t").select("component", "node", "tiles", "text").dropDuplicates(["node"])
+    rows = rows.mapInArrow(read, "component long, node long, tiles int, set binary")
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
+    dealt = rows.withColumn("p", F.explode(pairs)).select(F.xxhash64("component", "p.i", "p.j").alias("key"), "node", "set")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
 
 
 def groups(fps: DataFrame, links: DataFrame) -> DataFrame:
@@ -344,17 +417,22 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """docs with one row of each group of texts of a similarity of 0.8 or more, judged by wide fingerprints.
+    """docs with one row of each group of texts that pairs of a similarity of 0.8 or more link.
 
-    The row of the smallest id stays, once if it is repeated; a group without
-    any id keeps one of its rows. Texts without words are a group.
+    Wide fingerprints find candidates; the similarity that counts is that of the
+    whole sets of shingles. The row of the smallest id stays, once if it is
+    repeated; a group without any id keeps one of its rows. Texts without words
+    are a group.
     """
-    fps = staged(_with_wide(docs, [id_col], text_col, words).withColumnsRenamed({id_col: "id", "__node": "fp"}), "simhash-wide")
-    rows = fps.dropDuplicates(["fp"]).select(F.col("fp").alias("node"), F.col("__wide").alias("fp"), F.explode("__pieces").alias("key"))
-    first = groups(fps.select("id", "fp"), _dealt(rows, WIDE_RADIUS)).where("first").select(F.col("fp").alias("__first"), F.col("component_id").alias("__component"))
-    # The group's row is known by its fingerprint and id; copies of either are one row.
-    kept = fps.select(F.col("id").alias("__id"), F.col("fp").alias("__fp")).distinct().join(first, (F.col("__fp") == F.col("__first")) & F.col("__id").eqNullSafe(F.col("__component")))
-    kept = staged(kept, "simhash-kept")
-    again = _with_wide(docs, docs.columns, text_col, words).drop("__wide", "__pieces")
-    kept = again.join(kept.select("__id", "__fp"), (F.col("__node") == F.col("__fp")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["__node"]).select(*docs.columns)
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    fps = staged(_with_wide(texts, words), "simhash-wide")
+    one = fps.dropDuplicates(["fp"])
+    near = components(_dealt(one.select(F.col("fp").alias("node"), F.col("wide").alias("fp"), F.explode("pieces").alias("key")), WIDE_RADIUS))
+    near = staged(fps.groupBy(F.col("fp").alias("node")).agg(F.min("t").alias("t")).join(near, "node"), "simhash-near")
+    links = similar_links(near, texts.select("t", "text"), words)
+    first = groups(fps.select("id", "fp"), links).where("first").select(F.col("fp").alias("__first"), F.col("component_id").alias("__component"))
+    # The group's row is known by its text and id; copies of either are one row.
+    kept = fps.groupBy(F.col("id").alias("__id"), F.col("fp").alias("__fp")).agg(F.min("t").alias("__kept")).join(first, (F.col("__fp") == F.col("__first")) & F.col("__id").eqNullSafe(F.col("__component")))
+    kept = staged(kept.select("__id", "__kept"), "simhash-kept")
+    out = docs.select(*docs.columns, F.xxhash64(text_col).alias("__t")).join(kept, (F.col("__t") == F.col("__kept")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    return out.dropDuplicates(["__t"]).select(*docs.columns)
