@@ -142,6 +142,26 @@ def test_one_of_each_goes_by_similarity(spark, monkeypatch):
     assert got == {d for d, _ in rows} - gone
 
 
+def test_recall_of_short_texts():
+    """Texts of 5 to 100 words of 0.8 similarity and more share a key and are candidates."""
+    rng = random.Random(10)
+    near = 0
+    for k in range(6000):
+        w = prose(rng, 5 + k % 36 if k % 3 else rng.randint(40, 100), 10_000).split()
+        v = list(w)
+        if k % 2:
+            v += prose(rng, rng.randint(1, max(1, len(w) // 4)), 10_000).split()
+        else:
+            v[rng.choice([0, -1])] = "zz"
+        if len(w) < 5 or jaccard(" ".join(w), " ".join(v)) < 0.8:
+            continue
+        (a, p), (b, q) = (simhash.wide_fingerprint(" ".join(x).encode()) for x in (w, v))
+        near += 1
+        assert set(p.tolist()) & set(q.tolist()) or len(w) - 4 > simhash.SMALL
+        assert int(np.bitwise_count(a ^ b).sum()) <= simhash.WIDE_RADIUS + 8
+    assert near > 1500
+
+
 def test_media_round_trip(spark):
     rng = random.Random(3)
     rows = [(r[0], r[1]) for r in edge_rows()] + [(50, "é" * 96), (51, "x" * 192), (52, "x" * 193), (53, prose(rng, 9000)), (54, "ins " + prose(random.Random(3), 9000))]

@@ -254,7 +254,9 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
 #: 64-bit words of a wide fingerprint, and the radius in it within which pairs are candidates: nearly all of a Jaccard similarity of 0.8 of the shingles.
 WIDE, WIDE_RADIUS = 4, 72
 #: Pieces of a document that are compared, and shingles of a piece at least, on average.
-PIECES, PIECE = 16, 4
+PIECES, PIECE = 16, 3
+#: Shingles of a text up to which not pieces but single shingles are keys.
+SMALL = 64
 #: Texts whose shingle sets a task compares at once are up to two tiles of so many.
 SETS = 256
 
@@ -281,11 +283,13 @@ def wide_fingerprint(text: bytes, words: int = 5) -> tuple[np.ndarray, np.ndarra
 def _wide(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """SimHash and keys of a set of shingles.
 
-    Shingles are dealt to pieces by their hash; a piece's key stands for all
-    shingles in it. Of two texts with a similarity of 0.8 each piece is the same
-    with a probability of some 0.26, so that all of PIECES differ in under 1 % of
-    such pairs. The number of pieces goes by a size class; texts near the next
-    class have keys of both.
+    Of sets with a similarity of 0.8, each holds at least 0.8 of the other's
+    size in common with it, so that the first fifth of the two in one order, and
+    one more, have a shingle in common: sets of up to SMALL shingles have these
+    as keys, and so have those that may be like such a set. Larger sets are dealt
+    to pieces by the shingles' hashes; a piece's key stands for all shingles in
+    it. Of two such sets of 0.8 similarity, some 0.2 % share none. The number of
+    pieces goes by a size class; sets near the next class have keys of both.
     """
     if not len(h):
         return np.zeros(WIDE, np.uint64), np.zeros(1, np.uint64)
@@ -297,11 +301,11 @@ def _wide(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         fp[k] = np.packbits(2 * votes > len(h), bitorder="little").view(np.uint64)[0]
     n, level = len(h), int(len(h)).bit_length() - 1
-    keys = []
-    for v in (level - 1, level, level + 1):
-        if v < 0 or v == level - 1 and n > 1.25 * 2**level or v == level + 1 and n < 0.8 * 2**v:
+    keys = [mix64(h[: n // 5 + 1])] if 4 * n <= 5 * SMALL else []
+    for v in (level - 1, level, level + 1) if n > SMALL else ():
+        if v == level - 1 and n > 1.25 * 2**level or v == level + 1 and n < 0.8 * 2**v:
             continue
-        of = _mixed(h, 99) % np.uint64(max(1, 2**v // PIECE))
+        of = _mixed(h, 99) % np.uint64(2**v // PIECE)
         used = of < PIECES
         sums = np.zeros(PIECES, np.uint64)
         np.add.at(sums, of[used].astype(np.int64), mix64(h[used]))
