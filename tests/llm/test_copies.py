@@ -231,6 +231,20 @@ def test_substring_with_common_groups_and_forgetting(spark, monkeypatch):
     assert got == brute_repeats(rows)
 
 
+def test_substring_of_repeated_lines(spark):
+    """A run of one group spans many windows where a line recurs; a word changed in its middle stays."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(0, 60, 2):
+        w = (prose(rng, 20) + " ").split() * 10
+        v = list(w)
+        v[100] = "changed"
+        rows += [(k, " ".join(w)), (k + 1, " ".join(v))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(df).collect()), key=repr)
+    assert got == brute_repeats(rows) and all("changed" in r[3] for r in got if r[0] % 2)
+
+
 def test_decontamination_against_edit_distance(spark):
     rng = random.Random(5)
     items = [(k, prose(rng, rng.randint(12, 50), 3000)) for k in range(25)] + [(90, None), (91, ""), (92, "two words")]

@@ -106,9 +106,10 @@ def repeats(docs: DataFrame, window: int = 50, gram: int = 10, id_col: str = "do
                     continue
                 # A run that this task has seen in a smaller document is known to go; the others are for the group to say.
                 first = _runs(doc, group)
-                a, z = first[:-1], first[1:] - 1
-                n = z - a + 1
-                content = mix64(mix64(path[a]) + path[z] * np.uint64(3) + n.astype(np.uint64))
+                a, n = first[:-1], np.diff(first)
+                # All of its paths count, in their order: a run may be longer than a window.
+                place = (np.arange(len(doc)) - np.repeat(a, n)).astype(np.uint64)
+                content = mix64(np.add.reduceat(mix64(path + place * np.uint64(0x9E3779B97F4A7C15)), a) + n.astype(np.uint64))
                 run_id = ids[i:j][doc[a]]
                 known = np.zeros(len(a), bool)
                 for k, (c, d) in enumerate(zip(content.tolist(), run_id.tolist(), strict=True)):
