@@ -93,6 +93,20 @@ def test_surrogates_keep_kind_and_reference(spark):
     assert got[1].n_entities >= 14
 
 
+def test_numbers_side_by_side(spark):
+    """No number is lost in a stretch of digits that is taken for a card."""
+    card = next(f"4477 0316 8656 217{k}" for k in range(10) if luhn(f"447703168656217{k}"))
+    cases = [
+        ("555-123-4567 555-987-6543", ["123-4567", "987-6543"]), ("555-123-4567 123 Main St", ["123-4567"]), ("555-123-4567 2024-01-05", ["123-4567"]),
+        ("123-45-6789 987-65-4321", ["45-6789", "65-4321"]), ("1234 555-123-4567", ["123-4567"]), ("1234567890 555.123.4567", ["123.4567"]), ("12345 123-45-6789", ["45-6789"]),
+        (f"{card} 12 27", [card]), (f"{card} 123", [card]), ("1234567890123 10.11.12.13", ["10.11.12.13"]), (f"12 {card}", [card]),
+        (f"{card[:-1]}0 12{next(k for k in range(10) if luhn((card[:-1] + '012' + str(k)).replace(' ', '')))}", [card[:-1]]), (card.replace(" ", "-", 1), [card[5:]]), (card.replace(" ", ""), [card.replace(" ", "")]),
+    ]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id int, text string")).collect()}
+    for k, (text, gone) in enumerate(cases):
+        assert got[k].n_entities == len(gone) and not any(x in got[k].text for x in gone), (text, got[k])
+
+
 def test_surrogates_are_distinct_and_repeatable(spark):
     rows = [(k, f"ring +1 (2{k % 10}0) 555-{1000 + k} at 10.0.{k // 200}.{k % 200 + 1} Mr. A{chr(97 + k % 26)}{chr(97 + k // 26)}a Smith") for k in range(400)]
     df = spark.createDataFrame(rows, "doc_id int, text string")

@@ -56,14 +56,17 @@ _TITLE = "(?:" + "|".join(t.replace(".", r"\.") for x in TITLES.values() for t i
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,80}+@(?:[\p{L}\p{N}][\p{L}\p{N}-]{0,62}\.){1,8}\p{L}{2,24}",
     "ipv4": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
-    "card": r"(?<![\d+])(?:\d[ -]?){12,18}\d(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[.-])\d{3,4}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
     "secret": r"(?<=[=:\"']|[=:] |[=:]  )(?<=(?i:token|secret|password|passwd|pwd|apikey|api_key|api-key|access_key)[ ]{0,2}[=:][ ]{0,2}[\"']?)[\p{L}\p{N}+/_-]{8,200}|(?<![\p{L}\p{N}])AKIA[A-Z0-9]{16}(?![\p{L}\p{N}])",
     "person": rf"(?=[MHFSDPГΚ])(?<![\p{{L}}\p{{N}}]){_TITLE} \p{{Lu}}[\p{{L}}'’-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'’-]{{1,40}}){{0,2}}",
 }
+_OTHERS = "|".join(f"(?:{PATTERNS[k]})" for k in ("ipv4", "ssn", "phone"))
+_CARD = r"(?<![\d+])(?:\d{4}(?:-\d{4}){3}|\d{4}(?: \d{4}){3}|\d{4}-\d{6}-\d{5}|\d{4} \d{6} \d{5})(?!\d)"
+# Other groupings of a card end where a number of another kind begins, whether or not the check digit is right.
+PATTERNS["card"] = rf"{_CARD[:-6]}(?:[ -]\d{{3}})?(?!\d)|(?<![\d+])(?:\d(?:[ -](?!{_OTHERS}|{_CARD}))?){{12,18}}\d(?!\d)"
 # What begins with a digit, a plus or a bracket is looked for only there.
-_NUMBERS = "|".join(f"(?:{PATTERNS[k]})" for k in ("ipv4", "card", "ssn", "phone"))
+_NUMBERS = rf"{_OTHERS}|(?:{PATTERNS['card']})"
 PATTERN = f"{PATTERNS['email']}|(?=[0-9+(])(?:{_NUMBERS})|(?:{PATTERNS['secret']})|{PATTERNS['person']}"
 #: What every entity has somewhere; texts without it need no search.
 CUE = rf"[0-9@=:]|(?=[MHFSDPГΚ]){_TITLE} "
@@ -86,12 +89,18 @@ def _doubled(d: Column, i: Column) -> Column:
     return F.when(i % 2 == 1, d).when(d > 4, d * 2 - 9).otherwise(d * 2)
 
 
+def _card(digits: Column) -> Column:
+    """The card among a stretch's digits: all, or of 18 and 19 the first but three, if only theirs is the right check digit."""
+    short = F.substring(digits, F.lit(1), F.length(digits) - 3)
+    return F.when((F.length(digits) < 18) | (_luhn(digits) == 0) | (_luhn(short) != 0), digits).otherwise(short)
+
+
 def _kind(v: Column) -> Column:
     whole = lambda p: v.rlike(f"^(?:{p})$")
     digits = F.regexp_replace(v, r"\D", "")
     card = whole(r"(?:\d[ -]?){12,18}\d")
     k = F.when(whole(PATTERNS["email"]), "email").when(whole(PATTERNS["ipv4"]), "ipv4")
-    k = k.when(card & (_luhn(F.when(card, digits).otherwise("0")) == 0), "card").when(card & ~v.rlike(r"[ -]"), F.lit(None).cast("string"))
+    k = k.when(card & (_luhn(F.when(card, _card(digits)).otherwise("0")) == 0), "card").when(card & ~v.rlike(r"[ -]"), F.lit(None).cast("string"))
     return k.when(whole(PATTERNS["ssn"]), "ssn").when(whole(PATTERNS["phone"]), "phone").when(card, F.lit(None).cast("string")).when(whole(PATTERNS["person"]), "person").otherwise("secret")
 
 
@@ -103,7 +112,7 @@ def _script(word: Column) -> Column:
 def _parts(v: Column, kind: Column) -> Column:
     """What of an entity gets surrogates of its own: (kind, canonical form, as written). A name's words do, one by one."""
     one = F.lower(v)
-    canon = F.when(kind.isin("card", "ssn"), F.regexp_replace(v, r"\D", "")).when(kind == "phone", F.regexp_replace(v, r"[^\d+]", "")).when(kind.isin("email"), one).otherwise(v)
+    canon = F.when(kind == "card", _card(F.when(kind == "card", F.regexp_replace(v, r"\D", "")).otherwise("0"))).when(kind == "ssn", F.regexp_replace(v, r"\D", "")).when(kind == "phone", F.regexp_replace(v, r"[^\d+]", "")).when(kind.isin("email"), one).otherwise(v)
     words = F.split(v, " ")
     gender = reduce(lambda c, g: c.when(words[0].isin(TITLES[g]), g), ("f", "n"), F.when(words[0].isin(TITLES["m"]), "m"))
     last = F.size(words) - 1
@@ -166,7 +175,9 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column
 def _rendered(kind: Column, written: Column, surrogate: Column) -> Column:
     """The surrogate in the form that the entity was written in."""
     marks = F.split(written, "")
-    digits = F.transform(marks, lambda c, i: F.when(c.rlike("[0-9]"), _at(F.regexp_replace(surrogate, r"\D", ""), F.length(F.regexp_replace(F.substring(written, F.lit(1), i + 1), r"\D", "")))).otherwise(c))
+    new = F.regexp_replace(surrogate, r"\D", "")
+    nth = lambda i: F.length(F.regexp_replace(F.substring(written, F.lit(1), i + 1), r"\D", ""))
+    digits = F.transform(marks, lambda c, i: F.when(c.rlike("[0-9]") & (nth(i) <= F.length(new)), _at(new, nth(i))).otherwise(c))
     cased = F.zip_with(marks, F.split(surrogate, ""), lambda c, s: F.when((F.upper(c) == c) & (F.lower(c) != c), F.upper(s)).otherwise(s))
     name = F.when((F.upper(written) == written) & (F.length(written) > 1), F.upper(surrogate)).otherwise(surrogate)
     out = F.when(kind.isin("card", "ssn", "phone"), F.array_join(digits, "")).when(kind == "email", F.array_join(cased, ""))
@@ -196,7 +207,9 @@ def pseudonymise(docs: DataFrame, key: str = "zonehour", text_col: str = "text")
     Equal entities get equal surrogates in all rows, unlike ones unlike
     surrogates, and the same key gives the same result for the same table. A null
     text stays null with 0 entities; texts without entities stay as they are.
-    Numbers that only look like a card (wrong check digit) are no entity.
+    Numbers that only look like a card (wrong check digit) are no entity; what is
+    written like a phone, an address or a social security number is that, and
+    never a part of a card.
     Repeated rows are rows of the result each, an empty table gives an empty one.
     """
     kept = [c for c in docs.columns if c != "n_entities"]
