@@ -107,6 +107,23 @@ def test_numbers_side_by_side(spark):
         assert got[k].n_entities == len(gone) and not any(x in got[k].text for x in gone), (text, got[k])
 
 
+OLD = {"email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,80}@(?:[\p{L}\p{N}][\p{L}\p{N}-]{0,62}\.){1,8}\p{L}{2,24}", "secret": r"(?<=(?i:token|secret|password|passwd|pwd|apikey|api_key|api-key|access_key)[ ]{0,2}[=:][ ]{0,2}[\"']?)[\p{L}\p{N}+/_-]{8,200}"}
+
+
+def test_addresses_behind_marks_and_long_secrets(spark):
+    """What the plain patterns find is found, and long forms whole."""
+    mails = [f"{m}john.doe@example.com" for m in ("", "-", "_", "...", "- ", "+%", "a,-", "ä", "x@y-")] + ["_john@example.com_", "f" * 200 + "@example.com", "a@b.c@example.com"]
+    keys = ["token=" + c * n for c in ("ab1_", "0f", "AF") for n in (4, 60, 400)]
+    df = spark.createDataFrame(list(enumerate(mails + keys)), "doc_id int, text string")
+    old = {r.doc_id: r[1] for r in df.select("doc_id", F.concat(*[F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in OLD.values()])).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    for k, t in enumerate(mails + keys):
+        assert got[k].n_entities >= min(1, len(old[k])) == 1 and not any(e.lstrip("._%+-") in got[k].text for e in old[k]), t
+    new = [got[k].text for k in range(4)]
+    assert new[1:] == ["-" + new[0], "_" + new[0], "..." + new[0]]
+    assert all(len(got[len(mails) + k].text) == len(t) and t[-40:] not in got[len(mails) + k].text for k, t in enumerate(keys))
+
+
 def test_surrogates_are_distinct_and_repeatable(spark):
     rows = [(k, f"ring +1 (2{k % 10}0) 555-{1000 + k} at 10.0.{k // 200}.{k % 200 + 1} Mr. A{chr(97 + k % 26)}{chr(97 + k // 26)}a Smith") for k in range(400)]
     df = spark.createDataFrame(rows, "doc_id int, text string")

@@ -54,11 +54,11 @@ ALPHABETS = {
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = "(?:" + "|".join(t.replace(".", r"\.") for x in TITLES.values() for t in x) + ")"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,80}+@(?:[\p{L}\p{N}][\p{L}\p{N}-]{0,62}\.){1,8}\p{L}{2,24}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[._%+-]*+[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}][\p{L}\p{N}-]{0,62}\.){1,8}\p{L}{2,24}",
     "ipv4": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[.-])\d{3,4}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
-    "secret": r"(?<=[=:\"']|[=:] |[=:]  )(?<=(?i:token|secret|password|passwd|pwd|apikey|api_key|api-key|access_key)[ ]{0,2}[=:][ ]{0,2}[\"']?)[\p{L}\p{N}+/_-]{8,200}|(?<![\p{L}\p{N}])AKIA[A-Z0-9]{16}(?![\p{L}\p{N}])",
+    "secret": r"(?<=[=:\"']|[=:] |[=:]  )(?<=(?i:token|secret|password|passwd|pwd|apikey|api_key|api-key|access_key)[ ]{0,2}[=:][ ]{0,2}[\"']?)[\p{L}\p{N}+/_-]{8,}+|(?<![\p{L}\p{N}])AKIA[A-Z0-9]{16}(?![\p{L}\p{N}])",
     "person": rf"(?=[MHFSDPГΚ])(?<![\p{{L}}\p{{N}}]){_TITLE} \p{{Lu}}[\p{{L}}'’-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'’-]{{1,40}}){{0,2}}",
 }
 _OTHERS = "|".join(f"(?:{PATTERNS[k]})" for k in ("ipv4", "ssn", "phone"))
@@ -68,6 +68,8 @@ PATTERNS["card"] = rf"{_CARD[:-6]}(?:[ -]\d{{3}})?(?!\d)|(?<![\d+])(?:\d(?:[ -](
 # What begins with a digit, a plus or a bracket is looked for only there.
 _NUMBERS = rf"{_OTHERS}|(?:{PATTERNS['card']})"
 PATTERN = f"{PATTERNS['email']}|(?=[0-9+(])(?:{_NUMBERS})|(?:{PATTERNS['secret']})|{PATTERNS['person']}"
+#: What may stand before an address and is no part of it.
+MARKS = r"^[._%+-]+"
 #: What every entity has somewhere; texts without it need no search.
 CUE = rf"[0-9@=:]|(?=[MHFSDPГΚ]){_TITLE} "
 
@@ -111,7 +113,7 @@ def _script(word: Column) -> Column:
 
 def _parts(v: Column, kind: Column) -> Column:
     """What of an entity gets surrogates of its own: (kind, canonical form, as written). A name's words do, one by one."""
-    one = F.lower(v)
+    one = F.lower(F.regexp_replace(v, MARKS, ""))
     canon = F.when(kind == "card", _card(F.when(kind == "card", F.regexp_replace(v, r"\D", "")).otherwise("0"))).when(kind == "ssn", F.regexp_replace(v, r"\D", "")).when(kind == "phone", F.regexp_replace(v, r"[^\d+]", "")).when(kind.isin("email"), one).otherwise(v)
     words = F.split(v, " ")
     gender = reduce(lambda c, g: c.when(words[0].isin(TITLES[g]), g), ("f", "n"), F.when(words[0].isin(TITLES["m"]), "m"))
@@ -160,7 +162,8 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column
     body = F.concat(F.substring(canon, 1, 1), F.substring(like, F.lit(2), n - 2))
     card = F.concat(body, ((10 - _luhn(F.concat(F.when(kind == "card", body).otherwise("0"), F.lit("0")))) % 10).cast("string"))
     ssn = F.concat((_number(d, F.lit(62)) % 5 + 1).cast("string"), F.substring(like, 2, 8))
-    key_like = F.when(canon.rlike("^AKIA[A-Z0-9]{16}$"), F.concat(F.lit("AKIA"), F.substring(like, 5, 16))).when(canon.rlike("^[0-9a-f]+$"), F.substring(F.concat(d, d), F.lit(1), n)).when(canon.rlike("^[0-9A-F]+$"), F.upper(F.substring(F.concat(d, d), F.lit(1), n))).otherwise(like)
+    hexes = F.substring(F.repeat(d, F.ceil(n / 128).cast("int")), F.lit(1), n)
+    key_like = F.when(canon.rlike("^AKIA[A-Z0-9]{16}$"), F.concat(F.lit("AKIA"), F.substring(like, 5, 16))).when(canon.rlike("^[0-9a-f]+$"), hexes).when(canon.rlike("^[0-9A-F]+$"), F.upper(hexes)).otherwise(like)
     out = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ipv4", ip).when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "secret", key_like)
     # The lists are short: from some attempts on a given name is a double one, then a triple one.
     for (s, g), names in GIVEN.items():
@@ -178,9 +181,9 @@ def _rendered(kind: Column, written: Column, surrogate: Column) -> Column:
     new = F.regexp_replace(surrogate, r"\D", "")
     nth = lambda i: F.length(F.regexp_replace(F.substring(written, F.lit(1), i + 1), r"\D", ""))
     digits = F.transform(marks, lambda c, i: F.when(c.rlike("[0-9]") & (nth(i) <= F.length(new)), _at(new, nth(i))).otherwise(c))
-    cased = F.zip_with(marks, F.split(surrogate, ""), lambda c, s: F.when((F.upper(c) == c) & (F.lower(c) != c), F.upper(s)).otherwise(s))
+    cased = F.zip_with(F.split(F.regexp_replace(written, MARKS, ""), ""), F.split(surrogate, ""), lambda c, s: F.when((F.upper(c) == c) & (F.lower(c) != c), F.upper(s)).otherwise(s))
     name = F.when((F.upper(written) == written) & (F.length(written) > 1), F.upper(surrogate)).otherwise(surrogate)
-    out = F.when(kind.isin("card", "ssn", "phone"), F.array_join(digits, "")).when(kind == "email", F.array_join(cased, ""))
+    out = F.when(kind.isin("card", "ssn", "phone"), F.array_join(digits, "")).when(kind == "email", F.concat(F.regexp_extract(written, MARKS, 0), F.array_join(cased, "")))
     return out.when(kind.isin("ipv4", "secret"), surrogate).when(kind == "as is", written).otherwise(name)
 
 
