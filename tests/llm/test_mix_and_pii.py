@@ -135,6 +135,13 @@ def test_surrogates_are_distinct_and_repeatable(spark):
     assert {r.doc_id: r.text for r in pii.pseudonymise(df, key="k2").collect()} != got
 
 
+def test_more_names_than_a_list_has(spark):
+    """Greek given names without a gender: two in the list, 14 in triples of it."""
+    rows = [(k, f"Dr. Α{a}{b} Δελτα") for k, (a, b) in enumerate((a, b) for a in "αβγδε" for b in "κλμνξοπρ")]
+    got = {r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert len(got) == len(rows) and all(t.split()[1].split("-")[0] in pii.GIVEN["greek", "n"] for t in got)
+
+
 def test_surrogates_stay_native(spark):
     plan = pii.pseudonymise(spark.createDataFrame([(1, TEXT)], "doc_id int, text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -165,13 +165,17 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column
     hexes = F.substring(F.repeat(d, F.ceil(n / 128).cast("int")), F.lit(1), n)
     key_like = F.when(canon.rlike("^AKIA[A-Z0-9]{16}$"), F.concat(F.lit("AKIA"), F.substring(like, 5, 16))).when(canon.rlike("^[0-9a-f]+$"), hexes).when(canon.rlike("^[0-9A-F]+$"), F.upper(hexes)).otherwise(like)
     out = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ipv4", ip).when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "secret", key_like)
-    # The lists are short: from some attempts on a given name is a double one, then a triple one.
+    # The lists are short: from some attempts on a given name is a double one, then a triple one, then one with more and more syllables.
+    def invented(script: str, first: int, n: Column) -> Column:
+        some = F.array(*map(F.lit, SYLLABLES[script]))
+        return F.array_join(F.transform(F.sequence(F.lit(first), F.lit(first - 1) + n), lambda i: F.element_at(some, _number(d, i) % len(SYLLABLES[script]) + 1)), "")
+
     for (s, g), names in GIVEN.items():
         one, two, three = (_picked(names, d, k) for k in (0, 1, 2))
-        out = out.when(kind == f"given:{s}:{g}", F.when(attempt < 3, one).when(attempt < 8, F.concat_ws("-", one, two)).otherwise(F.concat_ws("-", one, two, three)))
-    for s, syllables in SYLLABLES.items():
-        some = [_picked(syllables, d, k) for k in range(6)]
-        out = out.when(kind == f"surname:{s}", F.initcap(F.concat(*some[:3], F.when(attempt > 3, some[3]).otherwise(""), F.when(attempt > 7, some[4]).otherwise(""))))
+        more = F.initcap(invented(s, 3, F.greatest(F.lit(1), F.floor((attempt - 4) / 4).cast("int"))))
+        out = out.when(kind == f"given:{s}:{g}", F.when(attempt < 3, one).when(attempt < 8, F.concat_ws("-", one, two)).when(attempt < 12, F.concat_ws("-", one, two, three)).otherwise(F.concat_ws("-", one, two, more)))
+    for s in SYLLABLES:
+        out = out.when(kind == f"surname:{s}", F.initcap(invented(s, 0, 3 + F.floor(attempt / 4).cast("int"))))
     return F.when(kind == "as is", canon).otherwise(out)
 
 
