@@ -44,5 +44,5 @@ def to_epsg2263(lat: Column, lng: Column) -> tuple[Column, Column]:
 
 
 def micro(c: Column) -> Column:
-    """Degrees as whole millionths, a key that equal coordinates share."""
-    return F.round(c * 1_000_000).cast("long")
+    """Degrees as whole millionths, a key that equal coordinates share; NULL for NaN and infinity."""
+    return F.round(c * 1_000_000).try_cast("long")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zonehour.functions.geo import haversine_km, micro
+from zonehour.shared import staged
 
 
 def polygons_to_edges(df: DataFrame, id_col: str, coords_col: str) -> DataFrame:
@@ -34,39 +35,52 @@ def _cells(lo: str, hi: str, cell: float) -> Column:
     return F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
 
 
-def edge_cells(edges: DataFrame, cell: float) -> DataFrame:
-    """Every edge in each grid row (of height `cell`) that it spans, with its zone's box."""
-    b = boxes(edges)
-    return edges.join(b, "zone_id").withColumn("gy", F.explode(F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))))
+def edge_rows(edges: DataFrame, cell: float) -> DataFrame:
+    """Every edge in each grid row (of height `cell`) that it spans."""
+    return edges.withColumn("gy", F.explode(F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))))
+
+
+def _finite(c: Column) -> Column:
+    return c.isNotNull() & (F.abs(c) < float("inf"))
+
+
+def distinct_points(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The distinct points that are a place: no coordinate is NULL, NaN or infinite."""
+    return points.select(*keys).where(_finite(F.col(keys[0])) & _finite(F.col(keys[1]))).distinct()
 
 
 def points_within(points: DataFrame, edges: DataFrame, cell: float = 1.0, keys: Sequence[str] = ("px", "py")) -> DataFrame:
     """(keys, zone_id): the polygon that a point is in; the smallest id if several are, no row if none is.
 
-    Points and boxes meet in grid cells, by an equi-join; a point is inside if a
-    ray from it crosses an odd number of the edges. Holes need no care. Points
-    are made distinct first, since many trips share one.
+    Points and boxes meet in grid cells, by an equi-join, and then only the edges
+    of the point's grid row; a point is inside if a ray from it crosses an odd
+    number of them. Holes need no care. Points are made distinct first, since
+    many trips share one. A coordinate that is NULL, NaN or infinite is nowhere.
     """
-    p = points.select(*keys).distinct().withColumns({"gx": F.floor(F.col(keys[0]) / cell), "gy": F.floor(F.col(keys[1]) / cell)})
+    p = distinct_points(points, keys).withColumns({"gx": F.floor(F.col(keys[0]) / cell), "gy": F.floor(F.col(keys[1]) / cell)})
     b = boxes(edges).withColumn("gx", F.explode(_cells("xmin", "xmax", cell))).withColumn("gy", F.explode(_cells("ymin", "ymax", cell)))
     x, y = F.col(keys[0]), F.col(keys[1])
-    near = p.join(b, ["gx", "gy"]).where(x.between(F.col("xmin"), F.col("xmax")) & y.between(F.col("ymin"), F.col("ymax"))).select(*keys, "zone_id")
+    near = p.join(b, ["gx", "gy"]).where(x.between(F.col("xmin"), F.col("xmax")) & y.between(F.col("ymin"), F.col("ymax"))).select(*keys, "zone_id", "gy")
     hit = (F.col("y1") > y) != (F.col("y2") > y)
     at = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1")
-    odd = near.join(edges, "zone_id").groupBy(*keys, "zone_id").agg((F.count_if(hit & (x < at)) % 2).alias("odd")).where("odd = 1")
+    odd = near.join(edge_rows(edges, cell), ["zone_id", "gy"]).groupBy(*keys, "zone_id").agg((F.count_if(hit & (x < at)) % 2).alias("odd")).where("odd = 1")
     return odd.groupBy(*keys).agg(F.min("zone_id").alias("zone_id"))
 
 
 def _nearest_within(points: DataFrame, edges: DataFrame, keys: Sequence[str], reach: float) -> DataFrame:
-    """(keys, zone_id, distance): the nearest border within reach; points meet the edges of the grid cells around them only."""
+    """(keys, zone_id, distance): the nearest border within reach; points meet the edges of the grid cells around them only.
+
+    Borders less than 1e-9 apart are a tie, so that one that two polygons share is as far from both.
+    """
     x, y = F.col(keys[0]), F.col(keys[1])
     p = points.withColumns({"gx": F.floor(x / reach), "gy": F.floor(y / reach)})
     span = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / reach) - 1, F.floor(F.greatest(a, b) / reach) + 1))
     pairs = p.join(edges.withColumn("gx", span("x1", "x2")).withColumn("gy", span("y1", "y2")), ["gx", "gy"])
     ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(((x - F.col("x1")) * ex + (y - F.col("y1")) * ey) / F.nullif(ex * ex + ey * ey, F.lit(0.0)), F.lit(0.0))))
-    d = F.sqrt(F.pow(x - F.col("x1") - t * ex, 2) + F.pow(y - F.col("y1") - t * ey, 2))
-    best = pairs.select(*keys, "zone_id", d.alias("distance")).where(F.col("distance") <= reach).groupBy(*keys).agg(F.min(F.struct("distance", "zone_id")).alias("b"))
+    dx, dy = x - F.col("x1") - t * ex, y - F.col("y1") - t * ey
+    near = pairs.select(*keys, "zone_id", F.sqrt(dx * dx + dy * dy).alias("distance")).where(F.col("distance") <= reach)
+    best = near.groupBy(*keys).agg(F.min(F.struct(F.floor(F.col("distance") * 1e9 + 0.5).alias("d"), "zone_id", "distance")).alias("b"))
     return best.select(*keys, F.col("b.zone_id").alias("zone_id"), F.col("b.distance").alias("distance"))
 
 
@@ -75,31 +89,41 @@ def nearest_zone(points: DataFrame, edges: DataFrame, keys: Sequence[str] = ("px
 
     No point meets every edge: the search begins within `reach` and doubles it
     for the points that have found nothing yet, up to max_distance if there is
-    one. Each round looks at the points left, which soon are few.
+    one. Each round's finds and the points left are tables, so that a round reads
+    what the last one left and no more; the last reach spans points and edges
+    together, so that the rounds end. A coordinate that is NULL, NaN or infinite
+    has no nearest polygon.
     """
-    rest = points.select(*keys).where(F.col(keys[0]).isNotNull() & F.col(keys[1]).isNotNull()).distinct()
+    rest = distinct_points(points, keys)
     if max_distance is not None:
         return _nearest_within(rest, edges, keys, max_distance)
-    e = edges.agg(F.max("x1").alias("a"), F.min("x1").alias("b"), F.max("y1").alias("c"), F.min("y1").alias("d")).first()
-    if e.a is None:
-        return rest.select(*keys, F.lit(None).cast(edges.schema["zone_id"].dataType).alias("zone_id"), F.lit(None).cast("double").alias("distance")).limit(0)
-    reach = reach or max(e.a - e.b, e.c - e.d, 1e-9) / 16
+    box = edges.agg(F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2"))).first()
+    rest = staged(rest, "nearest-rest")
+    far = rest.agg(F.min(keys[0]), F.max(keys[0]), F.min(keys[1]), F.max(keys[1])).first()
+    if box[0] is None or far[0] is None:
+        return _nearest_within(rest, edges, keys, 1.0)
+    width, height = (max(box[k + 1], far[k + 1]) - min(box[k], far[k]) for k in (0, 2))
+    last = 1.01 * (width * width + height * height) ** 0.5 + 1e-6
+    reach = min(last, reach or max(box[1] - box[0], box[3] - box[2], 1e-9) / 16)
     found = None
     while True:
-        part = _nearest_within(rest, edges, keys, reach)
+        part = staged(_nearest_within(rest, edges, keys, reach), "nearest-found")
         found = part if found is None else found.unionByName(part)
-        rest = rest.join(part, list(keys), "left_anti")
+        if reach >= last:
+            return found
+        rest = staged(rest.join(part, list(keys), "left_anti"), "nearest-rest")
         if not rest.take(1):
             return found
-        reach *= 2
+        reach = min(2 * reach, last)
 
 
 def zone_of_points(points: DataFrame, edges: DataFrame, cell: float = 1.0, keys: Sequence[str] = ("px", "py"), nearest: bool = True, max_distance: float | None = None) -> DataFrame:
-    """(keys, zone_id, how): inside a polygon, or nearest to one."""
+    """(keys, zone_id, how): inside a polygon, or nearest to one; no row for a coordinate that is NULL, NaN or infinite."""
     inside = points_within(points, edges, cell, keys).withColumn("how", F.lit("within"))
     if not nearest:
         return inside
-    rest = points.select(*keys).distinct().join(inside, list(keys), "left_anti")
+    inside = staged(inside, "points-within")
+    rest = distinct_points(points, keys).join(inside, list(keys), "left_anti")
     return inside.unionByName(nearest_zone(rest, edges, keys, max_distance).drop("distance").withColumn("how", F.lit("nearest")))
 
 
@@ -107,9 +131,9 @@ def assign_zones(df: DataFrame, ends: Mapping[str, tuple[str, str]], edges: Data
     """Adds a zone column per end {zone column: (x, y)}: distinct points are looked up once and joined back by rounded place."""
     distinct = None
     for x, y in ends.values():
-        p = df.select(F.col(x).alias("px"), F.col(y).alias("py")).where("px is not null and py is not null")
+        p = df.select(F.col(x).alias("px"), F.col(y).alias("py"))
         distinct = p if distinct is None else distinct.union(p)
-    distinct = distinct.groupBy(micro(F.col("px")).alias("kx"), micro(F.col("py")).alias("ky")).agg(F.min("px").alias("px"), F.min("py").alias("py"))
+    distinct = distinct_points(distinct, ("px", "py")).groupBy(micro(F.col("px")).alias("kx"), micro(F.col("py")).alias("ky")).agg(F.min("px").alias("px"), F.min("py").alias("py"))
     found = distinct.join(zone_of_points(distinct, edges, cell, nearest=nearest, max_distance=max_distance), ["px", "py"]).select("kx", "ky", "zone_id")
     for name, (x, y) in ends.items():
         look = found.select(F.col("kx").alias("__kx"), F.col("ky").alias("__ky"), F.col("zone_id").alias(name))

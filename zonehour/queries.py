@@ -7,8 +7,6 @@ with a hair's help, by the same arithmetic on both sides.
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +23,7 @@ from zonehour.operators import spatial as sp
 from zonehour.operators import tables as tb
 from zonehour.plans import analytics as an
 from zonehour.plans import pipelines as pp
+from zonehour.shared import new_path
 from zonehour.sources import files
 from zonehour.streaming.ingest import hourly_counts, ingest_available
 
@@ -182,9 +181,26 @@ def _(v):
     return x.groupBy("hour").agg(F.count("*").alias("n"), F.avg("km").alias("km"))
 
 
-@query("agg9_bike_panel", _BIKE + f"""SELECT {B('s.zone_id')} AS start_zone, {B('e.zone_id')} AS end_zone, date, {B('hour')} AS hour, member_casual, rideable_type, {B('count(km)')} AS n_trips, floor(avg(km) * 100 + 0.5) / 100 AS avg_distance_km, {R('avg(duration_min)')} AS mean_duration_min,
+def _distance(points: str, edges: str) -> str:
+    """(px, py, zone_id, distance) of points and edges, all against all."""
+    return f"""(SELECT px, py, zone_id, sqrt((px - x1 - t * ex) * (px - x1 - t * ex) + (py - y1 - t * ey) * (py - y1 - t * ey)) AS distance
+ FROM (SELECT *, greatest(0.0, least(1.0, ((px - x1) * ex + (py - y1) * ey) / (ex * ex + ey * ey))) AS t FROM (SELECT p.*, e.*, x2 - x1 AS ex, y2 - y1 AS ey FROM {points} p, {edges} e)))"""
+
+
+def _first(zones: str) -> str:
+    """The nearest zone of each point of _distance; borders less than 1e-9 apart are a tie."""
+    return f"(SELECT px, py, min_by(zone_id, floor(distance * 1000000000 + 0.5) * 1000 + zone_id) AS zone_id, min(distance) AS distance FROM {zones} GROUP BY px, py)"
+
+
+_PLACES = f""", places AS (SELECT start_lng AS px, start_lat AS py FROM bk UNION SELECT end_lng, end_lat FROM bk),
+ inside AS (SELECT px, py, min(zone_id) AS zone_id FROM (SELECT px, py, zone_id FROM places, edges WHERE (y1 > py) <> (y2 > py) AND px < (x2 - x1) * (py - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1) GROUP BY ALL),
+ zoned AS (SELECT * FROM inside UNION ALL SELECT px, py, zone_id FROM {_first(_distance('(SELECT * FROM places ANTI JOIN inside USING (px, py))', 'edges'))})
+"""
+
+
+@query("agg9_bike_panel", _BIKE + _PLACES + f"""SELECT {B('s.zone_id')} AS start_zone, {B('e.zone_id')} AS end_zone, date, {B('hour')} AS hour, member_casual, rideable_type, {B('count(km)')} AS n_trips, floor(avg(km) * 100 + 0.5) / 100 AS avg_distance_km, {R('avg(duration_min)')} AS mean_duration_min,
   {R('stddev_samp(duration_min)')} AS std_duration_min, {R('quantile_cont(duration_min, 0.1)')} AS p10_duration_min, {R('quantile_cont(duration_min, 0.5)')} AS median_duration_min, {R('quantile_cont(duration_min, 0.9)')} AS p90_duration_min
-  FROM bk JOIN within s ON s.px = start_lng AND s.py = start_lat JOIN within e ON e.px = end_lng AND e.py = end_lat WHERE duration_min > 0 AND duration_min <= 300 AND rideable_type <> 'unknown' AND s.zone_id > 0 AND e.zone_id > 0 GROUP BY s.zone_id, e.zone_id, date, hour, member_casual, rideable_type""".replace("JOIN within e", "JOIN (SELECT px, py, min(zone_id) AS zone_id FROM (SELECT px, py, zone_id FROM (SELECT DISTINCT end_lng AS px, end_lat AS py FROM bikes), edges WHERE (y1 > py) <> (y2 > py) AND px < (x2 - x1) * (py - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1) GROUP BY ALL) e"))
+  FROM bk JOIN zoned s ON s.px = start_lng AND s.py = start_lat JOIN zoned e ON e.px = end_lng AND e.py = end_lat WHERE duration_min > 0 AND duration_min <= 300 AND rideable_type <> 'unknown' AND s.zone_id > 0 AND e.zone_id > 0 GROUP BY s.zone_id, e.zone_id, date, hour, member_casual, rideable_type""")
 def _(v):
     p = pp.bike_panel(pp.bikes_to_zones(_bikes(v), v.edges, project=False, cell=1.0))
     return p.withColumn("avg_distance_km", F.floor(F.col("avg_distance_km") * 100 + 0.5) / 100)
@@ -429,22 +445,22 @@ def _(v):
 
 
 _NEAR = f""", few AS (SELECT * FROM edges WHERE zone_id % 7 <> 0), inside AS (SELECT px, py, zone_id FROM (SELECT DISTINCT px, py FROM points), few WHERE (y1 > py) <> (y2 > py) AND px < (x2 - x1) * (py - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1),
-d AS (SELECT px, py, zone_id, sqrt(power(px - x1 - t * ex, 2) + power(py - y1 - t * ey, 2)) AS distance FROM (SELECT *, greatest(0.0, least(1.0, ((px - x1) * ex + (py - y1) * ey) / (ex * ex + ey * ey))) AS t FROM (SELECT p.*, e.*, x2 - x1 AS ex, y2 - y1 AS ey FROM (SELECT DISTINCT px, py FROM points) p ANTI JOIN inside USING (px, py), few e)))
+nearest AS {_first(_distance('(SELECT DISTINCT px, py FROM points ANTI JOIN inside USING (px, py))', 'few'))}
 """
 
 
-@query("geo4_nearest_zone", _NEAR + f"SELECT {R('px')} AS px, {R('py')} AS py, {R('min(distance)')} AS distance FROM d GROUP BY d.px, d.py")
+@query("geo4_nearest_zone", _NEAR + f"SELECT {R('px')} AS px, {R('py')} AS py, {B('zone_id')} AS zone_id, {R('distance')} AS distance FROM nearest")
 def _(v):
     some = v.edges.where("zone_id % 7 <> 0")
     rest = v.points.select("px", "py").distinct().join(sp.points_within(v.points, some), ["px", "py"], "left_anti")
-    return sp.nearest_zone(rest, some).select("px", "py", "distance")
+    return sp.nearest_zone(rest, some)
 
 
-@query("jon8_nearest_within", _NEAR + f"SELECT {R('px')} AS px, {R('py')} AS py, {R('min(distance)')} AS distance FROM d GROUP BY d.px, d.py HAVING min(distance) <= 0.2")
+@query("jon8_nearest_within", _NEAR + f"SELECT {R('px')} AS px, {R('py')} AS py, {B('zone_id')} AS zone_id, {R('distance')} AS distance FROM nearest WHERE distance <= 0.2")
 def _(v):
     some = v.edges.where("zone_id % 7 <> 0")
     rest = v.points.select("px", "py").distinct().join(sp.points_within(v.points, some), ["px", "py"], "left_anti")
-    return sp.nearest_zone(rest, some, max_distance=0.2).select("px", "py", "distance")
+    return sp.nearest_zone(rest, some, max_distance=0.2)
 
 
 def _overlay_sql(a: str, b: str) -> str:
@@ -554,11 +570,11 @@ def _(v):
     return v.events.select("event_id", F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("k"), F.trim(F.lower(F.concat(F.lit("  "), F.upper("event_type"), F.lit(" ")))).alias("kind"), F.contains(F.lower("event_type"), F.lit("ic")).alias("has"), F.lpad(F.col("user_id").cast("string"), 5, "0").alias("padded"))
 
 
-@query("mth_interpolate", f"SELECT {B('count(value)')} AS n FROM events", views=False)
+@query("mth_interpolate", f""", g AS (SELECT quantile_cont(value, {[k / 20 for k in range(1, 20)]}) AS q FROM events), x AS (SELECT event_id, value, q, len(list_filter(q, lambda a: a <= value)) AS below FROM events, g)
+ SELECT {B('event_id')} AS event_id, {R('CASE WHEN below = 0 THEN 0.0 WHEN below >= 19 THEN 1.0 ELSE (below - 1 + (value - q[below]) / (q[below + 1] - q[below])) / 18 END')} AS p FROM x""")
 def _(v):
-    g = v.events.agg(F.percentile("value", F.array(*[F.lit(k / 20) for k in range(1, 20)]))).first()[0]
-    x = v.events.select(an.interpolate(F.array(*map(F.lit, g)), F.col("value")).alias("p"))
-    return x.agg(F.count_if(F.col("p").between(0, 1)).alias("n"))
+    grid = v.events.agg(F.percentile("value", F.array(*[F.lit(k / 20) for k in range(1, 20)]))).first()[0]
+    return v.events.select("event_id", an.interpolate(F.array(*map(F.lit, grid)), F.col("value")).alias("p"))
 
 
 @query("mth_bround", f"SELECT {B('l_orderkey')} AS k, {B('l_linenumber')} AS line, {B('round_even(l_quantity / 4, 0)')} AS q FROM lineitem", views=False)
@@ -594,13 +610,13 @@ def _(v):
     return an.periods(v.od)
 
 
-@query("set4_column_sets", "SELECT 'c_name' AS c UNION ALL SELECT 'c_mktsegment'", views=False)
+@query("set4_column_sets", "WITH c AS (SELECT table_name AS t, split_part(column_name, '_', 2) AS c FROM information_schema.columns WHERE table_name IN ('customer', 'supplier', 'nation')), k AS (SELECT c, list_sort(list(DISTINCT t)) AS tables FROM c GROUP BY c) SELECT c AS \"column\", array_to_string(tables, ',') AS tables, CAST(3 - len(tables) AS BIGINT) AS n_missing FROM k WHERE len(tables) < 3", views=False)
 def _(v):
-    """Columns of customers that suppliers have no counterpart of."""
-    names = lambda t, p: [n.removeprefix(p) for n in v.table(t).columns]
-    a = v.table("customer").select(F.explode(F.array(*map(F.lit, names("customer", "c_")))).alias("c")).distinct()
-    b = v.table("supplier").select(F.explode(F.array(*map(F.lit, [*names("supplier", "s_"), "custkey"]))).alias("c")).distinct()
-    return a.exceptAll(b).select(F.concat(F.lit("c_"), "c").alias("c")).union(a.where("c = 'name'").select(F.lit("c_name").alias("c")))
+    """Columns, without their table's prefix, that not all of the tables have, as their files say."""
+    paths = {t: f"{v.dir}/{t}.parquet" for t in ("customer", "supplier", "nation")}
+    found = files.column_table(v.spark, list(paths.values())).select(F.regexp_extract("file", r"([^/]+)\.parquet$", 1).alias("t"), F.element_at(F.split("column", "_"), 2).alias("c"))
+    k = found.groupBy(F.col("c").alias("column")).agg(F.array_sort(F.collect_set("t")).alias("tables")).where(F.size("tables") < len(paths))
+    return k.select("column", F.array_join("tables", ",").alias("tables"), (len(paths) - F.size("tables")).alias("n_missing"))
 
 
 # --- analyses ------------------------------------------------------------------
@@ -771,9 +787,19 @@ def _(v):
     return tb.profile(v.trips, ["trip_distance", "fare_amount", "tax_amount", "RatecodeID"])
 
 
-@query("dq5_drop_report", _BIKE + f"SELECT {B('count(*)')} AS n_in, {B('count(*)')} AS ok_times, {B('count(*)')} AS ok_years, {B('count(member_casual)')} AS ok_user, {B('count(*)')} AS ok_places, {B('count(member_casual)')} AS n_kept, {R('100.0 * count(member_casual) / count(*)')} AS kept_pct FROM bikes")
+_OK = {
+    "times": "started_at IS NOT NULL AND ended_at IS NOT NULL",
+    "years": "started_at >= TIMESTAMP '2021-01-01' AND started_at < TIMESTAMP '2026-01-01'",
+    "user": "member_casual IS NOT NULL",
+    "places": "coalesce(start_lat, 0) <> 0 AND coalesce(start_lng, 0) <> 0 AND coalesce(end_lat, 0) <> 0 AND coalesce(end_lng, 0) <> 0",
+}
+_KEPT = "count(*) FILTER (" + " AND ".join(_OK.values()) + ")"
+
+
+@query("dq5_drop_report", ", b AS (SELECT * REPLACE (CASE WHEN event_id % 7 = 0 THEN started_at - INTERVAL 5 YEAR ELSE started_at END AS started_at, CASE WHEN event_id % 11 = 0 THEN NULL ELSE ended_at END AS ended_at, CASE WHEN event_id % 13 = 0 THEN 0 WHEN event_id % 17 = 0 THEN NULL ELSE end_lat END AS end_lat) FROM bikes) " + f"SELECT {B('count(*)')} AS n_in, {', '.join(f'{B(f'count(*) FILTER ({c})')} AS ok_{n}' for n, c in _OK.items())}, {B(_KEPT)} AS n_kept, {R(f'100.0 * {_KEPT} / count(*)')} AS kept_pct FROM b")
 def _(v):
     x = v.bikes.withColumn("member_casual", fc.map_values(F.lower(F.trim("usertype")), schemas.MEMBERS))
+    x = x.withColumns({"started_at": F.expr("case when event_id % 7 = 0 then started_at - make_ym_interval(5, 0) else started_at end"), "ended_at": F.expr("case when event_id % 11 = 0 then null else ended_at end"), "end_lat": F.expr("case when event_id % 13 = 0 then 0 when event_id % 17 = 0 then null else end_lat end")})
     return tb.drop_report(x, pp.bike_rules(2021, 2025))
 
 
@@ -835,10 +861,14 @@ def _(v):
     return tb.conform(v.table("supplier"), T.StructType().add("s_suppkey", T.LongType()).add("cbd_congestion_fee", T.LongType()))
 
 
-@query("prj8_provenance", f"SELECT 'orders.parquet' AS source_file, 'orders' AS dataset, {B('count(*)')} AS n FROM orders", views=False)
+@query("prj8_provenance", f"SELECT strftime(o_orderdate, '%Y') || '/orders.csv' AS source_file, 'orders' AS dataset, {B('count(*)')} AS n FROM orders GROUP BY 1", views=False)
 def _(v):
-    x = v.table("orders").select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), F.lit(-1)).alias("part"), F.lit("orders").alias("dataset"))
-    return x.groupBy(F.when(F.col("part").startswith("part-"), "orders.parquet").otherwise(F.col("part")).alias("source_file"), "dataset").agg(F.count("*").alias("n"))
+    """Files of a folder per year, read back with the folder they come from; Spark names the files themselves."""
+    at = new_path(v.spark, "provenance")
+    v.table("orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy").alias("y")).write.partitionBy("y").option("header", True).csv(at)
+    folder = F.regexp_extract(F.col("path"), r"/y=(\d+)/", 1)
+    x = v.spark.read.schema("o_orderkey long").option("header", True).csv(f"{at}/*").select(F.col("_metadata.file_path").alias("path"), F.lit("orders").alias("dataset"))
+    return x.groupBy(F.concat(folder, F.lit("/orders.csv")).alias("source_file"), "dataset").agg(F.count("*").alias("n"))
 
 
 @query("prj16_roles", f"SELECT {B('pu')} AS zone, {B('count(*)')} AS n, {R('sum(n)')} AS total FROM od WHERE mode = 'uber' GROUP BY pu")
@@ -915,8 +945,7 @@ def _(v):
 @query("str1_ingested_events", f"SELECT event_type, {B('count(*)')} AS n FROM events WHERE value > 100 GROUP BY event_type", views=False)
 def _(v):
     """The events ingested as a stream of files into the shared folder, then read back."""
-    base = v.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="zonehour-")
-    at = f"{base.rstrip('/')}/zonehour/ingest-{uuid.uuid4().hex}"
+    at = new_path(v.spark, "ingest")
     schema = v.table("events").schema
     single = "events.parquet"
     source, glob = (f"{v.dir}/{single}", None) if files.is_folder(v.spark, f"{v.dir}/{single}") else (v.dir, single)

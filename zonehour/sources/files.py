@@ -92,8 +92,8 @@ def table_from_header_json(df: DataFrame, col: str, names: Sequence[str]) -> Dat
 
     Responses may order their columns differently.
     """
-    x = df.select(F.from_json(col, "array<array<string>>").alias("a")).select(F.col("a")[0].alias("head"), F.explode(F.slice("a", 2, 1_000_000)).alias("row"))
-    return x.select(*[F.try_element_at("row", F.array_position("head", F.lit(n)).cast("int")).alias(n) if n else None for n in names])
+    x = df.select(F.from_json(col, "array<array<string>>").alias("a")).select(F.col("a")[0].alias("head"), F.explode(F.slice("a", F.lit(2), F.greatest(F.size("a") - 1, F.lit(0)))).alias("row"))
+    return x.select(*[F.try_element_at("row", F.array_position("head", F.lit(n)).cast("int")).alias(n) for n in names])
 
 
 def read_jsonl(spark: SparkSession, paths: Sequence[str] | str, schema: T.StructType) -> DataFrame:
