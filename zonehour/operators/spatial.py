@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -67,54 +68,72 @@ def points_within(points: DataFrame, edges: DataFrame, cell: float = 1.0, keys:
     return odd.groupBy(*keys).agg(F.min("zone_id").alias("zone_id"))
 
 
-def _nearest_within(points: DataFrame, edges: DataFrame, keys: Sequence[str], reach: float) -> DataFrame:
-    """(keys, zone_id, distance): the nearest border within reach; points meet the edges of the grid cells around them only.
+#: Cells of the grid that the search for the nearest border uses, a side at most.
+NEAREST_SIDE = 16
 
-    Borders less than 1e-9 apart are a tie, so that one that two polygons share is as far from both.
+
+def _nearest_of(points: DataFrame, edges: DataFrame, keys: Sequence[str], max_distance: float | None = None) -> DataFrame:
+    """(keys, zone_id, distance) of points and edges that share a cell (gx, gy).
+
+    Borders less than 1e-9 apart are a tie, so that one that two polygons share
+    is as far from both.
     """
+    pairs = points.join(edges.select("gx", "gy", "zone_id", "x1", "y1", "x2", "y2"), ["gx", "gy"])
     x, y = F.col(keys[0]), F.col(keys[1])
-    p = points.withColumns({"gx": F.floor(x / reach), "gy": F.floor(y / reach)})
-    span = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / reach) - 1, F.floor(F.greatest(a, b) / reach) + 1))
-    pairs = p.join(edges.withColumn("gx", span("x1", "x2")).withColumn("gy", span("y1", "y2")), ["gx", "gy"])
     ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(((x - F.col("x1")) * ex + (y - F.col("y1")) * ey) / F.nullif(ex * ex + ey * ey, F.lit(0.0)), F.lit(0.0))))
     dx, dy = x - F.col("x1") - t * ex, y - F.col("y1") - t * ey
-    near = pairs.select(*keys, "zone_id", F.sqrt(dx * dx + dy * dy).alias("distance")).where(F.col("distance") <= reach)
+    near = pairs.select(*keys, "zone_id", F.sqrt(dx * dx + dy * dy).alias("distance"))
+    near = near if max_distance is None else near.where(F.col("distance") <= max_distance)
     best = near.groupBy(*keys).agg(F.min(F.struct(F.floor(F.col("distance") * 1e9 + 0.5).alias("d"), "zone_id", "distance")).alias("b"))
     return best.select(*keys, F.col("b.zone_id").alias("zone_id"), F.col("b.distance").alias("distance"))
 
 
-def nearest_zone(points: DataFrame, edges: DataFrame, keys: Sequence[str] = ("px", "py"), max_distance: float | None = None, reach: float | None = None) -> DataFrame:
+def nearest_zone(points: DataFrame, edges: DataFrame, keys: Sequence[str] = ("px", "py"), max_distance: float | None = None) -> DataFrame:
     """(keys, zone_id, distance): the polygon whose border is nearest; the smallest id on a tie.
 
-    No point meets every edge: the search begins within `reach` and doubles it
-    for the points that have found nothing yet, up to max_distance if there is
-    one. Each round's finds and the points left are tables, so that a round reads
-    what the last one left and no more; the last reach spans points and edges
-    together, so that the rounds end. A coordinate that is NULL, NaN or infinite
-    has no nearest polygon.
+    No point meets every edge. With max_distance, points meet the edges of the
+    grid cells around them. Else the driver learns which cells of a grid of
+    NEAREST_SIDE cells a side the edges lie in; the nearest border of a point is
+    no farther than any place of a cell with a vertex, so that the points of one
+    cell meet the edges of those cells only that may be as near. A coordinate that is
+    NULL, NaN or infinite has no nearest polygon.
     """
-    rest = distinct_points(points, keys)
+    # Few bytes of points are much work, which adaptive execution would give to one task.
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = distinct_points(points, keys).repartition(n, *keys)
+    x, y = F.col(keys[0]), F.col(keys[1])
     if max_distance is not None:
-        return _nearest_within(rest, edges, keys, max_distance)
+        span = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / max_distance) - 1, F.floor(F.greatest(a, b) / max_distance) + 1))
+        near = edges.withColumn("gx", span("x1", "x2")).withColumn("gy", span("y1", "y2"))
+        return _nearest_of(p.withColumns({"gx": F.floor(x / max_distance), "gy": F.floor(y / max_distance)}), near, keys, max_distance)
     box = edges.agg(F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2"))).first()
-    rest = staged(rest, "nearest-rest")
-    far = rest.agg(F.min(keys[0]), F.max(keys[0]), F.min(keys[1]), F.max(keys[1])).first()
-    if box[0] is None or far[0] is None:
-        return _nearest_within(rest, edges, keys, 1.0)
-    width, height = (max(box[k + 1], far[k + 1]) - min(box[k], far[k]) for k in (0, 2))
-    last = 1.01 * (width * width + height * height) ** 0.5 + 1e-6
-    reach = min(last, reach or max(box[1] - box[0], box[3] - box[2], 1e-9) / 16)
-    found = None
-    while True:
-        part = staged(_nearest_within(rest, edges, keys, reach), "nearest-found")
-        found = part if found is None else found.unionByName(part)
-        if reach >= last:
-            return found
-        rest = staged(rest.join(part, list(keys), "left_anti"), "nearest-rest")
-        if not rest.take(1):
-            return found
-        reach = min(2 * reach, last)
+    if box[0] is None:
+        return p.select(*keys, F.lit(None).cast(edges.schema["zone_id"].dataType).alias("zone_id"), F.lit(None).cast("double").alias("distance")).limit(0)
+    cell = max(box[1] - box[0], box[3] - box[2], 1e-9) / (NEAREST_SIDE - 1)
+    place = lambda c, lo: F.floor((F.col(c) - lo) / cell).cast("int")
+    e = edges.withColumns({f"g{c}": place(c, box[0 if c[0] == "x" else 2]) for c in ("x1", "y1", "x2", "y2")})
+    e = e.withColumn("gx", F.explode(F.sequence(F.least("gx1", "gx2"), F.greatest("gx1", "gx2")))).withColumn("gy", F.explode(F.sequence(F.least("gy1", "gy2"), F.greatest("gy1", "gy2"))))
+    vertex = ((F.col("gx") == F.col("gx1")) & (F.col("gy") == F.col("gy1"))) | ((F.col("gx") == F.col("gx2")) & (F.col("gy") == F.col("gy2")))
+    found = e.groupBy("gx", "gy").agg(F.max(vertex).alias("sure")).orderBy("gx", "gy").collect()
+    text = json.dumps([{"gx": r.gx, "gy": r.gy, "x": box[0] + r.gx * cell, "y": box[2] + r.gy * cell, "sure": r.sure} for r in found])
+    cells = F.from_json(F.lit(text), "array<struct<gx: int, gy: int, x: double, y: double, sure: boolean>>")
+
+    # What a point's own cell says holds for all points in it, and those are many.
+    px, py = F.col("px") * cell + box[0], F.col("py") * cell + box[2]
+
+    def apart(c: Column, far: bool) -> Column:
+        """Square of the least or the largest distance of points of the two cells."""
+        each = [F.abs(a - c[n]) + cell if far else F.greatest(F.abs(a - c[n]) - cell, F.lit(0.0)) for n, a in (("x", px), ("y", py))]
+        return each[0] * each[0] + each[1] * each[1]
+
+    p = p.withColumns({"__px": F.floor((x - box[0]) / cell), "__py": F.floor((y - box[2]) / cell)})
+    own = p.select(F.col("__px").alias("px"), F.col("__py").alias("py")).distinct().repartition(n, "px", "py")
+    # Beyond that many cells their numbers say too little.
+    remote = (F.abs("px") > 10**9) | (F.abs("py") > 10**9)
+    own = own.withColumn("u", F.when(remote, F.lit(float("inf"))).otherwise(F.array_min(F.transform(F.filter(cells, lambda c: c["sure"]), lambda c: apart(c, True))) * (1 + 1e-6)))
+    own = own.select(F.col("px").alias("__px"), F.col("py").alias("__py"), F.explode(F.filter(cells, lambda c: apart(c, False) <= F.col("u"))).alias("c")).select("__px", "__py", "c.gx", "c.gy")
+    return _nearest_of(p.join(own, ["__px", "__py"]).select(*keys, "gx", "gy"), e, keys)
 
 
 def zone_of_points(points: DataFrame, edges: DataFrame, cell: float = 1.0, keys: Sequence[str] = ("px", "py"), nearest: bool = True, max_distance: float | None = None) -> DataFrame:
@@ -128,13 +147,17 @@ def zone_of_points(points: DataFrame, edges: DataFrame, cell: float = 1.0, keys:
 
 
 def assign_zones(df: DataFrame, ends: Mapping[str, tuple[str, str]], edges: DataFrame, cell: float = 1.0, nearest: bool = True, max_distance: float | None = None) -> DataFrame:
-    """Adds a zone column per end {zone column: (x, y)}: distinct points are looked up once and joined back by rounded place."""
+    """Adds a zone column per end {zone column: (x, y)}: distinct points are looked up once and joined back by rounded place.
+
+    With nearest, the look-up is done at once, into a table.
+    """
     distinct = None
     for x, y in ends.values():
         p = df.select(F.col(x).alias("px"), F.col(y).alias("py"))
         distinct = p if distinct is None else distinct.union(p)
     distinct = distinct_points(distinct, ("px", "py")).groupBy(micro(F.col("px")).alias("kx"), micro(F.col("py")).alias("ky")).agg(F.min("px").alias("px"), F.min("py").alias("py"))
     found = distinct.join(zone_of_points(distinct, edges, cell, nearest=nearest, max_distance=max_distance), ["px", "py"]).select("kx", "ky", "zone_id")
+    found = staged(found, "zones-of-points") if nearest else found
     for name, (x, y) in ends.items():
         look = found.select(F.col("kx").alias("__kx"), F.col("ky").alias("__ky"), F.col("zone_id").alias(name))
         df = df.join(look, (micro(F.col(x)) == F.col("__kx")) & (micro(F.col(y)) == F.col("__ky")), "left").drop("__kx", "__ky")
