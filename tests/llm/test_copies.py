@@ -220,19 +220,22 @@ def test_substring_against_brute_force(spark):
     assert substring.remove_repeats(edge_table(spark, clashing=True)).count() == len(edge_rows())
 
 
-def test_substring_with_common_groups_and_forgetting(spark, monkeypatch):
-    monkeypatch.setattr(substring, "COMMON", 0.0001)
-    monkeypatch.setattr(substring, "REMEMBERED", 5)
-    monkeypatch.setattr(substring, "ROWS", 3)
+def test_substring_of_large_partitions_and_forgetting(spark, monkeypatch):
+    """Partitions that get the whole window as their prefix, tasks that forget, and trees of few rows at a time."""
     rng = random.Random(4)
     line = prose(rng, 20)
     rows = [(k, " ".join([prose(random.Random(k % 7), 60), line, prose(random.Random(k % 5), 60)])) for k in range(40)]
-    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=repr)
-    assert got == brute_repeats(rows)
+    want = brute_repeats(rows)
+    monkeypatch.setattr(substring, "REMEMBERED", 5)
+    monkeypatch.setattr(substring, "ROWS", 3)
+    for most in (0, 60, 10**6):
+        monkeypatch.setattr(substring, "PARTITION", most)
+        got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=repr) == want
 
 
 def test_substring_of_repeated_lines(spark):
-    """A run of one group spans many windows where a line recurs; a word changed in its middle stays."""
+    """A run of one partition spans many windows where a line recurs; a word changed in its middle stays."""
     rng = random.Random(8)
     rows = []
     for k in range(0, 60, 2):
@@ -240,9 +243,34 @@ def test_substring_of_repeated_lines(spark):
         v = list(w)
         v[100] = "changed"
         rows += [(k, " ".join(w)), (k + 1, " ".join(v))]
-    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(df).collect()), key=repr)
-    assert got == brute_repeats(rows) and all("changed" in r[3] for r in got if r[0] % 2)
+    line = prose(rng, 12)
+    between = [[prose(rng, 5) for _ in range(15)] for _ in range(2)]
+    between[1] = [*between[0][:7], between[1][7], *between[0][8:]]
+    rows += [(100 + k, " ".join(f"{line} {x}" for x in b)) for k, b in enumerate(between)]
+    want = brute_repeats(rows)
+    assert all("changed" in r[3] for r in want if r[0] < 60 and r[0] % 2)
+    for parts in (1, 2, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(df).collect()), key=repr) == want
+
+
+def test_substring_with_text_ids(spark):
+    rng = random.Random(3)
+    same = prose(rng, 80)
+    rows = [("b", prose(rng, 20) + " " + same), ("ä", same), ("a10", same + " " + prose(rng, 70)), ("a9", same + " end"), (None, same)]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {"a10": 0, "a9": 80, "b": 80, "ä": 80, None: 0}
+
+
+def test_deep_nodes():
+    """Equal nodes exactly where the words to that depth are equal."""
+    rng = random.Random(5)
+    words = np.array([rng.randrange(3) for _ in range(400)])
+    for depth in (1, 2, 3, 5, 8, 13):
+        at = np.arange(len(words) - depth + 1)
+        node = substring.deep_nodes(words, at, depth)
+        of = {}
+        assert all(of.setdefault(tuple(words[k : k + depth]), n) == n for k, n in zip(at, node.tolist())) and len(set(of.values())) == len(of)
 
 
 def test_decontamination_against_edit_distance(spark):

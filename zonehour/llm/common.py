@@ -2,67 +2,23 @@
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from zonehour.shared import delete, dropped, new_path, shared_folder, staged, tidy
+
+__all__ = ["delete", "dropped", "new_path", "shared_folder", "staged", "tidy"]
+
 #: Words of every contract: runs of bytes other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step works on; longer documents are steps of their own.
 BLOCK_BYTES = 2 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only a session without that setting (a test) gets a folder of its own.
-    """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="zonehour-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/zonehour/{name}-{uuid.uuid4().hex}"
-
-
-@contextlib.contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what is written within go when it is written, not when the driver collects its garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: later reads survive lost executors and repeat no work."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    with tidy(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes a staged table that nothing reads any more."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fold(doc_id: Column | str, k: int) -> Column:
     """crc32(doc_id as text) mod k; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -152,11 +108,11 @@ def gram_hash(words: np.ndarray, n: int) -> np.ndarray:
     return mix64(h)
 
 
-def blocks(sizes: list[int], most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Cuts rows into runs of about `most` bytes; a longer row is a run of its own."""
+def blocks(sizes: list[int], most: int = BLOCK_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Cuts rows into runs of about `most` bytes, and `rows` rows at most; a longer row is a run of its own."""
     a = total = 0
     for i, s in enumerate(sizes):
-        if i > a and total + s > most:
+        if i > a and (total + s > most or i - a >= rows):
             yield a, i
             a, total = i, 0
         total += s
