@@ -225,6 +225,7 @@ def test_substring_of_large_partitions_and_forgetting(spark, monkeypatch):
     rng = random.Random(4)
     line = prose(rng, 20)
     rows = [(k, " ".join([prose(random.Random(k % 7), 60), line, prose(random.Random(k % 5), 60)])) for k in range(40)]
+    rows += [(50 + k, " ".join(["x y"] * (60 + k))) for k in range(4)]
     want = brute_repeats(rows)
     monkeypatch.setattr(substring, "REMEMBERED", 5)
     monkeypatch.setattr(substring, "ROWS", 3)

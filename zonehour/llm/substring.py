@@ -162,17 +162,24 @@ def repeats(docs: DataFrame, window: int = 50, gram: int = 10, id_col: str = "do
         start = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
         at = h.first[src - i] + start
         one, two = gram_hash(h.hash, window)[at], gram_hash(mix64(h.hash ^ _SECOND), window)[at]
-        ids = b.column(0)
-        known = np.zeros(len(src), bool)
-        place = ids.to_pylist()
-        for k, (p, q, r) in enumerate(zip(one.tolist(), two.tolist(), src.tolist(), strict=True)):
+        # A window that a document has many times is asked for once; its places travel with the fingerprint.
+        order = np.lexsort((start, two, one, src))
+        src, start, one, two = src[order], start[order], one[order], two[order]
+        first = np.flatnonzero(np.concatenate([[True], (src[1:] != src[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+        times = np.diff(np.append(first, len(src)))
+        goes = np.zeros(len(first), bool)
+        place = b.column(0).to_pylist()
+        for k, (p, q, r) in enumerate(zip(one[first].tolist(), two[first].tolist(), src[first].tolist(), strict=True)):
             least = seen.get((p, q))
-            if least is None or not least < place[r]:
+            goes[k] = least is not None and least < place[r]
+            if not goes[k]:
                 seen[p, q] = place[r]
-            known[k] = least is not None and least < place[r]
-        paths = np.stack([one, two], axis=1)[~known].tobytes()
-        path = [paths[k : k + 16] for k in range(0, len(paths), 16)]
-        yield rows(b, src[~known], start[~known], np.ones(len(path), np.int32), mix64(one[~known]).view(np.int64), path, [None] * len(path))
+        ask = np.flatnonzero(~goes)
+        path = [one[f : f + 1].tobytes() + two[f : f + 1].tobytes() + start[f : f + m].astype(np.int32).tobytes() for f, m in zip(first[ask].tolist(), times[ask].tolist(), strict=True)]
+        yield rows(b, src[first[ask]], start[first[ask]], times[ask], mix64(one[first[ask]]).view(np.int64), path, [None] * len(path))
+        known = np.repeat(goes, times)
+        back = np.lexsort((start, src))
+        src, start, one, known = src[back], start[back], one[back], known[back]
         # Neighbours that are known to go are one row, with neither words nor path.
         s, w = src[known], start[known]
         a = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (w[1:] != w[:-1] + 1)])) if len(s) else np.zeros(0, np.int64)
@@ -215,12 +222,11 @@ def repeats(docs: DataFrame, window: int = 50, gram: int = 10, id_col: str = "do
         place = np.arange(len(leaf)) - np.repeat(np.cumsum(m) - m, m)
         node = deep_nodes(line, np.repeat(end - m - window + 1, m) + place, window) if len(leaf) else leaf
         by_path = np.flatnonzero([p is not None for p in paths])
-        deep = np.unique(np.array([paths[k] for k in by_path], "V16"), return_inverse=True)[1] if len(by_path) else by_path
-        deep = deep + (int(node.max()) + 1 if len(node) else 0)
-        row = np.concatenate([leaf, by_path])
-        word = np.concatenate([start[leaf] + place, start[by_path]])
-        goes = _not_least(np.concatenate([node, deep]), doc[row])
-        r, w = row[goes], word[goes]
+        deep = np.unique(np.array([paths[k][:16] for k in by_path], "V16"), return_inverse=True)[1] if len(by_path) else by_path
+        goes, gone = _not_least(node, doc[leaf]), by_path[_not_least(deep, doc[by_path])]
+        places = [np.frombuffer(paths[k], np.int32, offset=16) for k in gone]
+        r = np.concatenate([leaf[goes], np.repeat(gone, [len(p) for p in places]).astype(np.int64)])
+        w = np.concatenate([start[leaf][goes] + place[goes], *places])
         a = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1] + 1)])) if len(r) else np.zeros(0, np.int64)
         src = np.concatenate([np.flatnonzero(known), r[a]])
         at = pa.array(src.astype(np.int64))
