@@ -209,3 +209,61 @@ def test_registered():
 
     names = set(e.queries())
     assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 11))
+
+
+def test_names_follow_their_bearer(spark):
+    rows = [
+        (1, "Mrs. Jane Doe lives here. Jane Doe said hi. Doe left; Janet and Doering stayed, jane too."), (2, "Mrs. Jane's dog and Mrs. Jane met Mr. Shane O'Brien, O'Brien’s son."), (3, "Doe and Jane are no names here."),
+        (4, "Ring (523) 555-1055 or +1 (523) 555-1055 or +1 523.555.1055, not +44 20 7946 0958."), (5, "Mr. Doe Jane and Mrs. Jane Doe: Jane, Doe"),
+    ]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    m = re.fullmatch(r"Mrs\. (\S+) (\S+) lives here\. (\S+) (\S+) said hi\. (\S+) left; Janet and Doering stayed, jane too\.", got[1])
+    assert m[1] == m[3] != "Jane" and m[2] == m[4] == m[5] != "Doe"
+    m = re.fullmatch(r"Mrs\. (\S+)'s dog and Mrs\. (\S+) met Mr\. (\S+) (\S+), (\S+)’s son\.", got[2])
+    assert m[1] == m[2] != "Jane" and m[4] == m[5] != "O'Brien"
+    assert got[3] == rows[2][1]
+    m = re.fullmatch(r"Ring \((\d{3})\) (\d{3})-(\d{4}) or \+1 \((\d{3})\) (\d{3})-(\d{4}) or \+1 (\d{3})\.(\d{3})\.(\d{4}), not \+44 (.*)\.", got[4])
+    assert m.groups()[:3] == m.groups()[3:6] == m.groups()[6:9] != ("523", "555", "1055") and m[10] != "20 7946 0958"
+    assert not re.search("Jane|Doe", got[5])
+
+
+def test_many_forms_are_never_used_up(spark):
+    """Names of every script and short addresses by the thousand; few rounds, no two alike."""
+    letters = {"latin": "abcdefghij", "cyrillic": "абвгдежзик", "greek": "αβγδεζηθικ"}
+    forms = [(f"given:{s}:{g}", "".join(letters[s][int(c)] for c in f"{k:04d}")) for s in letters for g in "mfn" for k in range(1100)]
+    forms += [("surname:greek", f"ω{k}") for k in range(1500)] + [("email", f"{a}{b}@x.{t}") for a in "abcdefghijklmnop" for b in "abcdefghijklmnopqrstuvwxyz" for t in ("de", "fr", "it")]
+    got = pii.surrogates(spark.createDataFrame(forms, "kind string, canon string"), "k").collect()
+    assert len(got) == len(forms) == len({(r.kind, r.surrogate.lower()) for r in got}) and not {(r.kind, r.surrogate.lower()) for r in got} & set(forms)
+    assert all(r.surrogate.rsplit(".", 1)[1] == r.canon.rsplit(".", 1)[1] for r in got if r.kind == "email")
+    script = {"latin": r"[A-Za-z-]+", "cyrillic": r"[Ѐ-ӿ-]+", "greek": r"[Ͱ-Ͽἀ-῿-]+"}
+    assert all(re.fullmatch(script[r.kind.split(":")[1]], r.surrogate) for r in got if ":" in r.kind)
+
+
+def test_against_brute_force(spark):
+    """The same patterns run row by row: what is replaced is what they find, one to one, and all else stays."""
+    import regex
+
+    rng = random.Random(13)
+    make = [
+        lambda: f"{rng.choice('abc')}{rng.randrange(40)}.x@{rng.choice(['mail', 'post'])}.example.com", lambda: f"10.{rng.randrange(9)}.{rng.randrange(9)}.{rng.randrange(1, 99)}", lambda: f"{rng.randrange(100, 999)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}",
+        lambda: f"({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 1040)}", lambda: "token=" + "".join(rng.choice("0123456789abcdef") for _ in range(16)), lambda: prose(rng, 3), lambda: "v1.2.3", lambda: "2024-01-05", lambda: "1234567890123456",
+    ]
+    rows = [(k, " ; ".join(rng.choice(make)() for _ in range(rng.randint(0, 12)))) for k in range(200)]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    find = regex.compile(pii.PATTERN.replace(r"\p{IsLatin}", r"\p{Latin}"))
+    to, back = {}, {}
+    for k, t in rows:
+        spans = [m.span() for m in find.finditer(t) if m[0] != "1234567890123456"]
+        assert got[k].n_entities == len(spans), (t, got[k])
+        at = 0
+        new = got[k].text
+        for (a, b), after in zip(spans, [*[s[0] for s in spans[1:]], None], strict=True):
+            gap = t[at:a] if a >= at else ""
+            assert new.startswith(gap)
+            new = new[len(gap) :]
+            rest = t[b:after]
+            end = new.index(rest) if rest else len(new)
+            assert to.setdefault(t[a:b], new[:end]) == new[:end] != t[a:b] and back.setdefault(new[:end], t[a:b]) == t[a:b]
+            new, at = new[end:], b
+        assert new == t[at:]
+    assert len(to) > 300

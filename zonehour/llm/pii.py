@@ -9,7 +9,12 @@ in, so that all spellings of one entity lead to one surrogate.
 
 Two canonical forms must not share a surrogate, nor may a surrogate be some real
 entity of the table: such candidates are drawn again under the next attempt
-number, until none collides.
+number, until none collides. Names get as many syllables as the number of names
+of their kind asks for, and every kind's forms grow with the attempt, so that no
+table can use them up.
+
+Names are found behind a form of address. Where a document has such a name, its
+words are replaced wherever they stand in that document.
 """
 
 from __future__ import annotations
@@ -52,6 +57,7 @@ ALPHABETS = {
 }
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_NAME = r"\p{Lu}(?:[\p{L}-]|['’](?!s(?!\p{L}))(?=\p{L})){1,40}+"
 _TITLE = "(?:" + "|".join(t.replace(".", r"\.") for x in TITLES.values() for t in x) + ")"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[._%+-]*+[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}][\p{L}\p{N}-]{0,62}\.){1,8}\p{L}{2,24}",
@@ -59,7 +65,7 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[.-])\d{3,4}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
     "secret": r"(?<=[=:\"']|[=:] |[=:]  )(?<=(?i:token|secret|password|passwd|pwd|apikey|api_key|api-key|access_key)[ ]{0,2}[=:][ ]{0,2}[\"']?)[\p{L}\p{N}+/_-]{8,}+|(?<![\p{L}\p{N}])AKIA[A-Z0-9]{16}(?![\p{L}\p{N}])",
-    "person": rf"(?=[MHFSDPГΚ])(?<![\p{{L}}\p{{N}}]){_TITLE} \p{{Lu}}[\p{{L}}'’-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'’-]{{1,40}}){{0,2}}",
+    "person": rf"(?=[MHFSDPГΚ])(?<![\p{{L}}\p{{N}}]){_TITLE} {_NAME}(?: {_NAME}){{0,2}}",
 }
 _OTHERS = "|".join(f"(?:{PATTERNS[k]})" for k in ("ipv4", "ssn", "phone"))
 _CARD = r"(?<![\d+])(?:\d{4}(?:-\d{4}){3}|\d{4}(?: \d{4}){3}|\d{4}-\d{6}-\d{5}|\d{4} \d{6} \d{5})(?!\d)"
@@ -68,12 +74,15 @@ PATTERNS["card"] = rf"{_CARD[:-6]}(?:[ -]\d{{3}})?(?!\d)|(?<![\d+])(?:\d(?:[ -](
 # What begins with a digit, a plus or a bracket is looked for only there.
 _NUMBERS = rf"{_OTHERS}|(?:{PATTERNS['card']})"
 PATTERN = f"{PATTERNS['email']}|(?=[0-9+(])(?:{_NUMBERS})|(?:{PATTERNS['secret']})|{PATTERNS['person']}"
+#: The same, or any word that may be a name.
+WITH_NAMES = rf"{PATTERN}|(?<![\p{{L}}\p{{N}}]){_NAME}"
 #: What may stand before an address and is no part of it.
 MARKS = r"^[._%+-]+"
 #: What every entity has somewhere; texts without it need no search.
 CUE = rf"[0-9@=:]|(?=[MHFSDPГΚ]){_TITLE} "
 
-ATTEMPTS = 64
+#: Forms whose surrogates one task draws.
+DRAWN = 500
 
 
 def _at(s: Column, i: Column, n: int = 1) -> Column:
@@ -114,7 +123,7 @@ def _script(word: Column) -> Column:
 def _parts(v: Column, kind: Column) -> Column:
     """What of an entity gets surrogates of its own: (kind, canonical form, as written). A name's words do, one by one."""
     one = F.lower(F.regexp_replace(v, MARKS, ""))
-    canon = F.when(kind == "card", _card(F.when(kind == "card", F.regexp_replace(v, r"\D", "")).otherwise("0"))).when(kind == "ssn", F.regexp_replace(v, r"\D", "")).when(kind == "phone", F.regexp_replace(v, r"[^\d+]", "")).when(kind.isin("email"), one).otherwise(v)
+    canon = F.when(kind == "card", _card(F.when(kind == "card", F.regexp_replace(v, r"\D", "")).otherwise("0"))).when(kind == "ssn", F.regexp_replace(v, r"\D", "")).when(kind == "phone", F.regexp_replace(F.regexp_replace(v, r"[^\d+]", ""), r"^\+1(?=\d{10}$)", "")).when(kind.isin("email"), one).otherwise(v)
     words = F.split(v, " ")
     gender = reduce(lambda c, g: c.when(words[0].isin(TITLES[g]), g), ("f", "n"), F.when(words[0].isin(TITLES["m"]), "m"))
     last = F.size(words) - 1
@@ -149,63 +158,86 @@ def _picked(names: list[str], digest: Column, i: int) -> Column:
     return F.element_at(F.array(*map(F.lit, names)), _number(digest, F.lit(i)) % len(names) + 1)
 
 
-def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
+def _syllables(script: str, names: int, count: int) -> int:
+    """Invented syllables that `names` others need beside them, so that there are eight names for each of `count`."""
+    n = 0
+    while names * len(SYLLABLES[script]) ** n < 8 * count:
+        n += 1
+    return n
+
+
+def _surrogate(kind: Column, canon: Column, attempt: Column, key: str, counts: dict[str, int]) -> Column:
+    """counts: how many forms there are of each kind."""
     d = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string")).cast("binary"), 512)
     like = _likewise(canon, d)
     n = F.length(canon)
+    # After some attempts addresses get more letters, and after more numbers more digits.
+    letters = F.when(attempt >= 3, F.substring(d, F.lit(100), F.least(attempt - 2, F.lit(28)))).otherwise("")
+    more = F.when(attempt >= 12, F.translate(F.substring(d, F.lit(100), F.least(attempt - 11, F.lit(28))), "abcdef", "012345")).otherwise("")
     # Addresses keep the top domain, phones their country code, with an area code that may be dialled.
-    top = F.regexp_extract(canon, r"\.([^.]+)$", 1)
-    email = F.concat(F.substring(like, F.lit(1), n - F.length(top)), top)
-    code = F.when(canon.rlike(r"^\+[17]"), 2).when(canon.rlike(r"^\+"), 3).otherwise(0)
-    phone = F.concat(F.substring(canon, F.lit(1), code), (_number(d, F.lit(63)) % 8 + 2).cast("string"), F.substring(like, code + 2, n))
+    top, at = F.regexp_extract(canon, r"\.([^.]+)$", 1), F.locate("@", canon)
+    email = F.concat(F.substring(like, F.lit(1), at - 1), letters, F.substring(like, at, n - F.length(top) - at + 1), top)
+    code = F.when(canon.rlike(r"^\+7"), 2).when(canon.rlike(r"^\+"), 3).otherwise(0)
+    phone = F.concat(F.substring(canon, F.lit(1), code), (_number(d, F.lit(63)) % 8 + 2).cast("string"), F.substring(like, code + 2, n), more)
     ip = F.concat_ws(".", (_number(d, F.lit(0)) % 223 + 1).cast("string"), *[_number(d, F.lit(k)).cast("string") for k in (1, 2)], (_number(d, F.lit(3)) % 254 + 1).cast("string"))
-    body = F.concat(F.substring(canon, 1, 1), F.substring(like, F.lit(2), n - 2))
+    ip = F.concat(ip, F.when(more == "", "").otherwise(F.concat(F.lit(":"), more)))
+    body = F.concat(F.substring(canon, 1, 1), F.substring(like, F.lit(2), n - 2), more)
     card = F.concat(body, ((10 - _luhn(F.concat(F.when(kind == "card", body).otherwise("0"), F.lit("0")))) % 10).cast("string"))
-    ssn = F.concat((_number(d, F.lit(62)) % 5 + 1).cast("string"), F.substring(like, 2, 8))
+    ssn = F.concat((_number(d, F.lit(62)) % 5 + 1).cast("string"), F.substring(like, 2, 8), more)
     hexes = F.substring(F.repeat(d, F.ceil(n / 128).cast("int")), F.lit(1), n)
     key_like = F.when(canon.rlike("^AKIA[A-Z0-9]{16}$"), F.concat(F.lit("AKIA"), F.substring(like, 5, 16))).when(canon.rlike("^[0-9a-f]+$"), hexes).when(canon.rlike("^[0-9A-F]+$"), F.upper(hexes)).otherwise(like)
-    out = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ipv4", ip).when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "secret", key_like)
-    # The lists are short: from some attempts on a given name is a double one, then a triple one, then one with more and more syllables.
+    out = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ipv4", ip).when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "secret", F.concat(key_like, more))
+    later = F.floor(attempt / 3).cast("int")
+
     def invented(script: str, first: int, n: Column) -> Column:
         some = F.array(*map(F.lit, SYLLABLES[script]))
         return F.array_join(F.transform(F.sequence(F.lit(first), F.lit(first - 1) + n), lambda i: F.element_at(some, _number(d, i) % len(SYLLABLES[script]) + 1)), "")
 
     for (s, g), names in GIVEN.items():
+        # One listed name, two or three, and where these are too few, two and syllables.
+        count, some = counts.get(f"given:{s}:{g}", 0), len(names)
+        room = F.lit(-2 if 2 * count <= some else -1 if 8 * count <= some**2 else 0 if 8 * count <= some**3 else _syllables(s, some**2, count)) + later
         one, two, three = (_picked(names, d, k) for k in (0, 1, 2))
-        more = F.initcap(invented(s, 3, F.greatest(F.lit(1), F.floor((attempt - 4) / 4).cast("int"))))
-        out = out.when(kind == f"given:{s}:{g}", F.when(attempt < 3, one).when(attempt < 8, F.concat_ws("-", one, two)).when(attempt < 12, F.concat_ws("-", one, two, three)).otherwise(F.concat_ws("-", one, two, more)))
+        added = F.initcap(invented(s, 3, F.greatest(F.lit(1), room)))
+        out = out.when(kind == f"given:{s}:{g}", F.when(room <= -2, one).when(room == -1, F.concat_ws("-", one, two)).when(room == 0, F.concat_ws("-", one, two, three)).otherwise(F.concat_ws("-", one, two, added)))
     for s in SYLLABLES:
-        out = out.when(kind == f"surname:{s}", F.initcap(invented(s, 0, 3 + F.floor(attempt / 4).cast("int"))))
+        out = out.when(kind == f"surname:{s}", F.initcap(invented(s, 0, F.lit(max(3, _syllables(s, 1, counts.get(f"surname:{s}", 0)))) + later)))
     return F.when(kind == "as is", canon).otherwise(out)
 
 
 def _rendered(kind: Column, written: Column, surrogate: Column) -> Column:
-    """The surrogate in the form that the entity was written in."""
+    """The surrogate in the form that the entity was written in. A country code that the canonical form lacks stays."""
     marks = F.split(written, "")
     new = F.regexp_replace(surrogate, r"\D", "")
-    nth = lambda i: F.length(F.regexp_replace(F.substring(written, F.lit(1), i + 1), r"\D", ""))
-    digits = F.transform(marks, lambda c, i: F.when(c.rlike("[0-9]") & (nth(i) <= F.length(new)), _at(new, nth(i))).otherwise(c))
-    cased = F.zip_with(F.split(F.regexp_replace(written, MARKS, ""), ""), F.split(surrogate, ""), lambda c, s: F.when((F.upper(c) == c) & (F.lower(c) != c), F.upper(s)).otherwise(s))
+    had = F.length(F.regexp_replace(written, r"\D", ""))
+    lead = F.when(kind == "phone", F.greatest(had - F.length(new), F.lit(0))).otherwise(0)
+    nth = lambda i: F.length(F.regexp_replace(F.substring(written, F.lit(1), i + 1), r"\D", "")) - lead
+    digits = F.transform(marks, lambda c, i: F.when(c.rlike("[0-9]") & nth(i).between(1, F.length(new)), _at(new, nth(i))).otherwise(c))
+    numbers = F.concat(F.array_join(digits, ""), F.substring(new, had - lead + 1, F.length(new)))
+    cased = F.zip_with(F.split(F.regexp_replace(written, MARKS, ""), ""), F.split(surrogate, ""), lambda c, s: F.when((F.upper(c) == c) & (F.lower(c) != c), F.upper(s)).otherwise(F.coalesce(s, F.lit(""))))
+    cased = F.when(F.upper(written) == written, F.upper(surrogate)).otherwise(F.array_join(cased, ""))
     name = F.when((F.upper(written) == written) & (F.length(written) > 1), F.upper(surrogate)).otherwise(surrogate)
-    out = F.when(kind.isin("card", "ssn", "phone"), F.array_join(digits, "")).when(kind == "email", F.concat(F.regexp_extract(written, MARKS, 0), F.array_join(cased, "")))
+    out = F.when(kind.isin("card", "ssn", "phone"), numbers).when(kind == "email", F.concat(F.regexp_extract(written, MARKS, 0), cased))
     return out.when(kind.isin("ipv4", "secret"), surrogate).when(kind == "as is", written).otherwise(name)
 
 
 def surrogates(forms: DataFrame, key: str) -> DataFrame:
     """forms(kind, canon), distinct -> with surrogate, distinct within a kind and never a form of the table."""
     forms = staged(forms.where("kind <> 'as is'"), "pii-forms")
-    pending, done = forms.withColumn("attempt", F.lit(0)), []
-    for _ in range(ATTEMPTS):
-        tried = pending.withColumn("surrogate", _surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key))
+    counts = {r.kind: r["count"] for r in forms.groupBy("kind").count().collect()}  # a row per kind
+    pending, done, left, attempt = forms, [], sum(counts.values()), 0
+    while left:
+        # A small table is one split; drawing is work for more tasks.
+        tasks = max(1, min(left // DRAWN, 4 * int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        tried = pending.repartition(tasks, "kind", "canon").withColumn("surrogate", _surrogate(F.col("kind"), F.col("canon"), F.lit(attempt), key, counts))
         first = F.row_number().over(W.partitionBy("kind", F.lower("surrogate")).orderBy(F.sha2(F.concat_ws("|", F.lit(key), "canon").cast("binary"), 256), "canon"))
         tried = tried.withColumn("place", first).withColumn("low", F.lower("surrogate"))
         taken = reduce(DataFrame.union, [forms.select("kind", F.lower("canon").alias("low")), *[d.select("kind", F.lower("surrogate").alias("low")) for d in done]]).distinct().withColumn("taken", F.lit(True))
-        tried = staged(tried.join(taken, ["kind", "low"], "left").select("kind", "canon", "surrogate", "attempt", (F.col("taken").isNull() & (F.col("place") == 1)).alias("ok")), "pii-tried")
+        tried = staged(tried.join(taken, ["kind", "low"], "left").select("kind", "canon", "surrogate", (F.col("taken").isNull() & (F.col("place") == 1)).alias("ok")), "pii-tried")
         done.append(tried.where("ok").select("kind", "canon", "surrogate"))
-        pending = tried.where("not ok").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
-        if not pending.take(1):
-            return reduce(DataFrame.union, done)
-    raise ValueError("a kind has more entities than surrogates of its form")
+        pending = tried.where("not ok").select("kind", "canon")
+        left, attempt = pending.count(), attempt + 1
+    return reduce(DataFrame.union, done) if done else forms.withColumn("surrogate", F.col("canon"))
 
 
 def pseudonymise(docs: DataFrame, key: str = "zonehour", text_col: str = "text") -> DataFrame:
@@ -216,7 +248,11 @@ def pseudonymise(docs: DataFrame, key: str = "zonehour", text_col: str = "text")
     text stays null with 0 entities; texts without entities stay as they are.
     Numbers that only look like a card (wrong check digit) are no entity; what is
     written like a phone, an address or a social security number is that, and
-    never a part of a card.
+    never a part of a card. A phone number is the same with and without the
+    country code +1. Where a name with a form of address is found, its words are
+    replaced in the whole document; a name that never has one is not found, nor
+    are IPv6 addresses, bank accounts and dates of birth. Very long texts are
+    searched whole.
     Repeated rows are rows of the result each, an empty table gives an empty one.
     """
     kept = [c for c in docs.columns if c != "n_entities"]
@@ -230,16 +266,20 @@ def pseudonymise(docs: DataFrame, key: str = "zonehour", text_col: str = "text")
     values = found.select("value").distinct().select("value", _kind(F.col("value")).alias("kind")).where("kind is not null")
     parts = staged(values.select("value", F.posexplode(_parts(F.col("value"), F.col("kind"))).alias("place", "part")).select("value", "place", "part.*"), "pii-parts")
     chosen = surrogates(parts.select("kind", "canon").distinct(), key)
-    written = parts.join(chosen, ["kind", "canon"], "left").select("value", "place", _rendered(F.col("kind"), F.col("written"), F.col("surrogate")).alias("new"))
-    written = written.groupBy("value").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda x: x["new"]), " ").alias("new"))
-    maps = found.join(written, "value").groupBy("td").agg(F.map_from_entries(F.collect_list(F.struct("value", "new"))).alias("news")).withColumnRenamed("td", "__td")
-    maps = maps.withColumnRenamed("news", "__news")
+    new = staged(parts.join(chosen, ["kind", "canon"], "left").select("value", "place", "kind", "written", _rendered(F.col("kind"), F.col("written"), F.col("surrogate")).alias("new")), "pii-new")
+    written = new.groupBy("value").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda x: x["new"]), " ").alias("new"))
+    # A document's entities, and the single words of its names; where a word is two names, a surname's surrogate stands.
+    names = new.where(F.col("kind").startswith("given") | F.col("kind").startswith("surname")).select("value", F.col("written").alias("word"), F.struct(F.when(F.col("kind").startswith("surname"), 1).otherwise(2).alias("rank"), "new").alias("to"))
+    each = found.join(written, "value").select("td", "value", F.struct(F.lit(0).alias("rank"), "new").alias("to")).union(found.join(names, "value").select("td", F.col("word").alias("value"), "to"))
+    each = each.groupBy("td", "value").agg(F.min("to").alias("to"))
+    maps = each.groupBy(F.col("td").alias("__td")).agg(F.map_from_entries(F.collect_list(F.struct("value", "to.new"))).alias("__news"), F.max(F.col("to.rank") > 0).alias("__named"))
     many = docs.where(cued).withColumn("__d", digest).join(maps, F.col("__d") == F.col("__td"), "left")
     # Searched once: a column of its own is not worked out again where it is used.
-    many = many.withColumn("__hits", F.when(F.col("__news").isNotNull(), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
+    many = many.withColumn("__hits", F.when(F.col("__named"), F.regexp_extract_all(text, F.lit(WITH_NAMES), F.lit(0))).when(F.col("__news").isNotNull(), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
     hits = F.col("__hits")
     new = F.transform(hits, lambda e: F.coalesce(F.try_element_at(F.col("__news"), e), e))
-    whole = F.array_join(F.zip_with(F.split(text, PATTERN, -1), new, lambda g, e: F.concat(g, F.coalesce(e, F.lit("")))), "")
+    gaps = F.when(F.col("__named"), F.split(text, WITH_NAMES, -1)).otherwise(F.split(text, PATTERN, -1))
+    whole = F.array_join(F.zip_with(gaps, new, lambda g, e: F.concat(g, F.coalesce(e, F.lit("")))), "")
     count = F.size(F.filter(hits, lambda e: F.try_element_at(F.col("__news"), e).isNotNull()))
     changed = many.select(*[F.when(F.col("__news").isNull(), text).otherwise(whole).alias(c) if c == text_col else F.col(c) for c in kept], F.when(F.col("__news").isNull(), 0).otherwise(count).cast("int").alias("n_entities"))
     return changed.union(docs.where(~cued).withColumn("n_entities", F.lit(0)))
