@@ -313,10 +313,35 @@ def test_decontamination_edges(spark, monkeypatch):
     some = spark.createDataFrame([(k, r[1][:200]) for k, r in enumerate(edge_rows()) if r[1]], "item_id long, text string")
     whole = sorted(map(tuple, decontaminate.find_overlaps(d, some).collect()), key=repr)
     assert whole and decontaminate.decontaminated(empty_table(spark), some).count() == 0
-    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 400)  # a benchmark in slices
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 400)  # a benchmark in shards
     assert sorted(map(tuple, decontaminate.find_overlaps(d, some).collect()), key=repr) == whole
 
 
+def test_recall_by_length(tmp_path):
+    """Of items of 3 to 60 words with as many random edits as are allowed, nearly all are found at every length."""
+    rng = random.Random(15)
+    for n in (3, 4, 5, 6, 8, 10, 12, 15, 20, 30, 45, 60):
+        items = [prose(rng, n, 3000) for _ in range(40)]
+        decontaminate._write(str(tmp_path / str(n)), 0, items)
+        found = decontaminate.Index(str(tmp_path / str(n)), 1, 0.8)
+        texts = []
+        for t in items:
+            w = t.split()
+            for _ in range(n // 5):
+                p = rng.randrange(len(w))
+                kind = rng.randrange(3)
+                w[p : p + (kind > 0)] = ["other%d" % rng.randrange(99)] * (kind < 2)
+            texts.append(decontaminate.normal(prose(rng, 30, 3000) + " " + " ".join(w) + " " + prose(rng, 30, 3000)))
+        got = {(h.doc, h.item) for _, hits in found.hits(texts) for h in hits}
+        assert len({d for d, i in got if d == i}) >= 0.95 * len(items), n
+
+
+def test_decontamination_with_text_ids(spark):
+    item = prose(random.Random(1), 20)
+    docs, bench = spark.createDataFrame([("d1", "x " + item)], "doc_id string, text string"), spark.createDataFrame([("q-1", item)], "item_id string, text string")
+    assert [tuple(r)[:5] for r in decontaminate.find_overlaps(docs, bench).collect()] == [("d1", "q-1", 1, 21, 0)]
+
+
 def test_oracle_of_substring(spark):
     from zonehour.llm.queries import ORACLE_SQL
 

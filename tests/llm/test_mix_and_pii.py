@@ -257,7 +257,7 @@ def test_against_brute_force(spark):
         assert got[k].n_entities == len(spans), (t, got[k])
         at = 0
         new = got[k].text
-        for (a, b), after in zip(spans, [*[s[0] for s in spans[1:]], None], strict=True):
+        for (a, b), after in zip(spans, [*[s[0] for s in spans[1:]], *[None][: len(spans)]], strict=True):
             gap = t[at:a] if a >= at else ""
             assert new.startswith(gap)
             new = new[len(gap) :]

@@ -11,7 +11,7 @@ import sentencepiece
 from helpers import WORD, edge_rows, edge_table, empty_table, lower, prose
 from pyspark.sql import functions as F
 
-from zonehour.llm import language_id, lm_scoring, quality, token_counts
+from zonehour.llm import arrays, language_id, lm_scoring, quality, token_counts
 from zonehour.llm.common import fold
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -56,6 +56,12 @@ def test_lm_against_brute_force(spark):
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
 
 
+def test_counts_are_as_wide_as_they_need(tmp_path):
+    for most, width in ((9, 1), (300, 2), (1 << 20, 4), (1 << 33, 8)):
+        arrays.put_counts(str(tmp_path), f"c{width}", np.array([1, most]))
+        assert (tmp_path / f"c{width}").stat().st_size == 2 * width and arrays.get_counts(str(tmp_path), f"c{width}", 2).tolist() == [1, most]
+
+
 def test_lm_is_a_distribution(spark):
     df = spark.createDataFrame([("a b a c",), ("a b b",), ("c a b",)], "text string")
     m = lm_scoring.count_model(df)
@@ -82,11 +88,10 @@ def _lookup(m, w):
     words = lm_scoring.Words([w]).hash
     h = words[:1]
     key = lm_scoring.pair_key(h, np.array([lm_scoring.END]))
-    shard = lm_scoring.shard_of(h, m.shards)
-    n = m.find("pair", key, shard, {"count": "u4"})["count"].astype(float)
-    x = m.find("context", h, shard, {"count": "u8", "n1": "u4", "n2": "u4", "n3": "u4"})
+    n = m.find("pair", key, m.shards, ("count",))["count"].astype(float)
+    x = m.find("context", h, m.word_shards, ("count", "n1", "n2", "n3"))
     end = np.array([lm_scoring.END])
-    after = m.find("word", end, lm_scoring.shard_of(end, m.shards), {"after": "u4"})["after"]
+    after = m.find("word", end, m.word_shards, ("after",))["after"]
     d2 = np.array([0.0, *m.word_discounts])[np.minimum(after, 3)]
     low = np.maximum(after - d2, 0) / m.pairs + m.word_rest / (m.words + 1)
     if not x["count"][0]:

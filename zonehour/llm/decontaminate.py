@@ -1,33 +1,49 @@
 """Benchmark decontamination under edit distance, by CGK embedding and bit-sampling LSH.
 
-Texts and items are words, lower-cased and without punctuation. Windows of an
-item's size are taken where the text has enough of the item's word trigrams in
-nearly one line: a match within the allowed edits can't have fewer, so no match
-is lost there. A CGK random walk embeds windows and items so that few edits
-become few differing places; tables of sampled places give the candidates, and
-enough walks and tables are used to reach the target recall. Candidates are
-verified by exact edit distance, free at both ends of the text.
+Texts and items are words, lower-cased and without punctuation. A CGK random
+walk embeds windows and items so that few edits become few differing places.
+Sampled places of a walk are the key of a table; the tables of all items are one
+sorted array of keys, and the windows of each item's size that begin at every
+word of a text are looked up in it. Enough walks and tables are used to reach
+the target recall. What is found is verified by exact edit distance, free at
+both ends.
+
+Only windows that can hold a match are embedded: within the edits allowed, an
+item of n words keeps n - 1 - 2 * edits of its word pairs, so that a stretch
+with fewer pairs of the benchmark has none. That check loses no match and knows
+neither the item nor the place, which the tables find.
+
+The benchmark is dealt out to shards of ITEM_BYTES, each written as arrays to the
+shared folder by a task of its own and mapped by the workers, so that documents
+are read once, however large the benchmark is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from zonehour.llm.common import Words, blocks, gram_hash, mix64
+from zonehour.llm.arrays import get, put
+from zonehour.llm.common import Words, blocks, gram_hash, mix64, new_path
 
-GRAM = 3
-#: Walks, tables of each, and sampled places of a table. With these, items of 12 words or more are found at a recall over 0.99.
-WALKS, TABLES, PLACES = 8, 6, 2
-#: Bytes of items that one matcher holds; a larger benchmark is matched a slice at a time.
-ITEM_BYTES = 8 << 20
+#: Walks, tables of each, and sampled places of a table.
+WALKS, TABLES, PLACES = 12, 6, 2
+#: Bytes of items of a shard, on average, and windows that are embedded at once.
+ITEM_BYTES, EMBEDDED = 8 << 20, 2048
+#: Sizes that one look for possible windows stands for, as a factor.
+CLASS = 1.3
 
 _CLEAN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normal(text: str | None) -> bytes:
@@ -55,171 +71,232 @@ def edits_within(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row.min()), int(row.argmin())
 
 
-class Matcher:
-    """Finds stretches of texts within the allowed edits of the items (id, text)."""
-
-    def __init__(self, items: list[tuple[int, str]], similarity: float = 0.8, seed: int = 5):
-        words = Words([normal(t) for _, t in items])
-        self.ids = [i for i, _ in items]
-        self.items = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-        self.size = np.diff(words.first)
-        self.most = np.floor(self.size * (1 - similarity) + 1e-9).astype(np.int64)
-        #: Fewest trigrams that a match shares with the item; items of under three words go by their words.
-        self.least = np.maximum(self.size - GRAM + 1 - GRAM * self.most, 1)
-        grams, item, place = [], [], []
-        for k, w in enumerate(self.items):
-            g = gram_hash(w, GRAM) if len(w) >= GRAM else mix64(w)
-            grams.append(g), item.append(np.full(len(g), k)), place.append(np.arange(len(g)))
-        g, item, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (grams, item, place))
-        order = np.argsort(g, kind="stable")
-        self.gram, self.gram_item, self.gram_place = g[order], item[order], place[order]
-        self.maybe = np.zeros(1 << 20, bool)
-        if len(g):
-            self.maybe[(self.gram >> np.uint64(44)).astype(np.int64)] = True
-        self.short = bool((self.size < GRAM).any())
-        rng = np.random.default_rng(seed)
-        steps = 3 * int(self.size.max(initial=1))
-        self.coin = rng.integers(0, 1 << 63, (WALKS, steps), dtype=np.uint64)
-        self.sampled = rng.random((WALKS, TABLES, PLACES))
-        self.keys = self._keys(self.items, self.size) if items else np.zeros((0, WALKS * TABLES), np.uint64)
-
-    def _keys(self, windows: list[np.ndarray], size: np.ndarray) -> np.ndarray:
-        """Table keys of windows; size: of the item that each is compared with."""
-        n, longest = len(windows), max(map(len, windows), default=0)
-        text = np.zeros((n, longest + 1), np.uint64)
-        for k, w in enumerate(windows):
-            text[k, : len(w)] = w
-        at = np.zeros((n, WALKS), np.int64)
-        row = np.arange(n)[:, None]
-        steps = 3 * int(size.max(initial=1))
-        walked = np.empty((steps, n, WALKS), np.uint64)
-        for j in range(steps):
-            sym = text[row, np.minimum(at, longest)]
-            walked[j] = sym
-            at += (mix64(sym + self.coin[None, :, j]) & np.uint64(1)).astype(np.int64)
-        # A walk is through a text after some two steps a word; later places tell nothing.
-        pick = (self.sampled[None] * (2 * size)[:, None, None, None]).astype(np.int64)
-        got = walked[pick, np.arange(n)[:, None, None, None], np.arange(WALKS)[None, :, None, None]]
-        key = np.zeros(got.shape[:3], np.uint64)
-        for p in range(PLACES):
-            key = mix64(key * np.uint64(3) + got[..., p])
-        return key.reshape(n, -1)
-
-    def _windows(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, item, first word) of the windows that share enough trigrams with the item."""
-        none = np.zeros(0, np.int64)
-        doc_of = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
-        found = []
-        for n in (GRAM, 1)[: 1 + self.short]:
-            g = gram_hash(words.hash, n) if n > 1 else mix64(words.hash)
-            at = np.flatnonzero(self.maybe[(g >> np.uint64(44)).astype(np.int64)])
-            at = at[doc_of[at] == doc_of[at + n - 1]] if len(at) else at
-            lo, hi = (np.searchsorted(self.gram, g[at], side) for side in ("left", "right"))
-            times = hi - lo
-            src = np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(times.sum())
-            at = np.repeat(at, times)
-            item = self.gram_item[src]
-            right = (self.size[item] >= GRAM) == (n == GRAM)
-            found.append((doc_of[at[right]], item[right], (at - self.gram_place[src])[right]))
-        doc, item, line = (np.concatenate(x) for x in zip(*found, strict=True))
-        if not len(doc):
-            return none, none, none
-        order = np.lexsort((line, item, doc))
-        doc, item, line = doc[order], item[order], line[order]
-        # Rows of one document and item are neighbours; lines of one match lie within twice the edits.
-        pair = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]))
-        far = int(line.max()) - int(line.min()) + 2 * int(self.most.max()) + 2
-        spot = pair * far + (line - line.min())
-        enough = np.searchsorted(spot, spot + 2 * self.most[item], "right") - np.arange(len(spot)) >= self.least[item]
-        if not enough.any():
-            return none, none, none
-        # All lines from such a place on, as far as the match may reach.
-        start = np.flatnonzero(enough)
-        turn = np.zeros(len(spot) + 1, np.int64)
-        np.add.at(turn, start, 1)
-        np.add.at(turn, np.searchsorted(spot, spot[start] + 2 * self.most[item[start]], "right"), -1)
-        use = np.cumsum(turn[:-1]) > 0
-        use &= np.concatenate([[True], spot[1:] != spot[:-1]])
-        return doc[use], item[use], line[use]
-
-    def hits(self, texts: list[bytes]) -> list[Hit]:
-        """The best stretch of each text for each item that it matches; texts as normal() gives them."""
+def edits_allowed(size: np.ndarray | int, similarity: float) -> np.ndarray:
+    return np.floor(np.asarray(size) * (1 - similarity) + 1e-9).astype(np.int64)
+
+
+@lru_cache(4096)
+def _sampled(size: int) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
+    """Which tables of which walks sample a step, of walks through `size` words, which take some two steps a word."""
+    u = mix64(np.arange(1, WALKS * TABLES * PLACES + 1, dtype=np.uint64) * _ODD).astype(np.float64) / 2.0**64
+    step = np.sort((u.reshape(WALKS, TABLES, PLACES) * 2 * size).astype(np.int64), axis=2)
+    out: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for p in range(PLACES):
+        for j in np.unique(step[:, :, p]).tolist():
+            out.setdefault(j, []).append(np.nonzero(step[:, :, p] == j))
+    return out
+
+
+def embedded(words: np.ndarray, start: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
+    """Keys, WALKS * TABLES a row, of the windows words[start:end], compared with items of `size` words.
+
+    A walk stays on its word or goes on to the next as a coin says that depends
+    on the step and the word; it gives the word that it was on. Memory is that of
+    the keys.
+    """
+    at = np.zeros((len(start), WALKS), np.int64)
+    key = np.full((len(start), WALKS, TABLES), size, np.uint64) + np.arange(WALKS * TABLES, dtype=np.uint64).reshape(WALKS, TABLES) * np.uint64(1 << 32)
+    picks = _sampled(size)
+    walk = np.arange(1, WALKS + 1, dtype=np.uint64) << np.uint64(32)
+    for j in range(max(picks) + 1):
+        place = start[:, None] + at
+        word = np.where(place < end[:, None], words[np.minimum(place, len(words) - 1)], np.uint64(0))
+        for w, t in picks.get(j, ()):
+            key[:, w, t] = mix64(key[:, w, t] * np.uint64(3) + word[:, w])
+        at += (mix64(word + mix64(walk + np.uint64(j))) & np.uint64(1)).astype(np.int64)
+    return key.reshape(len(start), -1)
+
+
+# --- the index ---------------------------------------------------------------
+
+
+def _write(folder: str, shard: int, texts: list[str]) -> None:
+    """A shard's arrays: words of the items, sorted pairs of words, and sorted keys with the item of each."""
+    words = Words([normal(t) for t in texts])
+    size = np.diff(words.first)
+    h = words.hash
+    inside = np.ones(max(len(h) - 1, 0), bool)
+    last = words.first[1:-1]
+    inside[last[(last > 0) & (last < len(h))] - 1] = False
+    pairs = np.unique(np.concatenate([gram_hash(h, 2)[inside] if len(h) > 1 else h[:0], mix64(h[words.first[:-1][size == 1]])]))
+    keys, items = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+    for m in np.unique(size[size > 0]).tolist():
+        of = np.flatnonzero(size == m)
+        for a in range(0, len(of), EMBEDDED):
+            k = embedded(h, words.first[of[a : a + EMBEDDED]], words.first[of[a : a + EMBEDDED] + 1], m)
+            keys.append(k.ravel()), items.append(np.repeat(of[a : a + EMBEDDED], k.shape[1]).astype(np.uint32))
+    key, item = np.concatenate(keys), np.concatenate(items)
+    order = np.argsort(key, kind="stable")
+    put(folder, f"{shard}-word", h), put(folder, f"{shard}-first", words.first.astype(np.int64)), put(folder, f"{shard}-pair", pairs)
+    put(folder, f"{shard}-key", key[order]), put(folder, f"{shard}-item", item[order])
+
+
+@dataclass(frozen=True)
+class Index:
+    """Where the shards' arrays are."""
+
+    folder: str
+    shards: int
+    similarity: float
+
+    def ids(self, shard: int) -> pa.Array:
+        return pa.ipc.open_stream(get(self.folder, f"{shard}-ids", "u1").tobytes()).read_all().column(0).combine_chunks()
+
+    def hits(self, texts: list[bytes]) -> Iterator[tuple[int, list[Hit]]]:
+        """(shard, the best stretch of each text for each item that it matches); texts as normal() gives them."""
         words = Words(texts)
-        if not self.items or len(words.hash) == 0:
+        if not len(words.hash):
+            return
+        for s in range(self.shards):
+            first = get(self.folder, f"{s}-first", "i8")
+            if len(first) > 1 and (found := self._hits(s, first, words)):
+                yield s, found
+
+    def _hits(self, s: int, first: np.ndarray, words: Words) -> list[Hit]:
+        h, size = words.hash, np.diff(first)
+        sizes = np.unique(size[size > 0])
+        if not len(sizes):
             return []
-        doc, item, line = self._windows(words)
+        pair, key, item_of = get(self.folder, f"{s}-pair", "u8"), get(self.folder, f"{s}-key", "u8"), get(self.folder, f"{s}-item", "u4")
+        doc_of = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+        begin, end = words.first[:-1][doc_of], words.first[1:][doc_of]
+        place = np.arange(len(h))
+        known = np.zeros(len(h) + 1, np.int64)
+        g = np.append(gram_hash(h, 2), np.uint64(0)) if len(h) > 1 else np.zeros(1, np.uint64)
+        known[1:] = np.cumsum(_within(g, pair) & (place + 1 < end))
+        alone = _within(mix64(h), pair) if sizes[0] == 1 else None
         out: dict[tuple[int, int], Hit] = {}
-        for a in range(0, len(doc), 512):
-            d, i = doc[a : a + 512], item[a : a + 512]
-            first, end = words.first[d], words.first[d + 1]
-            lo, hi = np.maximum(line[a : a + 512], first), np.minimum(line[a : a + 512] + self.size[i], end)
-            keys = self._keys([words.hash[x:y] for x, y in zip(lo, hi, strict=True)], self.size[i])
-            for k in np.flatnonzero((keys == self.keys[i]).any(axis=1)):
-                it, most = self.items[i[k]], int(self.most[i[k]])
-                x, y = max(int(lo[k]) - 2 * most, int(first[k])), min(int(hi[k]) + 2 * most, int(end[k]))
-                edits, stop = edits_within(it, words.hash[x:y])
-                if edits > most:
-                    continue
-                # The same from the end backwards gives the beginning.
-                _, back = edits_within(it[::-1], words.hash[x : x + stop][::-1])
-                hit = Hit(int(d[k]), int(i[k]), x + stop - back - int(first[k]), x + stop - int(first[k]), edits)
-                was = out.get((hit.doc, hit.item))
-                if was is None or (hit.edits, hit.start) < (was.edits, was.start):
-                    out[hit.doc, hit.item] = hit
-        return sorted(out.values(), key=lambda h: (h.doc, h.item))
-
-
-def _slices(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The items, ITEM_BYTES at a time at most, or one item if it is longer."""
-    x = benchmark.where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    size = x.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-int(size) // (ITEM_BYTES // 2)))
-    for k in range(n):
-        part = x.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).orderBy("id", "text").collect() if n > 1 else x.orderBy("id", "text").collect()
-        yield [(r.id, r.text) for r in part]
+        lo = 0
+        while lo < len(sizes):
+            hi = int(np.searchsorted(sizes, max(int(sizes[lo] * CLASS), int(sizes[lo])), "right"))
+            some = self._possible(known, place, begin, end, int(sizes[lo]), int(sizes[hi - 1]))
+            for m in sizes[lo:hi].tolist():
+                start = np.flatnonzero(alone) if m == 1 else some[self._possible(known, some, begin[some], end[some], m, m, True)]
+                self._look_up(words, doc_of, start, np.minimum(start + m, end[start]), m, key, item_of, s, first, out)
+            lo = hi
+        return sorted(out.values(), key=lambda x: (x.doc, x.item))
+
+    def _possible(self, known, place, begin, end, least: int, most: int, mask: bool = False) -> np.ndarray:
+        """Places where a window of an item of `least` to `most` words may begin that has a match: enough pairs are near."""
+        k = int(edits_allowed(most, self.similarity))
+        need = max(1, int((np.arange(least, most + 1) - 1 - 2 * edits_allowed(np.arange(least, most + 1), self.similarity)).min()))
+        near = known[np.minimum(place + most + k - 1, end - 1)] - known[np.maximum(place - k, begin)] if most > 1 else np.zeros(len(place))
+        ok = (near >= need) & (place + least - k <= end)
+        return ok if mask else place[ok]
+
+    def _look_up(self, words: Words, doc_of, start, end, m: int, key, item_of, s: int, first, out: dict) -> None:
+        h, most = words.hash, int(edits_allowed(m, self.similarity))
+        found = []
+        for a in range(0, len(start), EMBEDDED):
+            k = embedded(h, start[a : a + EMBEDDED], end[a : a + EMBEDDED], m)
+            flat = k.ravel()
+            lo = np.searchsorted(key, flat)
+            hit = np.flatnonzero(key[np.minimum(lo, len(key) - 1)] == flat)
+            n = np.searchsorted(key, flat[hit], "right") - lo[hit]
+            src = np.repeat(lo[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            found.append(np.stack([item_of[src].astype(np.int64), start[a : a + EMBEDDED][np.repeat(hit // k.shape[1], n)]], axis=1))
+        if not found or not sum(map(len, found)):
+            return
+        pairs = np.unique(np.concatenate(found), axis=0)
+        # Windows of one item that begin near one another are one stretch.
+        item, at = pairs[:, 0], pairs[:, 1]
+        doc = doc_of[at]
+        cut = np.concatenate([[0], np.flatnonzero((item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + m)) + 1, [len(item)]])
+        all_words = get(self.folder, f"{s}-word", "u8")
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            i, d = int(item[a]), int(doc[a])
+            it = all_words[first[i] : first[i + 1]]
+            x, y = max(int(at[a]) - most, int(words.first[d])), min(int(at[b - 1]) + m + most, int(words.first[d + 1]))
+            edits, stop = edits_within(it, h[x:y])
+            if edits > most:
+                continue
+            # The same from the end backwards gives the beginning.
+            _, back = edits_within(it[::-1], h[x : x + stop][::-1])
+            hit = Hit(d, i, x + stop - back - int(words.first[d]), x + stop - int(words.first[d]), edits)
+            was = out.get((d, i))
+            if was is None or (hit.edits, hit.start) < (was.edits, was.start):
+                out[d, i] = hit
+
+
+def _within(x: np.ndarray, among: np.ndarray) -> np.ndarray:
+    if not len(among):
+        return np.zeros(len(x), bool)
+    # A table of 2^20 places answers for most.
+    maybe = np.zeros(1 << 20, bool)
+    maybe[(among >> np.uint64(44)).astype(np.int64)] = True
+    out = maybe[(x >> np.uint64(44)).astype(np.int64)]
+    at = np.flatnonzero(out)
+    out[at] = among[np.minimum(np.searchsorted(among, x[at]), len(among) - 1)] == x[at]
+    return out
+
+
+def index(benchmark: DataFrame, similarity: float = 0.8, item_col: str = "item_id", text_col: str = "text") -> Index:
+    """The items of the benchmark as arrays in the shared folder. Items without an id, a text or a word match nothing."""
+    spark = benchmark.sparkSession
+    folder = new_path(spark, "benchmark")
+    x = benchmark.where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).alias("id"), F.col(text_col).alias("text"))
+    kind = to_arrow_type(x.schema["id"].dataType)
+    shards = max(1, -(-int(x.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // ITEM_BYTES))
+
+    def write(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["text", "id"])
+        batch = pa.RecordBatch.from_arrays([pa.array(part["id"].tolist(), kind)], ["id"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as w:
+            w.write_batch(batch)
+        put(folder, f"{key[0]}-ids", np.frombuffer(sink.getvalue(), np.uint8))
+        _write(folder, int(key[0]), part["text"].tolist())
+        return pd.DataFrame({"n": [len(part)]})
+
+    x = x.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int"))
+    x.groupBy("shard").applyInPandas(write, "n long").agg(F.sum("n")).collect()
+    return Index(folder, shards, similarity)
+
+
+# --- the operators -----------------------------------------------------------
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item_id, start_word, end_word, edits, similarity): the best match of each document and item that match.
 
     A document matches if some stretch of it is within floor(n * (1 - similarity))
-    word edits of the item's n words. Null or wordless texts and items match
-    nothing; rows of equal ids are searched each; other columns are ignored.
+    word edits of the item's n words: items of under five words match as they
+    are. Nearly all matches are found (README: recall by length). Null or
+    wordless texts and items match nothing; an empty table on either side gives
+    an empty one; rows of equal ids are searched each, equal items match each;
+    very long texts are searched whole; other columns are ignored. Ids are of any
+    type. The benchmark is indexed at once, documents when the result is asked.
     """
     x = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = x.schema["id"].dataType.simpleString()
-    names = ["id", "item_id", "start_word", "end_word", "edits", "similarity"]
-    found = None
-    for items in _slices(benchmark, item_col, item_text_col):
+    found = index(benchmark, similarity, item_col, item_text_col)
+    more = T.StructType().add("start_word", T.IntegerType()).add("end_word", T.IntegerType()).add("edits", T.IntegerType()).add("similarity", T.DoubleType())
+    out = T.StructType([x.schema["id"], T.StructField("item_id", benchmark.schema[item_col].dataType), *more.fields])
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            m = Matcher(items, similarity)
-            for b in batches:
-                raw = [normal(t) for t in b.column(1).to_pylist()]
-                for i, j in blocks([len(t) for t in raw]):
-                    h = m.hits(raw[i:j])
-                    cols = [b.column(0).take(pa.array([i + x.doc for x in h], pa.int64())), *(pa.array([f(x) for x in h], t) for f, t in ((lambda x: m.ids[x.item], pa.int64()), (lambda x: x.start, pa.int32()), (lambda x: x.end, pa.int32()), (lambda x: x.edits, pa.int32()), (lambda x: 1 - x.edits / int(m.size[x.item]), pa.float64())))]
-                    yield pa.RecordBatch.from_arrays(cols, names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [normal(t) for t in b.column(1).to_pylist()]
+            for i, j in blocks([len(t) for t in raw]):
+                for s, hits in found.hits(raw[i:j]):
+                    size = np.diff(get(found.folder, f"{s}-first", "i8"))
+                    at = pa.array([h.item for h in hits], pa.int64())
+                    cols = [pa.array([getattr(h, f) for h in hits], pa.int32()) for f in ("start", "end", "edits")]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i + h.doc for h in hits], pa.int64())), found.ids(s).take(at), *cols, pa.array([1 - h.edits / int(size[h.item]) for h in hits], pa.float64())], out.names)
 
-        part = x.mapInArrow(run, f"id {kind}, item_id long, start_word int, end_word int, edits int, similarity double")
-        found = part if found is None else found.union(part)
-    return found.withColumnRenamed("id", id_col)
+    return x.mapInArrow(run, out).withColumnRenamed("id", id_col)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """docs without the rows that match an item as find_overlaps says; rows with a null text stay."""
-    schema = docs.schema
+    """docs without the rows that match an item as find_overlaps says; rows with a null text, and all other columns, stay."""
     place = docs.columns.index(text_col)
-    for items in _slices(benchmark, item_col, item_text_col):
-
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            m = Matcher(items, similarity)
-            for b in batches:
-                raw = [normal(t) for t in b.column(place).to_pylist()]
-                stays = np.ones(b.num_rows, bool)
-                for i, j in blocks([len(t) for t in raw]):
-                    stays[[i + h.doc for h in m.hits(raw[i:j])]] = False
-                yield b.filter(pa.array(stays))
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+    found = index(benchmark, similarity, item_col, item_text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [normal(t) for t in b.column(place).to_pylist()]
+            stays = np.ones(b.num_rows, bool)
+            for i, j in blocks([len(t) for t in raw]):
+                for _, hits in found.hits(raw[i:j]):
+                    stays[[i + h.doc for h in hits]] = False
+            yield b.filter(pa.array(stays))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -1,10 +1,11 @@
 """Perplexity by an interpolated modified Kneser-Ney bigram model.
 
-Counting: tasks sum the word pairs of their documents and send them, packed and
-sorted, to the shard of the first word's hash. A shard adds up its pairs,
-writes them as sorted hash arrays and sends what each second word has gathered
-to that word's shard, which writes the words. Only the counts of counts, a few
-numbers a shard, come to the driver.
+Counting: tasks sum the word pairs of their documents and send them, packed, to
+the shard of the pair's hash, so that no word makes a shard large. A shard adds
+up its pairs, writes them as sorted hash arrays and sends what each word has
+gathered there, as first and as second of a pair, to that word's shard, which
+adds up and writes the words. Shards are as many as the bytes of text ask for.
+Only the counts of counts, a few numbers a shard, come to the driver.
 
 Scoring: workers map the arrays into memory and look up sorted hashes, so a
 worker holds what it touches and no more.
@@ -12,13 +13,8 @@ worker holds what it touches and no more.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
-from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pandas as pd
@@ -27,55 +23,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zonehour.llm.arrays import get, get_counts, put, put_counts
 from zonehour.llm.common import Words, blocks, mix64, new_path, text_bytes
 
 #: Hashes that stand for the end and the start of a text.
 END, START = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
 #: Word pairs that a task gathers before it sends them, and bytes of text scored at once.
 GATHERED, SCORED_BYTES = 3_000_000, 6 << 20
-
-
-# --- arrays in the shared folder ---------------------------------------------
-
-
-def _local(folder: str) -> str | None:
-    u = urlparse(folder)
-    return unquote(u.path) if u.scheme in ("", "file") else None
-
-
-def put(folder: str, name: str, array: np.ndarray) -> None:
-    """Writes an array whole or not at all; a task that runs again writes the same."""
-    if path := _local(folder):
-        os.makedirs(path, exist_ok=True)
-        part = f"{path}/.{name}-{uuid.uuid4().hex}"
-        array.tofile(part)
-        os.replace(part, f"{path}/{name}")
-        return
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    store.create_dir(path)
-    with store.open_output_stream(f"{path}/{name}") as f:
-        f.write(array.tobytes())
-
-
-@lru_cache(200_000)
-def get(folder: str, name: str, kind: str) -> np.ndarray:
-    """An array of the shared folder, mapped into memory. From a remote store, a worker maps its own copy."""
-    path = _local(folder)
-    if path is None:
-        from pyarrow import fs
-
-        store, remote = fs.FileSystem.from_uri(folder)
-        if store.get_file_info(f"{remote}/{name}").type == fs.FileType.NotFound:
-            return np.zeros(0, kind)
-        path = tempfile.mkdtemp()
-        with store.open_input_stream(f"{remote}/{name}") as src, open(f"{path}/{name}", "wb") as out:
-            while part := src.read(1 << 24):
-                out.write(part)
-    if not os.path.exists(f"{path}/{name}") or not os.path.getsize(f"{path}/{name}"):
-        return np.zeros(0, kind)  # a shard without rows
-    return np.memmap(f"{path}/{name}", kind, "r")
+#: Bytes of text that a shard of pairs stands for, shards at least and most, and shards of pairs for one of words.
+SHARD_BYTES, SHARDS, PAIRS_A_WORD = 16 << 20, (8, 1 << 20), 8
 
 
 # --- tokens ------------------------------------------------------------------
@@ -94,13 +50,12 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pair_key(before: np.ndarray, now: np.ndarray) -> np.ndarray:
-    """Key of a word pair; its leading 16 bits are the first word's, so keys sort by shard."""
-    top = np.uint64(0xFFFF << 48)
-    return (before & top) | (mix64(before * np.uint64(5) + now) >> np.uint64(16))
+    return mix64(mix64(before) * np.uint64(5) + now)
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> np.uint64(48)) * np.uint64(shards) >> np.uint64(16)).astype(np.int64)
+    """By the leading 32 bits, so that sorted keys are sorted by shard."""
+    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -134,6 +89,7 @@ class Model:
 
     folder: str
     shards: int
+    word_shards: int
     tokens: int
     words: int
     pairs: int
@@ -141,11 +97,12 @@ class Model:
     word_discounts: tuple[float, float, float]
     word_rest: float
 
-    def find(self, kind: str, key: np.ndarray, at: np.ndarray, fields: dict[str, str]) -> dict[str, np.ndarray]:
-        """The fields of sorted keys, 0 for those that the corpus lacks; at: the shard of each."""
-        out = {f: np.zeros(len(key), t) for f, t in fields.items()}
+    def find(self, kind: str, key: np.ndarray, shards: int, fields: tuple[str, ...]) -> dict[str, np.ndarray]:
+        """The counts of sorted keys, 0 for those that the corpus lacks."""
+        out = {f: np.zeros(len(key), np.int64) for f in fields}
         if not len(key):
             return out
+        at = shard_of(key, shards)
         cut = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             s = int(at[a])
@@ -154,27 +111,27 @@ class Model:
                 continue
             place = np.minimum(np.searchsorted(keys, key[a:b]), len(keys) - 1)
             hit = keys[place] == key[a:b]
-            for f, t in fields.items():
-                out[f][a:b][hit] = get(self.folder, f"{kind}-{s}-{f}", t)[place[hit]]
+            for f in fields:
+                out[f][a:b][hit] = get_counts(self.folder, f"{kind}-{s}-{f}", len(keys))[place[hit]]
         return out
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """Per text: tokens, known tokens, base score, model score."""
         before, now, first = tokens(texts)
         word, word_at = np.unique(now, return_inverse=True)
-        w = self.find("word", word, shard_of(word, self.shards), {"count": "u8", "after": "u4"})
+        w = self.find("word", word, self.word_shards, ("count", "after"))
         c = w["count"].astype(np.float64)
         base = np.log10((c + 1) / (self.tokens + 1 * (self.words + 1)))
         d = np.array([0.0, *self.word_discounts])[np.minimum(w["after"], 3)]
         low = (np.maximum(w["after"] - d, 0) / max(self.pairs, 1) + self.word_rest / (self.words + 1))[word_at]
         ctx, ctx_at = np.unique(before, return_inverse=True)
-        x = self.find("context", ctx, shard_of(ctx, self.shards), {"count": "u8", "n1": "u4", "n2": "u4", "n3": "u4"})
+        x = self.find("context", ctx, self.word_shards, ("count", "n1", "n2", "n3"))
         rest = sum(k * x[f] for k, f in zip(self.pair_discounts, ("n1", "n2", "n3"), strict=True))
         with np.errstate(divide="ignore", invalid="ignore"):
             rest = np.where(x["count"] > 0, rest / x["count"], 1.0)[ctx_at]
         total = np.maximum(x["count"], 1)[ctx_at].astype(np.float64)
-        key, one, at = np.unique(pair_key(before, now), return_index=True, return_inverse=True)
-        n = self.find("pair", key, shard_of(before[one], self.shards), {"count": "u4"})["count"]
+        key, at = np.unique(pair_key(before, now), return_inverse=True)
+        n = self.find("pair", key, self.shards, ("count",))["count"]
         n = (n - np.array([0.0, *self.pair_discounts])[np.minimum(n, 3)])[at]
         p = np.log10(np.maximum(n, 0) / total + rest * low)
         run = lambda v: (s := np.concatenate([[0.0], np.cumsum(v)]))[first[1:]] - s[first[:-1]]
@@ -194,26 +151,30 @@ def count_model(docs: DataFrame, text_col: str = "text", shards: int | None = No
     """Counts all texts of docs (null: empty, just an end) into a model in the shared folder."""
     spark = docs.sparkSession
     folder = new_path(spark, "lm")
-    shards = shards or min(1 << 16, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    size = int(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
+    shards = shards or min(SHARDS[1], max(SHARDS[0], -(-size // SHARD_BYTES)))
+    word_shards = max(1, min(4096, shards // PAIRS_A_WORD))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         n = 0
 
-        def send() -> pa.RecordBatch:
+        def send() -> Iterator[pa.RecordBatch]:
             before, now, count = (np.concatenate([h[k] for h in held]) for k in range(3))
-            _, one, (count,) = _summed(pair_key(before, now), count)
+            held.clear()
+            key, one, (count,) = _summed(pair_key(before, now), count)
             before, now = before[one], now[one]
-            order = np.argsort(before, kind="stable")
-            before, now, count = before[order], now[order], count[order]
-            s = shard_of(before, shards)
+            s = shard_of(key, shards)
             cut = np.concatenate([[0], np.flatnonzero(np.diff(s)) + 1, [len(s)]])
-            out = []
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                ctx, runs = np.unique(before[a:b], return_counts=True)
-                out.append(_pack(ctx, runs.astype(np.uint32), now[a:b], count[a:b].astype(np.uint32)))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(s[cut[:-1]], pa.int32()), pa.array(out, pa.binary())], ["shard", "blob"])
+            for part in range(0, len(cut) - 1, 256):
+                out = []
+                for a, b in zip(cut[part : part + 256], cut[part + 1 : part + 257], strict=False):
+                    # Words are sent once, pairs as their places, those of the first word as steps.
+                    word, at = np.unique(np.concatenate([before[a:b], now[a:b]]), return_inverse=True)
+                    x, y = at[: b - a], at[b - a :]
+                    order = np.lexsort((y, x))
+                    out.append(_pack(word, np.diff(x[order], prepend=0).astype(np.uint32), y[order].astype(np.uint32), count[a:b][order]))
+                yield pa.RecordBatch.from_arrays([pa.array(s[cut[part : part + len(out)]], pa.int32()), pa.array(out, pa.binary())], ["shard", "blob"])
 
         for b in batches:
             texts = text_bytes(b.column(0))
@@ -223,50 +184,56 @@ def count_model(docs: DataFrame, text_col: str = "text", shards: int | None = No
                 held.append((before[one], now[one], count))
                 n += len(one)
                 if n > GATHERED:
-                    yield send()
+                    yield from send()
                     n = 0
         if n:
-            yield send()
+            yield from send()
 
     def pairs(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        """A shard's pairs and contexts are written; each second word's gains go on to its own shard."""
-        got = [_unpack(x, "u8", "u4", "u8", "u4") for x in part["blob"]]
-        before = np.concatenate([np.repeat(g[0], g[1]) for g in got])
-        now, count = np.concatenate([g[2] for g in got]), np.concatenate([g[3] for g in got]).astype(np.int64)
+        """A shard's pairs are written; what each word gains goes on to its own shard."""
+        got = [_unpack(x, "u8", "u4", "u4", "i8") for x in part["blob"]]
+        before = np.concatenate([g[0][np.cumsum(g[1])] for g in got])
+        now, count = np.concatenate([g[0][g[2]] for g in got]), np.concatenate([g[3] for g in got])
         k, one, (count,) = _summed(pair_key(before, now), count)
         before, now = before[one], now[one]
         s = int(key[0])
-        put(folder, f"pair-{s}-key", k), put(folder, f"pair-{s}-count", count.astype(np.uint32))
+        put(folder, f"pair-{s}-key", k), put_counts(folder, f"pair-{s}-count", count)
         ctx, _, sums = _summed(before, count, *((count == x).astype(np.int64) for x in (1, 2)), (count > 2).astype(np.int64))
-        put(folder, f"context-{s}-key", ctx), put(folder, f"context-{s}-count", sums[0].astype(np.uint64))
-        for f, v in zip(("n1", "n2", "n3"), sums[1:], strict=True):
-            put(folder, f"context-{s}-{f}", v.astype(np.uint32))
-        w, _, (c, after) = _summed(now, count, np.ones(len(now), np.int64))
-        to = shard_of(w, shards)
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]])
-        out = pd.DataFrame({"shard": to[cut[:-1]].astype(np.int32), "blob": [_pack(w[a:b], c[a:b].astype(np.uint32), after[a:b].astype(np.uint32)) for a, b in zip(cut[:-1], cut[1:], strict=True)]})
+        w, _, gains = _summed(now, count, np.ones(len(now), np.int64))
+        at, to = shard_of(ctx, word_shards), shard_of(w, word_shards)
+        rows = []
+        for z in np.union1d(at, to).tolist():
+            a, b, c, d = np.searchsorted(at, z), np.searchsorted(at, z, "right"), np.searchsorted(to, z), np.searchsorted(to, z, "right")
+            rows.append((z, _pack(w[c:d], *(v[c:d] for v in gains), ctx[a:b], *(v[a:b] for v in sums))))
+        out = pd.DataFrame(rows, columns=["shard", "blob"]).astype({"shard": np.int32})
         for x in (1, 2, 3, 4):
             out[f"p{x}"] = np.where(np.arange(len(out)) == 0, int((count == x).sum()), 0)
         return out
 
     def words(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        got = [_unpack(x, "u8", "u4", "u4") for x in part["blob"]]
-        w, _, (count, after) = _summed(np.concatenate([g[0] for g in got]), *(np.concatenate([g[k] for g in got]).astype(np.int64) for k in (1, 2)))
+        got = [_unpack(x, "u8", "i8", "i8", "u8", "i8", "i8", "i8", "i8") for x in part["blob"]]
+        every = [np.concatenate([g[k] for g in got]) for k in range(8)]
+        w, _, (count, after) = _summed(every[0], *every[1:3])
+        ctx, _, sums = _summed(every[3], *every[4:])
         s = int(key[0])
-        put(folder, f"word-{s}-key", w), put(folder, f"word-{s}-count", count.astype(np.uint64)), put(folder, f"word-{s}-after", after.astype(np.uint32))
+        put(folder, f"word-{s}-key", w), put_counts(folder, f"word-{s}-count", count), put_counts(folder, f"word-{s}-after", after)
+        put(folder, f"context-{s}-key", ctx)
+        for f, v in zip(("count", "n1", "n2", "n3"), sums, strict=True):
+            put_counts(folder, f"context-{s}-{f}", v)
         row = {"shard": s, "words": len(w), "tokens": int(count.sum()), "pairs": int(after.sum())}
         row |= {f"p{x}": int(part[f"p{x}"].sum()) for x in (1, 2, 3, 4)} | {f"w{x}": int((after == x).sum()) for x in (1, 2, 3, 4)}
         return pd.DataFrame([row])
 
     sent = docs.select(F.col(text_col).alias("text")).mapInArrow(gather, "shard int, blob binary")
-    gains = sent.groupBy("shard").applyInPandas(pairs, "shard int, blob binary, p1 long, p2 long, p3 long, p4 long")
+    # As many partitions as shards, so that a task's part stays as large as a shard.
+    gains = sent.repartition(shards, "shard").groupBy("shard").applyInPandas(pairs, "shard int, blob binary, p1 long, p2 long, p3 long, p4 long")
     names = ["words", "tokens", "pairs", *(f"{x}{k}" for x in "pw" for k in (1, 2, 3, 4))]
-    rows = gains.groupBy("shard").applyInPandas(words, "shard int, " + ", ".join(f"{n} long" for n in names)).collect()
-    total = {n: sum(r[n] for r in rows) for n in names}
+    found = gains.repartition(word_shards, "shard").groupBy("shard").applyInPandas(words, "shard int, " + ", ".join(f"{n} long" for n in names))
+    total = {n: v or 0 for n, v in found.agg(*[F.sum(n).alias(n) for n in names]).first().asDict().items()}
     wd = discounts(*(total[f"w{k}"] for k in (1, 2, 3, 4)))
     more = total["words"] - total["w1"] - total["w2"]
     rest = (wd[0] * total["w1"] + wd[1] * total["w2"] + wd[2] * more) / total["pairs"] if total["pairs"] else 1.0
-    return Model(folder, shards, total["tokens"], total["words"], total["pairs"], discounts(*(total[f"p{k}"] for k in (1, 2, 3, 4))), wd, rest)
+    return Model(folder, shards, word_shards, total["tokens"], total["words"], total["pairs"], discounts(*(total[f"p{k}"] for k in (1, 2, 3, 4))), wd, rest)
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,7 +241,8 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     Scores are log10 probabilities of the whole lower-cased text and its end. A
     null text counts as empty: its end alone. Other columns are ignored,
-    repeated rows give repeated results, an empty table an empty one.
+    repeated rows give repeated results, an empty table an empty one. A very long
+    text is scored as a block of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,7 +73,8 @@ _CARD = r"(?<![\d+])(?:\d{4}(?:-\d{4}){3}|\d{4}(?: \d{4}){3}|\d{4}-\d{6}-\d{5}|\
 PATTERNS["card"] = rf"{_CARD[:-6]}(?:[ -]\d{{3}})?(?!\d)|(?<![\d+])(?:\d(?:[ -](?!{_OTHERS}|{_CARD}))?){{12,18}}\d(?!\d)"
 # What begins with a digit, a plus or a bracket is looked for only there.
 _NUMBERS = rf"{_OTHERS}|(?:{PATTERNS['card']})"
-PATTERN = f"{PATTERNS['email']}|(?=[0-9+(])(?:{_NUMBERS})|(?:{PATTERNS['secret']})|{PATTERNS['person']}"
+# A secret may begin with digits that look like a card.
+PATTERN = f"{PATTERNS['email']}|(?:{PATTERNS['secret']})|(?=[0-9+(])(?:{_NUMBERS})|{PATTERNS['person']}"
 #: The same, or any word that may be a name.
 WITH_NAMES = rf"{PATTERN}|(?<![\p{{L}}\p{{N}}]){_NAME}"
 #: What may stand before an address and is no part of it.
@@ -246,7 +247,8 @@ def pseudonymise(docs: DataFrame, key: str = "zonehour", text_col: str = "text")
     Equal entities get equal surrogates in all rows, unlike ones unlike
     surrogates, and the same key gives the same result for the same table. A null
     text stays null with 0 entities; texts without entities stay as they are.
-    Numbers that only look like a card (wrong check digit) are no entity; what is
+    Numbers that only look like a card (wrong check digit) are no entity, nor is
+    a secret of 13 to 19 digits and nothing else that is none; what is
     written like a phone, an address or a social security number is that, and
     never a part of a card. A phone number is the same with and without the
     country code +1. Where a name with a form of address is found, its words are
