@@ -9,9 +9,10 @@ the target recall. What is found is verified by exact edit distance, free at
 both ends.
 
 Only windows that can hold a match are embedded: within the edits allowed, an
-item of n words keeps n - 1 - 2 * edits of its word pairs, so that a stretch
-with fewer pairs of the benchmark has none. That check loses no match and knows
-neither the item nor the place, which the tables find.
+item of n words keeps n - 1 - 2 * edits of its word pairs and n - 2 - 3 * edits
+of its triples, so that a stretch with fewer of the benchmark's has none. That
+check loses no match and knows neither the item nor the place, which the tables
+find.
 
 The benchmark is dealt out to shards of ITEM_BYTES, each written as arrays to the
 shared folder by a task of its own and mapped by the workers, so that documents
@@ -36,7 +37,7 @@ from zonehour.llm.arrays import get, put
 from zonehour.llm.common import Words, blocks, gram_hash, mix64, new_path
 
 #: Walks, tables of each, and sampled places of a table.
-WALKS, TABLES, PLACES = 12, 6, 2
+WALKS, TABLES, PLACES = 8, 5, 2
 #: Bytes of items of a shard, on average, and windows that are embedded at once.
 ITEM_BYTES, EMBEDDED = 8 << 20, 2048
 #: Sizes that one look for possible windows stands for, as a factor.
@@ -77,9 +78,9 @@ def edits_allowed(size: np.ndarray | int, similarity: float) -> np.ndarray:
 
 @lru_cache(4096)
 def _sampled(size: int) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
-    """Which tables of which walks sample a step, of walks through `size` words, which take some two steps a word."""
+    """Which tables of which walks sample a step. Walks through `size` words take some two steps a word; the last ones, most often out of step, are not sampled."""
     u = mix64(np.arange(1, WALKS * TABLES * PLACES + 1, dtype=np.uint64) * _ODD).astype(np.float64) / 2.0**64
-    step = np.sort((u.reshape(WALKS, TABLES, PLACES) * 2 * size).astype(np.int64), axis=2)
+    step = np.sort((u.reshape(WALKS, TABLES, PLACES) * 1.5 * size).astype(np.int64), axis=2)
     out: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for p in range(PLACES):
         for j in np.unique(step[:, :, p]).tolist():
@@ -115,10 +116,9 @@ def _write(folder: str, shard: int, texts: list[str]) -> None:
     words = Words([normal(t) for t in texts])
     size = np.diff(words.first)
     h = words.hash
-    inside = np.ones(max(len(h) - 1, 0), bool)
-    last = words.first[1:-1]
-    inside[last[(last > 0) & (last < len(h))] - 1] = False
-    pairs = np.unique(np.concatenate([gram_hash(h, 2)[inside] if len(h) > 1 else h[:0], mix64(h[words.first[:-1][size == 1]])]))
+    owner = np.repeat(np.arange(len(texts)), size)
+    within = lambda n: np.unique(gram_hash(h, n)[owner[: len(h) - n + 1] == owner[n - 1 :]]) if len(h) >= n else h[:0]
+    pairs = np.unique(np.concatenate([within(2), mix64(h[words.first[:-1][size == 1]])]))
     keys, items = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
     for m in np.unique(size[size > 0]).tolist():
         of = np.flatnonzero(size == m)
@@ -127,7 +127,7 @@ def _write(folder: str, shard: int, texts: list[str]) -> None:
             keys.append(k.ravel()), items.append(np.repeat(of[a : a + EMBEDDED], k.shape[1]).astype(np.uint32))
     key, item = np.concatenate(keys), np.concatenate(items)
     order = np.argsort(key, kind="stable")
-    put(folder, f"{shard}-word", h), put(folder, f"{shard}-first", words.first.astype(np.int64)), put(folder, f"{shard}-pair", pairs)
+    put(folder, f"{shard}-word", h), put(folder, f"{shard}-first", words.first.astype(np.int64)), put(folder, f"{shard}-pair", pairs), put(folder, f"{shard}-triple", within(3))
     put(folder, f"{shard}-key", key[order]), put(folder, f"{shard}-item", item[order])
 
 
@@ -159,29 +159,36 @@ class Index:
             return []
         pair, key, item_of = get(self.folder, f"{s}-pair", "u8"), get(self.folder, f"{s}-key", "u8"), get(self.folder, f"{s}-item", "u4")
         doc_of = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
-        begin, end = words.first[:-1][doc_of], words.first[1:][doc_of]
+        end = words.first[1:][doc_of]
         place = np.arange(len(h))
-        known = np.zeros(len(h) + 1, np.int64)
-        g = np.append(gram_hash(h, 2), np.uint64(0)) if len(h) > 1 else np.zeros(1, np.uint64)
-        known[1:] = np.cumsum(_within(g, pair) & (place + 1 < end))
+        known = {}
+        for n, grams in ((2, pair), (3, get(self.folder, f"{s}-triple", "u8"))):
+            g = gram_hash(h, n)
+            known[n] = np.zeros(len(h) + 1, np.int64)
+            known[n][1 : len(g) + 1] = np.cumsum(_within(g, grams) & (place[: len(g)] + n - 1 < end[: len(g)]))
+            known[n][len(g) + 1 :] = known[n][len(g)]
         alone = _within(mix64(h), pair) if sizes[0] == 1 else None
         out: dict[tuple[int, int], Hit] = {}
         lo = 0
         while lo < len(sizes):
             hi = int(np.searchsorted(sizes, max(int(sizes[lo] * CLASS), int(sizes[lo])), "right"))
-            some = self._possible(known, place, begin, end, int(sizes[lo]), int(sizes[hi - 1]))
+            some = self._possible(known, place, end, int(sizes[lo]), int(sizes[hi - 1]))
             for m in sizes[lo:hi].tolist():
-                start = np.flatnonzero(alone) if m == 1 else some[self._possible(known, some, begin[some], end[some], m, m, True)]
+                start = np.flatnonzero(alone) if m == 1 else some[self._possible(known, some, end[some], m, m, True)]
                 self._look_up(words, doc_of, start, np.minimum(start + m, end[start]), m, key, item_of, s, first, out)
             lo = hi
         return sorted(out.values(), key=lambda x: (x.doc, x.item))
 
-    def _possible(self, known, place, begin, end, least: int, most: int, mask: bool = False) -> np.ndarray:
-        """Places where a window of an item of `least` to `most` words may begin that has a match: enough pairs are near."""
-        k = int(edits_allowed(most, self.similarity))
-        need = max(1, int((np.arange(least, most + 1) - 1 - 2 * edits_allowed(np.arange(least, most + 1), self.similarity)).min()))
-        near = known[np.minimum(place + most + k - 1, end - 1)] - known[np.maximum(place - k, begin)] if most > 1 else np.zeros(len(place))
-        ok = (near >= need) & (place + least - k <= end)
+    def _possible(self, known: dict, place, end, least: int, most: int, mask: bool = False) -> np.ndarray:
+        """Places where a window of an item of `least` to `most` words may begin that has a match: enough pairs and triples are near."""
+        size = np.arange(least, most + 1)
+        k = edits_allowed(size, self.similarity)
+        ok = place + least - int(k[-1]) <= end
+        lo, hi = place, np.minimum(place + most + int(k[-1]), end)
+        for n, count in known.items():
+            need = int((size - n + 1 - n * k).min())
+            if need > 0 and most >= n:
+                ok &= count[np.maximum(hi - n + 1, lo)] - count[lo] >= need
         return ok if mask else place[ok]
 
     def _look_up(self, words: Words, doc_of, start, end, m: int, key, item_of, s: int, first, out: dict) -> None:
@@ -205,8 +212,11 @@ class Index:
         all_words = get(self.folder, f"{s}-word", "u8")
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             i, d = int(item[a]), int(doc[a])
-            it = all_words[first[i] : first[i + 1]]
+            it = np.array(all_words[first[i] : first[i + 1]])
             x, y = max(int(at[a]) - most, int(words.first[d])), min(int(at[b - 1]) + m + most, int(words.first[d + 1]))
+            # A match keeps all of the item's words but for the edits.
+            if np.isin(it, h[x:y]).sum() < m - most:
+                continue
             edits, stop = edits_within(it, h[x:y])
             if edits > most:
                 continue

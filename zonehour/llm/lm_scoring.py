@@ -225,10 +225,19 @@ def count_model(docs: DataFrame, text_col: str = "text", shards: int | None = No
         return pd.DataFrame([row])
 
     sent = docs.select(F.col(text_col).alias("text")).mapInArrow(gather, "shard int, blob binary")
-    # As many partitions as shards, so that a task's part stays as large as a shard.
-    gains = sent.repartition(shards, "shard").groupBy("shard").applyInPandas(pairs, "shard int, blob binary, p1 long, p2 long, p3 long, p4 long")
+    # A partition is a shard, so that a task's part stays as large as one.
+    def whole(write):
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = list(parts)
+            part = pd.concat(held, ignore_index=True) if held else pd.DataFrame({"shard": []})
+            for s in sorted(set(part["shard"])):
+                yield write((s,), part[part["shard"] == s])
+
+        return run
+
+    gains = sent.repartitionById(shards, F.col("shard")).mapInPandas(whole(pairs), "shard int, blob binary, p1 long, p2 long, p3 long, p4 long")
     names = ["words", "tokens", "pairs", *(f"{x}{k}" for x in "pw" for k in (1, 2, 3, 4))]
-    found = gains.repartition(word_shards, "shard").groupBy("shard").applyInPandas(words, "shard int, " + ", ".join(f"{n} long" for n in names))
+    found = gains.repartitionById(word_shards, F.col("shard")).mapInPandas(whole(words), "shard int, " + ", ".join(f"{n} long" for n in names))
     total = {n: v or 0 for n, v in found.agg(*[F.sum(n).alias(n) for n in names]).first().asDict().items()}
     wd = discounts(*(total[f"w{k}"] for k in (1, 2, 3, 4)))
     more = total["words"] - total["w1"] - total["w2"]
