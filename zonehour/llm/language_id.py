@@ -24,6 +24,8 @@ from zonehour.llm.common import blocks
 BUCKETS = 4096
 #: Labelled rows that the bits are learned from at most, over all languages.
 SAMPLE_ROWS = 2_400
+#: Texts whose counts are held at once.
+ROWS = 256
 UNDETERMINED = "und"
 
 _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -33,7 +35,7 @@ def features(texts: list[str]) -> np.ndarray:
     """Square roots of the shares of hashed 1- to 3-byte n-grams of the lower-cased letters, a row per text."""
     raw = [x.lower().encode("utf-8", "replace").translate(_LETTERS) for x in texts]
     out = np.zeros((len(raw), BUCKETS), np.float32)
-    for a, b in blocks([len(x) for x in raw]):
+    for a, b in blocks([len(x) for x in raw], rows=ROWS):
         part = raw[a:b]
         # With blanks around each text, no n-gram reaches from one into the next.
         buf = np.frombuffer(b"".join(b" " + x + b"  " for x in part) + b"  ", np.uint8).astype(np.uint32)
@@ -120,13 +122,13 @@ def fit(texts: list[str], langs: list[str], steps: int = 150) -> Model:
 
 
 def learn(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """A model from a sample of the learnable rows: per language those of the least id hashes, sample_rows in all at most.
+    """A model from a sample of the learnable rows: per language those of the least id hashes, sample_rows in all at most, or one of each language if these are more.
 
     None if no row has both a text and a language.
     """
     x = docs.where(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     x = x.select(F.col(lang_col).alias("lang"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
-    langs = x.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample_rows).collect()
+    langs = x.groupBy("lang").count().orderBy("lang").collect()  # a row per language
     if not langs:
         return None
     each = max(1, sample_rows // len(langs))
@@ -152,8 +154,10 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", ambig
     """docs with lang_pred, score (0 to 1) and ambiguous; columns of these names give way.
 
     A text that is null or has no letter is `und` with score 0, not ambiguous;
-    so is every text if nothing could be learned. Whole texts are used, all other
-    columns are only passed on.
+    so is every text if nothing could be learned. Of languages that are equally
+    near, the first by name is taken. Whole texts are used, however long; repeated
+    rows have a result each, an empty table gives an empty one; all other columns
+    are only passed on.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
     schema = docs.select(*kept).schema
@@ -163,7 +167,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", ambig
             use = b.column(len(kept)).to_numpy(zero_copy_only=False).astype(bool)
             texts = b.column(kept.index(text_col)).filter(pa.array(use)).to_pylist()
             pick, score, gap = (np.empty(len(texts), t) for t in (int, float, float))
-            for i, j in blocks([len(t) for t in texts]):
+            for i, j in blocks([len(t) for t in texts], rows=ROWS):
                 pick[i:j], score[i:j], gap[i:j] = model.decode(features(texts[i:j]))
             lang = np.full(b.num_rows, UNDETERMINED, object)
             lang[use] = np.array(model.langs, object)[pick]

@@ -70,7 +70,7 @@ class Model:
 
 
 def fit(texts: list[bytes], labels: np.ndarray, dim: int = 16, epochs: int = 6, rate: float = 1.5, seed: int = 11) -> Model:
-    """Vectors and output layer by stochastic gradient descent, one document at a time."""
+    """Vectors and output layer by stochastic gradient descent, one document at a time. The bias is the labels' log odds."""
     labels = np.asarray(labels).astype(int)
     prior = np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)) if len(labels) else 0.0
     if not len(labels) or labels.min() == labels.max():
@@ -128,7 +128,9 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """(id, score, predicted) of every row: score is the belief in label 1, predicted whether it reaches the threshold.
 
-    A null text counts as empty and gets the prior's score.
+    A null text counts as empty and gets the score of the bias alone. Repeated
+    rows have a result each, an empty table gives an empty one, very long texts are
+    scored whole, other columns are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

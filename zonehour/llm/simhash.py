@@ -2,8 +2,9 @@
 
 A text's fingerprint has a bit set where more than half of its shingle hashes
 have it. Two fingerprints link at `radius` differing bits or fewer. By the
-pigeonhole principle such a pair agrees on one of radius + 1 bit fields, so the
-distinct fingerprints are dealt out by (field, value). Within such a group they
+pigeonhole principle such a pair agrees on two of radius + 2 bit fields, so the
+distinct fingerprints are dealt out by (two fields, their values): of radius 3
+by some 26 bits. Within such a group they
 are cut into tiles by population count, since a pair within the radius cannot
 differ in that by more; tile pairs beyond it are skipped, the others are
 compared whole, by numpy exclusive-or and bit counts. A tile pair gives at most
@@ -13,6 +14,7 @@ a spanning forest of links, never all pairs of a group.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -241,9 +243,11 @@ def _dealt(rows: DataFrame, radius: int) -> DataFrame:
 
 def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     """fps(fp), distinct -> (a, b): links between fingerprints whose components are those of all pairs within the radius."""
-    fields = radius + 1
-    width = 64 // fields
-    parts = [F.xxhash64(F.lit(k), F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << (width if k < fields - 1 else 64 - k * width)) - 1))) for k in range(fields)]
+    fields = radius + 2
+    at = [64 * k // fields for k in range(fields + 1)]
+    masks = [((1 << at[k + 1]) - (1 << at[k])) for k in range(fields)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    parts = [F.xxhash64(F.lit(i * fields + j), F.col("fp").bitwiseAND(F.lit(signed(masks[i] | masks[j])))) for i, j in combinations(range(fields), 2)]
     # The bytes of a signed number, smallest first, as the comparison reads them.
     raw = F.reverse(F.array(*[F.substring(F.unhex(F.lpad(F.hex("fp"), 16, "0")), k, 1) for k in range(1, 9)]))
     return _dealt(fps.select(F.col("fp").alias("node"), F.concat(*[raw[k] for k in range(8)]).alias("fp"), F.explode(F.array(*parts)).alias("key")), radius)
@@ -426,7 +430,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Wide fingerprints find candidates; the similarity that counts is that of the
     whole sets of shingles. The row of the smallest id stays, once if it is
     repeated; a group without any id keeps one of its rows. Texts without words
-    are a group.
+    are a group. Very long texts are compared whole; an empty table gives an empty
+    one; all columns are passed on as they are, whatever their names.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     fps = staged(_with_wide(texts, words), "simhash-wide")
