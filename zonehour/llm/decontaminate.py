@@ -104,7 +104,8 @@ def embedded(words: np.ndarray, start: np.ndarray, end: np.ndarray, size: int) -
         word = np.where(place < end[:, None], words[np.minimum(place, len(words) - 1)], np.uint64(0))
         for w, t in picks.get(j, ()):
             key[:, w, t] = mix64(key[:, w, t] * np.uint64(3) + word[:, w])
-        at += (mix64(word + mix64(walk + np.uint64(j))) & np.uint64(1)).astype(np.int64)
+        # Words are hashes, so that the top bit of a product is as good a coin as any.
+        at += ((word * (mix64(walk + np.uint64(j)) | np.uint64(1))) >> np.uint64(63)).view(np.int64)
     return key.reshape(len(start), -1)
 
 
