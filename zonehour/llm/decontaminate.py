@@ -95,17 +95,16 @@ def embedded(words: np.ndarray, start: np.ndarray, end: np.ndarray, size: int) -
     on the step and the word; it gives the word that it was on. Memory is that of
     the keys.
     """
-    at = np.zeros((len(start), WALKS), np.int64)
+    place = np.repeat(start.astype(np.int64)[:, None], WALKS, axis=1)
     key = np.full((len(start), WALKS, TABLES), size, np.uint64) + np.arange(WALKS * TABLES, dtype=np.uint64).reshape(WALKS, TABLES) * np.uint64(1 << 32)
     picks = _sampled(size)
     walk = np.arange(1, WALKS + 1, dtype=np.uint64) << np.uint64(32)
     for j in range(max(picks) + 1):
-        place = start[:, None] + at
-        word = np.where(place < end[:, None], words[np.minimum(place, len(words) - 1)], np.uint64(0))
+        word = words.take(place, mode="clip") * (place < end[:, None])
         for w, t in picks.get(j, ()):
             key[:, w, t] = mix64(key[:, w, t] * np.uint64(3) + word[:, w])
         # Words are hashes, so that the top bit of a product is as good a coin as any.
-        at += ((word * (mix64(walk + np.uint64(j)) | np.uint64(1))) >> np.uint64(63)).view(np.int64)
+        place += ((word * (mix64(walk + np.uint64(j)) | np.uint64(1))) >> np.uint64(63)).view(np.int64)
     return key.reshape(len(start), -1)
 
 
