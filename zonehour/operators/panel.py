@@ -25,9 +25,9 @@ def trip_rules(df: DataFrame, start: str, end: str, fare: str | None = "fare_amo
     return rules
 
 
-def clean_trips(df: DataFrame, start: str, end: str, fare: str | None = "fare_amount") -> DataFrame:
+def clean_trips(df: DataFrame, start: str, end: str, fare: str | None = "fare_amount", distance: str | None = "trip_distance") -> DataFrame:
     """Trips that meet the rules, with their minutes; passenger counts other than 1 to 9 become NULL."""
-    x = quality_filter(df, trip_rules(df, start, end, fare))
+    x = quality_filter(df, trip_rules(df, start, end, fare, distance))
     x = x.withColumn("duration_min", duration_min(F.col("pickup_datetime"), F.col("dropoff_datetime")))
     return x.withColumn("passenger_count", null_outside(F.col("passenger_count"), 1, 9).cast("byte")) if "passenger_count" in x.columns else x
 

@@ -223,3 +223,10 @@ def nested_json(df: DataFrame, keys: Sequence[str], value: str, doc: str = "doc"
         entry = F.struct(F.col(keys[depth]).alias("key"), F.col("v").alias("value"))
         x = x.groupBy(*keys[:depth]).agg(F.map_from_entries(F.array_sort(F.collect_list(entry), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))).alias("v"))
     return x.select(keys[0], F.to_json("v").alias(doc))
+
+
+def route_triples(routes: DataFrame, keys: Sequence[str], o: str, d: str, n: str, triples: str = "triples") -> DataFrame:
+    """One row per keys with an array of [o, d, n], the largest n first, ties by o and d. A group is at most all pairs of zones."""
+    t = F.struct((-F.col(n)).alias("v"), F.col(o).alias("o"), F.col(d).alias("d"))
+    listed = F.transform(F.array_sort(F.collect_list(t)), lambda r: F.array(r["o"].cast("long"), r["d"].cast("long"), -r["v"].cast("long")))
+    return routes.groupBy(*keys).agg(listed.alias(triples))

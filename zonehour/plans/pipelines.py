@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonehour.functions.clean import map_values, null_if_in, safe_share, try_num, whitelist
@@ -15,12 +15,32 @@ from zonehour.operators import flows as fl
 from zonehour.operators import panel as pn
 from zonehour.operators import spatial as sp
 from zonehour.operators.tables import Rule, conform, quality_filter
-from zonehour.schemas import BIKE_TRIP, MEMBERS, RIDEABLES
+from zonehour.schemas import BIKE_TRIP, MEMBERS, MODES, RIDEABLES, panel_schema, trip_schema
+from zonehour.sources.files import read_trips
 
 #: Codes that stand for a missing census figure.
 CENSUS_MISSING = (-666666666, -888888888, -222222222, -333333333, -555555555)
 
 
+def clean_mode(spark: SparkSession, paths: Sequence[str], mode: str, start: str, end: str) -> DataFrame:
+    """A mode's raw files, one path per schema generation -> its clean trips in their canonical schema.
+
+    Rules on distance and fare hold where the mode records these.
+    """
+    m = MODES[mode]
+    raw = read_trips(spark, paths, mode, start, end)
+    return conform(pn.clean_trips(raw, start, end, m.fare, "trip_distance" if m.distance else None), trip_schema(mode))
+
+
+def mode_panel(trips: DataFrame, mode: str) -> DataFrame:
+    """A mode's clean trips -> its zone-hour panel in its canonical schema; ride-hail trips by provider."""
+    m = MODES[mode]
+    x = pn.with_panel_keys(trips, F.lit(mode in ("yellow", "green")))
+    x = pn.with_provider(x) if mode == "hvfhv" else x
+    panel = pn.zone_hour_panel(x, fares=m.fares, distance="trip_distance" if m.distance else None, street_hail="trip_type" if mode == "green" else None)
+    return conform(panel, panel_schema(mode))
+
+
 def clean_entries(df: DataFrame, start: str, end: str, mode: str = "subway") -> DataFrame:
     """Raw station entries -> (station, date, hour, fare_class, ridership, lat, lng), summed over the whole table."""
     ts = parse_ts(F.col("transit_timestamp"), "MM/dd/yyyy hh:mm:ss a")

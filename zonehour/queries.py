@@ -528,7 +528,18 @@ def _(v):
     return x.select("event_id", F.to_date("ts").alias("date"), F.hour("ts").alias("hour"))
 
 
-@query("dat_local_to_utc")
+def _utc_sql(local: str, even: str) -> str:
+    """New York wall time of the two days of 2021 when its clock changes as UTC: an hour skipped, an hour seen twice."""
+    spring = f"CASE WHEN hour({local}) < 2 THEN {local} + INTERVAL 5 HOUR WHEN hour({local}) > 2 THEN {local} + INTERVAL 4 HOUR END"
+    autumn = f"CASE WHEN hour({local}) < 1 THEN {local} + INTERVAL 4 HOUR WHEN hour({local}) > 1 THEN {local} + INTERVAL 5 HOUR END"
+    return f"CASE WHEN {even} THEN {spring} ELSE {autumn} END"
+
+
+_LOCAL = ", wall AS (SELECT *, (CASE WHEN event_id % 2 = 0 THEN DATE '2021-03-14' ELSE DATE '2021-11-07' END) + CAST(date_trunc('second', ts) AS TIME) AS local FROM weather)"
+_STAMP = "'%Y-%m-%d %H:%M:%S'"
+
+
+@query("dat_local_to_utc", _LOCAL + f" SELECT {B('event_id')} AS event_id, strftime(local, {_STAMP}) AS local, strftime({_utc_sql('local', 'event_id % 2 = 0')}, {_STAMP}) AS utc FROM wall")
 def _(v):
     x = v.events.select("event_id", F.to_timestamp_ntz(F.concat_ws(" ", F.when(F.col("event_id") % 2 == 0, "2021-03-14").otherwise("2021-11-07"), F.date_format("ts", "HH:mm:ss"))).alias("local"))
     u = ft.local_to_utc_strict(F.col("local"), "America/New_York")
@@ -559,7 +570,7 @@ def _(v):
     return v.weather.select("event_id", *[f(F.col(c)).alias(n) for n, (c, f) in fw.REPORT.items()])
 
 
-@query("pip8_clean_weather")
+@query("pip8_clean_weather", _LOCAL + f", u AS (SELECT *, {_utc_sql('local', 'event_id % 2 = 0')} AS at_utc FROM wall WHERE trim(REPORT_TYPE) IN ('FM-15', 'FM-16')) SELECT STATION, strftime(at_utc, {_STAMP}) AS at, {_PK} FROM u WHERE at_utc IS NOT NULL")
 def _(v):
     x = v.weather.withColumn("DATE", F.concat(F.when(F.col("event_id") % 2 == 0, "2021-03-14").otherwise("2021-11-07"), F.date_format("ts", "'T'HH:mm:ss")))
     return pp.clean_weather(x.drop("ts")).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
@@ -951,3 +962,6 @@ def _(v):
     source, glob = (f"{v.dir}/{single}", None) if files.is_folder(v.spark, f"{v.dir}/{single}") else (v.dir, single)
     ingest_available(v.spark, source, f"{at}/out", schema, f"{at}/state", lambda d: d.where("value > 100"), glob=glob).awaitTermination()
     return v.spark.read.schema(schema).parquet(f"{at}/out").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+from zonehour import queries_files  # noqa: E402, F401 - registers the queries that write and read files

@@ -87,6 +87,38 @@ def read_csv_generations(spark: SparkSession, paths: Sequence[str], aliases: Map
     return out
 
 
+def read_lookup(spark: SparkSession, path: Sequence[str] | str) -> DataFrame:
+    """A small CSV with a header whose types are inferred, which reads it twice. What is large has a schema."""
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+
+
+def csv_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, header) of the CSV files below a path: the header as an array of names; empty files have none.
+
+    One scan of text, of which only the first row of each file's first block leaves its task.
+    """
+    x = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file_name"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("k"))
+    first = x.where("at = 0").groupBy("file_name").agg(F.min_by("value", "k").alias("header"))
+    return first.select("file_name", F.transform(F.split("header", ","), lambda c: F.trim(F.btrim(c, F.lit('"')))).alias("header"))
+
+
+def header_generation(header: Column) -> Column:
+    """Which generation of bike files a header belongs to: old, new or unknown; case doesn't matter, and old goes first."""
+    names = F.transform(header, lambda c: F.lower(c))
+
+    def has(*any_of: str) -> Column:
+        return F.arrays_overlap(names, F.array(*map(F.lit, any_of)))
+
+    return F.when(has("tripduration", "start station id"), "old").when(has("started_at", "start_lat"), "new").otherwise("unknown")
+
+
+def generation_changes(headers: DataFrame, by: Sequence[str] = (), name: str = "file_name") -> DataFrame:
+    """Adds generation, and changed: whether it differs from that of the file before; a first file doesn't. A row per file, so that windows are small."""
+    x = headers.withColumn("generation", header_generation(F.col("header")))
+    before = F.lag("generation").over(W.partitionBy(*by).orderBy(name))
+    return x.withColumn("changed", F.coalesce(before != F.col("generation"), F.lit(False)))
+
+
 def table_from_header_json(df: DataFrame, col: str, names: Sequence[str]) -> DataFrame:
     """JSON arrays whose first row is the header -> a row per data row, the named columns as text.
 
