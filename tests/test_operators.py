@@ -148,3 +148,17 @@ def test_entries_pipeline(spark):
     df = spark.createDataFrame(rows, "transit_timestamp string, transit_mode string, station_complex_id string, fare_class_category string, ridership double, latitude double, longitude double")
     r = pp.clean_entries(df, "2024-01-01", "2024-12-31").collect()
     assert [(x.station, x.hour, x.ridership, x.lat) for x in r] == [("TRAM1", 13, 7.0, 41.0)]
+
+
+def test_approximate_quantiles_are_near_the_exact_ones(spark):
+    qs = (0.05, 0.25, 0.5, 0.75, 0.95)
+    x = spark.range(200_000).selectExpr("cast(id * 7919 % 200000 as double) as v", "id % 2 as g")
+    r = x.groupBy("g").agg(an.quantiles("v", qs).alias("exact"), an.quantiles("v", qs, exact=False, accuracy=1000).alias("near")).collect()
+    # The rank is off by a 1000th of the group at most; values of a group are two apart.
+    assert all(abs(a - b) <= 2 * 100_000 / 1000 + 2 for row in r for a, b in zip(row.exact, row.near))
+
+
+def test_route_triples_order_and_ties(spark):
+    x = spark.createDataFrame([("a", 1, 2, 5), ("a", 1, 1, 5), ("a", 3, 3, 9), ("b", 1, 1, 1)], "m string, o int, d int, n int")
+    got = {r.m: r.triples for r in an.route_triples(x, ["m"], "o", "d", "n").collect()}
+    assert got == {"a": [[3, 3, 9], [1, 1, 5], [1, 2, 5]], "b": [[1, 1, 1]]}

@@ -95,3 +95,19 @@ def test_hourly_counts_of_a_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("hours").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.trip_count for r in spark.table("hours").collect()) == [1, 2] == sorted(r.trip_count for r in hourly_counts(df).collect())
+
+
+def test_header_generations(spark, tmp_path):
+    for name, text in (("a", 'TripDuration,"Start Time"\n1,x\n'), ("b", "start station id,started_at\n1,x\n"), ("c", "ride_id,START_LAT\n1,2\n"), ("d", "p,q\n1,2\n"), ("e", "")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    heads = files.csv_headers(spark, str(tmp_path))
+    got = sorted((r.file_name[-5], r.header, r.generation, r.changed) for r in files.generation_changes(heads).collect())
+    # A file without a row has no header; a column of the old files goes before one of the new.
+    assert got == [("a", ["TripDuration", "Start Time"], "old", False), ("b", ["start station id", "started_at"], "old", False), ("c", ["ride_id", "START_LAT"], "new", True), ("d", ["p", "q"], "unknown", True)]
+
+
+def test_lookup_types_are_inferred(spark, tmp_path):
+    (tmp_path / "z.csv").write_text("id,name,share\n1,x,0.5\n2,,\n")
+    x = files.read_lookup(spark, f"{tmp_path}/z.csv")
+    assert x.dtypes == [("id", "int"), ("name", "string"), ("share", "double")]
+    assert sorted(map(tuple, x.collect()), key=str) == [(1, "x", 0.5), (2, None, None)]
