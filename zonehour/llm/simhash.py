@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonehour.llm.common import mix64, staged, text_bytes
+from zonehour.llm.common import Words, blocks, gram_hash, mix64, staged, text_bytes
 from zonehour.llm.components import components
 
 #: Rows of a tile at most; a group of more fingerprints becomes several tiles.
@@ -269,19 +269,30 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return mix64(h + np.uint64((k * 0x9E3779B97F4A7C15) & (2**64 - 1)))
 
 
-def shingles(text: bytes, words: int = 5) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, sorted; none without words."""
-    w = text.lower().split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    grams = [b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(g, 42) for g in grams), np.uint64, max(1, len(w) - words + 1)))
+def shingles(texts: list[bytes], words: int = 5) -> Iterator[np.ndarray]:
+    """Of each text the distinct hashes of its word shingles, sorted; none without words. A-Z count as lower case."""
+    for a, b in blocks([len(t) for t in texts]):
+        w = Words([t.lower() for t in texts[a:b]])
+        h = gram_hash(w.hash, words)
+        for first, end in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+            n = end - first
+            yield np.unique(h[first : end - words + 1] if n >= words else gram_hash(w.hash[first:end], max(1, n)))
 
 
 def wide_fingerprint(text: bytes, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """A text's SimHash of WIDE words over its distinct shingles, and the keys of its pieces."""
-    return _wide(shingles(text, words))
+    return _wide(next(shingles([text], words)))
+
+
+def _majority(h: np.ndarray) -> np.ndarray:
+    """The bits, of WIDE words, that more than half of the hashes have; each word's bits come from a hash of its own."""
+    votes = np.zeros(64 * WIDE, np.int64)
+    # Up to 255 rows add up in bytes.
+    for a in range(0, len(h), 255):
+        part = h[a : a + 255]
+        bits = np.unpackbits(np.stack([_mixed(part, k) for k in range(WIDE)], axis=1).view(np.uint8), axis=1, bitorder="little")
+        votes += bits.sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * votes > len(h), bitorder="little").view(np.uint64)
 
 
 def _wide(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -297,13 +308,7 @@ def _wide(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     if not len(h):
         return np.zeros(WIDE, np.uint64), np.zeros(1, np.uint64)
-    fp = np.empty(WIDE, np.uint64)
-    for k in range(WIDE):
-        votes = np.zeros(64, np.int64)
-        for a in range(0, len(h), 1 << 16):
-            part = _mixed(h[a : a + (1 << 16)], k)
-            votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        fp[k] = np.packbits(2 * votes > len(h), bitorder="little").view(np.uint64)[0]
+    fp = _majority(h)
     n, level = len(h), int(len(h)).bit_length() - 1
     keys = [mix64(h[: n // 5 + 1])] if 4 * n <= 5 * SMALL else []
     for v in (level - 1, level, level + 1) if n > SMALL else ():
@@ -325,8 +330,7 @@ def _with_wide(texts: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, wide, pieces = [], [], []
-            for text in text_bytes(b.column(2)):
-                h = shingles(text, words)
+            for h in shingles(text_bytes(b.column(2)), words):
                 fp, keys = _wide(h)
                 names.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63)), wide.append(fp.tobytes()), pieces.append(keys.view(np.int64))
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(names, pa.int64()), pa.array(wide, pa.binary()), pa.array(pieces, pa.list_(pa.int64()))], schema.names)
@@ -355,42 +359,83 @@ def _alike(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return found
 
 
-def similar_links(candidates: DataFrame, texts: DataFrame, words: int = 5) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of 0.8 similarity and more within each component of candidates.
-
-    candidates(node, t, component), of one row per node; texts(t, text). A
-    component of more than SETS texts is cut into tiles by a hash; each pair of
-    its tiles is a key of its own.
-    """
+def _sets(words: int):
+    """(component, node, text) -> (component, node, set): the text's distinct shingles, as bytes."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([shingles(t, words).tobytes() for t in text_bytes(b.column(3))], pa.binary())], ["component", "node", "tiles", "set"])
+            sets = pa.array([h.tobytes() for h in shingles(text_bytes(b.column(2)), words)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], sets], ["component", "node", "set"])
+
+    return run
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, nodes, sets = None, [], []
+
+def _compared(rows: DataFrame) -> DataFrame:
+    """rows(key, rank, node, set) -> (a, b): links within each key's rows.
+
+    A row of rank 0 leads its key: rows that no links join to it are (node, null).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, led, nodes, sets = None, False, [], []
         for b in batches:
-            found = []
-            for key, node, raw in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                if key != last and nodes:
-                    found += [(nodes[i], nodes[j]) for i, j in _alike(sets)]
-                    nodes, sets = [], []
-                last = key
+            out = []
+            for key, rank, node, raw in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if key != last:
+                    out += done(led, nodes, sets)
+                    last, led, nodes, sets = key, rank == 0, [], []
                 nodes.append(node), sets.append(np.frombuffer(raw, np.uint64))
-            yield links(found)
-        if nodes:
-            yield links([(nodes[i], nodes[j]) for i, j in _alike(sets)])
-
-    def links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            yield batch(out)
+        yield batch(done(led, nodes, sets))
+
+    def done(led: bool, nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int | None]]:
+        found = _alike(sets) if sets else []
+        out: list[tuple[int, int | None]] = [(nodes[i], nodes[j]) for i, j in found]
+        if led:
+            reached = {0}
+            for i, j in found:
+                if i in reached:
+                    reached.add(j)
+            out += [(nodes[k], None) for k in range(len(nodes)) if k not in reached]
+        return out
+
+    def batch(found: list[tuple[int, int | None]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / SETS).cast("int").alias("tiles"))
-    rows = texts.join(candidates.join(sizes, "component"), "t").select("component", "node", "tiles", "text").dropDuplicates(["node"])
-    rows = rows.mapInArrow(read, "component long, node long, tiles int, set binary")
+    return rows.select("key", "rank", "node", "set").repartition("key").sortWithinPartitions("key", "rank").mapInArrow(run, "a long, b long")
+
+
+def similar_links(candidates: DataFrame, texts: DataFrame, words: int = 5) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of 0.8 similarity and more within each component of candidates.
+
+    candidates(node, t, component), of one row per node; texts(t, text). A
+    component of more than SETS texts is cut into tiles by a hash, each compared
+    together with one text of the component, its leader. What is linked to the
+    leader needs no comparison with its like; only what isn't meets the tiles of
+    all others, so that the copies of one text, however many, are sent twice at most.
+    """
+    rows = texts.join(candidates, "t").select("component", "node", "text").dropDuplicates(["node"])
+    sets = staged(rows.mapInArrow(_sets(words), "component long, node long, set binary"), "simhash-sets")
+    n_tiles = F.ceil(F.count("*") / SETS).cast("int")
+    sizes = sets.groupBy("component").agg(n_tiles.alias("tiles"), F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("leader"))
+    sets = sets.join(staged(sizes, "simhash-sizes"), "component")
+    leads = (F.col("tiles") > 1) & (F.col("node") == F.col("leader"))
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
-    dealt = rows.withColumn("p", F.explode(pairs)).select(F.xxhash64("component", "p.i", "p.j").alias("key"), "node", "set")
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+    dealt = sets.withColumn("tile", F.explode(F.when(leads, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(own))))
+    found = staged(_compared(dealt.select(F.xxhash64("component", "tile").alias("key"), F.when(leads, 0).otherwise(1).alias("rank"), "node", "set")), "simhash-led")
+    links = found.where("b is not null")
+    rest = found.where("b is null").select(F.col("a").alias("node"), F.lit(True).alias("free"))
+    if not rest.take(1):
+        return links
+    # Tiles of the rest come first; each of its rows meets every tile, a row linked to the leader those of the rest.
+    split = staged(sets.select("component", "node").join(rest, "node", "left").withColumn("free", F.coalesce("free", F.lit(False))), "simhash-rest")
+    tiles = split.groupBy("component").agg(*[F.ceil(F.count_if(F.col("free") == F.lit(x)) / SETS).cast("int").alias(k) for k, x in (("first", True), ("others", False))]).where("first > 0")
+    rows = sets.select("node", "set").join(split.join(tiles, "component"), "node")
+    own = F.when(F.col("free"), F.pmod(F.xxhash64("node"), F.col("first"))).otherwise(F.col("first") + F.pmod(F.xxhash64("node"), F.col("others"))).cast("int")
+    upto = F.col("first") + F.when(F.col("free"), F.col("others")).otherwise(0)
+    pairs = F.transform(F.sequence(F.lit(0), upto - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
+    dealt = rows.withColumn("p", F.explode(pairs)).select(F.xxhash64("component", "p.i", "p.j").alias("key"), F.lit(1).alias("rank"), "node", "set")
+    return links.union(_compared(dealt))
 
 
 def groups(fps: DataFrame, links: DataFrame) -> DataFrame:
