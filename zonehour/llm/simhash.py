@@ -485,8 +485,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = staged(fps.groupBy(F.col("fp").alias("node")).agg(F.min("t").alias("t")).join(near, "node"), "simhash-near")
     links = similar_links(near, texts.select("t", "text"), words)
     first = groups(fps.select("id", "fp"), links).where("first").select(F.col("fp").alias("__first"), F.col("component_id").alias("__component"))
-    # The group's row is known by its text and id; copies of either are one row.
+    # The group's row is known by its text and id, as one key, by which copies of either are one row without another exchange.
+    key = lambda t, i: F.concat(t.cast("string"), F.coalesce(F.concat(F.lit("="), i.cast("string")), F.lit("")))
     kept = fps.groupBy(F.col("id").alias("__id"), F.col("fp").alias("__fp")).agg(F.min("t").alias("__kept")).join(first, (F.col("__fp") == F.col("__first")) & F.col("__id").eqNullSafe(F.col("__component")))
-    kept = staged(kept.select("__id", "__kept"), "simhash-kept")
-    out = docs.select(*docs.columns, F.xxhash64(text_col).alias("__t")).join(kept, (F.col("__t") == F.col("__kept")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return out.dropDuplicates(["__t"]).select(*docs.columns)
+    kept = staged(kept.select(key(F.col("__kept"), F.col("__id")).alias("__key")), "simhash-kept")
+    out = docs.select(*docs.columns, key(F.xxhash64(text_col), F.col(id_col)).alias("__key")).join(kept, "__key", "left_semi")
+    return out.dropDuplicates(["__key"]).select(*docs.columns)
