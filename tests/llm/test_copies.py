@@ -142,6 +142,29 @@ def test_one_of_each_goes_by_similarity(spark, monkeypatch):
     assert got == {d for d, _ in rows} - gone
 
 
+def test_links_within_a_component_of_unlike_texts(spark, monkeypatch):
+    """What is not linked to a component's leader is compared with all others, tile by tile."""
+    rng = random.Random(21)
+    texts = []
+    for k in range(30):
+        w = prose(rng, 60, 10_000).split()
+        for c in range(k % 3 + 1):
+            texts.append(" ".join([*w[: 58 - c], "zz", *w[59 - c :]]))
+    of = [jaccard_set(t) for t in texts]
+    pairs = [(i, j) for i in range(len(of)) for j in range(i) if len(of[i] & of[j]) >= 0.8 * len(of[i] | of[j])]
+    df = spark.createDataFrame(list(enumerate(texts)), "t long, text string")
+    monkeypatch.setattr(simhash, "SETS", 4)
+    nodes = df.select(F.col("t").alias("node"), "t", F.lit(7).cast("long").alias("component"))
+    got = [(r.a, r.b) for r in simhash.similar_links(nodes, df).collect()]
+    assert len(pairs) > 20 and set(map(frozenset, got)) <= set(map(frozenset, pairs))
+    assert parts(got, range(len(texts))) == parts(pairs, range(len(texts)))
+
+
+def jaccard_set(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
 def test_recall_of_short_texts():
     """Texts of 5 to 100 words of 0.8 similarity and more share a key and are candidates."""
     rng = random.Random(10)
