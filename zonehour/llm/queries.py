@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonehour.llm.common import fold, staged, word_count
+from zonehour.llm.common import WORD, fold, staged, word_count
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +86,53 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, F.col("n")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from zonehour.llm.toxicity import learn, score_toxicity
+
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = learn(docs, labels, fold("doc_id", 4) != 2)
+    return score_toxicity(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+def with_cycles(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents, by crc32 of doc_id, the words from one on repeat a cycle."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    x = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).cast("long").alias("g"), word_count(F.col("text")).alias("n"))
+    x = x.withColumn("a", F.col("g") % F.greatest("n", F.lit(1))).withColumn("rest", F.col("n") - F.col("a"))
+    x = x.withColumn("p", 1 + F.expr("rest div (3 + g % 8)"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    i = lambda c: F.col(c).cast("int")
+    times = F.expr("cast((rest + p - 1) div p as int)")
+    cycled = F.slice(F.flatten(F.array_repeat(F.slice(words, i("a") + 1, i("p")), times)), F.lit(1), i("rest"))
+    return x.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.array_join(F.concat(F.slice(words, F.lit(1), i("a")), cycled), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from zonehour.llm.runs import periodic_runs
+
+    x = periodic_runs(with_cycles(_docs(spark, sf_dir)))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    x = x.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), "runs", "kept")
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    x = x.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"), digest(listed).alias("runs_sha256"), digest(F.col("kept")).alias("collapsed_sha256"))
+    return x.withColumn("exponent_milli", F.expr("1000 * length div period"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from zonehour.llm.turns import damaged, repair_conversations, turn_digests
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    found = repair_conversations(damaged(rows))
+    x = rows.select("conv_id").distinct()
+    for part in (found.conversations, turn_digests(found.turns)):
+        part = part.withColumnRenamed("conv_id", "c")
+        x = x.join(part, F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
+    longs = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return x.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in longs], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_language_id": op2_language_id,
@@ -97,6 +144,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_fair_mix": op10_fair_mix,
+    "op11_toxicity": op11_toxicity,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_turn_repair": op13_turn_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
