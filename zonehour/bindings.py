@@ -49,10 +49,13 @@ _TRIPS = """
 _HAIL = "CASE WHEN payment_type = 0 THEN 'flex_fare' WHEN RatecodeID = 1 THEN 'standard_meter' WHEN RatecodeID IN (2, 3) THEN 'airport' WHEN RatecodeID = 5 THEN 'negotiated' ELSE 'other' END"
 
 _EDGES = """
-  SELECT CAST(10 * i + 2 * j + k AS INT) AS zone_id, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x2 AS DOUBLE) AS x2, CAST(y2 AS DOUBLE) AS y2, CAST(-sign(x2 - x1) AS INT) AS s
+  SELECT CAST(20 * j + 2 * i + k AS INT) AS zone_id, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x2 AS DOUBLE) AS x2, CAST(y2 AS DOUBLE) AS y2, CAST(-sign(x2 - x1) AS INT) AS s
   FROM (SELECT i, j, k, CASE e WHEN 0 THEN i WHEN 1 THEN i + 1 ELSE i + 1 - k END AS x1, CASE e WHEN 0 THEN j WHEN 1 THEN j + k ELSE j + 1 END AS y1,
                CASE e WHEN 0 THEN i + 1 WHEN 1 THEN i + 1 - k ELSE i END AS x2, CASE e WHEN 0 THEN j + k WHEN 1 THEN j + 1 ELSE j END AS y2
-        FROM range(5) a(i), range(5) b(j), range(2) c(k), range(3) d(e))"""
+        FROM (SELECT DISTINCT CAST(floor(value / 100 + 0.0137) AS BIGINT) AS i, CAST(floor(user_id / 30.0 + 0.00731) AS BIGINT) AS j FROM events WHERE event_type = 'purchase'), range(2) c(k), range(3) d(e))"""
+
+#: Where a customer lives, and the tract of that: squares of a quarter.
+_HOMES = "SELECT floor((c_acctbal + 1000) / 2200.0 * 4) AS i, floor(c_custkey % 150 / 30.0 * 4) AS j, c_acctbal FROM customer"
 
 #: The views for the oracle.
 SQL = f"""WITH trips AS ({_TRIPS}),
@@ -68,7 +71,8 @@ od_raw AS (SELECT CAST(o_custkey % 10 AS INT) AS origin, CAST((o_orderkey // 24)
 weights AS (SELECT *, avg_ridership / sum(avg_ridership) OVER (PARTITION BY origin, year, month, dow, hour) AS weight FROM od_raw WHERE avg_ridership > 0),
 points AS (SELECT event_id, user_id, value / 100 + 0.0137 AS px, user_id / 30.0 + 0.00731 AS py FROM events),
 edges AS ({_EDGES}),
-shifted AS (SELECT zone_id, x1 + 0.3 AS x1, y1 + 0.4 AS y1, x2 + 0.3 AS x2, y2 + 0.4 AS y2, s FROM edges),
+homes AS (SELECT CAST(1000 * i + j AS INT) AS a_id, i / 4.0 + 0.1 AS x, j / 4.0 + 0.15 AS y, c_acctbal FROM ({_HOMES})),
+tract_edges AS (SELECT a_id AS zone_id, x + CASE WHEN e IN (1, 2) THEN 0.25 ELSE 0.0 END AS x1, y + CASE WHEN e IN (2, 3) THEN 0.25 ELSE 0.0 END AS y1, x + CASE WHEN e IN (0, 1) THEN 0.25 ELSE 0.0 END AS x2, y + CASE WHEN e IN (1, 2) THEN 0.25 ELSE 0.0 END AS y2, CASE e WHEN 0 THEN -1 WHEN 2 THEN 1 ELSE 0 END AS s FROM (SELECT DISTINCT a_id, x, y FROM homes), range(4) d(e)),
 within AS (SELECT px, py, min(zone_id) AS zone_id FROM (SELECT px, py, zone_id FROM (SELECT DISTINCT px, py FROM points), edges
   WHERE (y1 > py) <> (y2 > py) AND px < (x2 - x1) * (py - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1) GROUP BY ALL),
 bikes AS (SELECT event_id, ts AS started_at, ts + to_minutes(CAST(event_id % 400 - 5 AS INT)) AS ended_at, CASE WHEN event_type IN ('signup', 'purchase') THEN 'member' WHEN event_type IN ('view', 'click') THEN 'casual' END AS member_casual,
@@ -151,17 +155,29 @@ class Views:
 
     @cached_property
     def rings(self) -> DataFrame:
-        """Unit squares cut into triangles, as polygons."""
-        g = self.spark.range(50).selectExpr("cast(id as int) as zone_id", "cast(id div 10 as double) as i", "cast((id % 10) div 2 as double) as j", "id % 2 as k")
-        return g.selectExpr("zone_id", "array(case when k = 0 then array(array(i, j), array(i + 1, j), array(i + 1, j + 1), array(i, j)) else array(array(i, j), array(i + 1, j + 1), array(i, j + 1), array(i, j)) end) as coords")
+        """The unit cells where something was bought, cut into triangles, as polygons."""
+        g = self.table("events").where("event_type = 'purchase'").selectExpr("cast(floor(value / 100 + 0.0137D) as double) as i", "cast(floor(user_id / 30.0D + 0.00731D) as double) as j").distinct()
+        g = g.selectExpr("i", "j", "explode(array(0, 1)) as k")
+        return g.selectExpr("cast(20 * j + 2 * i + k as int) as zone_id", "array(case when k = 0 then array(array(i, j), array(i + 1, j), array(i + 1, j + 1), array(i, j)) else array(array(i, j), array(i + 1, j + 1), array(i, j + 1), array(i, j)) end) as coords")
 
     @cached_property
     def edges(self) -> DataFrame:
         return sp.polygons_to_edges(self.rings, "zone_id", "coords")
 
     @cached_property
-    def shifted(self) -> DataFrame:
-        return self.edges.selectExpr("zone_id", "ring", "x1 + 0.3 as x1", "y1 + 0.4 as y1", "x2 + 0.3 as x2", "y2 + 0.4 as y2", "s")
+    def homes(self) -> DataFrame:
+        """Customers by tract, a square of a quarter: (a_id, x, y) of its corner."""
+        x = self.table("customer").selectExpr("floor((c_acctbal + 1000) / 2200.0D * 4) as i", "floor(c_custkey % 150 / 30.0D * 4) as j", "c_acctbal")
+        return x.selectExpr("cast(1000 * i + j as int) as a_id", "i / 4.0D + 0.1D as x", "j / 4.0D + 0.15D as y", "c_acctbal")
+
+    @cached_property
+    def tract_rings(self) -> DataFrame:
+        g = self.homes.select("a_id", "x", "y").distinct()
+        return g.selectExpr("a_id as zone_id", "array(array(array(x, y), array(x + 0.25D, y), array(x + 0.25D, y + 0.25D), array(x, y + 0.25D), array(x, y))) as coords")
+
+    @cached_property
+    def tract_edges(self) -> DataFrame:
+        return sp.polygons_to_edges(self.tract_rings, "zone_id", "coords")
 
     @cached_property
     def bikes(self) -> DataFrame:
@@ -169,7 +185,7 @@ class Views:
             "event_id", "ts as started_at", "ts + make_dt_interval(0, 0, cast(event_id % 400 - 5 as int), 0) as ended_at",
             "case when event_type in ('signup', 'purchase') then 'Subscriber' when event_type in ('view', 'click') then ' customer' else event_type end as usertype",
             "case when user_id % 4 = 0 then ' Classic_Bike' when user_id % 4 = 1 then 'electric_bike' else 'scooter' end as rideable_type",
-            "user_id / 30.0 + 0.00731 as start_lat", "value / 100 + 0.0137 as start_lng", "(149 - user_id) / 30.0 + 0.00731 as end_lat", "value / 100 + 0.0137 as end_lng",
+            "user_id / 30.0D + 0.00731D as start_lat", "value / 100 + 0.0137D as start_lng", "(149 - user_id) / 30.0D + 0.00731D as end_lat", "value / 100 + 0.0137D as end_lng",
             "case when user_id % 9 = 0 then 'nan' else cast(user_id as string) end as start_station_id", "cast(149 - user_id as string) as end_station_id",
         )
 
@@ -180,5 +196,5 @@ class Views:
     @cached_property
     def tracts(self) -> DataFrame:
         """Census figures as text, a row per tract."""
-        x = self.table("customer").groupBy((F.col("c_custkey") % 50).cast("int").alias("a_id")).agg(F.count("*").alias("p"), F.sum(F.floor("c_acctbal").cast("long")).alias("i"))
+        x = self.homes.groupBy("a_id").agg(F.count("*").alias("p"), F.sum(F.floor("c_acctbal").cast("long")).alias("i"))
         return x.selectExpr("a_id", "case when a_id % 11 = 3 then '0' when a_id % 11 = 4 then '-666666666' else cast(p as string) end as population", "case when a_id % 7 = 2 then '-666666666' when a_id % 7 = 3 then 'x' else cast(i as string) end as income", "cast(p % 17 as string) as workers")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -28,8 +28,8 @@ def polygons_to_edges(df: DataFrame, id_col: str, coords_col: str) -> DataFrame:
     return e.withColumn("s", (F.signum(F.col("x2") - F.col("x1")) * turn).cast("int"))
 
 
-def boxes(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("zone_id").agg(F.min(F.least("x1", "x2")).alias("xmin"), F.max(F.greatest("x1", "x2")).alias("xmax"), F.min(F.least("y1", "y2")).alias("ymin"), F.max(F.greatest("y1", "y2")).alias("ymax"))
+def boxes(edges: DataFrame, *more: Column) -> DataFrame:
+    return edges.groupBy("zone_id").agg(*more, F.min(F.least("x1", "x2")).alias("xmin"), F.max(F.greatest("x1", "x2")).alias("xmax"), F.min(F.least("y1", "y2")).alias("ymin"), F.max(F.greatest("y1", "y2")).alias("ymax"))
 
 
 def _cells(lo: str, hi: str, cell: float) -> Column:
@@ -68,72 +68,134 @@ def points_within(points: DataFrame, edges: DataFrame, cell: float = 1.0, keys:
     return odd.groupBy(*keys).agg(F.min("zone_id").alias("zone_id"))
 
 
-#: Cells of the grid that the search for the nearest border uses, a side at most.
-NEAREST_SIDE = 16
+#: Edges that a cell of the search for the nearest border keeps as candidates before it is split.
+NEAREST_EDGES = 16
+#: The root of the search is a square of so many diagonals of the edges' box; points beyond are met by direction, of SECTORS.
+NEAREST_REACH, SECTORS = 4.0, 16
+#: Levels of the search that are taken at a time.
+STEP = 3
+#: Borders that much apart are as far as one another.
+TIE = 1e-9
 
 
-def _nearest_of(points: DataFrame, edges: DataFrame, keys: Sequence[str], max_distance: float | None = None) -> DataFrame:
-    """(keys, zone_id, distance) of points and edges that share a cell (gx, gy).
-
-    Borders less than 1e-9 apart are a tie, so that one that two polygons share
-    is as far from both.
-    """
-    pairs = points.join(edges.select("gx", "gy", "zone_id", "x1", "y1", "x2", "y2"), ["gx", "gy"])
-    x, y = F.col(keys[0]), F.col(keys[1])
+def edge_distance(x: Column, y: Column) -> Column:
+    """Distance of a place from the edge (x1, y1, x2, y2) of the same row."""
     ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(((x - F.col("x1")) * ex + (y - F.col("y1")) * ey) / F.nullif(ex * ex + ey * ey, F.lit(0.0)), F.lit(0.0))))
     dx, dy = x - F.col("x1") - t * ex, y - F.col("y1") - t * ey
-    near = pairs.select(*keys, "zone_id", F.sqrt(dx * dx + dy * dy).alias("distance"))
-    near = near if max_distance is None else near.where(F.col("distance") <= max_distance)
-    best = near.groupBy(*keys).agg(F.min(F.struct(F.floor(F.col("distance") * 1e9 + 0.5).alias("d"), "zone_id", "distance")).alias("b"))
-    return best.select(*keys, F.col("b.zone_id").alias("zone_id"), F.col("b.distance").alias("distance"))
+    return F.sqrt(dx * dx + dy * dy)
+
+
+class EdgeTree:
+    """A quadtree over edges: each leaf has the edges that may be the nearest of some point in it.
+
+    An edge is d from a cell's middle and so within d - h and d + h of each of the cell's
+    points, h being half the cell's diagonal: only edges of d <= least d + 2h may be
+    the nearest of any point. A cell of more than NEAREST_EDGES such edges hands them to its
+    parts three levels down, which ask the same for themselves; so a part asks
+    of its parent's candidates alone. Only cells that hold points are followed. Points beyond the root lie within a sixteenth of the
+    directions from its middle and are nearest to what lies foremost there.
+    """
+
+    def __init__(self, edges: DataFrame):
+        low, high = lambda a, b: F.min(F.least(a, b)), lambda a, b: F.max(F.greatest(a, b))
+        r = edges.agg(low("x1", "x2"), high("x1", "x2"), low("y1", "y2"), high("y1", "y2"), F.count("*")).first()
+        self.n_edges = r[4]
+        if not r[4]:
+            return
+        self.edges = edges.select("zone_id", "x1", "y1", "x2", "y2")
+        self.x, self.y = (r[0] + r[1]) / 2, (r[2] + r[3]) / 2
+        self.diagonal = max(math.hypot(r[1] - r[0], r[3] - r[2]), 1e-9)
+        self.side = NEAREST_REACH * self.diagonal
+        self.x0, self.y0 = self.x - self.side / 2, self.y - self.side / 2
+        # Levels for the root's reach, for edges spread evenly in the box, and for where they are dense.
+        self.levels = STEP * math.ceil((4 + min(18, math.log(max(r[4] / NEAREST_EDGES, 1), 4))) / STEP)
+
+    def _size(self, level: int | Column) -> Column:
+        return self.side / F.pow(F.lit(2.0), F.lit(level) if isinstance(level, int) else level)
+
+    def _judged(self, pairs: DataFrame) -> DataFrame:
+        """The pairs of a cell and an edge that may be the nearest there, and how many the cell has."""
+        size = self._size(F.col("level"))
+        d = edge_distance(self.x0 + (F.col("gx") + 0.5) * size, self.y0 + (F.col("gy") + 0.5) * size)
+        w = W.partitionBy("level", "gx", "gy")
+        x = pairs.withColumn("d", d).withColumn("u", F.min("d").over(w)).where(F.col("d") <= F.col("u") + math.sqrt(2) * (1 + 1e-9) * size + 2 * TIE)
+        return x.withColumn("n", F.count("*").over(w)).drop("d", "u")
+
+    def cells(self, own: DataFrame) -> DataFrame:
+        """(cx, cy, level, gx, gy): the cells of each level that cells own (cx, cy) of the finest lie in."""
+        x = own.where("cx >= 0").select("cx", "cy", F.explode(F.sequence(F.lit(STEP), F.lit(self.levels), F.lit(STEP))).alias("level"))
+        at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), self.levels - F.col("level")))
+        return x.withColumns({"gx": at("cx"), "gy": at("cy")})
+
+    def leaves(self, cells: DataFrame) -> DataFrame:
+        """(level, gx, gy, edge) of the candidates of the leaves among cells."""
+        edge, cell = ["zone_id", "x1", "y1", "x2", "y2"], ["level", "gx", "gy"]
+        known = cells.select(*cell).distinct()
+        side = F.sequence(F.lit(0).cast("long"), F.lit(2**STEP - 1).cast("long"))
+        x = self.edges.withColumn("level", F.lit(STEP)).withColumn("gx", F.explode(side)).withColumn("gy", F.explode(side))
+        # What may follow a cell: itself, where its edges are few, or the parts of it that are known.
+        up = lambda c: F.floor(F.col(c) / 2**STEP).alias(c)
+        here = F.struct(*cell).alias("next")
+        follows = known.select(*cell, here, F.lit(False).alias("part")).unionByName(known.where(F.col("level") > STEP).select((F.col("level") - STEP).alias("level"), up("gx"), up("gy"), here, F.lit(True).alias("part")))
+        # As a table its size is known: small, it is broadcast by Spark, else the pairs of a cell meet it where they are.
+        follows = staged(follows, "nearest-parts")
+        x = self._judged(x.join(follows.where("not part").select(*cell), cell, "left_semi"))
+        for level in range(2 * STEP, self.levels + 1, STEP):
+            split = (F.col("n") > NEAREST_EDGES) & (F.col("level") == level - STEP)
+            x = self._judged(x.join(follows, cell).where(F.col("part") == split).select(*edge, "next.*"))
+        return x.select(*cell, *edge)
+
+    def keyed(self, points: DataFrame, x: Column, y: Column) -> DataFrame:
+        """Adds (cx, cy): a point's cell of the finest level, or (-1, sector) beyond the root."""
+        fine = self._size(self.levels)
+        cx, cy = F.floor((x - self.x0) / fine), F.floor((y - self.y0) / fine)
+        inside = cx.between(0, 2**self.levels - 1) & cy.between(0, 2**self.levels - 1)
+        sector = F.floor(F.atan2(y - self.y, x - self.x) * (SECTORS / (2 * math.pi))).cast("long") % SECTORS
+        return points.withColumn("cx", F.when(inside, cx).otherwise(F.lit(-1).cast("long"))).withColumn("cy", F.when(inside, cy).otherwise(F.pmod(sector, F.lit(SECTORS))))
+
+    def foremost(self, sectors: DataFrame) -> DataFrame:
+        """(cx, cy, edge) of the edges that lie far enough ahead, for sectors (cx, cy).
+
+        Seen from the root's middle, a point p at least R away in a direction within a of the sector's has an edge with the
+        place e foremost there at |p| - e at least, and at most that plus what e turns by a, and (D/2)^2 / 2 (R - D/2), D being the diagonal.
+        """
+        half, far = self.diagonal / 2, self.side / 2
+        slack = 2 * half * math.pi / SECTORS + half * half / (2 * (far - half)) + 2 * TIE
+        a = (F.col("cy") + 0.5) * (2 * math.pi / SECTORS)
+        ahead = F.greatest(*[(F.col(f"x{k}") - self.x) * F.cos(a) + (F.col(f"y{k}") - self.y) * F.sin(a) for k in (1, 2)])
+        every = self.edges.withColumn("cy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SECTORS - 1).cast("long"))))
+        x = every.join(F.broadcast(sectors), "cy").withColumn("ahead", ahead)  # SECTORS rows at most
+        return x.withColumn("most", F.max("ahead").over(W.partitionBy("cy"))).where(F.col("ahead") >= F.col("most") - slack).drop("ahead", "most")
+
+
+def nearest_candidates(points: DataFrame, tree: EdgeTree) -> DataFrame:
+    """(cx, cy, edge): distinct candidates of each cell or sector that has a point of `keyed`."""
+    own = points.select("cx", "cy").distinct()
+    cells = staged(tree.cells(own), "nearest-cells")
+    inner = cells.join(tree.leaves(cells), ["level", "gx", "gy"]).drop("level", "gx", "gy")
+    return inner.unionByName(tree.foremost(own.where("cx < 0")).select(inner.columns))
 
 
 def nearest_zone(points: DataFrame, edges: DataFrame, keys: Sequence[str] = ("px", "py"), max_distance: float | None = None) -> DataFrame:
-    """(keys, zone_id, distance): the polygon whose border is nearest; the smallest id on a tie.
-
-    No point meets every edge. With max_distance, points meet the edges of the
-    grid cells around them. Else the driver learns which cells of a grid of
-    NEAREST_SIDE cells a side the edges lie in; the nearest border of a point is
-    no farther than any place of a cell with a vertex, so that the points of one
-    cell meet the edges of those cells only that may be as near. A coordinate that is
-    NULL, NaN or infinite has no nearest polygon.
+    """(keys, zone_id, distance): the polygon whose border is nearest, no farther than max_distance; the smallest id on a tie.
+
+    Borders less than 1e-9 apart are a tie, so that one that two polygons share is
+    as far from both. No point meets every edge, only the candidates of its leaf of an
+    EdgeTree, which are found once for all points there. A coordinate that is NULL, NaN or infinite has no
+    nearest polygon.
     """
     # Few bytes of points are much work, which adaptive execution would give to one task.
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     p = distinct_points(points, keys).repartition(n, *keys)
-    x, y = F.col(keys[0]), F.col(keys[1])
-    if max_distance is not None:
-        span = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / max_distance) - 1, F.floor(F.greatest(a, b) / max_distance) + 1))
-        near = edges.withColumn("gx", span("x1", "x2")).withColumn("gy", span("y1", "y2"))
-        return _nearest_of(p.withColumns({"gx": F.floor(x / max_distance), "gy": F.floor(y / max_distance)}), near, keys, max_distance)
-    box = edges.agg(F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2"))).first()
-    if box[0] is None:
+    tree = EdgeTree(edges)
+    if not tree.n_edges:
         return p.select(*keys, F.lit(None).cast(edges.schema["zone_id"].dataType).alias("zone_id"), F.lit(None).cast("double").alias("distance")).limit(0)
-    cell = max(box[1] - box[0], box[3] - box[2], 1e-9) / (NEAREST_SIDE - 1)
-    place = lambda c, lo: F.floor((F.col(c) - lo) / cell).cast("int")
-    e = edges.withColumns({f"g{c}": place(c, box[0 if c[0] == "x" else 2]) for c in ("x1", "y1", "x2", "y2")})
-    e = e.withColumn("gx", F.explode(F.sequence(F.least("gx1", "gx2"), F.greatest("gx1", "gx2")))).withColumn("gy", F.explode(F.sequence(F.least("gy1", "gy2"), F.greatest("gy1", "gy2"))))
-    vertex = ((F.col("gx") == F.col("gx1")) & (F.col("gy") == F.col("gy1"))) | ((F.col("gx") == F.col("gx2")) & (F.col("gy") == F.col("gy2")))
-    found = e.groupBy("gx", "gy").agg(F.max(vertex).alias("sure")).orderBy("gx", "gy").collect()
-    text = json.dumps([{"gx": r.gx, "gy": r.gy, "x": box[0] + r.gx * cell, "y": box[2] + r.gy * cell, "sure": r.sure} for r in found])
-    cells = F.from_json(F.lit(text), "array<struct<gx: int, gy: int, x: double, y: double, sure: boolean>>")
-
-    # What a point's own cell says holds for all points in it, and those are many.
-    px, py = F.col("px") * cell + box[0], F.col("py") * cell + box[2]
-
-    def apart(c: Column, far: bool) -> Column:
-        """Square of the least or the largest distance of points of the two cells."""
-        each = [F.abs(a - c[n]) + cell if far else F.greatest(F.abs(a - c[n]) - cell, F.lit(0.0)) for n, a in (("x", px), ("y", py))]
-        return each[0] * each[0] + each[1] * each[1]
-
-    p = p.withColumns({"__px": F.floor((x - box[0]) / cell), "__py": F.floor((y - box[2]) / cell)})
-    own = p.select(F.col("__px").alias("px"), F.col("__py").alias("py")).distinct().repartition(n, "px", "py")
-    # Beyond that many cells their numbers say too little.
-    remote = (F.abs("px") > 10**9) | (F.abs("py") > 10**9)
-    own = own.withColumn("u", F.when(remote, F.lit(float("inf"))).otherwise(F.array_min(F.transform(F.filter(cells, lambda c: c["sure"]), lambda c: apart(c, True))) * (1 + 1e-6)))
-    own = own.select(F.col("px").alias("__px"), F.col("py").alias("__py"), F.explode(F.filter(cells, lambda c: apart(c, False) <= F.col("u"))).alias("c")).select("__px", "__py", "c.gx", "c.gy")
-    return _nearest_of(p.join(own, ["__px", "__py"]).select(*keys, "gx", "gy"), e, keys)
+    p = staged(tree.keyed(p, F.col(keys[0]), F.col(keys[1])), "nearest-points")
+    near = p.join(nearest_candidates(p, tree), ["cx", "cy"]).select(*keys, "zone_id", edge_distance(F.col(keys[0]), F.col(keys[1])).alias("distance"))
+    near = near if max_distance is None else near.where(F.col("distance") <= max_distance)
+    best = near.groupBy(*keys).agg(F.min(F.struct(F.floor(F.col("distance") / TIE + 0.5).alias("d"), "zone_id", "distance")).alias("b"))
+    return best.select(*keys, F.col("b.zone_id").alias("zone_id"), F.col("b.distance").alias("distance"))
 
 
 def zone_of_points(points: DataFrame, edges: DataFrame, cell: float = 1.0, keys: Sequence[str] = ("px", "py"), nearest: bool = True, max_distance: float | None = None) -> DataFrame:
@@ -164,26 +226,51 @@ def assign_zones(df: DataFrame, ends: Mapping[str, tuple[str, str]], edges: Data
     return df
 
 
-def overlay_area(a: DataFrame, b: DataFrame, cell: float = 1.0) -> DataFrame:
-    """(a_id, b_id, area) of polygons that overlap, holes and concave shapes included.
+#: Edges of a pair of polygons to a slab of their common range, as a mean.
+SLAB_EDGES = 4
+
 
-    The area is a signed sum, over pairs of edges, of the integral of the lower
-    edge over their common x-range, measured from the pair's lowest point.
+def overlay_pieces(a: DataFrame, b: DataFrame, cell: float = 1.0) -> DataFrame:
+    """Pairs of edges of polygons a and b that share a slab: (a_*, b_*, base, lo, hi), where lo to hi is what they share of it.
+
+    Polygons meet by their boxes in grid cells. The common x-range of a pair is cut
+    into slabs, as many as it has edges for, and edges meet slab by slab: where polygons are
+    drawn finer, slabs are narrower, and edges meet a few others each, however many there
+    are. Slabs begin at multiples of a power of two, so that they are told apart without rounding.
     """
     def box(e: DataFrame, p: str) -> DataFrame:
-        x = boxes(e).withColumn("gx", F.explode(_cells("xmin", "xmax", cell))).withColumn("gy", F.explode(_cells("ymin", "ymax", cell)))
+        x = boxes(e, F.count_if(F.col("x1") != F.col("x2")).alias("n")).withColumn("gx", F.explode(_cells("xmin", "xmax", cell))).withColumn("gy", F.explode(_cells("ymin", "ymax", cell)))
         return x.select(*[F.col(c).alias(c if c in ("gx", "gy") else f"{p}_{c}") for c in x.columns])
 
     pairs = box(a, "a").join(box(b, "b"), ["gx", "gy"]).where("a_xmin < b_xmax and b_xmin < a_xmax and a_ymin < b_ymax and b_ymin < a_ymax")
-    pairs = pairs.select("a_zone_id", "b_zone_id", F.least("a_ymin", "b_ymin").alias("base")).distinct()
+    # Boxes meet in many cells; the first that they share speaks for the pair.
+    pairs = pairs.where((F.col("gx") == F.floor(F.greatest("a_xmin", "b_xmin") / cell)) & (F.col("gy") == F.floor(F.greatest("a_ymin", "b_ymin") / cell)))
+    common = F.least("a_xmax", "b_xmax") - F.greatest("a_xmin", "b_xmin")
+    share = F.col("a_n") * common / (F.col("a_xmax") - F.col("a_xmin")) + F.col("b_n") * common / (F.col("b_xmax") - F.col("b_xmin"))
+    width = F.pow(F.lit(2.0), F.floor(F.log2(common / F.greatest(F.ceil(share / SLAB_EDGES), F.lit(1)))))
+    pairs = pairs.select("a_zone_id", "b_zone_id", F.least("a_ymin", "b_ymin").alias("base"), width.alias("width"), F.greatest("a_xmin", "b_xmin").alias("from"), F.least("a_xmax", "b_xmax").alias("to"))
+
+    def cut(e: DataFrame, p: str) -> DataFrame:
+        """The edges of one side in each slab of each pair that they reach."""
+        e = e.where("x1 <> x2").select(F.col("zone_id").alias(f"{p}_zone_id"), *[F.col(c).alias(f"{p}_{c}") for c in ("x1", "y1", "x2", "y2", "s")])
+        left, right = F.least(f"{p}_x1", f"{p}_x2"), F.greatest(f"{p}_x1", f"{p}_x2")
+        x = e.join(pairs, f"{p}_zone_id").where((left < F.col("to")) & (right > F.col("from")))
+        x = x.withColumn("slab", F.explode(F.sequence(F.floor(F.greatest(left, F.col("from")) / F.col("width")), F.floor(F.least(right, F.col("to")) / F.col("width")))))
+        return x if p == "a" else x.drop("base", "width", "from", "to")
+
+    x = cut(a, "a").join(cut(b, "b"), ["a_zone_id", "b_zone_id", "slab"])
+    lo = F.greatest(F.least("a_x1", "a_x2"), F.least("b_x1", "b_x2"), F.col("slab") * F.col("width"))
+    hi = F.least(F.greatest("a_x1", "a_x2"), F.greatest("b_x1", "b_x2"), (F.col("slab") + 1) * F.col("width"))
+    return x.withColumns({"lo": lo, "hi": hi}).drop("slab", "width", "from", "to")
 
-    def named(e: DataFrame, p: str) -> DataFrame:
-        return e.where("x1 <> x2").select(F.col("zone_id").alias(f"{p}_zone_id"), *[F.col(c).alias(f"{p}_{c}") for c in ("x1", "y1", "x2", "y2", "s")])
 
-    x = pairs.join(named(a, "a"), "a_zone_id").join(named(b, "b"), "b_zone_id")
-    lo = F.greatest(F.least("a_x1", "a_x2"), F.least("b_x1", "b_x2"))
-    hi = F.least(F.greatest("a_x1", "a_x2"), F.greatest("b_x1", "b_x2"))
-    x = x.withColumns({"lo": lo, "hi": hi}).where("lo < hi")
+def overlay_area(a: DataFrame, b: DataFrame, cell: float = 1.0) -> DataFrame:
+    """(a_id, b_id, area) of polygons that overlap, holes and concave shapes included.
+
+    The area is a signed sum, over pairs of edges that share a slab, of the integral of the lower
+    edge over what they share, measured from the pair's lowest point.
+    """
+    x = overlay_pieces(a, b, cell).where("lo < hi")
 
     def height(p: str, at: str) -> Column:
         return F.col(f"{p}_y1") - F.col("base") + (F.col(f"{p}_y2") - F.col(f"{p}_y1")) * (F.col(at) - F.col(f"{p}_x1")) / (F.col(f"{p}_x2") - F.col(f"{p}_x1"))

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zonehour.functions.time import dow0, time_block, year_month
+from zonehour.operators.ordered import exact_quantiles, running, same
 from zonehour.operators.tables import attach_dim, intensity, norm_to_max, top_n
 from zonehour.schemas import NO_ZONES
 
@@ -20,16 +21,25 @@ def threshold_shares(c: str = "tot") -> list[Column]:
     return [(100.0 * F.count_if(F.col(c) >= t) / F.count("*")).alias(f"ge{t}_pct") for t in THRESHOLDS]
 
 
-def quantiles(c: str, qs: Sequence[float], exact: bool = True, accuracy: int = 10_000) -> Column:
-    """Exact quantiles, or approximate ones in bounded memory for very large inputs."""
-    return F.percentile(c, F.array(*map(F.lit, qs))) if exact else F.percentile_approx(c, list(qs), accuracy)
+def with_quantiles(df: DataFrame, by: str, value: str, qs: Sequence[float], aggs: Sequence[Column] = (), exact: bool = True, accuracy: int = 10_000) -> DataFrame:
+    """(by, aggs, q): q has the quantiles of each group, a group of any size.
+
+    Exact ones come from ranges of the values, which no task holds whole; approximate
+    ones from sketches in one pass, off by the rank of one in `accuracy` at most.
+    """
+    if not exact:
+        return df.groupBy(by).agg(*aggs, F.percentile_approx(F.col(value).cast("double"), list(qs), accuracy).alias("q"))
+    q = exact_quantiles(df, [by], value, qs)
+    stats = df.groupBy(by).agg(*aggs) if aggs else df.select(by).distinct()
+    return stats.alias("s").join(q.alias("t"), same("s", "t", [by]), "left").select("s.*", "t.q")
 
 
 def sparsity(od: DataFrame, zones: int, exact: bool = True) -> DataFrame:
     """Per mode: cells seen of all possible, and how demand is spread over them."""
     cells = od.groupBy("mode", "pu", "do", "date", "hour").agg(F.sum("n").alias("n"))
     qs = (0.05, 0.25, 0.5, 0.75, 0.9, 0.99)
-    out = cells.groupBy("mode").agg(F.count("*").alias("observed_cells"), (F.count_distinct("date") * zones * zones * 24).alias("possible_cells"), F.avg("n").alias("mean_demand"), quantiles("n", qs, exact).alias("q"), F.sum("n").alias("total_demand"))
+    aggs = [F.count("*").alias("observed_cells"), (F.count_distinct("date") * zones * zones * 24).alias("possible_cells"), F.avg("n").alias("mean_demand"), F.sum("n").alias("total_demand")]
+    out = with_quantiles(cells, "mode", "n", qs, aggs, exact)
     out = out.withColumn("fill_rate_pct", 100.0 * F.col("observed_cells") / F.col("possible_cells"))
     return out.select("*", *[F.col("q")[k].alias(f"p{round(100 * q)}") for k, q in enumerate(qs)]).drop("q")
 
@@ -77,10 +87,8 @@ def lorenz_curve(od: DataFrame, ascending: bool = True) -> DataFrame:
     """(mode, pu, do, tot, rank, cum_pairs, cum_demand): pairs by demand, and the running shares."""
     v = od.groupBy("mode", "pu", "do").agg(F.sum("n").alias("tot"))
     first = F.col("tot").asc() if ascending else F.col("tot").desc()
-    w = W.partitionBy("mode").orderBy(first, "pu", "do")
-    every = W.partitionBy("mode")
-    run = w.rowsBetween(W.unboundedPreceding, 0)
-    return v.select("mode", "pu", "do", "tot", F.row_number().over(w).alias("rank"), (F.row_number().over(w) / F.count("*").over(every)).alias("cum_pairs"), (F.sum("tot").over(run) / F.sum("tot").over(every)).alias("cum_demand"))
+    x = running(v, ["mode"], [first, "pu", "do"], {"rank": F.lit(1), "demand": F.col("tot")})
+    return x.select("mode", "pu", "do", "tot", "rank", (F.col("rank") / F.col("rank_total")).alias("cum_pairs"), (F.col("demand") / F.col("demand_total")).alias("cum_demand"))
 
 
 def lorenz(od: DataFrame, targets: Sequence[float] = (0.5, 0.8, 0.95), ascending: bool = True) -> DataFrame:
@@ -118,21 +126,22 @@ def top_zones(od: DataFrame, n: int = 20) -> DataFrame:
 def price_distribution(df: DataFrame, fare: str, by: str = "dataset", lo: float = 0, hi: float = 500, exact: bool = True) -> DataFrame:
     """Fares between the limits, by mode."""
     qs = (0.05, 0.25, 0.5, 0.75, 0.9, 0.95)
-    x = df.where((F.col(fare) > lo) & (F.col(fare) < hi)).groupBy(by).agg(F.avg(fare).alias("mean_fare"), F.stddev_samp(fare).alias("std_fare"), F.count("*").alias("n_cells"), quantiles(fare, qs, exact).alias("q"))
+    aggs = [F.avg(fare).alias("mean_fare"), F.stddev_samp(fare).alias("std_fare"), F.count("*").alias("n_cells")]
+    x = with_quantiles(df.where((F.col(fare) > lo) & (F.col(fare) < hi)), by, fare, qs, aggs, exact)
     return x.select("*", *[F.col("q")[k].alias(f"p{round(100 * q)}") for k, q in enumerate(qs)]).drop("q")
 
 
 def box_stats(df: DataFrame, value: str, by: str = "dataset", exact: bool = True) -> DataFrame:
     qs = (0.05, 0.25, 0.5, 0.75, 0.95)
-    x = df.where(F.col(value).isNotNull()).groupBy(by).agg(quantiles(value, qs, exact).alias("q"))
+    x = with_quantiles(df.where(F.col(value).isNotNull()), by, value, qs, exact=exact)
     return x.select(by, *[F.col("q")[k].alias(f"p{round(100 * q)}") for k, q in enumerate(qs)])
 
 
 def demand_cdf(od: DataFrame, points: int = 199, exact: bool = True) -> DataFrame:
     """(mode, q, n): that many quantiles of a cell's demand."""
     qs = [k / (points + 1) for k in range(1, points + 1)]
-    x = od.groupBy("mode").agg(quantiles("n", qs, exact).alias("v"))
-    return x.select("mode", F.posexplode("v").alias("k", "n")).select("mode", (F.col("k") + 1).alias("k"), "n")
+    x = with_quantiles(od, "mode", "n", qs, exact=exact)
+    return x.select("mode", F.posexplode("q").alias("k", "n")).select("mode", (F.col("k") + 1).alias("k"), "n")
 
 
 def interpolate(grid: Column, value: Column) -> Column:

@@ -175,10 +175,9 @@ def _bikes(v):
     return pp.clean_bikes(v.bikes.withColumnRenamed("usertype", "member_casual"), 2021, 2025)
 
 
-@query("mth_haversine", _BIKE + f"SELECT {B('hour')} AS hour, {B('count(*)')} AS n, {R('avg(km)')} AS km FROM bk GROUP BY hour")
+@query("mth_haversine", _BIKE + f"SELECT started_at, {R('start_lat')} AS start_lat, {R('end_lat')} AS end_lat, {R('km')} AS km FROM bk")
 def _(v):
-    x = sp.trip_km(_bikes(v), "km").withColumn("hour", F.hour("started_at"))
-    return x.groupBy("hour").agg(F.count("*").alias("n"), F.avg("km").alias("km"))
+    return sp.trip_km(_bikes(v), "km").select("started_at", "start_lat", "end_lat", "km")
 
 
 def _distance(points: str, edges: str) -> str:
@@ -189,7 +188,7 @@ def _distance(points: str, edges: str) -> str:
 
 def _first(zones: str) -> str:
     """The nearest zone of each point of _distance; borders less than 1e-9 apart are a tie."""
-    return f"(SELECT px, py, min_by(zone_id, floor(distance * 1000000000 + 0.5) * 1000 + zone_id) AS zone_id, min(distance) AS distance FROM {zones} GROUP BY px, py)"
+    return f"(SELECT px, py, min_by(zone_id, [floor(distance * 1000000000 + 0.5), zone_id]) AS zone_id, min(distance) AS distance FROM {zones} GROUP BY px, py)"
 
 
 _PLACES = f""", places AS (SELECT start_lng AS px, start_lat AS py FROM bk UNION SELECT end_lng, end_lat FROM bk),
@@ -198,12 +197,11 @@ _PLACES = f""", places AS (SELECT start_lng AS px, start_lat AS py FROM bk UNION
 """
 
 
-@query("agg9_bike_panel", _BIKE + _PLACES + f"""SELECT {B('s.zone_id')} AS start_zone, {B('e.zone_id')} AS end_zone, date, {B('hour')} AS hour, member_casual, rideable_type, {B('count(km)')} AS n_trips, floor(avg(km) * 100 + 0.5) / 100 AS avg_distance_km, {R('avg(duration_min)')} AS mean_duration_min,
+@query("agg9_bike_panel", _BIKE + _PLACES + f"""SELECT {B('s.zone_id')} AS start_zone, {B('e.zone_id')} AS end_zone, date, {B('hour')} AS hour, member_casual, rideable_type, {B('count(km)')} AS n_trips, {R('avg(km)')} AS avg_distance_km, {R('avg(duration_min)')} AS mean_duration_min,
   {R('stddev_samp(duration_min)')} AS std_duration_min, {R('quantile_cont(duration_min, 0.1)')} AS p10_duration_min, {R('quantile_cont(duration_min, 0.5)')} AS median_duration_min, {R('quantile_cont(duration_min, 0.9)')} AS p90_duration_min
   FROM bk JOIN zoned s ON s.px = start_lng AND s.py = start_lat JOIN zoned e ON e.px = end_lng AND e.py = end_lat WHERE duration_min > 0 AND duration_min <= 300 AND rideable_type <> 'unknown' AND s.zone_id > 0 AND e.zone_id > 0 GROUP BY s.zone_id, e.zone_id, date, hour, member_casual, rideable_type""")
 def _(v):
-    p = pp.bike_panel(pp.bikes_to_zones(_bikes(v), v.edges, project=False, cell=1.0))
-    return p.withColumn("avg_distance_km", F.floor(F.col("avg_distance_km") * 100 + 0.5) / 100)
+    return pp.bike_panel(pp.bikes_to_zones(_bikes(v), v.edges, project=False, cell=1.0))
 
 
 @query("agg10_merge_summaries", f", part AS (SELECT dataset, hour, count(*) AS n_trips, avg(duration_min) AS mean_min, median(duration_min) AS median_min, stddev_samp(duration_min) AS std_min, quantile_cont(duration_min, 0.1) AS p10_min, quantile_cont(duration_min, 0.9) AS p90_min FROM keyed GROUP BY dataset, hour) SELECT dataset, {B('sum(n_trips)')} AS n_trips, {R('sum(mean_min * n_trips) / sum(n_trips)')} AS mean_min, {R('avg(median_min)')} AS median_min, {R('avg(std_min)')} AS std_min, {R('min(p10_min)')} AS p10_min, {R('max(p90_min)')} AS p90_min FROM part GROUP BY dataset")
@@ -321,7 +319,7 @@ def _(v):
     return v.keyed.groupBy("dataset").agg(F.sum(fc.row_total([F.col(c) for c in FARES])).alias("total"))
 
 
-_TRACTS = """, raw AS (SELECT CAST(c_custkey % 50 AS INT) AS a_id, count(*) AS p, sum(CAST(floor(c_acctbal) AS BIGINT)) AS i FROM customer GROUP BY 1),
+_TRACTS = """, raw AS (SELECT a_id, count(*) AS p, sum(CAST(floor(c_acctbal) AS BIGINT)) AS i FROM homes GROUP BY 1),
 tracts AS (SELECT a_id, CASE WHEN a_id % 11 = 3 THEN 0.0 WHEN a_id % 11 = 4 THEN NULL ELSE CAST(p AS DOUBLE) END AS population, CASE WHEN a_id % 7 IN (2, 3) THEN NULL ELSE CAST(i AS DOUBLE) END AS income, CAST(p % 17 AS DOUBLE) AS workers FROM raw)
 """
 
@@ -469,24 +467,24 @@ def _overlay_sql(a: str, b: str) -> str:
  FROM (SELECT a.zone_id AS a_id, b.zone_id AS b_id, a.s AS sa, b.s AS sb, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2, greatest(least(a.x1, a.x2), least(b.x1, b.x2)) AS lo, least(greatest(a.x1, a.x2), greatest(b.x1, b.x2)) AS hi FROM {a} a, {b} b WHERE a.x1 <> a.x2 AND b.x1 <> b.x2) WHERE lo < hi)) GROUP BY a_id, b_id HAVING area > 0.000001)"""
 
 
-@query("geo5_overlay", f", o AS {_overlay_sql('shifted', 'edges')} SELECT {B('a_id')} AS a_id, {B('b_id')} AS b_id, {R('area')} AS area, {R('area / sum(area) OVER (PARTITION BY a_id)')} AS area_weight FROM o")
+@query("geo5_overlay", f", o AS {_overlay_sql('tract_edges', 'edges')} SELECT {B('a_id')} AS a_id, {B('b_id')} AS b_id, {R('area')} AS area, {R('area / sum(area) OVER (PARTITION BY a_id)')} AS area_weight FROM o")
 def _(v):
-    return sp.area_weights(sp.overlay_area(v.shifted, v.edges))
+    return sp.area_weights(sp.overlay_area(v.tract_edges, v.edges))
 
 
-@query("pip9_crosswalk", f", o AS {_overlay_sql('shifted', 'edges')} SELECT {B('a_id')} AS a_id, {B('b_id')} AS b_id, {R('area')} AS area, {R('area / sum(area) OVER (PARTITION BY a_id)')} AS area_weight, {R('sum(area) OVER (PARTITION BY a_id) / 0.5')} AS coverage FROM o")
+@query("pip9_crosswalk", f", o AS {_overlay_sql('tract_edges', 'edges')} SELECT {B('a_id')} AS a_id, {B('b_id')} AS b_id, {R('area')} AS area, {R('area / sum(area) OVER (PARTITION BY a_id)')} AS area_weight, {R('sum(area) OVER (PARTITION BY a_id) / 0.0625')} AS coverage FROM o")
 def _(v):
-    return pp.crosswalk(v.shifted, v.edges, 1.0)
+    return pp.crosswalk(v.tract_edges, v.edges, 1.0)
 
 
-@query("agg11_zone_demographics", _TRACTS + f", o AS {_overlay_sql('shifted', 'edges')}, c AS (SELECT *, area / sum(area) OVER (PARTITION BY a_id) AS w FROM o) SELECT {B('b_id')} AS b_id, {B('round_even(sum(workers * w), 0)')} AS workers, {R('sum(income * population * w) / nullif(sum(population * w), 0)')} AS income FROM c JOIN tracts USING (a_id) GROUP BY b_id")
+@query("agg11_zone_demographics", _TRACTS + f", o AS {_overlay_sql('tract_edges', 'edges')}, c AS (SELECT *, area / sum(area) OVER (PARTITION BY a_id) AS w FROM o) SELECT {B('b_id')} AS b_id, {B('round_even(sum(workers * w), 0)')} AS workers, {R('sum(income * population * w) / nullif(sum(population * w), 0)')} AS income FROM c JOIN tracts USING (a_id) GROUP BY b_id")
 def _(v):
-    return sp.zone_demographics(sp.area_weights(sp.overlay_area(v.shifted, v.edges)), _census(v), ["workers"], ["income"])
+    return sp.zone_demographics(sp.area_weights(sp.overlay_area(v.tract_edges, v.edges)), _census(v), ["workers"], ["income"])
 
 
-@query("agg12_null_safe_means", _TRACTS + f", o AS {_overlay_sql('shifted', 'edges')}, c AS (SELECT *, area / sum(area) OVER (PARTITION BY a_id) AS w FROM o) SELECT {B('b_id')} AS b_id, {R('sum(income * population * w) / nullif(sum(CASE WHEN income IS NOT NULL THEN population * w END), 0)')} AS income FROM c JOIN tracts USING (a_id) GROUP BY b_id")
+@query("agg12_null_safe_means", _TRACTS + f", o AS {_overlay_sql('tract_edges', 'edges')}, c AS (SELECT *, area / sum(area) OVER (PARTITION BY a_id) AS w FROM o) SELECT {B('b_id')} AS b_id, {R('sum(income * population * w) / nullif(sum(CASE WHEN income IS NOT NULL THEN population * w END), 0)')} AS income FROM c JOIN tracts USING (a_id) GROUP BY b_id")
 def _(v):
-    return sp.zone_demographics(sp.area_weights(sp.overlay_area(v.shifted, v.edges)), _census(v), [], ["income"], null_safe=True)
+    return sp.zone_demographics(sp.area_weights(sp.overlay_area(v.tract_edges, v.edges)), _census(v), [], ["income"], null_safe=True)
 
 
 @query("geo6_distinct_points", f"SELECT {B('zone_id')} AS zone_id, {B('count(*)')} AS n FROM points JOIN within USING (px, py) GROUP BY zone_id")
