@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from zonehour.operators.tables import conform
 from zonehour.schemas import FLOW
+from zonehour.shared import staged
 
 CONTEXT = ("origin", "year", "month", "dow", "hour")
 
@@ -46,8 +47,9 @@ def weight_check(df: DataFrame, context: Sequence[str] = CONTEXT, w: str = "weig
 
 
 def months_with_od(entries: DataFrame, weights: DataFrame) -> DataFrame:
-    """Entries of months that the weights cover."""
-    return entries.join(weights.select("year", "month").distinct(), ["year", "month"], "left_semi")
+    """Entries of months that the weights cover. Of files by year and month only those months' are read."""
+    months = weights.where(F.col("weight") > 0).select("year", "month").distinct()
+    return entries.join(F.broadcast(months), ["year", "month"], "left_semi")  # twelve rows a year
 
 
 def with_calendar(entries: DataFrame, date: str = "date") -> DataFrame:
@@ -55,18 +57,41 @@ def with_calendar(entries: DataFrame, date: str = "date") -> DataFrame:
     return entries.withColumns({"year": F.year(date), "month": F.month(date), "dow": F.date_format(date, "EEEE")})
 
 
-def estimate_flows(entries: DataFrame, weights: DataFrame, whole_months: bool = True) -> DataFrame:
+#: Entries of one context that meet its weights in one task.
+HOT_ROWS = 100_000
+
+
+def _salted(e: DataFrame, w: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a salt: contexts of more entries than hot_rows get one per that many, and their weights come once for each."""
+    of = dict(zip(CONTEXT, ("station", *CONTEXT[1:]), strict=True))
+    hot = e.groupBy(*of.values()).agg(F.count("*").alias("n")).where(F.col("n") > hot_rows)
+    hot = staged(hot.select(*[F.col(c).alias(f"h_{k}") for k, c in of.items()], F.ceil(F.col("n") / hot_rows).cast("int").alias("salts")), "hot-contexts")
+
+    def known(df: DataFrame, name) -> DataFrame:
+        on = [F.col(name(k)) == F.col(f"h_{k}") for k in CONTEXT]
+        return df.join(hot, on, "left").withColumn("salts", F.coalesce("salts", F.lit(1))).drop(*[f"h_{k}" for k in CONTEXT])
+
+    e = known(e, lambda k: of[k]).withColumn("salt", F.pmod(F.xxhash64(*e.columns), F.col("salts")).cast("int")).drop("salts")
+    w = known(w, lambda k: f"w_{k}").withColumn("w_salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return e, w
+
+
+def estimate_flows(entries: DataFrame, weights: DataFrame, whole_months: bool = True, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """entries(station, date, hour, ...) fanned out over the destinations of their context.
 
     Entries without weights stay, with dest -1 and their own station as origin,
     and a NULL weight and flow. whole_months: months that the weights lack are
-    left out. A hot station's rows are split by the engine's skew join.
+    left out. Contexts are counted at once; one of more entries than hot_rows is dealt to several tasks,
+    each with its weights. hot_rows=None: no context is, for tables that are bucketed by context.
     """
-    e = with_calendar(entries)
+    e = entries if {"year", "month", "dow"} <= set(entries.columns) else with_calendar(entries)
     if whole_months:
         e = months_with_od(e, weights)
     w = weights.select(*[F.col(c).alias(f"w_{c}") for c in CONTEXT], F.col("dest").alias("w_dest"), "weight")
     on = (F.col("station") == F.col("w_origin")) & (F.col("year") == F.col("w_year")) & (F.col("month") == F.col("w_month")) & (F.col("dow") == F.col("w_dow")) & (F.col("hour") == F.col("w_hour"))
+    if hot_rows is not None:
+        e, w = _salted(e, w, hot_rows)
+        on = on & (F.col("salt") == F.col("w_salt"))
     x = e.join(w, on, "left")
     return x.select("date", "hour", "fare_class", "month", F.coalesce("w_origin", "station").alias("origin"), F.coalesce("w_dest", F.lit(-1)).alias("dest"), "ridership", "weight", (F.col("ridership") * F.col("weight")).alias("flow"))
 

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from zonehour import schemas
 from zonehour.bindings import END, START, Views
+from zonehour.operators import flows as fl
+from zonehour.operators import panel as pn
 from zonehour.operators import spatial as sp
 from zonehour.plans import analytics as an
 from zonehour.plans import pipelines as pp
-from zonehour.queries import B, R, query
+from zonehour.queries import _FLOWS, B, PANEL_SQL, R, query
 from zonehour.shared import new_path, staged
-from zonehour.sources import files, sinks
+from zonehour.sources import files, footers, sinks
+from zonehour.streaming import maintain
 
 # --- trips by mode -----------------------------------------------------------
 
@@ -220,3 +223,80 @@ def _(v):
     """Per mode a document {year: {quarter: [[origin, destination, n], ...]}}, the largest routes first."""
     q = v.od.groupBy("mode", F.year("date").alias("year"), F.quarter("date").alias("quarter"), "pu", "do").agg(F.sum("n").cast("long").alias("n"))
     return an.nested_json(an.route_triples(q, ["mode", "year", "quarter"], "pu", "do", "n"), ["mode", "year", "quarter"], "triples")
+
+
+# --- tables that streams and buckets keep --------------------------------------
+
+#: A row arrives with its third of the month; each tenth comes one wave late.
+_WAVES = "least(3, 1 + (CASE WHEN ts >= TIMESTAMP '2024-01-11 00:00:00' THEN 1 ELSE 0 END) + (CASE WHEN ts >= TIMESTAMP '2024-01-21 00:00:00' THEN 1 ELSE 0 END) + (CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END))"
+
+
+@query("str2_hourly_stream", f"""WITH w AS (SELECT *, {_WAVES} AS wave, date_trunc('hour', ts) AS h FROM events),
+ m AS (SELECT wave, max(max(ts)) OVER (ORDER BY wave) - INTERVAL 1 DAY AS mark FROM w GROUP BY wave)
+ SELECT event_type, CAST(h AS DATE) AS day, {B('hour(h)')} AS hour, {B('count(*)')} AS trip_count FROM w WHERE (wave = 1 OR h + INTERVAL 1 HOUR > (SELECT mark FROM m WHERE m.wave = w.wave - 1)) AND h + INTERVAL 1 HOUR <= (SELECT max(mark) FROM m) GROUP BY 1, 2, 3""", views=False)
+def _(v):
+    """Events as files of a stream in three waves; the stream ends with each and is taken up from its checkpoint. Late rows are in it while their hour is open."""
+    at = new_path(v.spark, "hours")
+    x = v.table("events").select("event_id", "event_type", "ts").withColumn("wave", F.expr(_WAVES)).withColumn("ts", F.col("ts").cast("timestamp"))
+    x = staged(x, "waves")
+    for wave in (1, 2, 3):
+        x.where(F.col("wave") == wave).drop("wave").write.mode("append").parquet(f"{at}/in")
+        maintain.hourly_stream(v.spark, f"{at}/in", f"{at}/out", x.drop("wave").schema, f"{at}/state", "ts", ["event_type"]).awaitTermination()
+    y = v.spark.read.schema("event_type string, hour_start timestamp, trip_count long").parquet(f"{at}/out")
+    return y.select("event_type", F.to_date("hour_start").alias("day"), F.hour("hour_start").alias("hour"), "trip_count")
+
+
+_MONTHLY = ["year", "month", "PULocationID", "dataset"]
+
+
+def _month_panel(trips: DataFrame) -> DataFrame:
+    return pn.zone_hour_panel(trips, _MONTHLY)
+
+
+@query("snk2_incremental_panel", f"SELECT {B('year(pickup_datetime)')} AS year, {B('month(pickup_datetime)')} AS month, {B('PULocationID')} AS \"PULocationID\", dataset, {PANEL_SQL} FROM clean GROUP BY year(pickup_datetime), month(pickup_datetime), PULocationID, dataset")
+def _(v):
+    """Trip files arrive in two waves, the second with later months and with trips of months that were done; the panel's months that they touch are made anew."""
+    at = new_path(v.spark, "monthly")
+    trips = staged(v.trips.withColumn("second", (F.col("pickup_datetime") >= F.lit("1998-06-01").cast("timestamp_ntz")) | ((F.col("PULocationID") == 3) & (F.year("pickup_datetime") == 1997))), "trips")
+    clean = lambda d: pn.clean_trips(d, START, END)
+    for second in (False, True):
+        trips.where(F.col("second") == second).drop("second").write.mode("append").parquet(f"{at}/in")
+        maintain.maintain_panel(v.spark, f"{at}/in", f"{at}/trips", f"{at}/panel", trips.drop("second").schema, f"{at}/state", clean, _month_panel).awaitTermination()
+    return v.spark.read.parquet(f"{at}/panel").select(*_MONTHLY, "trip_count", "avg_distance", "avg_duration_min", "std_duration_min", "median_duration_min", "p10_duration_min", "p90_duration_min", "avg_passengers")
+
+
+@query("dq4_rewritten_output", f"SELECT mode, {B('count(*)')} AS n_cells, {R('sum(n)')} AS total, {B('sum(hour // 12)')} AS afternoons, true AS was_obsolete FROM od WHERE mode IN ('green', 'via') GROUP BY mode UNION ALL SELECT mode, {B('count(*)')}, {R('sum(n)')}, {B('sum(hour // 12)')}, false FROM od WHERE mode NOT IN ('green', 'via') GROUP BY mode")
+def _(v):
+    """An output by mode of which two partitions lack a column that is written today: those are found by their footers and written anew."""
+    at = new_path(v.spark, "output")
+    today = v.od.withColumn("half", F.expr("hour div 12"))
+    old = F.col("mode").isin("green", "via")
+    sinks.write_partitioned(today.where(old).drop("half"), at, by=["mode"])
+    sinks.write_partitioned(today.where(~old), at, by=["mode"])
+    done = maintain.rewrite_obsolete(v.spark, at, "half", ["mode"], lambda modes: today.join(modes, "mode", "left_semi"))
+    x = v.spark.read.option("mergeSchema", True).parquet(at).groupBy("mode").agg(F.count("*").alias("n_cells"), F.sum("n").alias("total"), F.sum("half").alias("afternoons"))
+    return x.join(done.withColumn("was_obsolete", F.lit(True)), "mode", "left").withColumn("was_obsolete", F.coalesce("was_obsolete", F.lit(False)))
+
+
+@query("jon3_bucketed_flows", _FLOWS + f"SELECT {B('origin')} AS origin, {B('dest')} AS dest, {B('count(*)')} AS n, {R('sum(flow)')} AS flow FROM flows GROUP BY origin, dest")
+def _(v):
+    """Entries and weights bucketed by their context, and joined bucket by bucket."""
+    name = new_path(v.spark, "flows").rpartition("-")[2]
+    n = int(v.spark.conf.get("spark.sql.shuffle.partitions"))
+    e = fl.months_with_od(fl.with_calendar(v.entries), v.weights)
+    tables = [f"zonehour_entries_{name}", f"zonehour_weights_{name}"]
+    e = sinks.write_bucketed(e, tables[0], ["station", *fl.CONTEXT[1:]], n)
+    w = sinks.write_bucketed(v.weights, tables[1], fl.CONTEXT, n)
+    x = staged(fl.estimate_flows(e, w, whole_months=False, hot_rows=None).groupBy("origin", "dest").agg(F.count("*").alias("n"), F.sum("flow").alias("flow")), "flows")
+    for t in tables:
+        v.spark.sql(f"DROP TABLE {t}")
+    return x
+
+
+@query("src3_pruned_months", f", big AS (SELECT DISTINCT year(o_orderdate) AS y, month(o_orderdate) AS m FROM orders WHERE o_totalprice > 400000 AND o_orderstatus = 'P') SELECT mode, {B('count(*)')} AS n_cells, {R('sum(n)')} AS total FROM od WHERE EXISTS (SELECT 1 FROM big WHERE y = year(date) AND m = month(date)) GROUP BY mode")
+def _(v):
+    """A panel by year and month, of which those months are read that another table asks for."""
+    at = new_path(v.spark, "by-month")
+    sinks.write_partitioned(v.od.withColumns({"year": F.year("date"), "month": F.month("date")}), at, by=["year", "month"])
+    o = v.table("orders").where("o_totalprice > 400000 AND o_orderstatus = 'P'").select(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), F.lit(1.0).alias("weight"))
+    return fl.months_with_od(v.spark.read.parquet(at), o).groupBy("mode").agg(F.count("*").alias("n_cells"), F.sum("n").alias("total"))

@@ -23,6 +23,12 @@ def write_partitioned(df: DataFrame, path: str, schema: T.StructType | None = No
     out.write.mode(mode).option("compression", "snappy").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """df as a table of the catalogue, dealt into buckets by its keys and sorted there; tables alike in that join on all keys without an exchange."""
+    df.repartition(buckets, *keys).write.mode("overwrite").option("compression", "snappy").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
