@@ -136,26 +136,39 @@ def auc(score, y):
     return (rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
 
 
+def encoded(texts):
+    return [t.encode() for t in texts]
+
+
 def test_toxicity_held_out_and_hidden():
     rows = list(labelled(random.Random(1), 1500))
-    m = toxicity.fit([t for _, t, _ in rows[:1000]], np.array([y for *_, y in rows[:1000]]))
-    assert set(RUDE) <= set(m.extract.lexicon)
+    m = toxicity.fit(encoded(t for _, t, _ in rows[:1000]), np.array([y for *_, y in rows[:1000]]))
+    assert (m.lexicon.look_words(RUDE) > 0).all()
     y = np.array([y for *_, y in rows[1000:]])
-    s = m.score([t for _, t, _ in rows[1000:]])
+    s = m.score(encoded(t for _, t, _ in rows[1000:]))
     assert auc(s, y) > 0.99 and ((s >= 0.3) == y).mean() > 0.98 and s.min() >= 0 and s.max() <= 1
     clean = "a1 e2 i3 o4 u5 " * 4
-    hidden = m.score([clean + w for w in ("1d1ot e7", "st*upid you e7", "i d i o t e7", "iiidiot e7", "IDIOT!!! e7")])
-    assert m.score([clean])[0] < 0.3 and (m.extract.of([clean + "1d1ot e7"])[0][3] > 0)
-    assert (m.extract.of([clean + w for w in ("1d1ot", "st*upid", "i d i o t", "idiooot")])[:, 3] > 0).all() and hidden[4] >= 0.3
+    assert m.score(encoded([clean]))[0] < 0.3 <= m.score(encoded([clean + "IDIOT!!! e7"]))[0]
+    f = toxicity.features(m.lexicon, encoded([clean, *(clean + w for w in ("1d1ot e7", "st*upid", "i d i o t e7", "idiooot", "l0ser!", "$tupid"))]))
+    assert f[0, 3] == 0 and (f[1:, 3] > 0).all() and (f[1:, 7] > 0).all()
 
 
 def test_features_by_hand():
-    f = toxicity.Features({"idiot": 3.0, "^stup": 2.0}).of(["You IDIOT!! stupidly so", "", "one two you", "a b c"])
+    f = toxicity.features(toxicity.Lexicon.of({"idiot": 3.0, "^stup": 2.0, "müll": 1.0}), encoded(["You IDIOT!! stupidly so", "", "one two you", "a b é", "“MÜLL” 3 ÉtÉ"]))
     at = {n: k for k, n in enumerate(toxicity.FEATURES)}
-    assert f[0, at["word_density"]] == 1 / 4 and f[0, at["stem_density"]] == 1 / 4 and f[0, at["most_odds"]] == 3
+    assert f[0, at["word_density"]] == 1 / 4 and f[0, at["stem_density"]] == 1 / 4 and f[0, at["most_odds"]] == 3 and f[0, at["odds_per_word"]] == 5 / 4
     assert f[0, at["near_you"]] == pytest.approx((1 / 2 + 1 / 3) / 4) and f[0, at["you_density"]] == 1 / 4
     assert f[0, at["capitals"]] == pytest.approx(6 / 18) and f[0, at["shouted"]] == 1 / 4 and f[0, at["loud_marks"]] == 2 / 4
     assert not f[1].any() and f[2, at["near_you"]] == 0 and f[3, at["alone"]] == 1
+    assert f[4, at["word_hits"]] == np.log1p(1) and f[4, at["capitals"]] == 6 / 7 and f[4, at["shouted"]] == 1 / 3 and f[4, at["other_marks"]] == 2 / 3
+
+
+def test_lexicon_counts_documents():
+    texts = encoded(["bad bad word", "bad stem1", "word", "word other", "bad"] * 100)
+    y = np.array([1, 1, 0, 0, -1] * 100)
+    doc, term = toxicity.terms(texts)
+    lex = toxicity.learn_lexicon(doc, term, y)
+    assert lex.look_words(["bad"])[0] == pytest.approx(np.log(200.5 / 201) - np.log(0.5 / 201)) and lex.look_words(["word", "other", "absent"]).tolist() == [0, 0, 0]
 
 
 def test_isotonic_against_brute_force():
@@ -196,12 +209,12 @@ def test_toxicity_takes_edges(spark):
     m = toxicity.learn(edge_table(spark), spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))
     assert {r.score for r in toxicity.score_toxicity(edge_table(spark), m).collect()} == {0.5}
     rows = list(labelled(random.Random(3), 400))
-    m = toxicity.fit([t for _, t, _ in rows], np.array([y for *_, y in rows]))
+    m = toxicity.fit(encoded(t for _, t, _ in rows), np.array([y for *_, y in rows]))
     got = toxicity.score_toxicity(edge_table(spark, clashing=True), m)
     assert got.columns == ["doc_id", "score", "predicted"] and got.count() == len(edge_rows())
     assert toxicity.score_toxicity(empty_table(spark), m).collect() == []
     assert len({r.score for r in got.where("doc_id in (0, 1, 2)").collect()}) == 1
-    assert toxicity.fit(["a"], np.array([1])).score(["b", ""]).tolist() == [2 / 3, 2 / 3]
+    assert toxicity.fit([b"a"], np.array([1])).score([b"b", b""]).tolist() == [2 / 3, 2 / 3]
 
 
 # --- turn repair --------------------------------------------------------------
