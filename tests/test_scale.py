@@ -141,10 +141,14 @@ def test_nearest_measures_few_edges(spark):
 
 @pytest.fixture
 def many_parts(spark):
-    was = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    """As with more data: twelve parts, that aren't made one because they are small."""
+    new = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
     yield
-    spark.conf.set("spark.sql.shuffle.partitions", was)
+    for k, v in was.items():
+        spark.conf.set(k, v)
 
 
 def test_running_sums_of_a_large_group(spark, many_parts):

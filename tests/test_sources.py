@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonehour.schemas import BIKE_ALIASES, BIKE_TRIP, trip_schema
-from zonehour.sources import files, sinks
+from zonehour.sources import files, footers, sinks
 from zonehour.streaming.ingest import hourly_counts, ingest_available
 
 
@@ -20,9 +20,8 @@ def test_trips_of_two_generations(spark, tmp_path):
     assert [f.name for f in trip_schema("yellow").fields] == x.columns
     assert sorted((r.airport_fee, r.passenger_count) for r in x.collect()) == [(1.25, 1), (2.5, None)]
     assert files.read_trips(spark, [f"{tmp_path}/old"], "yellow", "2024-02-01").count() == 0
-    d = files.schema_drift(spark, [f"{tmp_path}/old", f"{tmp_path}/new"])
-    assert sorted((r.column, r.change) for r in d.collect()) == [("Airport_fee", "added"), ("airport_fee", "removed")]
-    assert files.is_obsolete(spark, f"{tmp_path}/old", "hail_type")
+    d = footers.drift(footers.footers(spark, [f"{tmp_path}/new", f"{tmp_path}/old"]).where("n_rows > 0"))
+    assert sorted((r.column, r.change) for r in d.collect()) == [("Airport_fee", "removed"), ("airport_fee", "added")]
 
 
 def test_csv_generations(spark, tmp_path):
@@ -32,6 +31,25 @@ def test_csv_generations(spark, tmp_path):
     assert [(x.start_station_id, x.member_casual, x.ended_at is None, x.source_file) for x in r] == [("7", "Subscriber", False, "a.csv"), ("007", "casual", True, "b.csv")]
 
 
+def test_mixed_csv_folder(spark, tmp_path):
+    """Generations lie side by side and below one another; fields are quoted, headers of any case, rows short."""
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.csv").write_text('"StartTime","stoptime","Start Station ID","User Type"\n"2014-01-01 00:00:01","2014-01-01 00:10:01","7, ""A""","Subscriber"\n\n')
+    (tmp_path / "sub" / "b.csv").write_text('started_at,ended_at,start_station_id,member_casual,rideable_type\n2024-01-01 00:00:01,,007,casual\n2024-01-02 00:00:01,2024-01-02 00:05:00,008,member,electric_bike\n')
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "only_header.csv").write_text("started_at,ended_at\n")
+    r = files.read_csv_generations(spark, str(tmp_path), BIKE_ALIASES, BIKE_TRIP).orderBy("started_at").collect()
+    assert [(x.start_station_id, x.member_casual, x.rideable_type, x.ended_at is None, x.source_file) for x in r] == [('7, "A"', "Subscriber", None, False, "a.csv"), ("007", "casual", None, True, "b.csv"), ("008", "member", "electric_bike", False, "b.csv")]
+
+
+def test_columns_from_paths(spark, tmp_path):
+    for name in ("isd_725030_2021.csv", "isd_725030_2022.csv", "isd_744860_2021.csv"):
+        (tmp_path / name).write_text("DATE,TMP\n2021-01-01T00:51:00,\"+0011,1\"\n")
+    s = T.StructType().add("DATE", T.StringType()).add("TMP", T.StringType())
+    r = files.read_csv_named(spark, f"{tmp_path}/isd_*_2021.csv", s, r"isd_(\d+)_(\d{4})", {"STATION": "string", "year": "int"}).orderBy("STATION").collect()
+    assert [tuple(x) for x in r] == [("2021-01-01T00:51:00", "+0011,1", "725030", 2021), ("2021-01-01T00:51:00", "+0011,1", "744860", 2021)]
+
+
 def test_typed_csv_and_jsonl(spark, tmp_path):
     (tmp_path / "isd_s_2021.csv").write_text('k,v\n061,1\n100,x\n')
     s = T.StructType().add("k", T.StringType()).add("v", T.DoubleType())
@@ -63,7 +81,9 @@ def test_partitions_are_replaced_alone(spark, tmp_path):
     sinks.write_partitioned(df, p, by=("year", "month"))
     sinks.write_partitioned(spark.createDataFrame([(9, 2024, 2)], "x int, year int, month int"), p, by=("year", "month"))
     assert sorted((r.x, r.month) for r in spark.read.parquet(p).collect()) == [(1, 1), (9, 2)]
-    assert [(r.exists, r.n_rows) for r in files.inventory(spark, [p, f"{tmp_path}/none"]).collect()] == [(True, 2), (False, None)]
+    f = footers.footers(spark, p).withColumn("month", F.regexp_extract("file_name", r"month=(\d+)", 1).cast("int"))
+    e = footers.expected(f, spark.createDataFrame([(1,), (2,), (3,)], "month int"), ["month"]).orderBy("month").collect()
+    assert [(r.exists, r.n_files, r.n_rows) for r in e] == [(True, 1, 1), (True, 1, 1), (False, None, None)]
 
 
 def test_report_resumes(spark, tmp_path):

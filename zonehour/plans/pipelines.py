@@ -99,13 +99,13 @@ def bike_panel(df: DataFrame, cap_min: float = 300.0) -> DataFrame:
     return p.withColumnsRenamed({"trip_count": "n_trips", "avg_distance": "avg_distance_km", "avg_duration_min": "mean_duration_min"})
 
 
-def clean_weather(df: DataFrame, tz: str = "America/New_York", kinds: Sequence[str] = ("FM-15", "FM-16")) -> DataFrame:
-    """Packed hourly reports -> measures in UTC; wall times that a clock change makes unclear are left out."""
+def clean_weather(df: DataFrame, tz: str = "America/New_York", kinds: Sequence[str] = ("FM-15", "FM-16"), more: Sequence[str] = ()) -> DataFrame:
+    """Packed hourly reports -> measures in UTC, and the columns `more`; wall times that a clock change makes unclear are left out."""
     x = df.where(F.trim("REPORT_TYPE").isin(*kinds)).withColumn("at", local_to_utc_strict(parse_ts(F.col("DATE")), tz)).where("at is not null")
     def one(packed: str, read) -> Column:
         return read(F.col(packed)) if packed in df.columns else F.lit(None).cast("double")
 
-    return x.select("STATION", "at", *[one(p, f).alias(n) for n, (p, f) in REPORT.items()])
+    return x.select("STATION", *more, "at", *[one(p, f).alias(n) for n, (p, f) in REPORT.items()])
 
 
 def clean_census(df: DataFrame, figures: Sequence[str], shares: dict[str, tuple[str, str]], population: str = "population") -> DataFrame:

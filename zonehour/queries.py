@@ -24,7 +24,7 @@ from zonehour.operators import tables as tb
 from zonehour.plans import analytics as an
 from zonehour.plans import pipelines as pp
 from zonehour.shared import new_path
-from zonehour.sources import files
+from zonehour.sources import files, footers
 from zonehour.streaming.ingest import hourly_counts, ingest_available
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -623,7 +623,7 @@ def _(v):
 def _(v):
     """Columns, without their table's prefix, that not all of the tables have, as their files say."""
     paths = {t: f"{v.dir}/{t}.parquet" for t in ("customer", "supplier", "nation")}
-    found = files.column_table(v.spark, list(paths.values())).select(F.regexp_extract("file", r"([^/]+)\.parquet$", 1).alias("t"), F.element_at(F.split("column", "_"), 2).alias("c"))
+    found = footers.column_table(footers.footers(v.spark, list(paths.values()))).select(F.regexp_extract("file_name", r"([^/]+)\.parquet", 1).alias("t"), F.element_at(F.split("column", "_"), 2).alias("c"))
     k = found.groupBy(F.col("c").alias("column")).agg(F.array_sort(F.collect_set("t")).alias("tables")).where(F.size("tables") < len(paths))
     return k.select("column", F.array_join("tables", ",").alias("tables"), (len(paths) - F.size("tables")).alias("n_missing"))
 
@@ -830,20 +830,30 @@ def _(v):
     return tb.null_report(v.trips, ["trip_distance", "tax_amount", "RatecodeID", "fare_amount"])
 
 
-@query("dq11_describe")
+_TYPES = "CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'INTEGER' THEN 'int' ELSE lower(data_type) END"
+
+
+@query("dq11_describe", f"SELECT column_name AS \"column\", {_TYPES} AS type, (SELECT {B('count(*)')} FROM lineitem) AS n_rows FROM information_schema.columns WHERE table_name = 'lineitem'", views=False)
 def _(v):
     return tb.describe(v.table("lineitem"))
 
 
-@query("dq3_schema_drift")
+@query("prj18_columns_like", f"WITH c AS (SELECT {B('count(l_shipdate)')} AS l_shipdate, {B('count(l_extendedprice)')} AS l_extendedprice FROM lineitem) SELECT \"column\", n FROM c UNPIVOT (n FOR \"column\" IN (l_shipdate, l_extendedprice))", views=False)
 def _(v):
-    return files.schema_drift(v.spark, [f"{v.dir}/{t}.parquet" for t in ("customer", "supplier", "nation")]).select(F.element_at(F.split("file", "/"), -1).alias("file"), "column", "change")
+    """The columns whose names hold one of the words, and how many values they have."""
+    x = v.table("lineitem")
+    names = tb.columns_like(x, ["DATE", "price"])
+    one = x.agg(*[F.count(n).alias(n) for n in names])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.col(n).alias("n")) for n in names])).alias("c")).select("c.*")
+
+
+_COLUMNS = "c AS (SELECT table_name AS t, column_name AS c FROM information_schema.columns WHERE table_name IN ('customer', 'nation', 'supplier'))"
 
 
-@query("dq8_inventory")
+@query("dq3_schema_drift", f"WITH {_COLUMNS} SELECT t || '.parquet' AS file, c AS \"column\", 'added' AS change FROM c WHERE t <> 'customer' AND c NOT IN (SELECT c FROM c WHERE t = 'customer') UNION ALL SELECT o.t || '.parquet', b.c, 'removed' FROM c b, (SELECT DISTINCT t FROM c WHERE t <> 'customer') o WHERE b.t = 'customer' AND b.c NOT IN (SELECT c FROM c WHERE c.t = o.t)", views=False)
 def _(v):
-    x = files.inventory(v.spark, [f"{v.dir}/{t}.parquet" for t in ("orders", "lineitem", "absent")])
-    return x.withColumn("path", F.element_at(F.split("path", "/"), -1))
+    found = footers.footers(v.spark, [f"{v.dir}/{t}.parquet" for t in ("customer", "supplier", "nation")])
+    return footers.drift(found).select(F.concat(F.regexp_extract("file_name", r"([^/]+)\.parquet", 1), F.lit(".parquet")).alias("file"), "column", "change").distinct()
 
 
 @query("str2_hour_bucket", f"SELECT {B('PULocationID')} AS PULocationID, CAST(date_trunc('hour', pickup_datetime) AS DATE) AS day, {B('hour(pickup_datetime)')} AS hour, {B('count(*)')} AS trip_count FROM clean GROUP BY PULocationID, CAST(date_trunc('hour', pickup_datetime) AS DATE), hour(pickup_datetime)")

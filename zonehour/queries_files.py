@@ -14,7 +14,7 @@ from zonehour.operators import panel as pn
 from zonehour.operators import spatial as sp
 from zonehour.plans import analytics as an
 from zonehour.plans import pipelines as pp
-from zonehour.queries import _FLOWS, B, PANEL_SQL, R, query
+from zonehour.queries import _FLOWS, _LOCAL, _PK, _STAMP, _TRACTS, _overlay_sql, _utc_sql, B, PANEL_SQL, R, query
 from zonehour.shared import new_path, staged
 from zonehour.sources import files, footers, sinks
 from zonehour.streaming import maintain
@@ -131,9 +131,9 @@ def _bike_files(v: Views) -> str:
 @query("src7_header_generations", f""" SELECT CAST(started_at AS DATE) AS date, member_casual, CASE WHEN event_id % 3 = 2 THEN rideable_type ELSE 'unknown' END AS rideable_type, {B('count(*)')} AS n, {B('count(CASE WHEN CAST(round((start_lat - 0.00731) * 30) AS BIGINT) % 9 <> 0 THEN 1 END)')} AS n_station,
   {R('sum(date_diff(' + chr(39) + 'microsecond' + chr(39) + ', started_at, ended_at) / 60000000.0)')} AS minutes, {B('sum(CAST(round(start_lat * 1000000) AS BIGINT))')} AS lat_micro FROM bikes WHERE member_casual IS NOT NULL AND start_lat <> 0 AND start_lng <> 0 AND end_lat <> 0 AND end_lng <> 0 GROUP BY 1, 2, 3""")
 def _(v):
-    """Bike files of three header generations, read as one table and cleaned."""
+    """Bike files of three header generations, told apart by their headers, read as one table and cleaned."""
     at = _bike_files(v)
-    x = pp.clean_bikes(files.read_csv_generations(v.spark, [f"{at}/{k}" for k in (1, 2, 3)], schemas.BIKE_ALIASES, schemas.BIKE_TRIP))
+    x = pp.clean_bikes(files.read_csv_generations(v.spark, at, schemas.BIKE_ALIASES, schemas.BIKE_TRIP))
     minutes = F.timestamp_diff("MICROSECOND", F.col("started_at"), F.col("ended_at")) / 60_000_000.0
     return x.groupBy(F.to_date("started_at").alias("date"), "member_casual", "rideable_type").agg(F.count("*").alias("n"), F.count("start_station_id").alias("n_station"), F.sum(minutes).alias("minutes"), F.sum(F.round(F.col("start_lat") * 1000000).cast("long")).alias("lat_micro"))
 
@@ -300,3 +300,52 @@ def _(v):
     sinks.write_partitioned(v.od.withColumns({"year": F.year("date"), "month": F.month("date")}), at, by=["year", "month"])
     o = v.table("orders").where("o_totalprice > 400000 AND o_orderstatus = 'P'").select(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), F.lit(1.0).alias("weight"))
     return fl.months_with_od(v.spark.read.parquet(at), o).groupBy("mode").agg(F.count("*").alias("n_cells"), F.sum("n").alias("total"))
+
+
+_YEARLY = "y AS (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1)"
+
+
+def _yearly_orders(v: Views) -> str:
+    """Orders as a file a year, in two generations: a column goes, one comes, one changes its type."""
+    at = new_path(v.spark, "yearly")
+    o = v.table("orders").withColumn("y", F.year("o_orderdate")).repartition("y")
+    o.where("y < 1998").select("y", "o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("float").alias("price")).write.partitionBy("y").parquet(at)
+    o.where("y >= 1998").select("y", "o_orderkey", F.col("o_totalprice").alias("price"), "o_orderstatus").write.mode("append").partitionBy("y").parquet(at)
+    return at
+
+
+@query("dq3_yearly_drift", f"WITH {_YEARLY} SELECT {B('y')} AS y, c AS \"column\", t AS change FROM y, (VALUES ('o_orderpriority', 'removed'), ('price', 'type changed'), ('o_orderstatus', 'added')) k(c, t) WHERE y >= 1998", views=False)
+def _(v):
+    """The files of each year against the first of all, by their footers."""
+    f = footers.footers(v.spark, _yearly_orders(v))
+    return footers.drift(f).select(F.regexp_extract("file_name", r"/y=(\d+)/", 1).cast("long").alias("y"), "column", "change").distinct()
+
+
+@query("dq8_inventory", f"WITH {_YEARLY} SELECT {B('w')} AS y, n IS NOT NULL AS \"exists\", CASE WHEN n IS NOT NULL THEN 1 END AS n_files, {B('n')} AS n_rows FROM range(1990, 2001) r(w) LEFT JOIN y ON w = y", views=False)
+def _(v):
+    """Which years' files are there and how many rows they hold, by their footers."""
+    f = footers.footers(v.spark, _yearly_orders(v)).withColumn("y", F.regexp_extract("file_name", r"/y=(\d+)/", 1).cast("int"))
+    years = v.spark.range(1990, 2001).select(F.col("id").cast("int").alias("y"))
+    return footers.expected(f, years, ["y"]).select("y", "exists", "n_files", "n_rows")
+
+
+@query("src8_station_files", _LOCAL + f", u AS (SELECT *, {_utc_sql('local', 'event_id % 2 = 0')} AS at_utc FROM wall WHERE trim(REPORT_TYPE) IN ('FM-15', 'FM-16') AND event_id % 2 = 0) SELECT STATION, 2021 AS file_year, strftime(at_utc, {_STAMP}) AS at, {_PK} FROM u WHERE at_utc IS NOT NULL")
+def _(v):
+    """Hourly reports as CSV files by station and year; those of one year found by glob, station and year taken from the path, cleaned."""
+    at = new_path(v.spark, "stations")
+    x = v.weather.withColumn("DATE", F.concat(F.when(F.col("event_id") % 2 == 0, "2021-03-14").otherwise("2020-11-07"), F.date_format("ts", "'T'HH:mm:ss"))).drop("ts", "event_id")
+    x = x.withColumn("file", F.concat("STATION", F.lit("_"), F.substring("DATE", 1, 4))).drop("STATION")
+    x.write.partitionBy("file").option("header", True).option("escape", '"').csv(at)
+    y = files.read_csv_named(v.spark, f"{at}/file=*_2021", x.drop("file").schema, r"/file=([^/_]+)_(\d{4})/", {"STATION": "string", "file_year": "int"})
+    y = pp.clean_weather(y, more=["file_year"])
+    return y.withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("pip9_census_to_zones", _TRACTS + f", o AS {_overlay_sql('tract_edges', 'edges')}, c AS (SELECT *, area / sum(area) OVER (PARTITION BY a_id) AS w FROM o) SELECT {B('b_id')} AS b_id, {B('round_even(sum(population * w), 0)')} AS population, {B('round_even(sum(workers * w), 0)')} AS workers, {R('sum(income * population * w) / nullif(sum(CASE WHEN income IS NOT NULL THEN population * w END), 0)')} AS income FROM c JOIN tracts USING (a_id) GROUP BY b_id")
+def _(v):
+    """Census figures of tracts as CSV, read as text, cleaned, and dealt out to zones by the areas that tracts share with them."""
+    at = new_path(v.spark, "census")
+    sinks.write_csv(v.tracts, at)
+    raw = files.read_csv_typed(v.spark, at, v.tracts.schema)
+    figures = pp.clean_census(raw, ["population", "income", "workers"], {"worker_share": ("workers", "population")})
+    return sp.zone_demographics(pp.crosswalk(v.tract_edges, v.edges, 1.0), figures, ["population", "workers"], ["income"], null_safe=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from zonehour.operators.tables import conform, select_existing
 from zonehour.schemas import MODES, trip_schema
+from zonehour.shared import staged
 
 
 def read_trips(spark: SparkSession, paths: Sequence[str], mode: str, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -76,15 +77,40 @@ def read_csv_typed(spark: SparkSession, paths: Sequence[str] | str, schema: T.St
     return df.select(*columns, *([source] if source else [])) if columns else df
 
 
-def read_csv_generations(spark: SparkSession, paths: Sequence[str], aliases: Mapping[str, Sequence[str]], schema: T.StructType, source: str = "source_file") -> DataFrame:
-    """CSV files of several header generations, each read as text and brought to one schema."""
-    out = None
-    for p in paths:
-        raw = spark.read.option("header", True).csv(p)
-        named = select_existing(raw.withColumn(source, F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)), [f.name for f in schema.fields], dict(aliases) | {source: (source,)})
-        df = conform(named, schema, lenient=True)
-        out = df if out is None else out.unionByName(df)
-    return out
+def read_csv_named(spark: SparkSession, paths: Sequence[str] | str, schema: T.StructType, pattern: str, names: Mapping[str, str]) -> DataFrame:
+    """CSV files under a fixed schema, found by glob, with columns from their paths: {column: type} for each group of a pattern of the path."""
+    df = read_csv_typed(spark, paths, schema)
+    path = F.url_decode("_metadata.file_path")
+    return df.select("*", *[F.regexp_extract(path, pattern, k).try_cast(kind).alias(n) for k, (n, kind) in enumerate(names.items(), 1)])
+
+
+def split_csv(line: Column) -> Column:
+    """The fields of one CSV line: quoted ones without their quotes, doubled quotes in them as one."""
+    fields = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',(\s*"(?:[^"]|"")*"\s*|[^,]*)'), F.lit(1))
+    return F.transform(fields, lambda f: F.when(F.trim(f).startswith('"'), F.replace(F.regexp_extract(f, r'^\s*"((?:[^"]|"")*)"\s*$', 1), F.lit('""'), F.lit('"'))).otherwise(f))
+
+
+def read_csv_generations(spark: SparkSession, path: Sequence[str] | str, aliases: Mapping[str, Sequence[str]], schema: T.StructType, source: str = "source_file") -> DataFrame:
+    """The CSV files below a path, of whatever header generations, as one table of one schema.
+
+    One scan of text gives each file's header, another its rows, which meet by the file's
+    name. Which column a field is, the header says: by position among the first of its aliases that is there,
+    whatever its case. Nobody has to sort the files, and thousands of them are one plan. Fields hold no line breaks; what doesn't
+    fit its type is NULL, and so is what a short row lacks.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    text = spark.read.option("recursiveFileLookup", True).text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("k"))
+    first = text.where("at = 0").groupBy("file").agg(F.min_by("value", "k").alias("header"))
+    heads = staged(first.select("file", "header", F.transform(split_csv(F.col("header")), lambda c: F.lower(F.trim(c))).alias("names")), "headers")
+    rows = spark.read.option("recursiveFileLookup", True).text(paths).select("value", F.col("_metadata.file_path").alias("file"))
+    x = rows.join(heads, "file").where((F.col("value") != F.col("header")) & (F.trim("value") != "")).withColumn("fields", split_csv(F.col("value")))
+
+    def field(name: str) -> Column:
+        known = [F.when(F.array_contains("names", a.lower()), F.try_element_at("fields", F.array_position("names", F.lit(a.lower())).cast("int"))) for a in (name, *aliases.get(name, ()))]
+        return F.nullif(F.coalesce(*known), F.lit(""))
+
+    named = x.select(*[F.element_at(F.split("file", "/"), -1).alias(f.name) if f.name == source else field(f.name).alias(f.name) for f in schema.fields])
+    return conform(named, schema, lenient=True)
 
 
 def read_lookup(spark: SparkSession, path: Sequence[str] | str) -> DataFrame:
@@ -144,44 +170,6 @@ def read_polygons(spark: SparkSession, path: str, id_property: str) -> DataFrame
     return f.select(F.col("f.properties")[id_property].alias("zone_id"), F.explode(F.when(F.col("f.geometry.type") == "Polygon", one).otherwise(many)).alias("coords"))
 
 
-def column_table(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """(file, column, type) of Parquet files, from their footers."""
-    rows = [(p, n, t) for p in paths for n, t in spark.read.parquet(p).dtypes]
-    return spark.createDataFrame(rows, "file string, column string, type string")
-
-
-def schema_drift(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(file, column, change) of every file against the first: added, removed or of another type."""
-    first, *others = paths
-    base = column_table(spark, [first]).select(F.col("column").alias("c"), F.col("type").alias("t"))
-    out = None
-    for p in others:
-        d = column_table(spark, [p]).join(base, F.col("column") == F.col("c"), "full_outer")
-        d = d.select(F.lit(p).alias("file"), F.coalesce("column", "c").alias("column"), F.when(F.col("c").isNull(), "added").when(F.col("column").isNull(), "removed").when(F.col("t") != F.col("type"), "type changed").alias("change")).where("change is not null")
-        out = d if out is None else out.union(d)
-    return out
-
-
-def is_obsolete(spark: SparkSession, path: str, column: str) -> bool:
-    """Whether an output lacks a column that its writer makes today."""
-    return column not in spark.read.parquet(path).columns
-
-
 def is_folder(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
-
-
-def inventory(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(path, exists, n_rows, n_files, n_bytes) of outputs; counts come from the files' footers."""
-    out = None
-    for p in paths:
-        hp = spark._jvm.org.apache.hadoop.fs.Path(p)
-        fs = hp.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(hp):
-            s = fs.getContentSummary(hp)
-            one = spark.read.parquet(p).agg(F.count("*").alias("n_rows")).select(F.lit(p).alias("path"), F.lit(True).alias("exists"), "n_rows", F.lit(s.getFileCount()).cast("long").alias("n_files"), F.lit(s.getLength()).cast("long").alias("n_bytes"))
-        else:
-            one = spark.range(1).select(F.lit(p).alias("path"), F.lit(False).alias("exists"), *[F.lit(None).cast("long").alias(c) for c in ("n_rows", "n_files", "n_bytes")])
-        out = one if out is None else out.union(one)
-    return out

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zonehour.shared import staged
+
 FOOTER = "file_name string, n_bytes long, n_rows long, n_row_groups int, columns array<struct<name:string,type:string>>"
 
 
@@ -27,15 +29,20 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(out, kind)
 
 
-def footers(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFrame:
+def footers(spark: SparkSession, path: str | Sequence[str], glob: str = "*.parquet") -> DataFrame:
     """(file_name, n_bytes, n_rows, n_row_groups, columns) of the Parquet files below a path; columns in the files' order, types as Arrow names them.
 
-    Spark lists the files; their footers, and nothing else of them, are read in tasks, by
+    Spark lists the files; their footers, and nothing else of them, are read in tasks, at once and into a table, by
     pyarrow, which must know the store.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select(F.col("path"), F.col("length"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path if isinstance(path, str) else list(path)).select(F.col("path"), F.col("length"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartition(n, "path").mapInArrow(_read, FOOTER)
+    return staged(found.repartition(n, "path").mapInArrow(_read, FOOTER), "footers")
+
+
+def column_table(files: DataFrame) -> DataFrame:
+    """(file_name, column, type) of a table of footers."""
+    return files.select("file_name", F.explode("columns").alias("c")).select("file_name", F.col("c.name").alias("column"), "c.type")
 
 
 def drift(files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -47,7 +54,7 @@ def drift(files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     named = files.select(*by, "file_name", "columns", *([] if by else [F.lit(1).alias("__all")]))
     x = named.join(named.groupBy(*keys).agg(F.min_by("columns", "file_name").alias("base")), keys)
     both = F.array_union(F.transform("columns", lambda c: c["name"]), F.transform("base", lambda c: c["name"]))
-    kind = lambda of, name: F.filter(of, lambda c: c["name"] == name)[0]["type"]
+    kind = lambda of, name: F.get(F.filter(of, lambda c: c["name"] == name), F.lit(0))["type"]
     change = lambda a, b: F.when(b.isNull(), "added").when(a.isNull(), "removed").when(a != b, "type changed")
     x = x.select(*by, "file_name", F.explode(F.transform(both, lambda n: F.struct(n.alias("column"), change(kind("columns", n), kind("base", n)).alias("change")))).alias("c"))
     return x.select(*by, "file_name", "c.*").where("change IS NOT NULL")

@@ -52,8 +52,9 @@ def maintain_panel(spark: SparkSession, in_dir: str, trips_dir: str, panel_dir:
     def take(batch: DataFrame, number: int) -> None:
         at = f"{trips_dir}/batch={number}"
         delete(batch.sparkSession, at)
-        write_partitioned(_months(clean(batch), ts), at, by=MONTH)
-        new = batch.sparkSession.read.parquet(at)
+        rows = _months(clean(batch), ts)
+        write_partitioned(rows, at, by=MONTH)
+        new = batch.sparkSession.read.schema(rows.schema).parquet(at)
         if not new.isEmpty():
             rebuild_months(batch.sparkSession.read.parquet(trips_dir).drop("batch"), new.select(*MONTH), panel_dir, panel)
 
