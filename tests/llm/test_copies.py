@@ -341,10 +341,10 @@ def test_decontamination_edges(spark, monkeypatch):
 
 
 def test_recall_by_length(tmp_path):
-    """Of items of 3 to 60 words with as many random edits as are allowed, nearly all are found at every length."""
+    """Of items of 3 to 2,000 words with as many random edits as are allowed, 95 % and more are found at every length."""
     rng = random.Random(15)
-    for n in (3, 4, 5, 6, 8, 10, 12, 15, 20, 30, 45, 60):
-        items = [prose(rng, n, 3000) for _ in range(40)]
+    for n in (3, 4, 5, 6, 8, 10, 12, 15, 20, 30, 45, 60, 90, 128, 129, 200, 400, 800, 1500, 2000):
+        items = [prose(rng, n, 3000) for _ in range(60 if n < 400 else 40)]
         decontaminate._write(str(tmp_path / str(n)), 0, items)
         found = decontaminate.Index(str(tmp_path / str(n)), 1, 0.8)
         texts = []
@@ -359,6 +359,31 @@ def test_recall_by_length(tmp_path):
         assert len({d for d, i in got if d == i}) >= 0.95 * len(items), n
 
 
+def test_edits_of_a_long_item_may_lie_together(tmp_path):
+    """A fifth of a long item replaced at its beginning, middle or end; what goes beyond isn't found."""
+    rng = random.Random(16)
+    items = [prose(rng, 700, 3000) for _ in range(12)]
+    decontaminate._write(str(tmp_path), 0, items)
+    found = decontaminate.Index(str(tmp_path), 1, 0.8)
+    w = [t.split() for t in items]
+    at = [(0, 280, 559)[k % 3] for k in range(12)]
+    texts = lambda n: [decontaminate.normal("before " + " ".join([*x[:a], *(["other"] * n), *x[a + n :]]) + " behind") for x, a in zip(w, at, strict=True)]
+    got = [(h.doc, h.item, h.start, h.end, h.edits) for _, hits in found.hits(texts(140)) for h in hits]
+    assert {(d, i) for d, i, *_ in got} == {(k, k) for k in range(12)} and all(e == 140 for *_, e in got)
+    assert not list(found.hits(texts(141)))
+    whole = [h for _, hits in found.hits([decontaminate.normal(" ".join([*w[0], "x", *w[0]]))]) for h in hits]
+    assert [(h.item, h.start, h.end, h.edits) for h in whole] == [(0, 0, 700, 0)]
+
+
+def test_pieces_cover_items():
+    size = np.array([0, 1, 128, 129, 256, 257, 1999])
+    item, offset, words = decontaminate.pieces(size)
+    assert words.max() <= decontaminate.PIECE and set(item) == {1, 2, 3, 4, 5, 6} and (words[item > 2] >= decontaminate.PIECE // 2).all()
+    for k in range(1, 7):
+        o, n = offset[item == k], words[item == k]
+        assert o[0] == 0 and (np.diff(o) - n[:-1]).min(initial=0) >= 0 and (np.diff(o) - n[:-1]).max(initial=0) <= 1 and 0 <= size[k] - o[-1] - n[-1] <= 1
+
+
 def test_decontamination_with_text_ids(spark):
     item = prose(random.Random(1), 20)
     docs, bench = spark.createDataFrame([("d1", "x " + item)], "doc_id string, text string"), spark.createDataFrame([("q-1", item)], "item_id string, text string")

@@ -14,6 +14,11 @@ of its triples, so that a stretch with fewer of the benchmark's has none. That
 check loses no match and knows neither the item nor the place, which the tables
 find.
 
+A walk through many words with many edits falls out of step for good, and the longer
+the item, the likelier. So the window of an item of more than PIECE words is walked in pieces, each by walks of its own
+and all of about one size: a match of the whole has a piece with no more than its share of the edits, and is found
+as surely as a short item. Pieces of one size are embedded once for all items.
+
 The benchmark is dealt out to shards of ITEM_BYTES, each written as arrays to the
 shared folder by a task of its own and mapped by the workers, so that documents
 are read once, however large the benchmark is.
@@ -38,6 +43,8 @@ from zonehour.llm.common import Words, blocks, gram_hash, mix64, new_path
 
 #: Walks, tables of each, and sampled places of a table.
 WALKS, TABLES, PLACES = 8, 5, 2
+#: Words of an item from which on its window is walked in pieces.
+PIECE = 128
 #: Bytes of items of a shard, on average, and windows that are embedded at once.
 ITEM_BYTES, EMBEDDED = 8 << 20, 2048
 #: Sizes that one look for possible windows stands for, as a factor.
@@ -76,6 +83,14 @@ def edits_allowed(size: np.ndarray | int, similarity: float) -> np.ndarray:
     return np.floor(np.asarray(size) * (1 - similarity) + 1e-9).astype(np.int64)
 
 
+def pieces(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, offset, words) of the pieces that items of these sizes are walked in: one of a short item, some of equal size of a long one."""
+    n = -(-size // PIECE)
+    item = np.repeat(np.arange(len(size)), n)
+    k = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+    return item, k * size[item] // np.maximum(n[item], 1), size[item] // np.maximum(n[item], 1)
+
+
 @lru_cache(4096)
 def _sampled(size: int) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
     """Which tables of which walks sample a step. Walks through `size` words take some two steps a word; the last ones, most often out of step, are not sampled."""
@@ -120,15 +135,17 @@ def _write(folder: str, shard: int, texts: list[str]) -> None:
     within = lambda n: np.unique(gram_hash(h, n)[owner[: len(h) - n + 1] == owner[n - 1 :]]) if len(h) >= n else h[:0]
     pairs = np.unique(np.concatenate([within(2), mix64(h[words.first[:-1][size == 1]])]))
     keys, items = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
-    for m in np.unique(size[size > 0]).tolist():
-        of = np.flatnonzero(size == m)
+    item, offset, length = pieces(size)
+    begin = words.first[item] + offset
+    for m in np.unique(length).tolist():
+        of = np.flatnonzero(length == m)
         for a in range(0, len(of), EMBEDDED):
-            k = embedded(h, words.first[of[a : a + EMBEDDED]], words.first[of[a : a + EMBEDDED] + 1], m)
+            k = embedded(h, begin[of[a : a + EMBEDDED]], begin[of[a : a + EMBEDDED]] + m, m)
             keys.append(k.ravel()), items.append(np.repeat(of[a : a + EMBEDDED], k.shape[1]).astype(np.uint32))
-    key, item = np.concatenate(keys), np.concatenate(items)
+    key, piece = np.concatenate(keys), np.concatenate(items)
     order = np.argsort(key, kind="stable")
     put(folder, f"{shard}-word", h), put(folder, f"{shard}-first", words.first.astype(np.int64)), put(folder, f"{shard}-pair", pairs), put(folder, f"{shard}-triple", within(3))
-    put(folder, f"{shard}-key", key[order]), put(folder, f"{shard}-item", item[order])
+    put(folder, f"{shard}-key", key[order]), put(folder, f"{shard}-piece", piece[order])
 
 
 @dataclass(frozen=True)
@@ -154,10 +171,10 @@ class Index:
 
     def _hits(self, s: int, first: np.ndarray, words: Words) -> list[Hit]:
         h, size = words.hash, np.diff(first)
-        sizes = np.unique(size[size > 0])
+        sizes = np.unique(pieces(size)[2])
         if not len(sizes):
             return []
-        pair, key, item_of = get(self.folder, f"{s}-pair", "u8"), get(self.folder, f"{s}-key", "u8"), get(self.folder, f"{s}-item", "u4")
+        pair, key, piece_of = get(self.folder, f"{s}-pair", "u8"), get(self.folder, f"{s}-key", "u8"), get(self.folder, f"{s}-piece", "u4")
         doc_of = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
         end = words.first[1:][doc_of]
         place = np.arange(len(h))
@@ -175,14 +192,15 @@ class Index:
             some = self._possible(known, place, end, int(sizes[lo]), int(sizes[hi - 1]))
             for m in sizes[lo:hi].tolist():
                 start = np.flatnonzero(alone) if m == 1 else some[self._possible(known, some, end[some], m, m, True)]
-                self._look_up(words, doc_of, start, np.minimum(start + m, end[start]), m, key, item_of, s, first, out)
+                self._look_up(words, doc_of, start, np.minimum(start + m, end[start]), m, key, piece_of, s, first, out)
             lo = hi
         return sorted(out.values(), key=lambda x: (x.doc, x.item))
 
     def _possible(self, known: dict, place, end, least: int, most: int, mask: bool = False) -> np.ndarray:
         """Places where a window of an item of `least` to `most` words may begin that has a match: enough pairs and triples are near."""
         size = np.arange(least, most + 1)
-        k = edits_allowed(size, self.similarity)
+        # A piece of a long item stands for up to a word more than it has.
+        k = edits_allowed(size + (size > PIECE // 2), self.similarity)
         ok = place + least - int(k[-1]) <= end
         lo, hi = place, np.minimum(place + most + int(k[-1]), end)
         for n, count in known.items():
@@ -191,8 +209,9 @@ class Index:
                 ok &= count[np.maximum(hi - n + 1, lo)] - count[lo] >= need
         return ok if mask else place[ok]
 
-    def _look_up(self, words: Words, doc_of, start, end, m: int, key, item_of, s: int, first, out: dict) -> None:
-        h, most = words.hash, int(edits_allowed(m, self.similarity))
+    def _look_up(self, words: Words, doc_of, start, end, m: int, key, piece_of, s: int, first, out: dict) -> None:
+        h, size = words.hash, np.diff(first)
+        item_of, offset, _ = pieces(size)
         found = []
         for a in range(0, len(start), EMBEDDED):
             k = embedded(h, start[a : a + EMBEDDED], end[a : a + EMBEDDED], m)
@@ -200,22 +219,27 @@ class Index:
             lo = np.searchsorted(key, flat)
             hit = np.flatnonzero(key[np.minimum(lo, len(key) - 1)] == flat)
             n = np.searchsorted(key, flat[hit], "right") - lo[hit]
-            src = np.repeat(lo[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            found.append(np.stack([item_of[src].astype(np.int64), start[a : a + EMBEDDED][np.repeat(hit // k.shape[1], n)]], axis=1))
+            piece = piece_of[np.repeat(lo[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype(np.int64)
+            at = start[a : a + EMBEDDED][np.repeat(hit // k.shape[1], n)]
+            # Where the item would begin; in which text the piece was found stays.
+            found.append(np.stack([item_of[piece], doc_of[at], at - offset[piece]], axis=1))
         if not found or not sum(map(len, found)):
             return
         pairs = np.unique(np.concatenate(found), axis=0)
         # Windows of one item that begin near one another are one stretch.
-        item, at = pairs[:, 0], pairs[:, 1]
-        doc = doc_of[at]
-        cut = np.concatenate([[0], np.flatnonzero((item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + m)) + 1, [len(item)]])
+        item, doc, at = pairs[:, 0], pairs[:, 1], pairs[:, 2]
+        cut = np.concatenate([[0], np.flatnonzero((item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + size[item[1:]])) + 1, [len(item)]])
         all_words = get(self.folder, f"{s}-word", "u8")
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             i, d = int(item[a]), int(doc[a])
+            whole, most = int(size[i]), int(edits_allowed(size[i], self.similarity))
+            was = out.get((d, i))
+            if was is not None and was.edits == 0:
+                continue
             it = np.array(all_words[first[i] : first[i + 1]])
-            x, y = max(int(at[a]) - most, int(words.first[d])), min(int(at[b - 1]) + m + most, int(words.first[d + 1]))
+            x, y = max(int(at[a]) - most, int(words.first[d])), min(int(at[b - 1]) + whole + most, int(words.first[d + 1]))
             # A match keeps all of the item's words but for the edits.
-            if np.isin(it, h[x:y]).sum() < m - most:
+            if np.isin(it, h[x:y]).sum() < whole - most:
                 continue
             edits, stop = edits_within(it, h[x:y])
             if edits > most:
@@ -223,7 +247,6 @@ class Index:
             # The same from the end backwards gives the beginning.
             _, back = edits_within(it[::-1], h[x : x + stop][::-1])
             hit = Hit(d, i, x + stop - back - int(words.first[d]), x + stop - int(words.first[d]), edits)
-            was = out.get((d, i))
             if was is None or (hit.edits, hit.start) < (was.edits, was.start):
                 out[d, i] = hit
 
