@@ -27,12 +27,21 @@ from pyspark.sql import functions as F
 
 from zonehour.llm.common import staged
 
-#: Forms of address by gender, and given names by script and gender.
+#: Forms of address by gender, as patterns; particles of names; words that begin sentences and titles of works but no second name; given names by script and gender.
 TITLES = {
-    "m": ["Mr.", "Herr", "Monsieur", "Señor", "Sr.", "Господин", "Κύριος"],
-    "f": ["Mrs.", "Ms.", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Sra.", "Госпожа", "Κυρία"],
-    "n": ["Dr.", "Prof."],
+    "m": [r"Mr\.?", r"mr\.", r"MR\.?", "Herr", "HERR", "Monsieur", r"M\.", "Señor", r"Sr\.", "Sir", "Господин", "Κύριος"],
+    "f": [r"Mrs\.?", r"mrs\.", r"MRS\.?", r"Ms\.?", r"ms\.", r"MS\.", "Miss", "Frau", "FRAU", "Madame", r"Mme\.?", "Mademoiselle", r"Mlle\.?", "Señora", "Señorita", r"Sra\.", "Госпожа", "Κυρία"],
+    "n": [r"Dr\.?", r"dr\.", r"DR\.", r"Prof\.?", r"prof\.", r"PROF\."],
 }
+PARTICLES = "van von der den de del della di da du la le zu zur ter ten el al bin ibn af av".split()
+NO_NAMES = (
+    "a an the and or but if so as at by for from in into of off on onto out over to up with after before while when where why how what which that this these those there here then than not no yes "
+    "he she it its his her him they them their we us our you your i me my is are was were be been has have had do does did done will would shall should can could may might must "
+    "goes go went gone comes came says said gets got makes made takes took sees saw knows thinks asks asked told tells gives gave "
+    "der die das den dem des ein eine einen und oder aber wenn als am im ist war sind hat hatte wird er sie es wir ihr ich du nach vor bei mit von zu auf aus sprach ging kam sagte "
+    "le les un une des et ou mais si est était sont a il elle ils elles nous vous je en dans pour sur avec "
+    "los las el una unos y o pero es era son fue ella ellos nosotros yo por para con del al monday tuesday wednesday thursday friday saturday sunday"
+).split()
 GIVEN = {
     ("latin", "m"): ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karim", "Leon", "Martin", "Nils", "Oscar", "Paul"],
     ("latin", "f"): ["Alma", "Berta", "Clara", "Dora", "Elsa", "Frida", "Greta", "Hanna", "Irma", "Julia", "Karin", "Lena", "Marta", "Nora", "Olga", "Paula"],
@@ -58,14 +67,22 @@ ALPHABETS = {
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"\p{Lu}(?:[\p{L}-]|['’](?!s(?!\p{L}))(?=\p{L})){1,40}+"
-_TITLE = "(?:" + "|".join(t.replace(".", r"\.") for x in TITLES.values() for t in x) + ")"
+_TITLE = "(?:" + "|".join(t for x in TITLES.values() for t in x) + ")"
+_GAP = r"[\s\u00A0]{1,3}"
+#: Titles in a row, and the gap behind each.
+_LEAD = rf"(?:{_TITLE}{_GAP})+"
+_PARTICLE = f"(?:{'|'.join(PARTICLES)})"
+#: A name that is none of NO_NAMES, in capitals or not.
+_BEARER = rf"(?!(?i:{'|'.join(sorted(set(NO_NAMES)))})(?![\p{{L}}'’-])){_NAME}"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[._%+-]*+[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}][\p{L}\p{N}-]{0,62}\.){1,8}\p{L}{2,24}",
     "ipv4": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[.-])\d{3,4}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
+    # The last three: three, three and four digits with blanks, or without where area and exchange may be dialled; a trunk zero with an area, and a number.
+    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[.-])\d{3,4}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)"
+    r"|(?<![\d+][ -]?)[2-9]\d\d [2-9]\d\d \d{4}(?![ -]?\d)|(?<![\d+][ .-]?)[2-9]\d\d[2-9]\d{6}(?![ .-]?\d)|(?<![\d+][ -]?)0[1-9]\d{1,3}[ /]\d{6,8}(?![ -]?\d)",
     "secret": r"(?<=[=:\"']|[=:] |[=:]  )(?<=(?i:token|secret|password|passwd|pwd|apikey|api_key|api-key|access_key)[ ]{0,2}[=:][ ]{0,2}[\"']?)[\p{L}\p{N}+/_-]{8,}+|(?<![\p{L}\p{N}])AKIA[A-Z0-9]{16}(?![\p{L}\p{N}])",
-    "person": rf"(?=[MHFSDPГΚ])(?<![\p{{L}}\p{{N}}]){_TITLE} {_NAME}(?: {_NAME}){{0,2}}",
+    "person": rf"(?=[MmHFSDdPpГΚ])(?<![\p{{L}}\p{{N}}]){_LEAD}(?:\p{{Lu}}\. ?|{_PARTICLE} ){{0,3}}{_BEARER}(?: (?:\p{{Lu}}\. )?(?:{_PARTICLE} ){{0,2}}{_BEARER}){{0,2}}",
 }
 _OTHERS = "|".join(f"(?:{PATTERNS[k]})" for k in ("ipv4", "ssn", "phone"))
 _CARD = r"(?<![\d+])(?:\d{4}(?:-\d{4}){3}|\d{4}(?: \d{4}){3}|\d{4}-\d{6}-\d{5}|\d{4} \d{6} \d{5})(?!\d)"
@@ -80,7 +97,7 @@ WITH_NAMES = rf"{PATTERN}|(?<![\p{{L}}\p{{N}}]){_NAME}"
 #: What may stand before an address and is no part of it.
 MARKS = r"^[._%+-]+"
 #: What every entity has somewhere; texts without it need no search.
-CUE = rf"[0-9@=:]|(?=[MHFSDPГΚ]){_TITLE} "
+CUE = rf"[0-9@=:]|(?=[MmHFSDdPpГΚ])(?<![\p{{L}}\p{{N}}]){_TITLE}[\s\u00A0]"
 
 #: Forms whose surrogates one task draws.
 DRAWN = 500
@@ -121,16 +138,23 @@ def _script(word: Column) -> Column:
     return out.when(word.rlike("^" + SCRIPTS["cyrillic"]), "cyrillic").when(word.rlike("^" + SCRIPTS["greek"]), "greek").otherwise("latin")
 
 
+def _titled(gender: str) -> str:
+    return rf"(?<![\p{{L}}])(?:{'|'.join(TITLES[gender])})[\s\u00A0]"
+
+
 def _parts(v: Column, kind: Column) -> Column:
     """What of an entity gets surrogates of its own: (kind, canonical form, as written). A name's words do, one by one."""
     one = F.lower(F.regexp_replace(v, MARKS, ""))
     canon = F.when(kind == "card", _card(F.when(kind == "card", F.regexp_replace(v, r"\D", "")).otherwise("0"))).when(kind == "ssn", F.regexp_replace(v, r"\D", "")).when(kind == "phone", F.regexp_replace(F.regexp_replace(v, r"[^\d+]", ""), r"^\+1(?=\d{10}$)", "")).when(kind.isin("email"), one).otherwise(v)
-    words = F.split(v, " ")
-    gender = reduce(lambda c, g: c.when(words[0].isin(TITLES[g]), g), ("f", "n"), F.when(words[0].isin(TITLES["m"]), "m"))
+    lead = F.regexp_extract(v, f"^({_LEAD})", 1)
+    gender = F.when(lead.rlike(_titled("f")), "f").when(lead.rlike(_titled("m")), "m").otherwise("n")
+    # Titles, gaps, particles and initials stay as they are.
+    words = F.concat(F.array(lead), F.regexp_extract_all(F.substring(v, F.length(lead) + 1, F.length(v)), F.lit(r"\p{Lu}\.|[\s\u00A0]+|[^\s\u00A0]+"), F.lit(0)))
     last = F.size(words) - 1
 
     def word(w: Column, i: Column) -> Column:
-        k = F.when(i == 0, "as is").when(i == last, F.concat_ws(":", F.lit("surname"), _script(w))).otherwise(F.concat_ws(":", F.lit("given"), _script(w), gender))
+        fixed = (i == 0) | w.rlike(rf"^(?:\p{{Lu}}\.|[\s\u00A0]+|{_PARTICLE})$")
+        k = F.when(fixed, "as is").when(i == last, F.concat_ws(":", F.lit("surname"), _script(w))).otherwise(F.concat_ws(":", F.lit("given"), _script(w), gender))
         return F.struct(k.alias("kind"), F.lower(w).alias("canon"), w.alias("written"))
 
     return F.when(kind == "person", F.transform(words, word)).otherwise(F.array(F.struct(kind.alias("kind"), canon.alias("canon"), v.alias("written"))))
@@ -178,7 +202,7 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, key: str, counts: d
     # Addresses keep the top domain, phones their country code, with an area code that may be dialled.
     top, at = F.regexp_extract(canon, r"\.([^.]+)$", 1), F.locate("@", canon)
     email = F.concat(F.substring(like, F.lit(1), at - 1), letters, F.substring(like, at, n - F.length(top) - at + 1), top)
-    code = F.when(canon.rlike(r"^\+7"), 2).when(canon.rlike(r"^\+"), 3).otherwise(0)
+    code = F.when(canon.rlike("^0"), 1).when(canon.rlike(r"^\+7"), 2).when(canon.rlike(r"^\+"), 3).otherwise(0)
     phone = F.concat(F.substring(canon, F.lit(1), code), (_number(d, F.lit(63)) % 8 + 2).cast("string"), F.substring(like, code + 2, n), more)
     ip = F.concat_ws(".", (_number(d, F.lit(0)) % 223 + 1).cast("string"), *[_number(d, F.lit(k)).cast("string") for k in (1, 2)], (_number(d, F.lit(3)) % 254 + 1).cast("string"))
     ip = F.concat(ip, F.when(more == "", "").otherwise(F.concat(F.lit(":"), more)))
@@ -252,7 +276,7 @@ def pseudonymise(docs: DataFrame, key: str = "zonehour", text_col: str = "text")
     written like a phone, an address or a social security number is that, and
     never a part of a card. A phone number is the same with and without the
     country code +1. Where a name with a form of address is found, its words are
-    replaced in the whole document; a name that never has one is not found, nor
+    replaced in the whole document, in capitals too; titles, initials and particles stay. A name that never has one is not found, nor
     are IPv6 addresses, bank accounts and dates of birth. Very long texts are
     searched whole.
     Repeated rows are rows of the result each, an empty table gives an empty one.
@@ -269,9 +293,13 @@ def pseudonymise(docs: DataFrame, key: str = "zonehour", text_col: str = "text")
     parts = staged(values.select("value", F.posexplode(_parts(F.col("value"), F.col("kind"))).alias("place", "part")).select("value", "place", "part.*"), "pii-parts")
     chosen = surrogates(parts.select("kind", "canon").distinct(), key)
     new = staged(parts.join(chosen, ["kind", "canon"], "left").select("value", "place", "kind", "written", _rendered(F.col("kind"), F.col("written"), F.col("surrogate")).alias("new")), "pii-new")
-    written = new.groupBy("value").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda x: x["new"]), " ").alias("new"))
-    # A document's entities, and the single words of its names; where a word is two names, a surname's surrogate stands.
-    names = new.where(F.col("kind").startswith("given") | F.col("kind").startswith("surname")).select("value", F.col("written").alias("word"), F.struct(F.when(F.col("kind").startswith("surname"), 1).otherwise(2).alias("rank"), "new").alias("to"))
+    written = new.groupBy("value").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda x: x["new"]), "").alias("new"))
+    # A document's entities, and the single words of its names, in capitals or not; where a word is two names, a surname's surrogate stands.
+    forms = lambda c: F.array(c, F.upper(c), F.initcap(c))
+    names = new.where(F.col("kind").startswith("given") | F.col("kind").startswith("surname")).select("value", "kind", F.explode(F.arrays_zip(forms(F.col("written")).alias("word"), forms(F.col("new")).alias("new"))).alias("f")).where(F.length("f.word") > 1)
+    names = names.select("value", "f.word", F.struct(F.when(F.col("kind").startswith("surname"), 1).otherwise(2).alias("rank"), F.col("f.new").alias("new")).alias("to"))
+    # As tables, so that a value of very many documents may be split where they meet.
+    written, names = staged(written, "pii-written"), staged(names, "pii-names")
     each = found.join(written, "value").select("td", "value", F.struct(F.lit(0).alias("rank"), "new").alias("to")).union(found.join(names, "value").select("td", F.col("word").alias("value"), "to"))
     each = each.groupBy("td", "value").agg(F.min("to").alias("to"))
     maps = each.groupBy(F.col("td").alias("__td")).agg(F.map_from_entries(F.collect_list(F.struct("value", "to.new"))).alias("__news"), F.max(F.col("to.rank") > 0).alias("__named"))
