@@ -1,16 +1,20 @@
 """Near copies, shared passages, media chunks and benchmark passages, against brute force."""
 
+import collections
 import hashlib
+import math
 import random
 import zlib
 
 import duckdb
 import numpy as np
+import pytest
 import xxhash
 from helpers import CLASHING, WORD, edge_rows, edge_table, empty_table, lower, prose
 from pyspark.sql import functions as F
 
 from zonehour.llm import components, decontaminate, media, simhash, substring
+from zonehour.llm.common import staged
 
 
 def parts(pairs, nodes):
@@ -203,6 +207,45 @@ def test_media_round_trip(spark):
         assert features.setdefault(r.payload_sha256, r.feature) == r.feature
     assert media.media_column(empty_table(spark)).count() == 0
     assert media.media_column(edge_table(spark, clashing=True)).count() == len(edge_rows())
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("zonehour_chunks")]
+
+
+def brute_feature(text):
+    """Mean, deviation, extremes, entropy of the bytes and steps along rows of 192, with nothing but Python."""
+    b = text.encode()
+    b += b" " * (-len(b) % 192 if b else 192)
+    n = collections.Counter(b)
+    mean = sum(b) / len(b)
+    std = math.sqrt(sum(x * x for x in b) / len(b) - mean * mean)
+    entropy = -sum(c / len(b) * math.log2(c / len(b)) for c in n.values())
+    steps = sum(abs(b[k] - b[k - 1]) for k in range(len(b)) if k % 192)
+    return [len(b) // 192, mean, std, min(b), max(b), entropy, steps]
+
+
+def test_media_features_and_hot_chunks(spark, monkeypatch):
+    """One text in most rows, and one chunk in many texts: as many rows, whatever one task may do."""
+    monkeypatch.setattr(media, "HOT_ROWS", 7)
+    rng = random.Random(21)
+    common = prose(rng, 4000)
+    texts = [common + f" {k}" for k in range(40)] + [f"short {k % 3}" for k in range(60)] + ["", "ÿ" * 300]
+    got = {r.doc_id: r for r in media.media_column(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        f = dict(x.split("=") for x in got[k].feature.split(";"))
+        assert list(f) == ["rows", "mean", "std", "min", "max", "entropy", "steps"]
+        assert [float(v) for v in f.values()] == pytest.approx(brute_feature(t), abs=6e-5)
+
+
+def test_missing_and_damaged_chunks_are_errors(spark):
+    df = spark.createDataFrame([(1, "one small text"), (2, prose(random.Random(5), 3000))], "doc_id long, text string")
+    found, lists = media.chunks(df), staged(media.recipes(df), "lists")
+    store = media.write_store(spark, found)
+    assert media.read_media(store, lists).count() == 2
+    for n in ("n = 1", "n > 1"):
+        lost = lists.where(n).select("digest").limit(1)
+        with pytest.raises(Exception, match="is missing"):
+            media.read_media(store.join(lost, "digest", "left_anti"), lists).collect()
+    media.drop_store(store)
 
 
 def test_cuts_move_only_near_an_insertion():

@@ -21,12 +21,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonehour.llm.common import blocks, mix64, new_path, staged, text_bytes, tidy
+from zonehour.llm.common import blocks, delete, mix64, new_path, staged, text_bytes, tidy
 
 #: Samples a row; payloads are padded with spaces to a positive multiple of this.
 WIDTH = 192
 #: Bytes of a chunk: at least, on average beyond that, and at most.
 LEAST, MEAN, MOST = 2048, 4096, 32768
+#: Items that get one chunk from one task.
+HOT_ROWS = 2_000
 #: Digests that a task remembers, so as not to send their chunks again.
 REMEMBERED = 100_000
 
@@ -134,16 +136,37 @@ def recipes(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def write_store(spark: SparkSession, found: DataFrame) -> DataFrame:
     """The chunk store: one row per digest, bucketed by it, so that lists join to it without moving chunks."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"zonehour_chunks_{uuid.uuid4().hex}"
+    name, path = f"zonehour_chunks_{uuid.uuid4().hex}", new_path(spark, "chunks")
     once = found.repartition(n, "digest").dropDuplicates(["digest"])
     with tidy(spark):
-        once.write.format("parquet").bucketBy(n, "digest").option("path", new_path(spark, "chunks")).option("compression", "none").saveAsTable(name)
-    return spark.table(name)
+        once.write.format("parquet").bucketBy(n, "digest").option("path", path).option("compression", "none").saveAsTable(name)
+    out = spark.table(name)
+    out.stored_as = name, path
+    return out
+
+
+def drop_store(store: DataFrame) -> None:
+    """Takes a store out of the catalogue, and its files away."""
+    name, path = store.stored_as
+    store.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    delete(store.sparkSession, path)
+
+
+def _with_data(lists: DataFrame, store: DataFrame) -> DataFrame:
+    """lists with the data of their chunks, NULL if the store lacks one. A chunk of more than HOT_ROWS items is dealt to a task for each that many."""
+    every = ["media_id", "seq", "n", "digest", "data"]
+    hot = staged(lists.groupBy("digest").agg(F.count("*").alias("items")).where(F.col("items") > HOT_ROWS).select("digest", F.ceil(F.col("items") / HOT_ROWS).cast("int").alias("salts")), "media-hot")
+    if hot.isEmpty():
+        return lists.join(store, "digest", "left").select(*every)
+    some = lists.join(hot, "digest").withColumn("salt", F.pmod(F.xxhash64("media_id", "seq"), F.col("salts")).cast("int")).drop("salts")
+    parts = store.join(hot, "digest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    rest = lists.join(hot, "digest", "left_anti").join(store, "digest", "left").select(*every)
+    return rest.unionByName(some.join(parts, ["digest", "salt"], "left").select(*every))
 
 
 def read_media(store: DataFrame, lists: DataFrame) -> DataFrame:
-    """(media_id, media): every item put together from its chunks, all digests checked. Items of one chunk need not be moved."""
-    found = [lists.where(c).join(store, "digest").select("media_id", "seq", "digest", "data") for c in ("n = 1", "n > 1")]
+    """(media_id, media): every item put together from its chunks, all digests checked; a missing chunk is an error. Items of one chunk need not be moved."""
+    found = [_with_data(lists.where(c), store).select("media_id", "seq", "digest", "data") for c in ("n = 1", "n > 1")]
     pieces = [found[0], found[1].repartition("media_id").sortWithinPartitions("media_id", "seq")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +193,8 @@ def read_media(store: DataFrame, lists: DataFrame) -> DataFrame:
                             yield batch(done)
                             done, size = [], 0
                     now, parts = media_id, []
+                if data is None:
+                    raise ValueError(f"chunk {digest.hex()} is missing")
                 chunk = expand(data)
                 if hashlib.sha256(chunk).digest() != digest:
                     raise ValueError(f"chunk {digest.hex()} is damaged")
@@ -213,11 +238,14 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A null text counts as empty: a payload of WIDTH spaces. Equal texts share
     one item and have equal values; repeated rows are rows of the result each.
+    Very long texts are many chunks, and put together whole by one task. All media are stored, read back and
+    measured at once; then the chunks go.
     Other columns are ignored, an empty table gives an empty one.
     """
     spark = docs.sparkSession
     store = write_store(spark, chunks(docs, text_col))
-    measured = media_features(read_media(store, staged(recipes(docs, text_col), "media-lists")))
+    measured = staged(media_features(read_media(store, staged(recipes(docs, text_col), "media-lists"))), "media-measured")
+    drop_store(store)
     text = F.coalesce(F.col(text_col), F.lit(""))
     n = F.octet_length(text)
     spaces = F.when(n == 0, WIDTH).otherwise(F.pmod(-n, F.lit(WIDTH))).cast("int")
