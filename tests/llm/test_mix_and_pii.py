@@ -195,13 +195,32 @@ def test_pipeline(spark, tmp_path):
 
 
 def test_stages_take_edges(spark, tmp_path):
+    """Every stage by itself: which rows it keeps of the edge table, with which texts and columns; nothing of an empty one."""
     import corpus_pipeline as cp
 
     documents(spark, str(tmp_path))
-    for table in (edge_table(spark, clashing=True), edge_table(spark), empty_table(spark)):
-        for _, stage in cp.STAGES:
+    rows = edge_rows()
+    every = sorted(map(repr, ((r[0], r[1]) for r in rows)))
+    letters = sorted(repr((r[0], r[1])) for r in rows if re.search(r"[^\W\d_]", r[1] or ""))
+    one_each = [0, 3, 5, 6, 8, 9, 10]
+    for table in (edge_table(spark, clashing=True), edge_table(spark)):
+        for name, stage in cp.STAGES:
             out = stage(spark, table, str(tmp_path))
-            assert out.count() <= len(edge_rows())
+            got = [r.asDict() for r in out.collect()]
+            found = sorted(repr((r["doc_id"], r["text"])) for r in got)
+            if name == "language":
+                assert found == letters and all(r["lang"] for r in got)
+            elif name == "near duplicates":
+                assert sorted(r["doc_id"] for r in got) == one_each and set(found) <= set(every)
+            elif name in ("benchmark passages", "personal data"):
+                assert found == every
+            else:
+                words = sum(len(WORD.findall(r[1] or "")) for r in rows)
+                assert set(found) <= set(every) and all(r["taken"] > 0 for r in got) and sum(r["taken"] for r in got) <= words  # the longest document is most of all words
+            if name != "mix":
+                assert out.columns == table.columns and all(r["size"] == "x" for r in got if "size" in r)
+    for _, stage in cp.STAGES:
+        assert stage(spark, empty_table(spark), str(tmp_path)).collect() == []
 
 
 def test_registered():

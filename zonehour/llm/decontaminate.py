@@ -319,7 +319,10 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """docs without the rows that match an item as find_overlaps says; rows with a null text, and all other columns, stay."""
+    """docs without the rows that match an item as find_overlaps says; rows with a null text, and all other columns, stay.
+
+    Texts are searched whole, however long; of repeated rows all go or all stay; an empty table gives an empty one.
+    """
     place = docs.columns.index(text_col)
     found = index(benchmark, similarity, item_col, item_text_col)
 

@@ -460,7 +460,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     without words (null, empty, blank) have fingerprint 0 and link like any
     other. Rows of equal ids have a result each; a row without an id belongs to
     its component like any other, whose smallest id is null only if none there
-    has one. Other columns are ignored.
+    has one. Very long texts are hashed whole, a block at a time; an empty table
+    gives an empty one. Other columns are ignored, whatever their names.
     """
     fps = staged(fingerprints(docs, id_col, text_col, words), "simhash-fp")
     # A table, so that the join's exchanges are plain and a hot fingerprint's rows can be split.
