@@ -174,10 +174,10 @@ def _(v):
     geometry = "case when i % 2 = 0 then struct('MultiPolygon' as type, array(array(array(array(i, j), array(i + 1, j), array(i + 1, j + 1), array(i, j))), array(array(array(i, j), array(i + 1, j + 1), array(i, j + 1), array(i, j)))) as coordinates) end"
     square = "case when i % 2 <> 0 then struct('Polygon' as type, array(array(array(i, j), array(i + 1, j), array(i + 1, j + 1), array(i, j + 1), array(i, j))) as coordinates) end"
     props = "struct('c' || i || '_' || j as LocationID)"
-    docs = g.selectExpr(f"coalesce(to_json(struct('Feature' as type, {props} as properties, {geometry} as geometry)), '') as m", f"to_json(struct('Feature' as type, {props} as properties, {square} as geometry)) as s", "i % 2 = 0 as many")
-    # Cells are bounded by the grid, so that one collection holds them.
-    one = docs.agg(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.collect_list(F.when(F.col("many"), F.col("m")).otherwise(F.col("s"))), ","), F.lit("]}")).alias("value"))
-    one.write.text(at)
+    docs = g.selectExpr(f"coalesce(to_json(struct('Feature' as type, {props} as properties, {geometry} as geometry)), '') as m", f"to_json(struct('Feature' as type, {props} as properties, {square} as geometry)) as s", "i % 2 = 0 as many", "i")
+    # A file and collection per column of cells.
+    each = docs.groupBy("i").agg(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.collect_list(F.when(F.col("many"), F.col("m")).otherwise(F.col("s"))), ","), F.lit("]}")).alias("value"))
+    each.write.partitionBy("i").text(at)
     polygons = files.read_polygons(v.spark, at, "LocationID")
     e = sp.polygons_to_edges(polygons.withColumn("part", F.monotonically_increasing_id()).withColumn("id", F.struct("zone_id", "part")), "id", "coords")
     part = e.groupBy("zone_id").agg(F.count("*").alias("n"), F.abs(F.sum((F.col("x2") - F.col("x1")) * (F.col("y2") + F.col("y1")) / 2)).alias("area"))
