@@ -163,3 +163,13 @@ def test_route_triples_order_and_ties(spark):
     x = spark.createDataFrame([("a", 1, 2, 5), ("a", 1, 1, 5), ("a", 3, 3, 9), ("b", 1, 1, 1)], "m string, o int, d int, n int")
     got = {r.m: r.triples for r in an.route_triples(x, ["m"], "o", "d", "n").collect()}
     assert got == {"a": [[3, 3, 9], [1, 1, 5], [1, 2, 5]], "b": [[1, 1, 1]]}
+
+
+def test_shares_and_intensities(spark):
+    x = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 7.0)], "g string, v double")
+    s = tb.with_share(x, "v")
+    assert sorted(r.share for r in s.collect()) == pytest.approx([1 / 11, 3 / 11, 7 / 11])
+    assert "Window" not in s._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.intensity for r in tb.with_intensity(x, "v", log=False).collect()) == pytest.approx([0, 1 / 3, 1])
+    assert sorted(r.intensity for r in tb.with_intensity(x, "v", ["g"], log=False).collect()) == [0, 1, 1]
+    assert [r.intensity for r in tb.with_intensity(x.where("v = 7"), "v").collect()] == [1.0]

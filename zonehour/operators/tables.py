@@ -118,19 +118,26 @@ def top_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) ->
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def share_of_total(c: Column) -> Column:
-    return c / F.sum(c).over(W.partitionBy())
+def with_share(df: DataFrame, value: str, name: str = "share") -> DataFrame:
+    """Adds a row's part of the whole column; the sum is a query of its own, so that no task sees all rows."""
+    return df.withColumn(name, F.col(value) / df.agg(F.sum(value)).scalar())
 
 
 def norm_to_max(c: Column, by: Sequence[str]) -> Column:
     return c / F.nullif(F.max(c).over(W.partitionBy(*by)), F.lit(0))
 
 
-def intensity(c: Column, by: Sequence[str] = (), log: bool = True) -> Column:
-    """0 to 1 between the smallest and the largest; 1 where all are equal."""
-    v = F.log1p(c) if log else c.cast("double")
-    lo, hi = F.min(v).over(W.partitionBy(*by)), F.max(v).over(W.partitionBy(*by))
-    return F.when(hi == lo, 1.0).otherwise((v - lo) / F.nullif(hi - lo, F.lit(0.0)))
+def with_intensity(df: DataFrame, value: str, by: Sequence[str] = (), log: bool = True, name: str = "intensity") -> DataFrame:
+    """Adds where a value lies between the smallest and the largest, 0 to 1; 1 where all are equal.
+
+    Limits of groups come from a window by group, those of the whole table from a query of its own.
+    """
+    v = F.log1p(F.col(value)) if log else F.col(value).cast("double")
+    if by:
+        lo, hi = F.min(v).over(W.partitionBy(*by)), F.max(v).over(W.partitionBy(*by))
+    else:
+        lo, hi = df.agg(F.min(v)).scalar(), df.agg(F.max(v)).scalar()
+    return df.withColumn(name, F.when(hi == lo, 1.0).otherwise((v - lo) / F.nullif(hi - lo, F.lit(0.0))))
 
 
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from zonehour.functions.time import dow0, time_block, year_month
 from zonehour.operators.ordered import exact_quantiles, running, same
-from zonehour.operators.tables import attach_dim, intensity, norm_to_max, top_n
+from zonehour.operators.tables import attach_dim, norm_to_max, top_n, with_intensity
 from zonehour.schemas import NO_ZONES
 
 THRESHOLDS = (1, 5, 10, 30)
@@ -206,7 +206,7 @@ def _picked(df: DataFrame, modes: Sequence[str] | None, first: tuple[int, int] |
 def zone_explorer(od: DataFrame, direction: str = "origin", modes: Sequence[str] | None = None, first: tuple[int, int] | None = None, last: tuple[int, int] | None = None) -> DataFrame:
     """Demand per zone over the picked modes and quarters, and its intensity."""
     z = _picked(zone_quarter(od).where(F.col("direction") == direction), modes, first, last).groupBy("zone").agg(F.sum("total").alias("total"))
-    return z.withColumn("intensity", intensity(F.col("total")))
+    return with_intensity(z, "total")
 
 
 def zone_card(zones: DataFrame) -> DataFrame:

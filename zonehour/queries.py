@@ -770,7 +770,7 @@ def _(v):
 
 @query("win3_share_of_total", f"SELECT mode, {B('count(*)')} AS n, {R('count(*) / sum(count(*)) OVER ()')} AS share FROM od GROUP BY mode")
 def _(v):
-    return v.od.groupBy("mode").agg(F.count("*").alias("n")).withColumn("share", tb.share_of_total(F.col("n")))
+    return tb.with_share(v.od.groupBy("mode").agg(F.count("*").alias("n")), "n")
 
 
 # --- data quality --------------------------------------------------------------
