@@ -184,6 +184,9 @@ def test_quality_held_out(spark):
     held = [(got[k].predicted, q) for k, q, _ in labels if got[k].held]
     assert np.mean([p == q for p, q in held]) > 0.93
     assert got[900].score == got[901].score and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got.values())
+    # Copies of a row, however many, are one in the sample.
+    again = quality.learn(d.unionAll(d).unionAll(d), lab.unionAll(lab), fold("doc_id", 5) != 0)
+    assert np.array_equal(again.weight, m.weight) and again.prior == m.prior
 
 
 def test_quality_edges(spark):

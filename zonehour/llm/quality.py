@@ -108,13 +108,15 @@ def fit(texts: list[bytes], labels: np.ndarray, dim: int = 16, epochs: int = 6,
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from the learnable labelled rows of the least id hashes, sample_rows at most.
 
-    Null ids, labels and texts teach nothing. Without any row, every text scores 0.5.
+    An id with one label counts once, one with several texts by the least of them. Null ids, labels and texts teach nothing.
+    Without any row, every text scores 0.5.
     """
     h = F.xxhash64(F.col(id_col).cast("string"))
     picked = labels.where(learnable & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), h.alias("h"))
-    picked = picked.orderBy("h", "id", "label").limit(sample_rows)
+    picked = picked.distinct().orderBy("h", "id", "label").limit(sample_rows)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    sample = F.broadcast(picked).join(texts, "id")  # at most sample_rows short rows
+    # At most sample_rows short rows; copies of an id are one before they meet.
+    sample = F.broadcast(picked).join(texts, "id").groupBy("h", "id", "label").agg(F.min("text").alias("text"))
 
     def train(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["h", "id", "label", "text"]).head(sample_rows)
