@@ -169,6 +169,23 @@ def jaccard_set(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
+def test_a_line_that_many_short_texts_share_is_no_key(spark):
+    """Short texts of one licence line: no key has many of them, as long as they have more words of their own; near copies among them are found."""
+    rng = random.Random(31)
+    line = " ".join(f"licence{k}" for k in range(30))
+    texts = [line + " " + prose(rng, 20, 100_000) for _ in range(3000)]
+    near = [t.rsplit(" ", 1)[0] + " zz" for t in texts[:40]]
+    df = spark.createDataFrame(list(enumerate(texts + near)), "doc_id long, text string").repartition(4)
+    fps = simhash._with_wide(df.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"), "text"), 5)
+    keys = simhash.candidate_keys(staged(fps, "keys"))
+    per = keys.groupBy("key").count().agg(F.max("count").alias("most"), F.sum("count").alias("rows")).first()
+    assert per.most < simhash.FREQUENT and per.rows <= 5 * 3040 * 2
+    sent = keys.groupBy("node").count().agg(F.max("count")).first()[0]
+    assert sent <= 46 // 5 + 1
+    got = {r.doc_id for r in simhash.one_of_each(df).collect()}
+    assert got == set(range(3000))
+
+
 def test_recall_of_short_texts():
     """Texts of 5 to 100 words of 0.8 similarity and more share a key and are candidates."""
     rng = random.Random(10)

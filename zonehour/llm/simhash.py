@@ -261,6 +261,8 @@ WIDE, WIDE_RADIUS = 4, 72
 PIECES, PIECE = 16, 3
 #: Shingles of a text up to which not pieces but single shingles are keys.
 SMALL = 64
+#: Texts that hold a shingle from which on it is frequent: the others of a text are its keys before it.
+FREQUENT = 64
 #: Texts whose shingle sets a task compares at once are up to two tiles of so many.
 SETS = 256
 
@@ -280,8 +282,15 @@ def shingles(texts: list[bytes], words: int = 5) -> Iterator[np.ndarray]:
 
 
 def wide_fingerprint(text: bytes, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """A text's SimHash of WIDE words over its distinct shingles, and the keys of its pieces."""
-    return _wide(next(shingles([text], words)))
+    """A text's SimHash of WIDE words over its distinct shingles, and its keys where no shingle is frequent."""
+    h = next(shingles([text], words))
+    fp, pieces = _wide(h)
+    return fp, np.concatenate([mix64(h[: len(h) // 5 + 1])] * _is_small(h) + [pieces])
+
+
+def _is_small(h: np.ndarray) -> bool:
+    """Whether single shingles are keys of the set, for it may be like one of up to SMALL."""
+    return 0 < 4 * len(h) <= 5 * SMALL
 
 
 def _majority(h: np.ndarray) -> np.ndarray:
@@ -296,13 +305,9 @@ def _majority(h: np.ndarray) -> np.ndarray:
 
 
 def _wide(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """SimHash and keys of a set of shingles.
+    """SimHash of a set of shingles, and the keys of its pieces.
 
-    Of sets with a similarity of 0.8, each holds at least 0.8 of the other's
-    size in common with it, so that the first fifth of the two in one order, and
-    one more, have a shingle in common: sets of up to SMALL shingles have these
-    as keys, and so have those that may be like such a set. Larger sets are dealt
-    to pieces by the shingles' hashes; a piece's key stands for all shingles in
+    Sets of more than SMALL shingles are dealt to pieces by the shingles' hashes; a piece's key stands for all shingles in
     it. Of two such sets of 0.8 similarity, some 0.2 % share none. The number of
     pieces goes by a size class; sets near the next class have keys of both.
     """
@@ -310,7 +315,7 @@ def _wide(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(WIDE, np.uint64), np.zeros(1, np.uint64)
     fp = _majority(h)
     n, level = len(h), int(len(h)).bit_length() - 1
-    keys = [mix64(h[: n // 5 + 1])] if 4 * n <= 5 * SMALL else []
+    keys = [np.zeros(0, np.uint64)]
     for v in (level - 1, level, level + 1) if n > SMALL else ():
         if v == level - 1 and n > 1.25 * 2**level or v == level + 1 and n < 0.8 * 2**v:
             continue
@@ -324,20 +329,43 @@ def _wide(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _with_wide(texts: DataFrame, words: int) -> DataFrame:
-    """texts(id, t, text) -> (id, t, fp, wide, pieces): fp is the name of the text's set of shingles."""
-    schema = T.StructType([*texts.schema.fields[:2], T.StructField("fp", T.LongType()), T.StructField("wide", T.BinaryType()), T.StructField("pieces", T.ArrayType(T.LongType()))])
+    """texts(id, t, text) -> (id, t, fp, wide, pieces, small): fp is the name of the text's set of shingles, small the set if it is small, else NULL."""
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([*texts.schema.fields[:2], T.StructField("fp", T.LongType()), T.StructField("wide", T.BinaryType()), T.StructField("pieces", longs), T.StructField("small", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, wide, pieces = [], [], []
+            names, wide, pieces, small = [], [], [], []
             for h in shingles(text_bytes(b.column(2)), words):
                 fp, keys = _wide(h)
-                names.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63)), wide.append(fp.tobytes()), pieces.append(keys.view(np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(names, pa.int64()), pa.array(wide, pa.binary()), pa.array(pieces, pa.list_(pa.int64()))], schema.names)
+                names.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63)), wide.append(fp.tobytes()), pieces.append(keys.view(np.int64)), small.append(h.view(np.int64) if _is_small(h) else None)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(names, pa.int64()), pa.array(wide, pa.binary()), pa.array(pieces, pa.list_(pa.int64())), pa.array(small, pa.list_(pa.int64()))], schema.names)
 
     return texts.mapInArrow(run, schema)
 
 
+def candidate_keys(fps: DataFrame) -> DataFrame:
+    """fps(fp, wide, pieces, small) -> (node, fp, key): the keys by which distinct sets meet.
+
+    Of sets with a similarity of 0.8, each holds at least 0.8 of the other's
+    size in common with it, so that the first fifth of the two in one order, and
+    one more, have a shingle in common. These are the keys of a small set, in the order of how many small sets have
+    them: a line that very many texts share comes last, and is a key only of texts that are
+    little else. Shingles that fewer than FREQUENT sets have count alike.
+    """
+    large = fps.where(F.size("pieces") > 0).select("fp", "wide", "pieces").dropDuplicates(["fp"])
+    large = large.select(F.col("fp").alias("node"), F.col("wide").alias("fp"), F.explode("pieces").alias("key"))
+    sets = fps.where(F.col("small").isNotNull()).select(F.col("fp").alias("node"), F.col("wide").alias("fp"), "small").dropDuplicates(["node"])
+    sets = staged(sets, "simhash-small")
+    often = sets.select(F.explode("small").alias("h")).groupBy("h").agg(F.count("*").alias("often")).where(F.col("often") >= FREQUENT)
+    often = staged(often, "simhash-frequent")
+    each = sets.select("node", F.explode("small").alias("h")).join(often, "h", "left").select("node", F.struct(F.coalesce("often", F.lit(0)).alias("often"), "h").alias("s"))
+    # Of a set of a few dozen shingles.
+    first = each.groupBy("node").agg(F.array_sort(F.collect_list("s")).alias("s")).select("node", F.explode(F.slice("s", F.lit(1), F.floor(F.size("s") / 5).cast("int") + 1)).alias("s"))
+    small = sets.select("node", "fp").join(first, "node").select("node", "fp", F.xxhash64(F.lit("shingle"), "s.h").alias("key"))
+    return large.unionByName(small)
+
+
 def _alike(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of sets with a Jaccard similarity of 0.8 or more, by breadth-first search."""
     size = np.array([len(s) for s in sets])
@@ -481,8 +509,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     fps = staged(_with_wide(texts, words), "simhash-wide")
-    one = fps.dropDuplicates(["fp"])
-    near = components(_dealt(one.select(F.col("fp").alias("node"), F.col("wide").alias("fp"), F.explode("pieces").alias("key")), WIDE_RADIUS))
+    near = components(_dealt(candidate_keys(fps), WIDE_RADIUS))
     near = staged(fps.groupBy(F.col("fp").alias("node")).agg(F.min("t").alias("t")).join(near, "node"), "simhash-near")
     links = similar_links(near, texts.select("t", "text"), words)
     first = groups(fps.select("id", "fp"), links).where("first").select(F.col("fp").alias("__first"), F.col("component_id").alias("__component"))
