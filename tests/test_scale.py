@@ -136,6 +136,21 @@ def test_nearest_measures_few_edges(spark):
     assert total[240] < 6 * total[60]
 
 
+def test_nearest_along_a_line(spark):
+    """Edges along a line need more levels than as many in a square: points far off still measure a few."""
+    e = edges_of(spark, {k: [[[0.0, k + 0.0], [0.0, k + 1.0], [1.0, k + 1.0], [1.0, k + 0.0], [0.0, k + 0.0]]] for k in range(4000)})
+    tree = sp.EdgeTree(e)
+    pts = tree.keyed(spark.createDataFrame([(0.1 + 0.01 * k, -10.0 - 37.0 * k) for k in range(100)], "px double, py double"), F.col("px"), F.col("py"))
+    per = pts.join(sp.nearest_candidates(pts, tree), ["cx", "cy"]).groupBy("px", "py").count().collect()
+    assert len(per) == 100 and max(r["count"] for r in per) <= sp.NEAREST_EDGES
+
+
+def test_nearest_sorts_no_pairs(spark):
+    e = edges_of(spark, shapes(random.Random(5), 10))
+    near = sp.nearest_zone(spark.createDataFrame([(0.5, -1.5), (99.0, 3.0)], "px double, py double"), e)
+    assert near.count() == 2 and "SortAggregate" not in near._jdf.queryExecution().toString()
+
+
 # --- running sums and quantiles ---------------------------------------------------
 
 
