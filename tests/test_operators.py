@@ -173,3 +173,12 @@ def test_shares_and_intensities(spark):
     assert sorted(r.intensity for r in tb.with_intensity(x, "v", log=False).collect()) == pytest.approx([0, 1 / 3, 1])
     assert sorted(r.intensity for r in tb.with_intensity(x, "v", ["g"], log=False).collect()) == [0, 1, 1]
     assert [r.intensity for r in tb.with_intensity(x.where("v = 7"), "v").collect()] == [1.0]
+
+
+def test_temporal_sensitivity_keys(spark):
+    """An unknown date and an unknown hour are cells of their own; the key of a cell has no text but the mode."""
+    od = spark.createDataFrame([("a", 1, 2, "2024-01-03", None, 6.0), ("a", 1, 2, None, 3, 5.0), ("a", 1, 2, "2024-01-03", 7, 4.0), ("a", 1, 2, "2024-01-03", 8, 1.0), ("a", 1, 2, "2024-01-10", 7, 6.0)], "mode string, pu int, do int, date string, hour int, n double").withColumn("date", F.col("date").cast("date"))
+    out = an.temporal_sensitivity(od)
+    got = {r.granularity: (r.n_cells, r.ge10_pct) for r in out.collect()}
+    assert got == {"hour x date": (5, 0.0), "dow x hour": (4, 25.0), "block x date": (4, 0.0)}
+    assert "concat" not in out._jdf.queryExecution().optimizedPlan().toString()
